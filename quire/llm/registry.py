@@ -2,15 +2,95 @@
 
 from __future__ import annotations
 
+from quire.llm import quality
+from quire.llm.chat import op1_chat
 from quire.llm.decontaminate import op5_decontaminate
+from quire.llm.langid import op4_langid
+from quire.llm.quality import op7_quality
 from quire.llm.simhash import op3_simhash
+from quire.llm.toxicity import op6_toxicity
+
+
+
+def _quality_sql() -> str:
+    """Base counts from unnested words; both histograms and their divergence from the corpus sums per language."""
+    listed = ", ".join(f"('{c}', {k}, '{w}')" for c, ws in quality.COMMON.items() for k, w in enumerate(ws))
+    langs = ", ".join(f"'{c}'" for c in quality.COMMON)
+
+    def distance(p: str, q: str) -> str:
+        return (
+            f"sqrt(greatest(sum(CASE WHEN {p} > 0 THEN {p} * log2(2 * {p} / ({p} + {q})) ELSE 0 END"
+            f" + CASE WHEN {q} > 0 THEN {q} * log2(2 * {q} / ({p} + {q})) ELSE 0 END) / 2, 0))"
+        )
+
+    return rf"""
+    WITH d AS (
+      SELECT doc_id, coalesce(text, '') AS t, CASE WHEN lang IN ({langs}) THEN lang ELSE '' END AS l,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    listed(l, k, c) AS (VALUES {listed}),
+    win AS (
+      SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)),
+    again AS (SELECT doc_id, i FROM win JOIN (SELECT doc_id, g FROM win GROUP BY ALL HAVING count(*) > 1) USING (doc_id, g)),
+    rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM again) GROUP BY doc_id),
+    lines AS (
+      SELECT doc_id, count(*) - count(DISTINCT x) AS n
+      FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+    counted AS (
+      SELECT *, length(t) - length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS space,
+        length(regexp_replace(t, '[^\p{{Lu}}]', '', 'g')) AS up, length(regexp_replace(t, '[^\p{{L}}\p{{M}}]', '', 'g')) AS let,
+        length(regexp_replace(t, '[^\p{{Nd}}]', '', 'g')) AS dig,
+        length(regexp_replace(t, '[^\p{{P}}]', '', 'g')) - length(regexp_replace(t, '[^#*%&]', '', 'g')) AS mark FROM d),
+    chars AS (
+      SELECT doc_id, l, unnest([space, up, let - up, dig, mark, length(t) - space - let - dig - mark]) AS n, unnest(range(6)) AS k FROM counted),
+    char_p AS (SELECT *, n / greatest(sum(n) OVER (PARTITION BY doc_id), 1) AS p FROM chars),
+    char_q AS (SELECT l, k, n / greatest(sum(n) OVER (PARTITION BY l), 1) AS q FROM (SELECT l, k, sum(n) AS n FROM chars GROUP BY ALL)),
+    char_js AS (SELECT doc_id, {distance("p", "q")} AS js FROM char_p JOIN char_q USING (l, k) GROUP BY doc_id),
+    each AS (SELECT doc_id, l, unnest(w) AS x FROM d),
+    hits AS (SELECT e.doc_id, k, count(*) AS n FROM each e JOIN listed ON e.l = listed.l AND lower(e.x) = c GROUP BY ALL),
+    bins AS (
+      SELECT d.doc_id, d.l, k, coalesce(hits.n, 0) AS n FROM d JOIN listed USING (l) LEFT JOIN hits USING (doc_id, k)
+      UNION ALL SELECT d.doc_id, d.l, -1, len(w) - coalesce((SELECT sum(n) FROM hits h WHERE h.doc_id = d.doc_id), 0) FROM d WHERE l <> ''),
+    bin_p AS (SELECT *, n / greatest(sum(n) OVER (PARTITION BY doc_id), 1) AS p FROM bins),
+    bin_q AS (SELECT l, k, n / greatest(sum(n) OVER (PARTITION BY l), 1) AS q FROM (SELECT l, k, sum(n) AS n FROM bins GROUP BY ALL)),
+    bin_js AS (SELECT doc_id, {distance("p", "q")} AS js FROM bin_p JOIN bin_q USING (l, k) GROUP BY doc_id),
+    base AS (
+      SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(t) - space AS BIGINT) AS word_chars,
+        CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines,
+        CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+        CASE WHEN length(t) >= {quality.MIN_CHARS} THEN char_js.js ELSE 0 END AS cd,
+        CASE WHEN len(w) >= {quality.MIN_WORDS} THEN coalesce(bin_js.js, 0) ELSE 0 END AS wd
+      FROM counted d LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN char_js USING (doc_id) LEFT JOIN bin_js USING (doc_id))
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+      n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+      NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND cd <= {quality.MAX_CHARS} AND wd <= {quality.MAX_COMMON} AS kept
+    FROM base"""
+
 
 QUERIES = {
+    "op1_chat": op1_chat,
     "op3_simhash": op3_simhash,
+    "op4_langid": op4_langid,
     "op5_decontaminate": op5_decontaminate,
+    "op6_toxicity": op6_toxicity,
+    "op7_quality": op7_quality,
 }
 
 ORACLES = {
+    # The turns themselves; lengths after escaping from the number of backslashes and control openings.
+    "op1_chat": r"""
+    WITH t AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+      UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+    SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+      sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+      CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+      sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+      CAST(sum(12 + length(role) + 1 + length(text) + 11
+        + length(text) - length(replace(text, '\', '')) + (length(text) - length(replace(text, '<|', ''))) // 2) AS BIGINT) AS formatted_chars
+    FROM t GROUP BY conv_id""",
+    "op7_quality": _quality_sql(),
     # Every window (13 words, or a whole shorter item) against every equally long run of a document's words.
     "op5_decontaminate": r"""
     WITH d AS (
