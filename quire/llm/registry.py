@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from quire.llm import quality
+from quire.llm import licenses, quality
 from quire.llm.chat import op1_chat
 from quire.llm.decontaminate import op5_decontaminate
 from quire.llm.langid import op4_langid
+from quire.llm.licenses import op10_licenses
+from quire.llm.packing import op9_packing
 from quire.llm.quality import op7_quality
 from quire.llm.simhash import op3_simhash
 from quire.llm.toxicity import op6_toxicity
+from quire.llm.warc import op8_warc
 
 
 
@@ -67,6 +70,38 @@ def _quality_sql() -> str:
     FROM base"""
 
 
+def _licenses_sql() -> str:
+    """Phrases at every place of a document's words; every line against every template, without filters."""
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    phrases = ", ".join(f"('{k}', {len(k.split())}, '{v}')" for k, v in licenses.PHRASES.items())
+    sets = ", ".join(
+        f"({k}, '{label}', [{', '.join(repr(w.decode()) for w in sorted(tokens))}])"
+        for k, (label, tokens) in enumerate(licenses.template_sets(licenses.TEMPLATES))
+    )
+    return rf"""
+    WITH d AS (SELECT doc_id, {low.format("coalesce(text, '')")} AS t FROM documents),
+    w AS (SELECT doc_id, regexp_extract_all(t, '{word}') AS w FROM d),
+    phrases(phrase, n, label) AS (VALUES {phrases}),
+    places AS (
+      SELECT doc_id, i - 1 AS place, label
+      FROM (SELECT doc_id, w, phrase, n, label, unnest(range(1, len(w) - n + 2)) AS i FROM w, phrases)
+      WHERE array_to_string(w[i:i + n - 1], ' ') = phrase),
+    templates(k, label, tokens) AS (VALUES {sets}),
+    lines AS (
+      SELECT doc_id, list_distinct(regexp_extract_all(x, '{word}')) AS b FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d)),
+    met AS (
+      SELECT doc_id, label, len(list_intersect(b, tokens)) / len(tokens) AS share FROM lines, templates
+      WHERE len(list_intersect(b, tokens)) >= ceil({licenses.THRESHOLD} * len(tokens) - 1e-9)),
+    base AS (SELECT doc_id, count(*) AS n, min(place) AS a, max(place) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS said FROM places GROUP BY doc_id),
+    every AS (
+      SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS said FROM (SELECT doc_id, label FROM places UNION SELECT doc_id, label FROM met) GROUP BY doc_id),
+    best AS (SELECT doc_id, max(share) AS share FROM met GROUP BY doc_id)
+    SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(base.n, 0) AS BIGINT) AS n_base, CAST(base.a AS BIGINT) AS first_word,
+      CAST(base.z AS BIGINT) AS last_word, coalesce(base.said, '') AS base_labels, coalesce(every.said, '') AS labels, coalesce(share, 0.0) AS score
+    FROM w LEFT JOIN base USING (doc_id) LEFT JOIN every USING (doc_id) LEFT JOIN best USING (doc_id)"""
+
+
 QUERIES = {
     "op1_chat": op1_chat,
     "op3_simhash": op3_simhash,
@@ -74,6 +109,9 @@ QUERIES = {
     "op5_decontaminate": op5_decontaminate,
     "op6_toxicity": op6_toxicity,
     "op7_quality": op7_quality,
+    "op8_warc": op8_warc,
+    "op9_packing": op9_packing,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLES = {
@@ -91,6 +129,19 @@ ORACLES = {
         + length(text) - length(replace(text, '\', '')) + (length(text) - length(replace(text, '<|', ''))) // 2) AS BIGINT) AS formatted_chars
     FROM t GROUP BY conv_id""",
     "op7_quality": _quality_sql(),
+    # Base32 from pairs of hexadecimal digits: group i of five bits starts at bit 5 i.
+    "op8_warc": r"""
+    WITH p AS (
+      SELECT CAST(page_id AS BIGINT) AS page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x,
+        min(CAST(page_id AS BIGINT)) OVER (PARTITION BY coalesce(html, '')) AS least FROM pages),
+    n AS (SELECT *, list_transform(range(1, 41), lambda k: instr('0123456789abcdef', x[k]) - 1) AS d FROM p)
+    SELECT page_id, strlen(h) AS payload_bytes,
+      array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + (((d[(5 * i) // 4 + 1] * 16 + d[(5 * i) // 4 + 2]) >> (3 - (5 * i) % 4)) & 31), 1)), '') AS payload_digest,
+      CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN page_id <> least THEN least END AS refers_to
+    FROM n""",
+    "op10_licenses": _licenses_sql(),
     # Every window (13 words, or a whole shorter item) against every equally long run of a document's words.
     "op5_decontaminate": r"""
     WITH d AS (
