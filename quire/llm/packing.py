@@ -14,14 +14,14 @@ rows is spread evenly over the shards.
 
 Defined results. Null and empty texts have length 0 and take a place like others. A null
 source or cluster conflicts with nothing. Equal lengths go by id, then by piece; repeated
-rows are packed one by one. Null ids come first. An empty table gives no rows.
+rows are packed one by one. Null ids come last. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,24 +80,27 @@ def pack(
         T.StructField(c, t) for c, t in (("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("shard", T.LongType()), ("bin", T.LongType()), ("offset", T.LongType()))
     ]
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["length", "id", "piece"], ascending=[False, True, True], na_position="first", kind="stable")
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by([("length", "descending"), ("id", "ascending"), ("piece", "ascending")])
+        places = best_fit(list(zip(*(part.column(c).to_pylist() for c in ("length", "source", "cluster")), strict=True)), capacity, per_source)
+        for k, c in enumerate(("bin", "offset")):
+            part = part.append_column(c, pa.array([p[k] for p in places], pa.int64()))
+        return part.select([f.name for f in fields])
 
-        def known(c: str) -> list:
-            return [None if pd.isna(x) else x for x in part[c]]
+    return dealt.groupBy("shard").applyInArrow(run, T.StructType(fields))
 
-        places = best_fit(list(zip(part["length"].tolist(), known("source"), known("cluster"), strict=True)), capacity, per_source)
-        part["bin"], part["offset"] = [b for b, _ in places], [o for _, o in places]
-        return part[[f.name for f in fields]]
 
-    return dealt.groupBy("shard").applyInPandas(run, T.StructType(fields))
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Pack texts by their UTF-8 bytes; a duplicate cluster is a text after case and white space are levelled."""
+    flat = F.trim(F.regexp_replace(F.lower(text_col), r"[\x20\x09-\x0D]+", " "))
+    narrow = docs.select(
+        F.col(id_col).alias("id"), F.octet_length(text_col).alias("length"),
+        F.col(source_col).alias("source"), F.when(F.col(text_col).isNotNull(), F.xxhash64(flat)).alias("cluster"),
+    )
+    return pack(narrow, id_col="id").withColumnRenamed("id", id_col)
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:
-    """Packs all documents by their UTF-8 bytes; a duplicate cluster is a text after case and white space are levelled."""
     from quire.plans.tables import table
 
-    docs = table(spark, sf_dir, "documents")
-    flat = F.trim(F.regexp_replace(F.lower("text"), r"[\x20\x09-\x0D]+", " "))
-    packed = pack(docs.select("doc_id", "source", F.octet_length("text").alias("length"), F.xxhash64(flat).alias("cluster")))
-    return packed.withColumnRenamed("id", "doc_id")
+    return pack_documents(table(spark, sf_dir, "documents"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from quire.llm import licenses, quality
 from quire.llm.chat import op1_chat
 from quire.llm.decontaminate import op5_decontaminate
+from quire.llm.html import op2_html
 from quire.llm.langid import op4_langid
 from quire.llm.licenses import op10_licenses
 from quire.llm.packing import op9_packing
@@ -104,6 +105,7 @@ def _licenses_sql() -> str:
 
 QUERIES = {
     "op1_chat": op1_chat,
+    "op2_html": op2_html,
     "op3_simhash": op3_simhash,
     "op4_langid": op4_langid,
     "op5_decontaminate": op5_decontaminate,
