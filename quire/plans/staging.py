@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir; where none is set (tests, one machine) a new local folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="quire-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quire-"))
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
