@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from quire.plans.staging import fresh
 
-MIN_CHARS, MAX_CHARS = 200, 0.3
-MIN_WORDS, MAX_COMMON = 100, 0.75
+MIN_CHARS, MAX_CHARS = 200, 0.28
+MIN_WORDS, MAX_COMMON = 50, 0.29
 #: Common words of the languages that have a reference of their own.
 COMMON = {
     "de": "der die das und in zu den mit von ist nicht sich ein eine auf für".split(),
