@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -44,6 +45,22 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def shipped(spark: SparkSession, value):
+    """A function that gives value inside any task; value goes to each executor once, with its classes' code.
+
+    For values of a bounded size, such as trained models.
+    """
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    held: list = []
+
+    def get():
+        if not held:
+            held.append(cloudpickle.loads(sent.value))
+        return held[0]
+
+    return get
+
+
 def fresh(columns, name: str) -> str:
     """name, with a number after it if a column (in any case) is already called so."""
     taken, out, k = {c.lower() for c in columns}, name, 0
