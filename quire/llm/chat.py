@@ -61,7 +61,7 @@ def fold(events: DataFrame) -> DataFrame:
     return live.select(
         "conv_id",
         "place",
-        F.coalesce(F.expr("filter(log, e -> e.role IS NOT NULL)[0].role"), F.lit("")).alias("role"),
+        F.coalesce(F.expr("get(filter(log, e -> e.role IS NOT NULL), 0).role"), F.lit("")).alias("role"),
         F.array_join(F.expr("transform(slice(log, version + 1, size(log)), e -> e.text)"), "").alias("text"),
     )
 

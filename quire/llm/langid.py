@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.plans.staging import fresh
+from quire.plans.staging import fresh, shipped
 
 #: Bounds of what is learned from: labelled rows per language, characters of each, languages, landmarks per language.
 SAMPLE, SAMPLE_CHARS, LANGUAGES, LANDMARKS = 160, 20_000, 64, 40
@@ -61,8 +61,9 @@ class Kernel:
         if new.any():
             odd, back = np.unique(points[new], return_inverse=True)
             found[new] = np.array([1 if chr(c).isalpha() else 0 for c in odd.tolist()], np.uint8)[back]
+        found = np.concatenate(([0], found, [0]))
         keep = (found[1:] != 0) | (found[:-1] != 0)
-        return np.concatenate(([0], found[:1] if found[:1].any() else found[:0], found[1:][keep], [0])).astype(np.int32)
+        return np.concatenate(([0], found[1:][keep])).astype(np.int32)
 
     def grams(self, text: str) -> np.ndarray:
         """Numbers of all n-grams of a text, repeats included."""
@@ -158,12 +159,12 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
     name = fresh(docs.columns, name)
     kept = docs.columns if keep is None else keep
     base = docs.select(*dict.fromkeys([*kept, text_col]))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shipped(docs.sparkSession, model)
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64())])
 
     def run(batches):
         for batch in batches:
-            found = [{"lang": a, "score": b} for a, b in shared.value.predict(batch.column(text_col).to_pylist())]
+            found = [{"lang": a, "score": b} for a, b in shared().predict(batch.column(text_col).to_pylist())]
             columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(found, kind)], names=[*kept, name])
 

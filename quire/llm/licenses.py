@@ -31,16 +31,17 @@ from quire.plans.staging import fresh
 
 THRESHOLD = 0.8
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Statements by which texts commonly name their license.
+#: Statements by which texts commonly name their license. Short ones have four words at most, all of
+#: which a block must hold, so that licenses that differ in one word are told apart.
 TEMPLATES = {
-    "mit": ["Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
-    "apache-2": ["Licensed under the Apache License, Version 2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at apache.org licenses LICENSE-2.0"],
-    "cc-by-nc": ["Licensed under CC BY-NC 4.0", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
-    "cc-by-sa": ["Licensed under CC BY-SA 4.0", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
-    "cc0": ["dedicated to the public domain under CC0 1.0 Universal"],
-    "gpl-3": ["This work is licensed under the GNU General Public License, version 3", "either version 3 of the GNU General Public License, or at your option any later version"],
-    "lgpl-3": ["GNU Lesser General Public License version 3"],
-    "mpl-2": ["subject to the terms of the Mozilla Public License, v. 2.0"],
+    "mit": ["under the MIT license", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
+    "apache-2": ["Apache License Version 2", "you may not use this file except in compliance with the License. You may obtain a copy of the License at apache.org licenses LICENSE-2.0"],
+    "cc-by-nc": ["CC BY NC", "Creative Commons Attribution NonCommercial"],
+    "cc-by-sa": ["CC BY SA", "Creative Commons Attribution ShareAlike"],
+    "cc0": ["public domain CC0"],
+    "gpl-3": ["General Public License 3"],
+    "lgpl-3": ["Lesser Public License 3"],
+    "mpl-2": ["Mozilla Public License 2"],
     "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
 }
 

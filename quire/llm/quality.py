@@ -65,32 +65,32 @@ def class_counts(text: Column) -> Column:
     return F.array(space, upper, letter - upper, digit, mark, F.length(t).cast("long") - space - letter - digit - mark)
 
 
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are worked out once a row.
+
+    A projection would be merged with those above it, and a lambda would work out the array
+    that it looks into anew for each element; a generator of one row stands between.
+    """
+    row = fresh(df.columns, "_settled")
+    one = df.select("*", F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias(row))
+    return one.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(row)[k].alias(k) for k in columns])
+
+
 def measured(docs: DataFrame, text_col: str, lang_col: str, at: str) -> DataFrame:
-    """docs with the language and both histograms in columns that start with at."""
-    lower = F.filter(words(F.lower(text_col)), lambda w: w != "")
-    common = F.when(F.lit(False), F.array(F.lit("")))
-    for code, listed in COMMON.items():
-        common = common.when(F.col(f"{at}_lang") == code, F.filter(F.col(f"{at}_words"), among(listed)))
-    binned = F.when(F.lit(False), F.array(F.lit(0)))
-    for code, listed in COMMON.items():
-        binned = binned.when(
-            F.col(f"{at}_lang") == code,
-            F.concat(
-                F.transform(
-                    F.array(*[F.lit(w) for w in listed]),
-                    lambda c: F.size(F.filter(F.col(f"{at}_common"), lambda w: w == c)),
-                ),
-                F.array(F.size(f"{at}_words") - F.size(f"{at}_common")),
-            ),
-        )
-    return (
-        docs.withColumn(f"{at}_lang", language(F.col(lang_col)))
-        .withColumn(f"{at}_words", lower)
-        .withColumn(f"{at}_common", common)
-        .withColumn(f"{at}_bins", F.transform(binned, lambda n: n.cast("long")))
-        .withColumn(f"{at}_classes", class_counts(F.col(text_col)))
-        .drop(f"{at}_words", f"{at}_common")
+    """docs with the language, the words and both histograms in columns that start with at."""
+    lang, listed, common = f"{at}_lang", f"{at}_words", f"{at}_common"
+    d = settled(
+        docs, **{lang: language(F.col(lang_col)), listed: words(F.col(text_col)), f"{at}_classes": class_counts(F.col(text_col))}
     )
+    found = F.when(F.lit(False), F.array(F.lit("")))
+    for code, wanted in COMMON.items():
+        found = found.when(F.col(lang) == code, F.filter(F.transform(listed, F.lower), among(wanted)))
+    d = settled(d, **{common: found})
+    binned = F.when(F.lit(False), F.array(F.lit(0)))
+    for code, wanted in COMMON.items():
+        each = F.transform(F.array(*[F.lit(w) for w in wanted]), lambda c: F.size(F.filter(F.col(common), lambda w: w == c)))
+        binned = binned.when(F.col(lang) == code, F.concat(each, F.array(F.size(listed) - F.size(common))))
+    return settled(d, **{f"{at}_bins": F.transform(binned, lambda n: n.cast("long"))}).drop(common)
 
 
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, dict[str, list[float]]]:
@@ -124,24 +124,23 @@ def judge(
 ) -> tuple[DataFrame, str]:
     """All columns of docs and a struct of the base counts, both distances and the verdicts; and the struct's name."""
     name = fresh(docs.columns, name)
-    at = fresh([c[: len("_quality") + 2] for c in docs.columns], "_quality")
+    at = "_quality"
+    while any(c.lower().startswith(at) for c in docs.columns):
+        at += "_"
     t = F.coalesce(F.col(text_col), F.lit(""))
+    w, lines, sorted_, again = (f"{at}_{k}" for k in ("words", "lines", "sorted", "again"))
     d = measured(docs, text_col, lang_col, at)
-    w, lines, hashed, sorted_, again = (f"{at}_{k}" for k in ("w", "lines", "hashes", "sorted", "again"))
-    d = d.withColumn(w, words(F.col(text_col)))
-    d = d.withColumn(lines, F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     # Every three-word window as its hash and place, sorted; equal neighbours are windows found again.
-    d = d.withColumn(
-        hashed,
-        F.expr(f"transform(`{w}`, (x, i) -> named_struct('h', xxhash64(x, get(`{w}`, i + 1), get(`{w}`, i + 2)), 'p', i))"),
-    )
-    d = d.withColumn(sorted_, F.expr(f"array_sort(slice(`{hashed}`, 1, greatest(size(`{hashed}`) - 2, 0)))"))
-    d = d.withColumn(
-        again,
-        F.expr(
-            f"array_sort(transform(filter(`{sorted_}`, (e, i) -> e.h = get(`{sorted_}`, i - 1).h OR e.h = get(`{sorted_}`, i + 1).h), e -> e.p))"
-        ),
+    hashed = f"transform(`{w}`, (x, i) -> named_struct('h', xxhash64(x, get(`{w}`, i + 1), get(`{w}`, i + 2)), 'p', i))"
+    d = settled(
+        d,
+        **{
+            lines: F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
+            sorted_: F.expr(f"array_sort(slice({hashed}, 1, greatest(size(`{w}`) - 2, 0)))"),
+        },
     )
+    twice = f"filter(`{sorted_}`, (e, i) -> e.h = get(`{sorted_}`, i - 1).h OR e.h = get(`{sorted_}`, i + 1).h)"
+    d = settled(d, **{again: F.expr(f"array_sort(transform({twice}, e -> e.p))")})
     repeat = F.expr(
         f"aggregate(transform(`{again}`, (p, i) -> least(3, coalesce(get(`{again}`, i + 1) - p, 3))), 0L, (a, n) -> a + n)"
     )
@@ -161,7 +160,8 @@ def judge(
         F.when(F.length(t) >= MIN_CHARS, by_class).otherwise(0.0).alias("char_distance"),
         F.when(n_words >= MIN_WORDS, by_word).otherwise(0.0).alias("word_distance"),
     )
-    out = d.select(*docs.columns, base.alias(name))
+    d = settled(d, **{name: base})
+    out = d.select(*[F.col(f"`{c}`") for c in docs.columns], name)
     b = F.col(name)
     failed = (b.n_words < 50) | (100 * b.n_repeat_words > 50 * b.n_words)
     kept = ~failed & (b.char_distance <= MAX_CHARS) & (b.word_distance <= MAX_COMMON)

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from quire.llm.langid import held_out
 from quire.llm.text import _WORD_TABLE, utf8
-from quire.plans.staging import fresh
+from quire.plans.staging import fresh, shipped
 
 #: Bounds of what is learned from: labelled rows of each class, and bytes of one text.
 SAMPLE, SAMPLE_BYTES = 1500, 4000
@@ -196,11 +196,11 @@ def toxicity(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
     name = fresh(docs.columns, name)
     kept = docs.columns if keep is None else keep
     base = docs.select(*dict.fromkeys([*kept, text_col]))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shipped(docs.sparkSession, model)
 
     def run(batches):
         for batch in batches:
-            scores = pa.array([shared.value.score(t) for t in utf8(batch.column(text_col))], pa.float64())
+            scores = pa.array([shared().score(t) for t in utf8(batch.column(text_col))], pa.float64())
             columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             yield pa.RecordBatch.from_arrays([*columns, scores], names=[*kept, name])
 

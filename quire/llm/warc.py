@@ -24,6 +24,7 @@ columns of the input are not read.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import json
@@ -99,15 +100,9 @@ def records(pieces) -> "iter":
 
 def inflate(stream):
     """Pieces of the data of a gzip file, of one member or several."""
-    unzip = zlib.decompressobj(31)
-    while data := stream.read(PIECE):
-        while data:
-            yield unzip.decompress(data, PIECE)
-            while unzip.unconsumed_tail:
-                yield unzip.decompress(unzip.unconsumed_tail, PIECE)
-            data = b""
-            if unzip.eof:
-                data, unzip = unzip.unused_data, zlib.decompressobj(31)
+    with gzip.GzipFile(fileobj=stream) as unzipped:
+        while piece := unzipped.read(PIECE):
+            yield piece
 
 
 def member(data: bytes) -> bytes:

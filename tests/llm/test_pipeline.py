@@ -4,7 +4,7 @@ from quire.llm.decontaminate import decontaminate
 
 def test_stages_on_small_tables(spark, tmp_path):
     line = "the house and the garden of a man who was in town for a week with his wife and that is all there is to say about it"
-    say = lambda k: "\n".join(" ".join(f"{w}{'x' * ((k * 7 + i * j) % 3)}" for i, w in enumerate(line.split())) for j in range(1, 6))
+    say = lambda k: "\n".join(" ".join(f"{w}{'x' * ((k * 7 + i * j) % 5)}" for i, w in enumerate(line.split())) for j in range(1, 6))
     bench = "q1 q2 q3 q4 q5 q6 q7 q8 q9 q10 q11 q12 q13 q14 q15"
     rows = [(k, say(k), "en", "s", 1, "keep") for k in range(8)]
     rows += [(50, say(3), "en", "s", 1, "copy"), (51, None, "en", "s", 0, "null"), (52, "1 2 3", None, None, 0, "no letter"), (53, "too short", "en", "s", 1, "short"), (3, say(3), "en", "s", 1, "again"), (None, None, None, None, None, None)]
