@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.plans.staging import fresh
+from quire.plans.staging import fresh, staged
 
 MIN_CHARS, MAX_CHARS = 200, 0.28
 MIN_WORDS, MAX_COMMON = 50, 0.29
@@ -40,7 +40,8 @@ N_CLASSES = 6
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    # A split at one plain character needs no regular expression.
+    return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), SPACE, " " * len(SPACE)), " "), lambda w: w != "")
 
 
 def language(lang: Column) -> Column:
@@ -95,16 +96,20 @@ def measured(docs: DataFrame, text_col: str, lang_col: str, at: str) -> DataFram
 
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, dict[str, list[float]]]:
     """For each language (at most one more than COMMON has) the shares of classes and of common words over all documents."""
-    m = measured(docs.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l")), "t", "l", "_q")
+    return summed(measured(docs.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l")), "t", "l", "_q"), "_q")
+
+
+def summed(m: DataFrame, at: str) -> dict[str, dict[str, list[float]]]:
+    """References from the histograms of measured rows."""
     n_bins = 1 + max(map(len, COMMON.values()))
-    sums = m.groupBy("_q_lang").agg(
-        F.array(*[F.sum(F.get("_q_classes", F.lit(k))) for k in range(N_CLASSES)]).alias("classes"),
-        F.array(*[F.sum(F.get("_q_bins", F.lit(k))) for k in range(n_bins)]).alias("bins"),
+    sums = m.groupBy(f"{at}_lang").agg(
+        F.array(*[F.sum(F.get(f"{at}_classes", F.lit(k))) for k in range(N_CLASSES)]).alias("classes"),
+        F.array(*[F.sum(F.get(f"{at}_bins", F.lit(k))) for k in range(n_bins)]).alias("bins"),
     )
     out = {}
     for r in sums.collect():
         bins = [x for x in r.bins if x is not None]
-        out[r._q_lang] = {k: [x / max(1, sum(v)) for x in v] for k, v in (("classes", r.classes), ("bins", bins))}
+        out[r[f"{at}_lang"]] = {k: [x / max(1, sum(v)) for x in v] for k, v in (("classes", r.classes), ("bins", bins))}
     return out
 
 
@@ -119,14 +124,16 @@ def jensen_shannon(counts: Column, reference: list[float]) -> Column:
     return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
 
 
-def judge(
-    docs: DataFrame, refs: dict, text_col: str = "text", lang_col: str = "lang", name: str = "quality"
-) -> tuple[DataFrame, str]:
-    """All columns of docs and a struct of the base counts, both distances and the verdicts; and the struct's name."""
-    name = fresh(docs.columns, name)
+def prefix(columns) -> str:
+    """A beginning that no column has."""
     at = "_quality"
-    while any(c.lower().startswith(at) for c in docs.columns):
+    while any(c.lower().startswith(at) for c in columns):
         at += "_"
+    return at
+
+
+def counted(docs: DataFrame, text_col: str, lang_col: str, at: str, keep: list[str]) -> DataFrame:
+    """keep, the histograms and the base counts (a struct), in columns that start with at."""
     t = F.coalesce(F.col(text_col), F.lit(""))
     w, lines, sorted_, again = (f"{at}_{k}" for k in ("words", "lines", "sorted", "again"))
     d = measured(docs, text_col, lang_col, at)
@@ -135,44 +142,71 @@ def judge(
     d = settled(
         d,
         **{
-            lines: F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
-            sorted_: F.expr(f"array_sort(slice({hashed}, 1, greatest(size(`{w}`) - 2, 0)))"),
+            lines: F.filter(F.split(t, "\n"), lambda x: F.translate(x, SPACE, "") != ""),
+            sorted_: F.expr(f"sort_array(slice({hashed}, 1, greatest(size(`{w}`) - 2, 0)))"),
         },
     )
     twice = f"filter(`{sorted_}`, (e, i) -> e.h = get(`{sorted_}`, i - 1).h OR e.h = get(`{sorted_}`, i + 1).h)"
-    d = settled(d, **{again: F.expr(f"array_sort(transform({twice}, e -> e.p))")})
+    d = settled(d, **{again: F.expr(f"sort_array(transform({twice}, e -> e.p))")})
     repeat = F.expr(
         f"aggregate(transform(`{again}`, (p, i) -> least(3, coalesce(get(`{again}`, i + 1) - p, 3))), 0L, (a, n) -> a + n)"
     )
-    n_words = F.size(w).cast("long")
-    by_class = by_word = F.lit(0.0)
-    for code, ref in refs.items():
-        mine = F.col(f"{at}_lang") == code
-        by_class = F.when(mine, jensen_shannon(F.col(f"{at}_classes"), ref["classes"])).otherwise(by_class)
-        if ref["bins"]:
-            by_word = F.when(mine, jensen_shannon(F.col(f"{at}_bins"), ref["bins"])).otherwise(by_word)
     base = F.struct(
-        n_words.alias("n_words"),
+        F.size(w).cast("long").alias("n_words"),
         F.length(F.translate(t, SPACE, "")).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         repeat.alias("n_repeat_words"),
-        F.when(F.length(t) >= MIN_CHARS, by_class).otherwise(0.0).alias("char_distance"),
-        F.when(n_words >= MIN_WORDS, by_word).otherwise(0.0).alias("word_distance"),
+        F.length(t).alias("n_chars"),
     )
-    d = settled(d, **{name: base})
-    out = d.select(*[F.col(f"`{c}`") for c in docs.columns], name)
-    b = F.col(name)
+    return settled(d, **{f"{at}_base": base}).select(*[F.col(f"`{c}`") for c in keep], f"{at}_lang", f"{at}_classes", f"{at}_bins", f"{at}_base")
+
+
+def verdicts(d: DataFrame, refs: dict, at: str, keep: list[str], name: str) -> DataFrame:
+    """keep and the result struct of counted rows."""
+    by_class = by_word = F.lit(0.0)
+    for code, ref in refs.items():
+        mine = F.col(f"{at}_lang") == code
+        by_class = F.when(mine, jensen_shannon(F.col(f"{at}_classes"), ref["classes"])).otherwise(by_class)
+        if ref["bins"]:
+            by_word = F.when(mine, jensen_shannon(F.col(f"{at}_bins"), ref["bins"])).otherwise(by_word)
+    b = F.col(f"{at}_base")
+    distances = {
+        f"{at}_chars": F.when(b.n_chars >= MIN_CHARS, by_class).otherwise(0.0),
+        f"{at}_common": F.when(b.n_words >= MIN_WORDS, by_word).otherwise(0.0),
+    }
+    d = settled(d, **distances)
     failed = (b.n_words < 50) | (100 * b.n_repeat_words > 50 * b.n_words)
-    kept = ~failed & (b.char_distance <= MAX_CHARS) & (b.word_distance <= MAX_COMMON)
-    return out.withColumn(name, b.withField("base_failed", failed).withField("kept", kept)), name
+    kept = ~failed & (F.col(f"{at}_chars") <= MAX_CHARS) & (F.col(f"{at}_common") <= MAX_COMMON)
+    result = F.struct(
+        *[b[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+        F.col(f"{at}_chars").alias("char_distance"), F.col(f"{at}_common").alias("word_distance"), failed.alias("base_failed"), kept.alias("kept"),
+    )
+    return d.select(*[F.col(f"`{c}`") for c in keep], result.alias(name))
+
+
+def judge(
+    docs: DataFrame, refs: dict | None = None, text_col: str = "text", lang_col: str = "lang", name: str = "quality", keep: list[str] | None = None
+) -> tuple[DataFrame, str]:
+    """The documents (columns keep, or all) with a struct of the base counts, both distances and the verdicts; and the struct's name.
+
+    Without refs the references are those of all of docs. What is counted is then written to
+    the shared folder once and serves both the references and the verdicts.
+    """
+    name, at = fresh(docs.columns, name), prefix(docs.columns)
+    keep = docs.columns if keep is None else keep
+    d = counted(docs, text_col, lang_col, at, keep)
+    if refs is None:
+        d = staged(d, "quality-counts")
+        refs = summed(d, at)
+    return verdicts(d, refs, at, keep, name), name
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
     from quire.plans.tables import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    found, at = judge(docs, references(docs))
+    found, at = judge(docs, keep=["doc_id"])
     return found.select("doc_id", *[F.col(at)[c].alias(c) for c in (
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
     )])
