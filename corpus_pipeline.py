@@ -35,7 +35,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that pass the base rules and the divergence tests against all documents of their language."""
-    found, at = quality.judge(docs, quality.references(docs))
+    found, at = quality.judge(docs)
     return found.filter(F.col(at).kept).select(*docs.columns)
 
 
