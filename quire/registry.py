@@ -1,40 +1,5 @@
-"""Queries over the driver's tables and the DuckDB SQL that gives the same rows."""
+"""All queries of the library (without the llm subpackage) and their oracles."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from quire.plans.tables import table
-
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query, and its oracle where SQL can express it."""
-
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
-@query(
-    "sentence_stats",
-    r"""
-    WITH s AS (
-      SELECT lang, unnest(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')),
-        '([.!?])(["''”’)\]]?)\s+(["''“‘(\[A-Z0-9])', '\1\2' || chr(1) || '\3', 'g'), chr(1))) AS s
-      FROM documents)
-    SELECT lang, count(*)::BIGINT AS n_sentences, sum(length(s))::BIGINT AS n_chars FROM s WHERE s <> '' GROUP BY lang""",
-)
-def sentence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("lang", "text")
-    flat = F.trim(F.regexp_replace("text", r"(?U)\s+", " "))
-    cut = F.regexp_replace(flat, r"([.!?])([\"'”’)\]]?)\s+([\"'“‘(\[A-Z0-9])", "$1$2\u0001$3")
-    s = docs.select("lang", F.explode(F.split(cut, "\u0001")).alias("s")).filter("s <> ''")
-    return s.groupBy("lang").agg(F.count("*").alias("n_sentences"), F.sum(F.length("s")).cast("long").alias("n_chars"))
+from quire.queries import ORACLES, QUERIES, catalog, ingest, language, library, state, structure  # noqa: F401
