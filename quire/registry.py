@@ -2,4 +2,4 @@
 
 from __future__ import annotations
 
-from quire.queries import ORACLES, QUERIES, catalog, ingest, language, library, state, structure  # noqa: F401
+from quire.queries import ORACLES, QUERIES, articles, catalog, ingest, language, library, state, structure  # noqa: F401

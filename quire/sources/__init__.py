@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Readers of files and archives, and writers of the library's tables."""

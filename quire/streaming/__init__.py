@@ -1 +1,61 @@
-"""See the README for what lives here."""
+"""Streaming forms of the keyed state operators."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from quire.operators.state import LIMIT, WINDOW_SECONDS, Window
+
+
+def admitted_stream(attempts: DataFrame, limit: int = LIMIT, seconds: float = WINDOW_SECONDS, late: str = "1 hour") -> DataFrame:
+    """Stream of attempts (key, t in epoch seconds, seq) with ok, as operators.state.admitted gives for a table.
+
+    The state of a key is its admitted times inside the window, limit of them at most; keys that
+    stay silent for a window are forgotten as the watermark passes. Within a trigger attempts are
+    taken by (t, seq); those that come later than the watermark are dropped.
+    """
+
+    def run(key, frames, state: GroupState):
+        w = Window(limit, seconds)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        if state.exists:
+            w.times.extend(state.get[0])
+        rows = pd.concat(list(frames)).sort_values(["t", "seq"])
+        rows["ok"] = [w.admit(t) for t in rows.t]
+        state.update((list(w.times),))
+        state.setTimeoutTimestamp(max(int((rows.t.max() + seconds) * 1000), state.getCurrentWatermarkMs()) + 1)
+        yield rows[["key", "t", "seq", "ok"]]
+
+    key = dict(attempts.dtypes)["key"]
+    timed = attempts.select("key", "t", "seq", F.timestamp_seconds("t").alias("at")).withWatermark("at", late)
+    return timed.groupBy("key").applyInPandasWithState(
+        run, f"key {key}, t double, seq long, ok boolean", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def fold_progress(stream: DataFrame, path: str, checkpoint: str, read):
+    """Keep a table (doc_id, idx, seq) of the last place in every document from a stream of such rows.
+
+    read() gives the table as it is, or None. Each trigger folds its rows into the table and
+    publishes it whole; a trigger that is repeated gives the same table.
+    """
+    from quire.sources.sinks import publish
+
+    def each(batch: DataFrame, _: int) -> None:
+        now = read()
+        rows = batch.select("doc_id", "idx", "seq")
+        rows = rows if now is None else rows.unionByName(now.select("doc_id", "idx", "seq"))
+        last = rows.groupBy("doc_id").agg(F.max_by("idx", "seq").alias("idx"), F.max("seq").alias("seq"))
+        publish(last, path)
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+def windowed_counts(events: DataFrame, length: str = "1 hour", late: str = "2 hours") -> DataFrame:
+    """Events a window and type; rows later than the watermark are dropped. ts must be a timestamp."""
+    return events.withWatermark("ts", late).groupBy(F.window("ts", length), "event_type").agg(F.count("*").alias("n"))
