@@ -48,7 +48,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = staged(simhash.near_duplicates(docs), "dedup-groups")
     heads = groups.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id").agg(F.count("*").alias("n"))
     heads = staged(heads, "dedup-heads")
-    kept = docs.join(heads.select("id"), docs.doc_id.eqNullSafe(heads.id), "left_semi")
+    # Texts meet the verdicts by one shuffle at any size; a broadcast of the verdicts would grow with the table.
+    kept = docs.join(heads.select("id").hint("merge"), docs.doc_id.eqNullSafe(heads.id), "left_semi")
     if heads.filter("n > 1").limit(1).count():  # an id stands in several rows: one of them stays
         kept = kept.dropDuplicates(["doc_id"])
     return kept.select(*docs.columns)
