@@ -146,3 +146,14 @@ def generated_cover(pixels: DataFrame, height: int = 150) -> DataFrame:
     top = F.col("y") < height // 5
     white = p.groupBy("gid").agg((F.count(F.when(top & (F.least("r", "g", "b") >= 240), 1)) / F.count(F.when(top, 1))).alias("white"))
     return few.join(white, "gid").withColumn("generated", (F.col("white") >= 0.35) & (F.col("buckets") <= 14))
+
+
+def with_tail(text: Column, spans: Column, duration: Column) -> Column:
+    """Spans, and estimated ones for the text after them where the sound lasts over a second longer."""
+    end = F.coalesce(F.array_max(F.transform(spans, lambda s: s.end)), F.lit(0.0))
+    covered = F.coalesce(F.array_max(F.transform(F.filter(spans, lambda s: s.ce >= 0), lambda s: s.ce)), F.lit(0))
+    rest = estimated_words(F.substring(text, covered + 1, F.lit(2147483647)), duration - end)
+    moved = F.transform(
+        rest, lambda s: F.struct(F.round(s.start + end, 3).alias("start"), F.round(s.end + end, 3).alias("end"), (s.cs + covered).alias("cs"), (s.ce + covered).alias("ce"))
+    )
+    return F.when(duration - end > 1.0, F.concat(spans, moved)).otherwise(spans)

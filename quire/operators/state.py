@@ -129,3 +129,10 @@ def target_languages(listed: Column, most: int = 4) -> Column:
     """Two-letter codes of a comma list, lower case, distinct, at most so many."""
     codes = F.transform(F.split(listed, ","), lambda x: F.lower(F.trim(x)))
     return F.slice(F.array_distinct(F.filter(codes, lambda c: c.rlike(r"^\p{L}{2}$"))), 1, most)
+
+
+def translatable(word: Column, src: Column, dst: Column) -> Column:
+    """The word to look up, or null where nothing is to be asked: same language, no two-letter code, an empty or a very long word."""
+    a, b = F.substring(F.lower(F.coalesce(src, F.lit("en"))), 1, 2), F.substring(F.lower(dst), 1, 2)
+    base = X.normal_word(word)
+    return F.when((a != b) & b.rlike("^[a-z]{2}$") & (F.length(base) > 0) & (F.length(base) <= 64), base)

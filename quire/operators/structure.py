@@ -126,3 +126,32 @@ def dedup_paragraphs(paras: DataFrame, least: int = 200, prefix: int = 160) -> D
     d = paras.withColumn("_key", key)
     n = F.row_number().over(Window.partitionBy("id", "_key").orderBy("para"))
     return d.withColumn("_n", F.when(F.col("_key").isNotNull(), n).otherwise(1)).filter("_n = 1").drop("_key", "_n")
+
+
+def plain_documents(docs: DataFrame, printed_lists: bool = True, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(chunks, starts) of plain texts: printed lists gone, chapters found; starts (id, start_idx) says where the body begins.
+
+    A start is 0 where no list was dropped, where over 1000 characters stand before it, or where
+    it lies past three tenths of the chunks.
+    """
+    from quire.operators.layout import strip_printed_lists
+
+    paras = paragraph_table(docs, id_col, text_col)
+    paras = strip_printed_lists(paras) if printed_lists else paras.withColumn("start", F.lit(0))
+    chunks = chunk_table(heading_levels(paras.select("id", "para", "text")))
+    bodies = paras.groupBy("id").agg(F.max("start").alias("start"), F.sum(F.when(F.col("para") < F.col("start"), F.length("text"))).alias("before"))
+    n = chunks.groupBy("id").agg(F.count("*").alias("n"))
+    first = chunks.join(bodies, "id").filter(F.col("para") >= F.col("start")).groupBy("id").agg(F.min("idx").alias("first"))
+    starts = bodies.join(n, "id").join(first, "id", "left")
+    late = (F.coalesce("before", F.lit(0)) > 1000) | (F.col("first") > 0.3 * F.col("n"))
+    return chunks, starts.select("id", F.when(late | F.col("first").isNull(), 0).otherwise(F.col("first")).alias("start_idx"))
+
+
+def rechunked(old: DataFrame, texts: DataFrame, places: DataFrame, least: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(new chunks, places in them) of documents whose text was fetched again; texts shorter than least are left alone.
+
+    A place is never before the body's start.
+    """
+    chunks, starts = plain_documents(texts.filter(F.length("text") >= least))
+    moved = moved_progress(old, chunks, places.join(starts.select("id"), "id", "left_semi"))
+    return chunks, moved.join(starts, "id").select("id", "old_idx", F.greatest("idx", "start_idx").alias("idx"))

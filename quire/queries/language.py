@@ -70,3 +70,11 @@ def voice_resolve(spark, sf_dir):
     lang = F.when(i % 5 == 0, None).when(i % 5 == 1, "it").otherwise(F.col("lang"))
     main, pin = F.when(i % 3 == 0, "em_alex").otherwise("bm_george"), F.when(i % 11 == 0, "zf_xiaoni")
     return table(spark, sf_dir, "documents").select("doc_id", L.resolve(lang, F.create_map(F.lit("fr"), F.lit("ff_other")), main, pin).alias("voice"))
+
+
+@query("voice_scopes", """
+    WITH d AS (SELECT doc_id, lang, ['af_x', 'ef_y', 'ff_z', 'xx'][doc_id % 4 + 1] AS v FROM documents)
+    SELECT doc_id, CASE WHEN v = 'xx' THEN NULL WHEN lang IS NULL OR lang NOT IN ('en','es','fr','it','pt','hi','ja','zh') OR (lang = 'en' AND v = 'af_x') OR (lang = 'es' AND v = 'ef_y') OR (lang = 'fr' AND v = 'ff_z') THEN 'language' ELSE 'document' END AS scope FROM d""")
+def voice_scopes(spark, sf_dir):
+    voice = F.get(F.array(*[F.lit(v) for v in ("af_x", "ef_y", "ff_z", "xx")]), (F.col("doc_id") % 4).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", L.pick_scope(voice, F.col("lang")).alias("scope"))

@@ -108,3 +108,17 @@ def cache_keys(spark, sf_dir):
 @query("normal_words", r"SELECT conv_id, turn, lower(regexp_replace(replace(coalesce(text, ''), chr(173), ''), '^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$', '', 'g')) AS word FROM conversations")
 def normal_words(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.normal_word(F.coalesce("text", F.lit(""))).alias("word"))
+
+
+@query("lookup_guards", r"""
+    WITH d AS (SELECT conv_id, turn, ['fr', 'en', 'x1', 'DE-at'][turn % 4 + 1] AS dst, lower(regexp_replace(replace(coalesce(text, ''), chr(173), ''), '^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$', '', 'g')) AS w FROM conversations)
+    SELECT conv_id, turn, CASE WHEN dst IN ('fr', 'DE-at') AND length(w) BETWEEN 1 AND 64 THEN w END AS word FROM d""")
+def lookup_guards(spark, sf_dir):
+    dst = F.get(F.array(*[F.lit(x) for x in ("fr", "en", "x1", "DE-at")]), (F.col("turn") % 4).cast("int"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", S.translatable(F.coalesce("text", F.lit("")), F.lit(None).cast("string"), dst).alias("word"))
+
+
+@query("printable_log", r"SELECT event_id, left(regexp_replace(chr(7) || props || chr(10) || event_type, '[\x00-\x1f\x7f-\x{9f}]', ' ', 'g'), 20) AS line FROM events")
+def printable_log(spark, sf_dir):
+    said = F.concat(F.lit("\x07"), F.col("props"), F.lit("\n"), F.col("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", X.printable(said, 20).alias("line"))

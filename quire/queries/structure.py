@@ -131,3 +131,16 @@ def dedup_paragraphs(spark, sf_dir):
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x != "")
     paras = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.posexplode(lines).alias("para", "text"))
     return S.dedup_paragraphs(paras).select("id", "para", F.length("text").alias("n_chars"))
+
+
+@query("plain_documents")
+def plain_documents(spark, sf_dir):
+    """Chunks and where the body starts, printed lists gone, from whole texts."""
+    chunks, starts = S.plain_documents(table(spark, sf_dir, "documents"))
+    return chunks.groupBy("id").agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).cast("long").alias("n_chars")).join(starts, "id")
+
+
+@query("rechunked_documents")
+def rechunked_documents(spark, sf_dir):
+    old = piece_table(spark, sf_dir).select(F.col("doc_id").alias("id"), "idx", "text")
+    return S.rechunked(old, table(spark, sf_dir, "documents"), old.filter("idx = id % 7").select("id", "idx"))[1]

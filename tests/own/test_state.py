@@ -104,3 +104,17 @@ def test_detection(spark):
     rows = [("en", en), ("fr", fr), (None, "Слово о полку игореве и других людях, которые жили давно и писали много. " * 3), ("hi", "यह एक लंबी कहानी है जो बहुत समय पहले लिखी गई थी और सब लोग इसे पढ़ते हैं " * 3), ("ja", "これは日本語の文章です。とても長い話でした。" * 4), ("zh", "这是一个很长的故事我们大家都喜欢读书写字" * 4), (None, "too short"), (None, None)]
     d = spark.createDataFrame(rows, "want string, text string")
     assert [r.detected for r in language.detect(d).collect()] == [w for w, _ in rows]
+
+
+def test_voice_lists(spark):
+    d = spark.createDataFrame([('{"voices": ["b", "a", "b"]}',), ('[{"id": "z"}, {"name": "y"}, {}]',), ('{"data": ["q"]}',), ("oops",)], "p string")
+    assert [r.v for r in d.select(language.voices_listed(F.col("p")).alias("v")).collect()] == [["a", "b"], ["y", "z"], ["q"], None]
+    m = F.create_map(F.lit("fr"), F.lit("ff_a"))
+    got = spark.range(1).select(language.chosen_voices(m, F.lit("jf_b")).alias("a"), language.chosen_voices(m, F.lit("ff_b")).alias("b"), language.valid_voice(F.lit("a b")).alias("c")).first()
+    assert (got.a, got.b, got.c) == ({"fr": "ff_a", "ja": "jf_b"}, {"fr": "ff_a"}, False)
+
+
+def test_tail_is_estimated(spark):
+    d = spark.createDataFrame([("one two three", [(0.0, 0.4, 0, 3)], 3.4), ("one two", [(0.0, 0.4, 0, 3)], 1.0)], "t string, s array<struct<start:double,end:double,cs:int,ce:int>>, d double")
+    got = [[(w.start, w.end, w.cs, w.ce) for w in r.w] for r in d.select(align.with_tail(F.col("t"), F.col("s"), F.col("d")).alias("w")).collect()]
+    assert got == [[(0.0, 0.4, 0, 3), (0.4, 1.6, 4, 7), (1.6, 3.4, 8, 13)], [(0.0, 0.4, 0, 3)]]
