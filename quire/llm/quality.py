@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.plans.columns import settled
 from quire.plans.staging import fresh, staged
 
 MIN_CHARS, MAX_CHARS = 200, 0.28
@@ -53,45 +54,43 @@ def among(listed: list[str]):
     return lambda w: w.isin(*listed)
 
 
-def class_counts(text: Column) -> Column:
-    """Characters of each class, in the order named at N_CLASSES."""
-    t = F.coalesce(text, F.lit(""))
-
-    def left(rest: str) -> Column:
-        return F.length(F.regexp_replace(t, rest, "")).cast("long")
-
-    space = (F.length(t) - F.length(F.translate(t, SPACE, ""))).cast("long")
-    upper, letter, digit = left(r"\P{Lu}+"), left(r"[^\p{L}\p{M}]+"), left(r"\P{Nd}+")
-    mark = left(r"\P{P}+") - left(r"[^#*%&]+")
-    return F.array(space, upper, letter - upper, digit, mark, F.length(t).cast("long") - space - letter - digit - mark)
-
-
-def settled(df: DataFrame, **columns: Column) -> DataFrame:
-    """df with columns that are worked out once a row.
-
-    A projection would be merged with those above it, and a lambda would work out the array
-    that it looks into anew for each element; a generator of one row stands between.
-    """
-    row = fresh(df.columns, "_settled")
-    one = df.select("*", F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias(row))
-    return one.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(row)[k].alias(k) for k in columns])
+def characters(docs: DataFrame, text_col: str, at: str) -> DataFrame:
+    """docs with the characters of each class, in the order named at N_CLASSES; each pass over the text is made once."""
+    t, space, upper, rest, digit, mark = F.coalesce(F.col(text_col), F.lit("")), *(f"{at}_{k}" for k in ("space", "upper", "rest", "digit", "mark"))
+    count = lambda c: F.length(c).cast("long")
+    d = settled(
+        docs,
+        **{
+            space: count(t) - count(F.translate(t, SPACE, "")),
+            upper: count(F.regexp_replace(t, r"\P{Lu}+", "")),
+            rest: F.regexp_replace(t, r"[\p{L}\p{M}\x20\x09-\x0D]+", ""),  # what is left is short
+        },
+    )
+    d = settled(d, **{digit: count(F.regexp_replace(rest, r"\P{Nd}+", "")), mark: count(F.regexp_replace(rest, r"[\P{P}#*%&]+", ""))})
+    letter = count(t) - F.col(space) - count(rest)
+    classes = F.array(F.col(space), F.col(upper), letter - F.col(upper), F.col(digit), F.col(mark), count(rest) - F.col(digit) - F.col(mark))
+    return d.withColumn(f"{at}_classes", classes).drop(space, upper, rest, digit, mark)
 
 
 def measured(docs: DataFrame, text_col: str, lang_col: str, at: str) -> DataFrame:
     """docs with the language, the words and both histograms in columns that start with at."""
     lang, listed, common = f"{at}_lang", f"{at}_words", f"{at}_common"
-    d = settled(
-        docs, **{lang: language(F.col(lang_col)), listed: words(F.col(text_col)), f"{at}_classes": class_counts(F.col(text_col))}
-    )
+    d = settled(characters(docs, text_col, at), **{lang: language(F.col(lang_col)), listed: words(F.col(text_col))})
+    # The common words, each between spaces of its own, in one string: a word is counted by taking it out.
     found = F.when(F.lit(False), F.array(F.lit("")))
     for code, wanted in COMMON.items():
         found = found.when(F.col(lang) == code, F.filter(F.transform(listed, F.lower), among(wanted)))
-    d = settled(d, **{common: found})
-    binned = F.when(F.lit(False), F.array(F.lit(0)))
+    d = settled(d, **{common: F.concat(F.lit(" "), F.array_join(found, "  "), F.lit(" "))})
+
+    def count(w: str) -> Column:
+        return ((F.length(common) - F.length(F.replace(common, F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("long")
+
+    each = F.when(F.lit(False), F.array(F.lit(0).cast("long")))
     for code, wanted in COMMON.items():
-        each = F.transform(F.array(*[F.lit(w) for w in wanted]), lambda c: F.size(F.filter(F.col(common), lambda w: w == c)))
-        binned = binned.when(F.col(lang) == code, F.concat(each, F.array(F.size(listed) - F.size(common))))
-    return settled(d, **{f"{at}_bins": F.transform(binned, lambda n: n.cast("long"))}).drop(common)
+        each = each.when(F.col(lang) == code, F.array(*[count(w) for w in wanted]))
+    d = settled(d, **{f"{at}_each": each})
+    others = F.size(listed).cast("long") - F.aggregate(f"{at}_each", F.lit(0).cast("long"), lambda a, n: a + n)
+    return settled(d, **{f"{at}_bins": F.concat(f"{at}_each", F.array(others))}).drop(common, f"{at}_each")
 
 
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, dict[str, list[float]]]:
@@ -135,17 +134,14 @@ def prefix(columns) -> str:
 def counted(docs: DataFrame, text_col: str, lang_col: str, at: str, keep: list[str]) -> DataFrame:
     """keep, the histograms and the base counts (a struct), in columns that start with at."""
     t = F.coalesce(F.col(text_col), F.lit(""))
-    w, lines, sorted_, again = (f"{at}_{k}" for k in ("words", "lines", "sorted", "again"))
+    w, lines, hashed, sorted_, again = (f"{at}_{k}" for k in ("words", "lines", "hashes", "sorted", "again"))
     d = measured(docs, text_col, lang_col, at)
-    # Every three-word window as its hash and place, sorted; equal neighbours are windows found again.
-    hashed = f"transform(`{w}`, (x, i) -> named_struct('h', xxhash64(x, get(`{w}`, i + 1), get(`{w}`, i + 2)), 'p', i))"
-    d = settled(
-        d,
-        **{
-            lines: F.filter(F.split(t, "\n"), lambda x: F.translate(x, SPACE, "") != ""),
-            sorted_: F.expr(f"sort_array(slice({hashed}, 1, greatest(size(`{w}`) - 2, 0)))"),
-        },
-    )
+    # Every three-word window as its hash; where one is found again, hashes and places are sorted and equal neighbours are the repeats.
+    hashes = f"slice(transform(`{w}`, (x, i) -> xxhash64(x, get(`{w}`, i + 1), get(`{w}`, i + 2))), 1, greatest(size(`{w}`) - 2, 0))"
+    d = settled(d, **{lines: F.filter(F.split(t, "\n"), lambda x: F.translate(x, SPACE, "") != ""), hashed: F.expr(hashes)})
+    placed = F.expr(f"sort_array(transform(`{hashed}`, (h, i) -> named_struct('h', h, 'p', i)))")
+    repeats = F.size(F.array_distinct(hashed)) < F.size(hashed)
+    d = settled(d, **{sorted_: F.when(repeats, placed).otherwise(F.expr("cast(array() as array<struct<h:bigint,p:int>>)"))})
     twice = f"filter(`{sorted_}`, (e, i) -> e.h = get(`{sorted_}`, i - 1).h OR e.h = get(`{sorted_}`, i + 1).h)"
     d = settled(d, **{again: F.expr(f"sort_array(transform({twice}, e -> e.p))")})
     repeat = F.expr(
