@@ -197,3 +197,8 @@ def display_title(title: Column) -> Column:
     """Lines joined by ``: ``, subfield marks gone; ``Untitled`` if nothing is left."""
     lines = F.filter(F.transform(F.split(F.regexp_replace(title, r"\s*\$[a-z]\s*", " "), r"\r\n|\n|\r"), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.size(lines) > 0, F.array_join(lines, ": ")).otherwise("Untitled")
+
+
+def normal_title(title: Column, limit: int = 200) -> Column:
+    """A title or folder name with white space levelled, cut to limit; null if nothing is left."""
+    return F.nullif(F.substring(flat(title), 1, limit), F.lit(""))

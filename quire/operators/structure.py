@@ -155,3 +155,15 @@ def rechunked(old: DataFrame, texts: DataFrame, places: DataFrame, least: int =
     chunks, starts = plain_documents(texts.filter(F.length("text") >= least))
     moved = moved_progress(old, chunks, places.join(starts.select("id"), "id", "left_semi"))
     return chunks, moved.join(starts, "id").select("id", "old_idx", F.greatest("idx", "start_idx").alias("idx"))
+
+
+def reading_order(blocks: DataFrame) -> DataFrame:
+    """blocks (id, page, x0, y0, text) with ord: from top to bottom in steps of 4, then from left to right; blank blocks are gone."""
+    clean = blocks.withColumn("text", X.clean_paragraph(F.col("text"))).filter("text <> ''")
+    order = Window.partitionBy("id", "page").orderBy(F.bround(F.col("y0") / 4), "x0", "y0", "text")
+    return clean.withColumn("ord", F.row_number().over(order) - 1)
+
+
+def revisions(writes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, content_rev): one more than how often a document was written again."""
+    return writes.groupBy(key).agg((F.count("*") + 1).alias("content_rev"))

@@ -108,9 +108,9 @@ def spoken_words(spark, sf_dir):
 
 
 @query("translation_terms", """
-    SELECT event_id, CASE WHEN event_id % 3 = 0 THEN [] WHEN event_id % 3 = 1 THEN ['mot' || event_id % 7, 'Mo'] ELSE ['page'] END AS terms FROM events""")
+    SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 1 THEN 'mot' || event_id % 7 || '|Mo' ELSE 'page' END AS terms FROM events""")
 def translation_terms(spark, sf_dir):
     i = F.col("event_id")
     first = F.concat(F.lit("{{trans-top|a}}\n* {{t+|de|Wort}}\n{{trans-bottom}}\n{{trans-top|b}}\n* {{t|fr|mot"), (i % 7).cast("string"), F.lit("}}, {{tt+|fr|Mo|m}}, {{t|fr|MO}}, {{t|fr|[x]}}\n{{trans-bottom}}\n{{trans-top|c}}{{t|fr|non}}{{trans-bottom}}"))
     text = F.when(i % 3 == 0, "nothing").when(i % 3 == 1, first).otherwise("{{t|fr|page}}")
-    return table(spark, sf_dir, "events").select("event_id", K.translations(text, "fr").alias("terms"))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(K.translations(text, "fr"), "|").alias("terms"))

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quire.functions import text as X
 from quire.operators import library as L
+from quire.operators import structure as S
 from quire.plans.tables import table
 from quire.queries import query
 from quire.queries.catalog import BOOKS_SQL, book_table
 from quire.queries.structure import PIECES_SQL, piece_table
+from quire.sources.files import body_source
 
 _S = f"{PIECES_SQL}, s AS (SELECT doc_id, CAST(idx AS INTEGER) AS idx, CAST(idx // 12 + 1 AS INTEGER) AS page, text FROM pieces)"
 _E = """
@@ -132,3 +135,31 @@ def sentence_window(spark, sf_dir):
 def latest_settings(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("seq", F.col("event_id"))
     return L.latest(e, ["user_id", "event_type"], ["value", "props"])
+
+
+@query("folder_names", r"SELECT doc_id, nullif(left(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), 60), '') AS name FROM documents")
+def folder_names(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.normal_title(F.coalesce("text", F.lit("")), 60).alias("name"))
+
+
+@query("text_sources", """
+    SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN doc_id * 2 END AS gid, CASE WHEN doc_id % 2 = 1 AND doc_id % 3 = 0 THEN 'https://h.example/' || doc_id END AS url FROM documents""")
+def text_sources(spark, sf_dir):
+    i = F.col("doc_id")
+    url = F.when(i % 2 == 0, F.concat(F.lit("pg:"), (i * 2).cast("string"))).when(i % 3 == 0, F.concat(F.lit("https://h.example/"), i.cast("string"))).otherwise("file:///x")
+    found = body_source(F.when(i % 2 == 0, "book").otherwise("url"), url)
+    return table(spark, sf_dir, "documents").select("doc_id", found["gid"].alias("gid"), found["url"].alias("url"))
+
+
+@query("reading_order", """
+    WITH b AS (SELECT user_id AS id, CAST(event_id % 3 AS INTEGER) AS page, value AS x0, value * 7 % 100 AS y0, event_type AS text FROM events)
+    SELECT id, page, text, round(x0, 6) AS x0, CAST(row_number() OVER (PARTITION BY id, page ORDER BY round_even(y0 / 4, 0), x0, y0, text) - 1 AS INTEGER) AS ord FROM b""")
+def reading_order(spark, sf_dir):
+    v = F.col("value")
+    b = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), (F.col("event_id") % 3).cast("int").alias("page"), v.alias("x0"), (v * 7 % 100).alias("y0"), F.col("event_type").alias("text"))
+    return S.reading_order(b).select("id", "page", "text", F.round("x0", 6).alias("x0"), "ord")
+
+
+@query("content_revisions", "SELECT user_id AS doc_id, count(*) + 1 AS content_rev FROM events WHERE event_type = 'purchase' GROUP BY user_id")
+def content_revisions(spark, sf_dir):
+    return S.revisions(table(spark, sf_dir, "events").filter("event_type = 'purchase'").select(F.col("user_id").alias("doc_id")))

@@ -198,3 +198,9 @@ def stripped_book(text: Column, edges: dict[str, list[str]]) -> Column:
     body = F.regexp_replace(body, r"^\n+|\n+$", "")
     body = F.regexp_replace(body, r"(?i)^(?:Produced by|E-text prepared by|Transcribed from|This etext was prepared by)[^\n]*(?:\n[^\n]+)*", "")
     return F.regexp_replace(F.regexp_replace(body, r"\[Illustration[^\]]*\]", ""), r"(?U)^\s+|\s+$", "")
+
+
+def body_source(kind_: Column, url: Column) -> Column:
+    """Where a stored document's text is fetched again: (corpus number or null, web address or null)."""
+    number = F.when((kind_ == "book") & url.rlike(r"^pg:\d+$"), F.regexp_extract(url, r"^pg:(\d+)$", 1).cast("long"))
+    return F.struct(number.alias("gid"), F.when(number.isNull() & kind_.isin("url", "book") & url.rlike("(?i)^https?://"), url).alias("url"))
