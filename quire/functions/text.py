@@ -123,6 +123,7 @@ def roman(numeral: Column) -> Column:
     return F.when(s.rlike(r"^\d+$"), s.cast("int")).when(s.rlike(r"^[IVXLCDM]+$"), total)
 
 
+# Forms of chapter headings.
 HEADING = {
     "explicit": r"(?i)^(chapter|part|book|canto|act|scene|stave|letter|prologue|epilogue|preface|foreword|introduction|afterword|conclusion|appendix)\b[\s.:—–-]*([ivxlcdm]+|\d{1,4}|[a-z]+)?\b.{0,70}$",
     "numeral": r"^(?:[IVXLCDM]{1,8}|\d{1,3})\.?$",

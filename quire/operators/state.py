@@ -96,6 +96,7 @@ def first_found(words: DataFrame, cache: DataFrame) -> DataFrame:
     return words.select("word").distinct().join(found.select("word", "r.*"), "word", "left")
 
 
+# How a dictionary says that a word is a form of another.
 INFLECTED = (
     r"(?i)^(?:(?:simple |past |present |third-person |first-person |second-person |singular |plural |comparative |superlative |indicative |subjunctive |imperative |participle "
     r"|form |tense |alternative |obsolete |archaic |dated |nonstandard |misspelling |spelling |inflection |and |of |the |a )*)"
