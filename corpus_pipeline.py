@@ -18,19 +18,15 @@ from quire.plans.staging import staged
 from quire.plans.tables import table
 
 
-#: Short clean texts score 0.3 and more; 0 is as unlike all languages as the classifier can say.
-LEAST_SCORE = 0.25
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is identified.
 
-    Rejected: texts that are null or have no letter (``und``), and texts that the classifier
-    finds plainly unlike every language that it knows (score under LEAST_SCORE).
+    Rejected (``und``): texts that are null or have no letter, and texts of whose three-letter
+    n-grams too few are known in the best language (langid.LEAST_KNOWN).
     """
     model = langid.train(docs, may_learn=~langid.held_out("doc_id", 4, 2))
     found, at = langid.identify(docs, model)
-    return found.filter((F.col(at).lang != "und") & (F.col(at).score >= LEAST_SCORE)).select(*docs.columns)
+    return found.filter(F.col(at).lang != "und").select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline as C
 from quire.llm.decontaminate import decontaminate
 
@@ -32,3 +34,15 @@ def test_run_keeps_clean_documents(spark):
     kept = C.decontamination(spark, docs, sf)
     found, at = decontaminate(docs, spark.read.parquet(f"{sf}/benchmark.parquet"), keep=["doc_id"])
     assert kept.count() == found.filter(f"not {at}.contaminated").count()
+
+
+def test_language_id_rejects_foreign_and_random_texts(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rng = random.Random(1)
+    junk = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 10))) for _ in range(n)) for n in (3, 10, 50, 300) * 10]
+    junk += ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan",
+             "Все люди рождаются свободными и равными в своем достоинстве и правах", "人人生而自由，在尊严和权利上一律平等"]
+    extra = spark.createDataFrame([(-1 - k, t) for k, t in enumerate(junk)], "doc_id long, text string")
+    kept = C.language_id(spark, docs.unionByName(extra, allowMissingColumns=True), sf).select("doc_id").toPandas().doc_id
+    assert set(kept) == {r.doc_id for r in docs.filter(r"text rlike '\\p{L}'").select("doc_id").collect()}
