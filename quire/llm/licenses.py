@@ -1,25 +1,30 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-Blocks are the lines of whole texts; a block's tokens are its distinct words. A block
-matches a template if it holds at least THRESHOLD of the template's distinct tokens. The
-join is exact and filters as set-similarity joins do: tokens are ordered by their frequency
-over the blocks of all documents (rarest first); a match must share one of the template's
+Blocks are, for a template of |T| distinct tokens, all runs of 2 |T| consecutive words of the
+whole text, across line breaks, and all runs of 2 |T| + SLACK words within a line (shorter
+ones where there are no more words); a block's tokens are its distinct words. A block matches a template if it holds at least THRESHOLD of
+the template's tokens. The join is exact and filters as set-similarity joins do, first on the
+words of the whole text, which hold those of each block: tokens are ordered by the number of
+documents that have them (rarest first); a match must share one of the template's
 first |T| - ceil(THRESHOLD |T|) + 1 tokens (prefix), must have ceil(THRESHOLD |T|) tokens
 (length), and after the first shared token must still be able to reach that overlap from the
-tokens that are left on both sides (position). Only what passes is counted. The templates
-are a fixed list, so they and the frequencies of their tokens go to every task.
+tokens that are left on both sides (position). For what passes, a block slides over the
+places of the template's tokens. The templates are a fixed list, so they and the
+frequencies of their tokens go to every task.
 
 Besides, phrases are found as consecutive words of the whole text, across lines.
 
 Defined results. Null and empty texts have no words, labels or places. Repeated rows are
-scanned one by one. A line may match several templates, and a document keeps every label
-once. An empty table gives no rows. All asked-for columns are kept; the result is one
+scanned one by one. A block may match several templates, and a document keeps every label
+once; overlapping blocks that match one template are one place, with their best containment.
+An empty table gives no rows. All asked-for columns are kept; the result is one
 struct column whose name gets a number if it is taken.
 """
 
 from __future__ import annotations
 
 import math
+from collections import deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +35,8 @@ from quire.llm.text import alnum_words, utf8
 from quire.plans.staging import fresh
 
 THRESHOLD = 0.8
+#: Words that a block within one line may have beyond twice a template's tokens.
+SLACK = 16
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: Statements by which texts commonly name their license. Short ones have four words at most, all of
 #: which a block must hold, so that licenses that differ in one word are told apart.
@@ -51,7 +58,7 @@ RESULT = T.StructType(
         T.StructField("places", T.ArrayType(T.LongType())),
         T.StructField("phrase_labels", T.ArrayType(T.StringType())),
         T.StructField("labels", T.ArrayType(T.StringType())),
-        T.StructField("blocks", T.ArrayType(T.StructType([T.StructField("line", T.LongType()), T.StructField("label", T.StringType()), T.StructField("containment", T.DoubleType())]))),
+        T.StructField("blocks", T.ArrayType(T.StructType([T.StructField("word", T.LongType()), T.StructField("label", T.StringType()), T.StructField("containment", T.DoubleType())]))),
     ]
 )
 
@@ -77,7 +84,7 @@ class Index:
                 self.postings.setdefault(w, []).append((k, i))
 
     def matches(self, tokens: set[bytes]) -> list[tuple[int, float]]:
-        """(template, containment) of all templates that a block's tokens meet."""
+        """(template, containment) of all templates that a set of tokens meets."""
         mine = sorted((w for w in tokens if w in self.place), key=self.place.__getitem__)
         seen, out = set(), []
         for j, w in enumerate(mine):
@@ -93,6 +100,45 @@ class Index:
                     out.append((k, shared / len(order)))
         return out
 
+    def blocks(self, lines: list[list[bytes]]) -> list[tuple[int, int, float]]:
+        """(template, first word, containment) of every group of overlapping blocks of a text's lines that meet a template."""
+        words, out = [w for line in lines for w in line], []
+        for k, _ in self.matches(set(words)):  # a block's words are among the text's
+            _, order, need = self.templates[k]
+            tokens, at = frozenset(order), 0
+            found = slide(words, tokens, need, 2 * len(order), 0)
+            for line in lines:
+                found += slide(line, tokens, need, 2 * len(order) + SLACK, at)
+                at += len(line)
+            end = -1
+            for first, last, n in sorted(found):
+                if first <= end:
+                    out[-1] = (k, out[-1][1], max(out[-1][2], n / len(order)))
+                else:
+                    out.append((k, first, n / len(order)))
+                end = max(end, last)
+        return sorted(out, key=lambda b: (b[1], b[0]))
+
+
+def slide(words: list[bytes], tokens: frozenset[bytes], need: int, wide: int, start: int) -> list[tuple[int, int, int]]:
+    """(first, last word, distinct tokens) of the runs of wide words that hold need tokens; words count from start."""
+    held: dict[bytes, int] = {}
+    queue: deque[tuple[int, bytes]] = deque()
+    out = []
+    for p, w in enumerate(words, start):
+        if w not in tokens:
+            continue
+        queue.append((p, w))
+        held[w] = held.get(w, 0) + 1
+        while queue[0][0] <= p - wide:
+            old = queue.popleft()[1]
+            held[old] -= 1
+            if not held[old]:
+                del held[old]
+        if len(held) >= need:
+            out.append((queue[0][0], p, len(held)))
+    return out
+
 
 def phrase_places(words: list[bytes], phrases: dict[bytes, str]) -> list[tuple[int, str]]:
     """(first word, label) of every place where a phrase's words stand one after another."""
@@ -109,16 +155,15 @@ def phrase_places(words: list[bytes], phrases: dict[bytes, str]) -> list[tuple[i
 
 
 def frequencies(docs: DataFrame, text_col: str, sets: list[tuple[str, frozenset[bytes]]]) -> dict[bytes, int]:
-    """In how many blocks of all documents each token of the templates stands."""
+    """In how many documents each token of the templates stands."""
     wanted = frozenset(w for _, s in sets for w in s)
 
     def run(batches):
         counts: dict[bytes, int] = {}
         for batch in batches:
             for t in utf8(batch.column(0)):
-                for line in (t or b"").split(b"\n"):
-                    for w in wanted.intersection(alnum_words(line)):
-                        counts[w] = counts.get(w, 0) + 1
+                for w in wanted.intersection(alnum_words(t)):
+                    counts[w] = counts.get(w, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["w", "n"])
 
     counted = docs.select(text_col).mapInArrow(run, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
@@ -139,21 +184,17 @@ def scan(
     kind = pa.struct(
         [
             ("n_words", pa.int64()), ("places", pa.list_(pa.int64())), ("phrase_labels", pa.list_(pa.string())), ("labels", pa.list_(pa.string())),
-            ("blocks", pa.list_(pa.struct([("line", pa.int64()), ("label", pa.string()), ("containment", pa.float64())]))),
+            ("blocks", pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string()), ("containment", pa.float64())]))),
         ]
     )
 
     def one(raw: bytes | None) -> dict:
-        n_words, blocks, words = 0, [], []
-        for k, line in enumerate((raw or b"").split(b"\n")):
-            mine = alnum_words(line)
-            words += mine
-            for t, share in index.matches(set(mine)) if not index.postings.keys().isdisjoint(mine) else ():
-                blocks.append({"line": k, "label": index.templates[t][0], "containment": share})
-        n_words = len(words)
+        lines = [alnum_words(line) for line in (raw or b"").split(b"\n")]
+        words = [w for line in lines for w in line]
+        blocks = [{"word": at, "label": index.templates[t][0], "containment": share} for t, at, share in index.blocks(lines)]
         places = phrase_places(words, known)
         said = sorted({label for _, label in places})
-        return {"n_words": n_words, "places": [p for p, _ in places], "phrase_labels": said, "labels": sorted({*said, *(b["label"] for b in blocks)}), "blocks": blocks}
+        return {"n_words": len(words), "places": [p for p, _ in places], "phrase_labels": said, "labels": sorted({*said, *(b["label"] for b in blocks)}), "blocks": blocks}
 
     def run(batches):
         for batch in batches:

@@ -35,3 +35,32 @@ def test_edges(spark):
         ("5", 100_012, [], [], ["gpl-3"]), ("None", 12, [], [], ["gpl-3"]),
     ])
     assert L.scan(docs.limit(0))[0].count() == 0
+
+
+def test_blocks_equal_brute_force():
+    rng = random.Random(3)
+    vocabulary = [f"w{k}".encode() for k in range(60)]
+    sets = [(f"t{k}", frozenset(rng.sample(vocabulary[:12], rng.randrange(1, 8)))) for k in range(12)]
+    index = L.Index(sets, {}, 0.8)
+    for _ in range(100):
+        lines = [rng.choices(vocabulary, k=rng.randrange(0, 70)) for _ in range(rng.randrange(1, 4))]
+        runs = [(sum(lines, []), 0), *((line, L.SLACK) for line in lines)]
+        want = {}
+        for k, (_, s) in enumerate(sets):
+            most = max(len(s.intersection(words[i : i + 2 * len(s) + more])) for words, more in runs for i in range(max(1, len(words))))
+            if most >= math.ceil(0.8 * len(s) - 1e-9):
+                want[k] = most / len(s)
+        got = {}
+        for k, _, share in index.blocks(lines):
+            got[k] = max(share, got.get(k, 0))
+        assert got == want
+
+
+def test_wrapped_notices_and_long_lines(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal"
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are met:"
+    far = "general " + "a " * 3000 + "public " + "b " * 3000 + "license " + "c " * 3000 + "3"
+    docs = spark.createDataFrame([(1, mit), (2, bsd), (3, far), (4, far + " General Public License, version 3")], "doc_id long, text string")
+    found, at = L.scan(docs)
+    got = {r.doc_id: (r[at].labels, [b.word for b in r[at].blocks]) for r in found.collect()}
+    assert got == {1: (["mit"], [0]), 2: (["bsd"], [0]), 3: ([], []), 4: (["gpl-3"], [9003])}
