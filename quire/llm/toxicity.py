@@ -8,6 +8,11 @@ the words of a long text, so a text counts as its worst stretch: training steps
 random stretches first, then on those that the model finds worst, and a text's score is that of its worst stretch,
 calibrated on the training rows. Every stretch of a whole text is looked at.
 
+A labelled text that is too long to be learned from at once is learned from twice: first a
+piece at a hashed place, then the piece around the stretch of its whole text that the
+first model finds worst. The line is fitted to the worst stretches of whole texts. Both
+look-ups run in tasks over the picked rows, which are staged once.
+
 As the average and the softmax are linear, an n-gram's part in the score is one number:
 scoring adds up numbers and needs no matrix.
 
@@ -30,9 +35,9 @@ from pyspark.sql import types as T
 
 from quire.llm.langid import held_out
 from quire.llm.text import _WORD_TABLE, utf8
-from quire.plans.staging import fresh, shipped
+from quire.plans.staging import fresh, shipped, staged
 
-#: Bounds of what is learned from: labelled rows of each class, and bytes of one text.
+#: Bounds of what is learned from: labelled rows of each class, and bytes of one piece of a text.
 SAMPLE, SAMPLE_BYTES = 1500, 4000
 BUCKETS, DIM, STRETCH, RATE, SEED = 1 << 16, 8, 12, 0.5, 7
 #: Rounds over the sample: on random stretches first, then on the worst ones.
@@ -83,6 +88,20 @@ def stretch_means(word_scores: np.ndarray) -> np.ndarray:
     return (sums[STRETCH:] - sums[:-STRETCH]) / STRETCH
 
 
+def around(words: list[bytes], at: int, size: int) -> bytes:
+    """The stretch at a word and as many words before and after it in turn as size bytes hold."""
+    low, high = at, min(at + STRETCH, len(words))
+    left = size - sum(len(w) + 1 for w in words[low:high])
+    while left > 0 and (low > 0 or high < len(words)):
+        if low > 0:
+            low -= 1
+            left -= len(words[low]) + 1
+        if high < len(words):
+            left -= len(words[high]) + 1
+            high += 1
+    return b" ".join(words[low:high])
+
+
 class Model:
     """Numbers per bucket, and the line that turns a text's worst stretch into a probability."""
 
@@ -148,8 +167,13 @@ class Model:
 
     def worst(self, raw: bytes | None) -> float:
         """The highest mean of a stretch; a long text is read in blocks that overlap by a stretch."""
-        best, rest = None, raw or b""
+        return self.worst_piece(raw, 0)[0]
+
+    def worst_piece(self, raw: bytes | None, size: int) -> tuple[float, bytes]:
+        """The highest mean of a stretch, and up to size bytes of the words around that stretch."""
+        best, rest, piece = None, raw or b"", b""
         tail: np.ndarray = np.zeros(0)
+        tail_words: list[bytes] = []
         while rest:
             cut = len(rest) if len(rest) <= BLOCK else max(rest.rfind(b" ", 0, BLOCK), rest.rfind(b"\n", 0, BLOCK)) + 1
             part, rest = rest[: cut or len(rest)], rest[cut or len(rest) :]
@@ -158,11 +182,14 @@ class Model:
                 continue
             score = np.bincount(owner, self.weights[bucket], n) / np.maximum(np.bincount(owner, minlength=n), 1)
             score = np.concatenate((tail, score))
+            words = tail_words + part.translate(_WORD_TABLE).split() if size else []
             if len(score) >= STRETCH or not rest or best is None:
-                found = float(stretch_means(score).max())
-                best = found if best is None else max(best, found)
-            tail = score[-(STRETCH - 1) :]
-        return 0.0 if best is None else best
+                means = stretch_means(score)
+                found = float(means.max())
+                if best is None or found > best:
+                    best, piece = found, around(words, int(means.argmax()), size)
+            tail, tail_words = score[-(STRETCH - 1) :], words[-(STRETCH - 1) :]
+        return (0.0 if best is None else best), piece
 
     def score(self, raw: bytes | None) -> float:
         z = self.slope * self.worst(raw) + self.bias
@@ -184,11 +211,41 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sides: dict = {}
     for key, side in chosen:
         sides.setdefault(key, []).append(side)
-    # Of a long text one piece is kept for learning; scores read whole texts.
-    piece = F.substring(F.col("_t"), 1, SAMPLE_BYTES)
-    found = d.filter(F.col("_id").isin(list(sides))).select("_id", piece.alias("t")).limit(2 * len(chosen)).collect()
-    rows = sorted((str(r._id), r.t.encode(), side) for r in found for side in sides[r._id])
-    return Model([(t, side) for _, t, side in rows], seen[1] / sum(seen))
+    h = F.pmod(F.xxhash64(F.col("_id").cast("string")), F.length("_t") - SAMPLE_BYTES + 1).cast("int")
+    piece = F.when(F.length("_t") <= SAMPLE_BYTES, F.col("_t")).otherwise(F.substring(F.col("_t"), h + 1, F.lit(SAMPLE_BYTES)))
+    picked = staged(d.filter(F.col("_id").isin(list(sides)) & F.col("_t").isNotNull()).select("_id", "_t").limit(2 * len(chosen)), "toxicity-picked")
+    found = picked.select("_id", piece.alias("t"), (F.length("_t") > SAMPLE_BYTES).alias("long")).collect()
+    prior = seen[1] / sum(seen)
+
+    def model(pieces: list[tuple[object, bytes]]) -> Model:
+        rows = sorted((str(key), t, side) for key, t in pieces for side in sides[key])
+        return Model([(t, side) for _, t, side in rows], prior)
+
+    first = model([(r._id, r.t.encode()) for r in found])
+    if not any(r.long for r in found):
+        return first
+    # Of a long text the piece around its worst stretch is kept, wherever that stands.
+    second = model([(r._id, bytes(r.t)) for r in _worst_pieces(picked, first, SAMPLE_BYTES).collect()])
+    whole = sorted((str(r._id), r.x, side) for r in _worst_pieces(picked, second, 0).collect() for side in sides[r._id])
+    y = np.array([side for *_, side in whole])
+    if 0 < y.sum() < len(y):
+        second._calibrate(np.array([x for _, x, _ in whole]), y, prior)
+    return second
+
+
+def _worst_pieces(picked: DataFrame, model: Model, size: int) -> DataFrame:
+    """(_id, x, t): the worst stretch of each whole text, and the text itself or, if it is long, the piece around that stretch."""
+    shared = shipped(picked.sparkSession, model)
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for t in utf8(batch.column("_t")):
+                x, piece = shared().worst_piece(t, size)
+                found.append((x, (t if len(t) <= size else piece)))
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array([x for x, _ in found], pa.float64()), pa.array([t for _, t in found], pa.binary())], names=["_id", "x", "t"])
+
+    return picked.mapInArrow(run, T.StructType([picked.schema["_id"], T.StructField("x", T.DoubleType()), T.StructField("t", T.BinaryType())]))
 
 
 def toxicity(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, name: str = "toxicity") -> tuple[DataFrame, str]:

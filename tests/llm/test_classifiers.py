@@ -68,3 +68,18 @@ def test_toxicity_held_out(spark):
     p = found.toPandas()
     hit = p[at] >= 0.5
     assert (hit & (p.toxic == 1)).sum() / (p.toxic == 1).sum() > 0.75 and (hit & (p.toxic == 0)).sum() / (p.toxic == 0).sum() < 0.05
+
+
+def test_toxicity_learns_from_whole_texts(spark):
+    rng = np.random.default_rng(1)
+    words = ["river", "house", "stone", "green", "walk", "paper", "cloud", "table", "lamp", "road"]
+    say = lambda n: " ".join(rng.choice(words, n))
+    rows = [(k, say(1500) + (" you stupid idiot " if k % 2 else " ") + say(20)) for k in range(40)] + [(100 + k, say(20) + (" you stupid idiot" if k % 2 else "")) for k in range(40)]
+    labels = [(k, k % 2) for k, _ in rows]
+    rows += [(900 + k, say(40_000)) for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {k: model.score(t.encode()) >= 0.5 for k, t in rows}
+    assert got == {k: k < 900 and bool(k % 2) for k, _ in rows}
+    x, piece = model.worst_piece(rows[1][1].encode(), 200)
+    assert x == model.worst(rows[1][1].encode()) and b"stupid idiot" in piece and len(piece) < 250
