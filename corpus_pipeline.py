@@ -59,7 +59,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the UTF-8 bytes of all documents; near-duplicates are gone, so a cluster is a text's words in lower case."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, near=False)
 
 
 STAGES = [

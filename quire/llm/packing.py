@@ -26,6 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.llm.simhash import near_duplicates
+from quire.plans.staging import staged
+
 CAPACITY, PER_SOURCE, SHARD = 16_384, 4, 4_096
 
 
@@ -90,8 +93,21 @@ def pack(
     return dealt.groupBy("shard").applyInArrow(run, T.StructType(fields))
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Pack texts by their UTF-8 bytes; a duplicate cluster is a text after case and white space are levelled."""
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", near: bool = True) -> DataFrame:
+    """Pack texts by their UTF-8 bytes.
+
+    A duplicate cluster is a group of simhash.near_duplicates over the lower-cased texts, which has all exact
+    copies too; a null text is in none. With near=False, for texts whose near copies are gone, it is a text
+    after case and white space are levelled.
+    """
+    if near:
+        rows = docs.select(
+            F.col(id_col).alias("id"), F.octet_length(text_col).alias("length"), F.col(source_col).alias("source"), F.lower(text_col).alias("text")
+        )
+        # The columns go along with the fingerprints, so that ids that are null or repeated need no join.
+        groups = near_duplicates(rows, "id", "text", keep=("length", "source"))
+        clustered = groups.select("id", "length", "source", F.when(F.col("length").isNotNull(), F.col("root")).alias("cluster"))
+        return pack(staged(clustered, "packing"), id_col="id").withColumnRenamed("id", id_col)
     flat = F.trim(F.regexp_replace(F.lower(text_col), r"[\x20\x09-\x0D]+", " "))
     narrow = docs.select(
         F.col(id_col).alias("id"), F.octet_length(text_col).alias("length"),

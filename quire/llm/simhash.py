@@ -58,18 +58,18 @@ def fingerprint(raw: bytes | None, shingle: int = 3) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fingerprint as a signed long) of every row, from whole texts."""
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, columns keep, fingerprint as a signed long) of every row, from whole texts."""
+    narrow = docs.select(F.col(id_col).alias("id"), *keep, F.col(text_col).alias("text"))
 
     def run(batches):
         for batch in batches:
             fp = [fingerprint(t, shingle) for t in utf8(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(np.array(fp, np.uint64).view(np.int64))], names=["id", "fingerprint"]
+                [*(batch.column(c) for c in ("id", *keep)), pa.array(np.array(fp, np.uint64).view(np.int64))], names=["id", *keep, "fingerprint"]
             )
 
-    schema = T.StructType([narrow.schema["id"], T.StructField("fingerprint", T.LongType())])
+    schema = T.StructType([*(narrow.schema[c] for c in ("id", *keep)), T.StructField("fingerprint", T.LongType())])
     return narrow.mapInArrow(run, schema)
 
 
@@ -139,10 +139,13 @@ def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2, keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """(id, fingerprint long, component_id) of every row; component_id is the least id of the linked group."""
-    fps = staged(fingerprints(docs, id_col, text_col, shingle), "simhash")
+    """(id, fingerprint long, component_id, columns keep, root) of every row; component_id is the least id of the linked group.
+
+    root is one fingerprint of the group, the same for all of its rows; it comes with columns keep only.
+    """
+    fps = staged(fingerprints(docs, id_col, text_col, shingle, keep), "simhash")
     distinct = staged(fps.groupBy("fingerprint").agg(F.min("id").alias("least")), "simhash-distinct")
     roots = staged(connected_components(links(distinct, distance)), "simhash-roots")
     # A root's least id, for the few fingerprints that are linked at all.
@@ -151,12 +154,12 @@ def near_duplicates(
     )
     heads = staged(linked.groupBy("root").agg(F.min("least").alias("head")), "simhash-heads")
     classes = staged(
-        distinct.join(linked.join(heads, "root").select("fingerprint", "head"), "fingerprint", "left").select(
-            "fingerprint", F.least("least", F.coalesce("head", "least")).alias("component_id")
+        distinct.join(linked.join(heads, "root").select("fingerprint", "head", "root"), "fingerprint", "left").select(
+            "fingerprint", F.least("least", F.coalesce("head", "least")).alias("component_id"), F.coalesce("root", "fingerprint").alias("root")
         ),
         "simhash-classes",
     )
-    return fps.join(classes, "fingerprint").select("id", "fingerprint", "component_id")
+    return fps.join(classes, "fingerprint").select("id", "fingerprint", "component_id", *([*keep, "root"] if keep else []))
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 from quire.llm import packing as P
+from quire.llm.simhash import near_duplicates
 
 
 def slow(pieces, capacity, per_source):
@@ -56,3 +57,20 @@ def test_query(spark):
     assert out.groupby(["shard", "bin"]).length.sum().max() <= P.CAPACITY
     source = docs.set_index("doc_id").source
     assert out.assign(s=out.doc_id.map(source)).groupby(["shard", "bin", "s"]).size().max() <= P.PER_SOURCE
+
+
+def test_no_bin_holds_two_near_copies(spark):
+    rng = random.Random(4)
+    words = [rng.choice("abcdefghijklm") * rng.randrange(1, 9) for _ in range(400)]
+    text = " ".join(words)
+    near = [text] + [" ".join([*words[:k], "Zzz", *words[k + 1 :]]) for k in range(0, 400, 4)]
+    rows = [(k, t, None) for k, t in enumerate(near)] + [(None, text.upper(), "s"), (7, "ÉTÉ " * 9, "s"), (7, "été " * 9, "s"), (500, None, "s"), (501, None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = P.pack_documents(docs).toPandas()
+    assert len(out) == len(rows)
+    group = {r.id: r.component_id for r in near_duplicates(docs.filter("doc_id < 400 and doc_id <> 7")).collect()}
+    out["group"] = out.doc_id.map(group)
+    sizes = out.groupby("group").size()
+    assert sizes.max() > 10 and len({t for t in near}) > 90
+    assert out.groupby(["shard", "bin", "group"]).size().max() == 1
+    assert not out[(out.doc_id == 7) & (out.length < 200)].duplicated(["shard", "bin"]).any()
