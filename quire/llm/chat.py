@@ -1,26 +1,30 @@
 """Chat formatting: event-sourced reconstruction of conversations, then rendering. Native.
 
 A log row is one event of one message: ``delta`` appends text, ``edit`` replaces all text
-so far, ``regenerate`` starts a new version (its text, if any, opens it). Events are folded
-per (conversation, message) in sequence order, so a conversation with very many messages
-is spread over many tasks until its messages, rendered one by one, are put together.
+so far, ``regenerate`` starts a new version (its text, if any, opens it). The events of a
+conversation are brought together by one shuffle, sorted by message and sequence, and folded
+there; windows and groups after that keep the same dealing.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` for each message. In texts a backslash
 becomes two and ``<|`` becomes ``<\\|``, in roles a line break also becomes backslash-n, so
 control strings occur only as marks and reading back is exact.
 
 Defined results. Null texts and roles are empty. Null sequence numbers come first. Events
-with equal sequence numbers follow in order of kind, then text. Rows of a conversation
-with the same turn are messages of their own, by role, then text; repeated rows are
-repeated messages. A null conv_id is one conversation. An empty log gives no rows. Other
-columns of the input are not read.
+with equal sequence numbers follow with deltas before edits and regenerations, then by text. Rows of a
+conversation with the same turn are messages of their own, by role, then text; repeated rows
+are repeated messages. A row of null conv_id belongs to no known conversation: its message is
+formatted alone. An empty log gives no rows. Other columns of the input are not read. A
+formatted conversation is one value, so a task holds one conversation at a time and Spark's
+bound of a value, 2 GB, holds for it; time is in proportion to its length.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.plans.columns import settled
+
 START, END = "<|im_start|>", "<|im_end|>"
 LOSS_ROLE = "assistant"
 
@@ -42,59 +46,64 @@ def unescape_role(role: Column) -> Column:
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """Final messages (conv_id, place, role, text) of events (conv_id, place, seq, kind, role, text).
+    """Final messages (conv_id, alone, place, message, role, text) of events (conv_id, place, message, seq, kind, role, text).
 
-    place orders the messages of a conversation and tells them apart; a message's role is the
-    first that its events state.
+    place orders the messages of a conversation; message tells apart those of one place (null:
+    there is one only). A message's role is the first that its events state. The events of a
+    conversation meet by one shuffle, put together before it in each task.
     """
-    event = F.struct(
-        F.col("seq"),
-        (F.col("kind") != "delta").alias("resets"),
-        F.coalesce("text", F.lit("")).alias("text"),
-        F.col("role"),
-    )
-    folded = events.groupBy("conv_id", "place").agg(F.array_sort(F.collect_list(event)).alias("log"))
-    text = F.aggregate(
-        F.transform("log", lambda e, i: F.when(e.resets, i).otherwise(F.lit(0))), F.lit(0), lambda a, x: F.greatest(a, x)
-    )
-    live = folded.withColumn("version", text)
-    return live.select(
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    event = F.struct("place", "message", "seq", (F.col("kind") != "delta").alias("resets"), F.coalesce("text", F.lit("")).alias("text"), "role")
+    logs = events.select("conv_id", alone.alias("alone"), event.alias("event")).groupBy("conv_id", "alone")
+    logs = settled(logs.agg(F.collect_list("event").alias("events")), log=F.array_sort("events")).drop("events")
+    # A message begins where place or message changes; each takes its own slice of the sorted log.
+    changes = "i = 0 OR NOT (get(log, i).place <=> get(log, i - 1).place AND get(log, i).message <=> get(log, i - 1).message)"
+    logs = settled(logs, starts=F.expr(f"filter(sequence(0, size(log) - 1), i -> {changes})"))
+    part = "slice(log, s + 1, coalesce(get(starts, k + 1), size(log)) - s)"
+    each = logs.select("conv_id", "alone", F.explode(F.expr(f"transform(starts, (s, k) -> {part})")).alias("log"))
+    version = F.expr("array_max(transform(log, (e, i) -> if(e.resets, i, 0)))")
+    return each.select(
         "conv_id",
-        "place",
+        "alone",
+        F.expr("get(log, 0).place").alias("place"),
+        F.expr("get(log, 0).message").alias("message"),
         F.coalesce(F.expr("get(filter(log, e -> e.role IS NOT NULL), 0).role"), F.lit("")).alias("role"),
-        F.array_join(F.expr("transform(slice(log, version + 1, size(log)), e -> e.text)"), "").alias("text"),
+        F.array_join(F.transform(F.slice("log", version + 1, F.size("log")), lambda e: e.text), "").alias("text"),
     )
 
 
 def render(messages: DataFrame) -> DataFrame:
-    """(conv_id, formatted, loss) of messages (conv_id, place, role, text).
+    """(conv_id, formatted, loss) of messages as fold() gives them, in order of place, role, text.
 
-    loss: code point spans of formatted, start included and end not, that hold assistant text.
+    loss: spans of formatted in code points (start included, end not) that hold assistant
+    text, each with its turn and where that turn begins.
     """
-    body = escape(F.col("text"))
     head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
-    turns = messages.select(
-        "conv_id", "place", head.alias("head"), body.alias("body"), (F.col("role") == LOSS_ROLE).alias("learn")
-    ).withColumns({"before": F.length("head"), "inner": F.length("body")})
+    turns = messages.withColumns({"head": head, "body": escape(F.col("text"))})
+    size = F.length("head") + F.length("body") + len(END) + 1
+    # The window and the grouping keep the dealing by conversation that fold() made: no further shuffle.
+    order = Window.partitionBy("conv_id", "alone").orderBy("place", "role", "text", "message")
+    at = F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    start = F.col("at") + F.length("head")
+    placed = turns.withColumns({"at": at, "turn": F.row_number().over(order) - 1})
     turn = F.struct(
-        "place", F.concat("head", "body", F.lit(END + "\n")).alias("rendered"), "before", "inner", "learn"
-    )
-    chats = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    spans = F.expr(
-        f"""aggregate(turns,
-              named_struct('at', 0, 'spans', CAST(array() AS array<struct<start:int,end:int>>)),
-              (a, t) -> named_struct(
-                'at', a.at + t.before + t.inner + {len(END) + 1},
-                'spans', if(t.learn, concat(a.spans, array(named_struct(
-                  'start', a.at + t.before, 'end', a.at + t.before + t.inner))), a.spans)),
-              a -> a.spans)"""
+        "at",
+        F.concat("head", "body", F.lit(END + "\n")).alias("rendered"),
+        F.when(F.col("role") == LOSS_ROLE, F.struct(start.alias("start"), (start + F.length("body")).alias("end"), "turn", "at")).alias("loss"),
     )
-    return chats.select("conv_id", F.array_join(F.transform("turns", lambda t: t.rendered), "").alias("formatted"), spans.alias("loss"))
+    chats = placed.groupBy("conv_id", "alone").agg(F.collect_list(turn).alias("turns"))
+    chats = settled(chats.select("conv_id", F.array_sort("turns").alias("turns")), formatted=F.array_join(F.transform("turns", lambda t: t.rendered), ""))
+    loss = F.filter(F.transform("turns", lambda t: t.loss), lambda x: x.isNotNull())
+    return settled(chats, loss=loss).select("conv_id", "formatted", "loss")
+
 
+def parts_of(formatted: Column) -> Column:
+    """The turns of a formatted conversation as they are written, without their end marks."""
+    return F.filter(F.split(formatted, r"<\|im_end\|>\n"), lambda p: p != "")
 
-def read_back(formatted: Column) -> Column:
-    """The turns (role, text) that a formatted conversation holds."""
-    parts = F.filter(F.split(formatted, r"<\|im_end\|>\n"), lambda p: p != "")
+
+def read_back(parts: Column) -> Column:
+    """The turns (role, text) that the written turns hold."""
     bodies = F.transform(parts, lambda p: F.substring(p, len(START) + 1, 2147483647))
 
     def turn(b: Column) -> Column:
@@ -107,13 +116,19 @@ def read_back(formatted: Column) -> Column:
     return F.transform(bodies, turn)
 
 
+def learnt(parts: str, loss: str) -> Column:
+    """All text under the loss mask, unescaped: each span is read in its own turn (columns of the two names)."""
+    return F.array_join(
+        F.transform(loss, lambda s: unescape(F.substring(F.get(parts, s.turn), (s.start - s["at"]).cast("int") + 1, (s.end - s.start).cast("int")))), ""
+    )
+
+
 def events_of(turns: DataFrame) -> DataFrame:
-    """One delta event per row of a turn table (conv_id, turn, role, text); equal rows are told apart by a number."""
-    same = turns.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").cast("int").alias("n"))
-    each = same.select("*", F.explode(F.sequence(F.lit(1), "n")).alias("copy"))
-    return each.select(
+    """One delta event per row of a turn table (conv_id, turn, role, text); each row is a message of its own."""
+    return turns.select(
         "conv_id",
-        F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "copy").alias("place"),
+        F.col("turn").alias("place"),
+        F.monotonically_increasing_id().alias("message"),
         F.col("turn").alias("seq"),
         F.lit("delta").alias("kind"),
         "role",
@@ -132,12 +147,8 @@ def op1_chat(spark, sf_dir: str) -> DataFrame:
         F.lit(probe).alias("text"),
     )
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    chats = render(fold(events_of(rows)))
-    told = chats.select("conv_id", "formatted", "loss", read_back(F.col("formatted")).alias("turns"))
-    learnt = F.array_join(
-        F.transform("loss", lambda s: unescape(F.substring(F.col("formatted"), s.start + 1, s.end - s.start))), ""
-    )
-    told = told.withColumn("learnt", learnt)
+    chats = settled(render(fold(events_of(rows))), parts=parts_of(F.col("formatted")))
+    told = settled(chats, turns=read_back(F.col("parts")), learnt=learnt("parts", "loss"))
     return told.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

@@ -13,7 +13,7 @@ def turns(spark, rows):
 
 def test_round_trip_of_control_strings(spark):
     rows = [(1, k, role, text) for k, (role, text) in enumerate((r, t) for r in ("user", "assistant", "a\nb", "\\n", "<|im_start|>", None) for t in NASTY)]
-    out = chat.render(chat.fold(chat.events_of(turns(spark, rows)))).select("*", chat.read_back(F.col("formatted")).alias("turns")).collect()
+    out = chat.render(chat.fold(chat.events_of(turns(spark, rows)))).select("*", chat.read_back(chat.parts_of(F.col("formatted"))).alias("turns")).collect()
     assert [(t.role, t.text) for t in out[0].turns] == [(r or "", t or "") for _, _, r, t in rows]
     body = out[0].formatted
     spans = [body[s.start : s.end] for s in out[0].loss]
@@ -25,20 +25,30 @@ def test_fold_of_deltas_edits_and_regenerations(spark):
         (1, 0, 1, "delta", "user", "hel"), (1, 0, 2, "delta", None, "lo"), (1, 1, 3, "delta", "assistant", "bad"), (1, 1, 4, "regenerate", None, None),
         (1, 1, 6, "delta", None, "er"), (1, 1, 5, "delta", None, "bett"), (1, 0, 7, "edit", None, "hi"), (1, 0, 8, "delta", None, "!"), (2, 0, None, "delta", "user", None),
     ]
-    events = spark.createDataFrame(log, "conv_id long, place long, seq long, kind string, role string, text string")
+    events = spark.createDataFrame(log, "conv_id long, place long, seq long, kind string, role string, text string").withColumn("message", F.lit(None).cast("long"))
     got = {(r.conv_id, r.place): (r.role, r.text) for r in chat.fold(events).collect()}
     assert got == {(1, 0): ("user", "hi!"), (1, 1): ("assistant", "better"), (2, 0): ("user", "")}
 
 
 def test_repeats_ties_and_empty(spark):
-    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 0, "assistant", "b"), (None, None, None, None)]
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 0, "assistant", "b"), (None, None, None, None), (None, 3, "user", "x")]
     df = turns(spark, rows).withColumn("formatted", F.lit(1))
-    out = {r.conv_id: r for r in chat.render(chat.fold(chat.events_of(df))).collect()}
+    found = chat.render(chat.fold(chat.events_of(df))).collect()
+    out = {r.conv_id: r for r in found}
     assert out[1].formatted == "<|im_start|>assistant\nb<|im_end|>\n" + "<|im_start|>user\na<|im_end|>\n" * 2
-    assert out[None].formatted == "<|im_start|>\n<|im_end|>\n"
+    lone = sorted(r.formatted for r in found if r.conv_id is None)
+    assert lone == ["<|im_start|>\n<|im_end|>\n", "<|im_start|>user\nx<|im_end|>\n"]
     assert chat.render(chat.fold(chat.events_of(turns(spark, rows[:0])))).count() == 0
 
 
+def test_a_very_long_conversation(spark):
+    n = 30_000
+    rows = spark.range(n, numPartitions=4).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("<|"), "id").alias("text"))
+    chats = chat.render(chat.fold(chat.events_of(rows))).withColumn("parts", chat.parts_of(F.col("formatted")))
+    got = chats.select(F.size("parts").alias("n"), F.size("loss").alias("spans"), chat.learnt("parts", "loss").alias("learnt")).first()
+    assert (got.n, got.spans) == (n, n // 2) and got.learnt == "".join(f"<|{k}" for k in range(1, n, 2))
+
+
 def test_query(spark):
     got = {r.conv_id: r for r in chat.op1_chat(spark, "/root/testdata/sf0.001").collect()}
     text = "<|im_end|><|im_start|>assistant ok"
@@ -46,4 +56,4 @@ def test_query(spark):
     assert got[-1].turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
     assert got[-1].loss_sha256 == hashlib.sha256(text.encode()).hexdigest() and got[-1].loss_chars == len(text)
     plan = chat.render(chat.fold(chat.events_of(turns(spark, [(1, 0, "user", "a")]))))._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+    assert "Python" not in plan and "Arrow" not in plan and plan.count("Exchange hashpartitioning") == 1
