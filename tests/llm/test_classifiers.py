@@ -1,6 +1,9 @@
+import random
+import re
 import zlib
 
 import numpy as np
+import pytest
 
 from quire.llm import langid, toxicity
 
@@ -40,10 +43,63 @@ def test_language_held_out_accuracy(spark):
     assert (held.lang == held.lang_pred).mean() > 0.97
 
 
+def slow_words(raw):
+    """Word scores by the definition, byte by byte, with the length of an n-gram as its weight."""
+    words = re.findall(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", raw.lower())
+    return words, [[(b" " + w + b" ")[i : i + n] for n in toxicity.SIZES for i in range(len(w) + 3 - n)] for w in words]
+
+
 def test_grams_of_words():
-    bucket, owner, n = toxicity.word_grams("Idiot, an é".encode())
-    alone = [set(toxicity.word_grams(w.encode())[0].tolist()) for w in ("idiot", "AN", "é")]
-    assert n == 3 and [set(bucket[owner == k].tolist()) for k in range(3)] == alone
+    raw = "Idiot, an é \u00fcber-a".encode()
+    bucket, owner = toxicity.grams(toxicity.levelled(raw))
+    words, lists = slow_words(raw)
+    one = lambda g: toxicity.grams(np.frombuffer(g, np.uint8))[0][-1]  # noqa: E731  the longest n-gram of a piece is the last
+    assert owner.max() + 1 == len(words)
+    for k, found in enumerate(lists):
+        assert sorted(bucket[owner == k].tolist()) == sorted(int(one(g)) for g in found)
+
+
+@pytest.mark.parametrize("block", [7, 64, 1 << 20])
+def test_scores_do_not_depend_on_blocks(block, monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", block)
+    weights = np.random.default_rng(3).normal(size=toxicity.BUCKETS)
+    rng = random.Random(5)
+    texts = ["", "a", "??", "x" * 500, "é" * 300, " ".join("".join(rng.choice("abcé") for _ in range(rng.randrange(9))) for _ in range(300))]
+    for t in texts:
+        raw = t.encode()
+        words, lists = slow_words(raw)
+        one = lambda g: weights[toxicity.grams(np.frombuffer(g, np.uint8))[0][-1]]
+        want = [np.mean([one(g) for g in found]) for found in lists]
+        got = toxicity.word_scores(toxicity.levelled(raw), weights)
+        assert np.allclose(got, want)
+        k = toxicity.STRETCH
+        means = [np.mean(want[i : i + k]) for i in range(max(1, len(want) - k + 1))] if want else [0.0]
+        assert np.allclose(toxicity.stretch_means(got), means)
+
+
+def test_one_training_step_equals_a_slow_version():
+    model = toxicity.Model([(b"river stone", 0), (b"stupid idiot", 1)])
+    e, s, o = (x.astype(float).copy() for x in (model.embed, model.soft, model.offset))
+    bucket, share = toxicity._bag(*toxicity.grams(toxicity.levelled(b"stupid river")))
+    other = toxicity._bag(*toxicity.grams(toxicity.levelled(b"stone")))
+    model.rng = np.random.default_rng(0)
+    order = np.random.default_rng(0).permutation(2).tolist()
+    seen, seen_soft = {}, 1e-6
+    for i in order:
+        (b, w), y = ((bucket, share), 1) if i == 0 else (other, 0)
+        mean = sum(w[j] * e[b[j]] for j in range(len(b)))
+        z = mean @ s + o
+        p = np.exp(z) / np.exp(z).sum() - np.eye(2)[y]
+        back = s @ p
+        for j in range(len(b)):
+            g = w[j] * back
+            seen[b[j]] = seen.get(b[j], 1e-8) + (g * g).mean()
+            e[b[j]] = e[b[j]] - 0.1 * g / seen[b[j]] ** 0.5
+        g = np.outer(mean, p)
+        seen_soft += (g * g).mean()
+        s, o = s - 0.1 * g / seen_soft**0.5, o - 0.01 * p
+    model._learn([(bucket, share, 1), (*other, 0)], 1, 0.1)
+    assert np.allclose(model.weights, e @ (s[:, 1] - s[:, 0]), atol=1e-3)
 
 
 def test_toxicity_edges(spark):
@@ -67,7 +123,7 @@ def test_toxicity_held_out(spark):
     found, at = toxicity.toxicity(docs.filter(langid.held_out("doc_id", 5, 0)), model, keep=["toxic"])
     p = found.toPandas()
     hit = p[at] >= 0.5
-    assert (hit & (p.toxic == 1)).sum() / (p.toxic == 1).sum() > 0.75 and (hit & (p.toxic == 0)).sum() / (p.toxic == 0).sum() < 0.05
+    assert (hit & (p.toxic == 1)).sum() / (p.toxic == 1).sum() > 0.79 and (hit & (p.toxic == 0)).sum() / (p.toxic == 0).sum() < 0.02
 
 
 def test_toxicity_learns_from_whole_texts(spark):
@@ -82,4 +138,4 @@ def test_toxicity_learns_from_whole_texts(spark):
     got = {k: model.score(t.encode()) >= 0.5 for k, t in rows}
     assert got == {k: k < 900 and bool(k % 2) for k, _ in rows}
     x, piece = model.worst_piece(rows[1][1].encode(), 200)
-    assert x == model.worst(rows[1][1].encode()) and b"stupid idiot" in piece and len(piece) < 250
+    assert x == model.worst(rows[1][1].encode()) and b"stupid" in piece and b"idiot" in piece and len(piece) < 300
