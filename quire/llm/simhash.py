@@ -2,13 +2,17 @@
 
 Two 64-bit fingerprints that differ in at most d bits differ in at most d of their eight
 bytes, so they share at least 8 - d positional bytes: the guaranteed minimum of the count
-filter. Postings of single bytes would hold 1/256 of all fingerprints each and tally a
-square of pairs. So the index is kept by sets of 8 - d positions: a pair's tally reaches
-the minimum exactly when it meets in one posting of such a set. Exact copies are one
-fingerprint before they enter the index. Inside a posting the members agree in all bytes
-but d, so it holds at most 256**d fingerprints whatever the input's size; each is verified
-against its possible neighbours there by looking up the flips of up to d bits, and a
-posting hands on one link per member, never all its pairs.
+filter. A posting of a single byte would hold 1/256 of all fingerprints, and its pairs would
+grow with the square of the input. So a key of the index is a set of 7 - d positions and the
+bytes there, and a pair shares 8 - d keys or more exactly if it shares 8 - d bytes or more.
+The keys that each pair shares are tallied, pairs that reach the minimum are retained, and
+their bits are verified.
+
+Exact copies are one fingerprint before they enter the index. A posting of more than SHORT
+fingerprints hands on no pairs: its members go on with one byte more, in postings that agree
+in all bytes but d and so hold at most 256**d fingerprints whatever the input's size. There
+each is looked up with its flips of up to d bits, and a member hands on one link. A pair
+within d bits that shares a long posting is found in it; if it shares none, its tally is whole.
 
 Defined results. Null or empty texts have no words: fingerprint zero, linked like any
 other. Fewer words than a shingle: the whole sequence is hashed once. Repeated rows and
@@ -24,17 +28,19 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm.graph import connected_components
 from quire.llm.text import space_words, utf8
-from quire.plans.staging import staged
+from quire.plans.staging import discard, staged
 
 SEED = 42
 #: Shingles whose bits are counted at a time, so that a very long text needs little memory.
 BLOCK = 1 << 15
+#: Members of a posting whose pairs are tallied; longer postings are extended by a byte and probed.
+SHORT = 32
 
 
 def fingerprint(raw: bytes | None, shingle: int = 3) -> int:
@@ -100,42 +106,107 @@ def posting_links(members: np.ndarray, free_bits: list[int], distance: int) -> l
     return [(int(fps[label[i]]), int(fps[i])) for i in np.nonzero(label != np.arange(n))[0]]
 
 
-def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def mask(positions) -> int:
+    """The bits of these byte positions, as a signed long."""
+    return signed(sum(0xFF << 8 * p for p in positions))
+
+
+def postings(table: DataFrame, sets: list[tuple[int, ...]], number: Column) -> tuple[DataFrame, Column]:
+    """table with the number of a set of positions, and a column with the bytes at these positions."""
+    masks = F.array(*[F.lit(mask(s)) for s in sets])
+    return table.select("fingerprint", number.alias("positions")), F.col("fingerprint").bitwiseAND(F.get(masks, "positions"))
+
+
+def short_postings(batches, masks: np.ndarray, most: int):
+    """Pairs (a, b) of each run of equal keys of at most most members; (a, null) for each member of a longer run.
+
+    Rows come sorted by positions and key; no more than most members of a run are held from one batch to the next.
+    """
+    none = np.zeros(0, np.int64)
+    held_at, held, long_run = none, none, None
+    for batch in batches:
+        at = np.concatenate((held_at, np.asarray(batch.column(0), np.int64)))
+        fps = np.concatenate((held, np.asarray(batch.column(1))))
+        if not len(fps):
+            continue
+        keys = fps & masks[at]
+        starts = np.nonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (at[1:] != at[:-1]))))[0]
+        ends = np.append(starts[1:], len(fps))
+        longer = ends - starts > most
+        longer[0] |= (at[0], keys[0]) == long_run
+        last = int(starts[-1])
+        long_run = (at[-1], keys[-1]) if longer[-1] else None
+        held_at, held = (none, none) if longer[-1] else (at[last:], fps[last:])
+        lone = np.repeat(longer, ends - starts)
+        closed = ~longer
+        closed[-1] = False  # the last run may go on in the next batch
+        yield _pairs(*_all_pairs(fps, starts[closed], ends[closed]), fps[lone], at[lone])
+    yield _pairs(*_all_pairs(held, *(np.array([k]) for k in (0, len(held)))), none, none)
+
+
+def _all_pairs(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (lesser, greater) of different members of each run."""
+    size, a, b = ends - starts, [], []
+    for n in np.unique(size[size > 1]).tolist():
+        first, second = np.triu_indices(n, 1)
+        at = starts[size == n][:, None]
+        a.append(fps[at + first].ravel())
+        b.append(fps[at + second].ravel())
+    if not a:
+        return fps[:0], fps[:0]
+    a, b = np.concatenate(a), np.concatenate(b)
+    return np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, lone: np.ndarray, lone_at: np.ndarray) -> pa.RecordBatch:
+    no = np.zeros(len(lone), np.int64)
+    second = pa.array(np.concatenate((b, no)), mask=np.arange(len(b) + len(no)) >= len(b))
+    positions = pa.array(np.concatenate((np.zeros(len(a), np.int32), lone_at.astype(np.int32))), mask=np.arange(len(a) + len(no)) < len(a))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate((a, lone))), second, positions], names=["a", "b", "positions"])
+
+
+def links(distinct: DataFrame, distance: int = 2, short: int = SHORT) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of distinct fingerprints within distance."""
     if not 0 <= distance <= 2:
         raise ValueError("distance: 0, 1 or 2 bits")
+    spark = distinct.sparkSession
     if distance == 0:
         return distinct.select(F.col("fingerprint").alias("a"), F.col("fingerprint").alias("b")).filter("false")
-    free = list(combinations(range(8), distance))
-    fp = F.col("fingerprint")
-
-    def signed(x: int) -> int:
-        return x - (1 << 64) if x >> 63 else x
-
-    keep = [signed((1 << 64) - 1 - sum(0xFF << 8 * p for p in out)) for out in free]
-    postings = distinct.select(
-        "fingerprint",
-        F.explode(
-            F.array(*[F.struct(F.lit(k).alias("positions"), fp.bitwiseAND(F.lit(m)).alias("bytes")) for k, m in enumerate(keep)])
-        ).alias("key"),
-    )
-    lists = (
-        postings.groupBy("key.positions", "key.bytes")
-        .agg(F.collect_list("fingerprint").alias("members"))
-        .filter(F.size("members") > 1)
-        .select("positions", "members")
-    )
+    sets = list(combinations(range(8), 7 - distance))
+    least = 8 - distance  # of the 8 - distance shared bytes, so many sets leave one out
+    masks = np.array([mask(s) for s in sets], np.int64)
+    # The table is small in bytes and grows by the number of sets: it is dealt over all cores first.
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    wide, key = postings(distinct.repartition(tasks, "fingerprint"), sets, F.explode(F.sequence(F.lit(0), F.lit(len(sets) - 1))))
+    dealt = wide.repartition("positions", key).sortWithinPartitions("positions", key).select("positions", "fingerprint")
+    met = staged(dealt.mapInArrow(lambda batches: short_postings(batches, masks, short), "a long, b long, positions int"), "simhash-met")
+    # Count filter: what a pair shares is tallied; pairs that reach the minimum are verified.
+    tally = met.filter("b is not null").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    near = tally.filter((F.col("shared") >= least) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)).select("a", "b")
+    return near.unionByName(long_links(met.filter("b is null"), sets, distance)).distinct()
+
+
+def long_links(members: DataFrame, sets: list[tuple[int, ...]], distance: int) -> DataFrame:
+    """Links (a, b) of the members (a, positions) of long postings, each extended by a further byte and probed."""
+    full = list(combinations(range(8), 8 - distance))
+    wider = F.array(*[F.array(*[F.lit(k) for k, t in enumerate(full) if set(s) < set(t)]) for s in sets])
+    extended, key = postings(members.select(F.col("a").alias("fingerprint"), "positions"), full, F.explode(F.get(wider, "positions")))
+    lists = extended.groupBy("positions", key.alias("bytes")).agg(F.collect_set("fingerprint").alias("members")).filter(F.size("members") > 1)
 
     def run(batches):
         for batch in batches:
             found = []
-            for k, members in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                fps = np.asarray(members.values.to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
-                found += posting_links(fps, [8 * p + b for p in free[k] for b in range(8)], distance)
+            for k, listed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                fps = np.asarray(listed.values.to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
+                found += posting_links(fps, [8 * p + b for p in range(8) if p not in full[k] for b in range(8)], distance)
             ab = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=["a", "b"])
 
-    return lists.mapInArrow(run, "a long, b long").distinct()
+    return lists.select("positions", "members").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(
@@ -147,7 +218,8 @@ def near_duplicates(
     """
     fps = staged(fingerprints(docs, id_col, text_col, shingle, keep), "simhash")
     distinct = staged(fps.groupBy("fingerprint").agg(F.min("id").alias("least")), "simhash-distinct")
-    roots = staged(connected_components(links(distinct, distance)), "simhash-roots")
+    edges = staged(links(distinct, distance), "simhash-links")
+    roots = staged(connected_components(edges), "simhash-roots")
     # A root's least id, for the few fingerprints that are linked at all.
     linked = staged(
         roots.join(distinct, roots.node == distinct.fingerprint).select("fingerprint", "root", "least"), "simhash-linked"
@@ -159,6 +231,8 @@ def near_duplicates(
         ),
         "simhash-classes",
     )
+    for done in (distinct, edges, roots, linked, heads):
+        discard(done)
     return fps.join(classes, "fingerprint").select("id", "fingerprint", "component_id", *([*keep, "root"] if keep else []))
 
 

@@ -1,7 +1,9 @@
 import random
 import re
+from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -47,7 +49,8 @@ def test_native_hash_agrees(spark):
     assert got % (1 << 64) == xxhash.xxh64_intdigest(b"a b c", 42)
 
 
-def test_links_equal_brute_force(spark):
+@pytest.mark.parametrize("short", [1, 3, 32])
+def test_links_equal_brute_force(spark, short):
     rng = random.Random(3)
     fps = []
     for base in [rng.getrandbits(64) for _ in range(12)]:
@@ -59,11 +62,27 @@ def test_links_equal_brute_force(spark):
     fps = sorted(set(fps))
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
     distinct = spark.createDataFrame([(x,) for x in signed], "fingerprint long")
-    found = {r.node: r.root for r in connected_components(simhash.links(distinct)).collect()}
+    found = {r.node: r.root for r in connected_components(simhash.links(distinct, short=short)).collect()}
     want = slow_components([(s, f) for s, f in zip(signed, fps, strict=True)])
     assert {s: found.get(s, s) for s in signed} == want
 
 
+def test_tally_keeps_pairs_and_bounds_long_postings():
+    rng = np.random.default_rng(2)
+    fps = np.unique(np.concatenate((rng.integers(0, 1 << 24, 50), rng.integers(0, 1 << 62, 50))))  # many agree in five bytes
+    masks = np.array([simhash.mask((3, 4, 5, 6, 7)), simhash.mask((0, 1, 2, 3, 4))], np.int64)
+    rows = sorted((p, int(f & masks[p]), int(f)) for p in (0, 1) for f in fps)
+    table = pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], names=["positions", "fingerprint"])
+    groups = {}
+    for p, k, f in rows:
+        groups.setdefault((p, k), []).append(f)
+    for size in (1, 7, 1000):
+        found = [r for b in simhash.short_postings(table.to_batches(size), masks, 20) for r in zip(*b.to_pydict().values(), strict=True)]
+        pairs = sorted((a, b) for a, b, _ in found if b is not None)
+        assert pairs == sorted(c for g in groups.values() if len(g) <= 20 for c in combinations(g, 2))
+        assert sorted((p, a) for a, b, p in found if b is None) == sorted((p, f) for (p, _), g in groups.items() if len(g) > 20 for f in g)
+
+
 def test_posting_links_of_a_large_posting():
     rng = np.random.default_rng(1)
     members = np.unique(rng.integers(0, 1 << 16, 3000, np.uint64))
