@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline as C
 from quire.llm.decontaminate import decontaminate
+from quire.llm.simhash import fingerprint
 
 
 def test_stages_on_small_tables(spark, tmp_path):
@@ -26,6 +27,37 @@ def test_stages_on_small_tables(spark, tmp_path):
     assert sorted({r.doc_id for r in out.collect()}) == left
 
 
+def test_near_dedup_equals_brute_force(spark, tmp_path):
+    rng = random.Random(4)
+    words = "river house stone green walk paper cloud table lamp road".split()
+    texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(12)]
+    texts += [None, "", "   ", texts[0].upper(), texts[1] + " "]
+    rows = [(rng.choice([None, *range(8)]), rng.choice(texts), {"k": rng.choice("ab")}, rng.randrange(2)) for _ in range(150)]
+    rows += [(3, texts[0], None, 0), (5, texts[0], None, 0), (5, texts[2], None, 0), (5, texts[2], None, 0)] + rows[:20]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id map<string,string>, component_id int").repartition(3)
+    docs.write.parquet(f"{tmp_path}/d.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/d.parquet")
+    got = C.near_dedup(spark, docs, "").collect()
+    fps = [fingerprint(r[1] and r[1].encode()) for r in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 2:
+                old, new = root[i], root[j]
+                root = [new if x == old else x for x in root]
+    groups = {}
+    for r, g in zip(rows, root, strict=True):
+        groups.setdefault(g, []).append(r)
+    assert len(got) == len(groups)
+    order = lambda k: (k is None, k)
+    for r in got:
+        row = (r.doc_id, r.text, r.id, r.component_id)
+        of = [g for g in groups.values() if row in g]
+        assert len(of) == 1 and order(row[0]) == min((order(x[0]) for x in of[0]))
+        groups = {k: g for k, g in groups.items() if g is not of[0]}
+    assert not groups
+
+
 def test_run_keeps_clean_documents(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
