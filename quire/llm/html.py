@@ -1,17 +1,19 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
 A page is cut at block tags into flat blocks. A block is told by its words and link density
-and those of its neighbours, and by what encloses it: how boilerplate-like and how
-content-like its tags, roles, classes and ids are. A decision tree, grown from a small
-labelled table of blocks (``LABELLED``: short pages whose main blocks are marked), keeps or
-drops each block.
+and by those of its neighbours, by whether it ends as a sentence does, is a heading or a list
+item, and by weak hints: what tags, roles and names (classes, ids) of the regions around it
+tell of. A name is read whole or in its two parts, counts for the region it stands on, and
+counts for nothing on a region that holds most of the page's words. A decision tree, grown
+from a small labelled table of blocks (``labelled_pages``: twenty sites with six articles
+each), keeps or drops each block.
 
-Scripts, styles and other text that is never shown is no block. Character references are
-decoded once, white space inside a block becomes one space, kept blocks are joined in page
-order by a line break. Nothing kept is shortened.
+Scripts, styles and text that is never shown (also inline) is in no block, nor are inline
+adverts. Character references are decoded once, white space inside a block becomes one
+space, kept blocks are joined in page order by a line break. Nothing kept is shortened.
 
 Defined results. Null and empty pages, and pages of no main block: an empty text. Tags that
-are left open end with what encloses them; a page may end anywhere. Repeated rows are read
+are left open, links too, end with what encloses them; a page may end anywhere. Repeated rows are read
 one by one. An empty table gives no rows. All asked-for columns are kept; the result is a
 column whose name gets a number if it is taken.
 """
@@ -32,29 +34,66 @@ from quire.plans.staging import fresh
 HIDDEN = frozenset("script style noscript template head title svg math iframe object canvas select option textarea audio video map datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr img br input nobr acronym".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Hints that tags and roles give.
 BOILER_TAGS = frozenset("nav footer aside form menu dialog button fieldset".split())
 CONTENT_TAGS = frozenset("article main".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
-#: Parts of class and id names that tell of boilerplate and of content.
-BOILER_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs "
-    "sidebar side footer foot header masthead comment comments commentlist respond reply replies discussion disqus cookie cookies consent gdpr notice notices "
-    "banner popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended trending widget widgets "
-    "pagination pager toolbar topbar copyright legal disclaimer toc tags skip search form alert".split()
+CONTENT_ROLES = frozenset(("main", "article"))
+#: Hints that names give: a class or id that is such a word, or has one as one of its two parts ("site-footer", "comment_body").
+AD_NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion".split())
+BOILER_NAMES = AD_NAMES | frozenset(
+    "nav navbar navigation menu breadcrumb breadcrumbs sidebar footer comment comments commentlist respond reply replies discussion disqus cookie cookies consent gdpr "
+    "notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended trending widget widgets "
+    "pagination pager toolbar topbar copyright legal disclaimer toc skip search".split()
 )
-CONTENT_NAMES = frozenset("article content post entry story body main maintext text hentry".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Names that tell of boilerplate outside content only: an article has a header of its own.
+HEAD_NAMES = frozenset("header masthead banner".split())
+CONTENT_NAMES = frozenset("article content post entry story maintext hentry".split())
+#: First parts that make a name tell of a page's layout, not of what is in the element.
+LAYOUT_PARTS = frozenset("has with no is without".split())
+
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "sentence", "heading", "listed", "boiler", "content", "nearest")
+
+
+#: Ends of a sentence, before closing quotes and brackets; the hint of elements that are not shown.
+SENTENCE_ENDS = tuple(".!?\u2026:;\u3002\uff01\uff1f")
+HIDE = -2
+
+
+class Region:
+    """An open element: what its tag and names hint at, and how many words it holds."""
+
+    def __init__(self, tag: str, by_tag: int, by_name: int):
+        self.tag, self.by_tag, self.by_name, self.words = tag, by_tag, by_name, 0
+
+
+def names_of(told: dict) -> tuple[set[str], set[str]]:
+    """Name words of class and id, and those that stand behind a layout part (\"has-sidebar\")."""
+    found, layout = set(), set()
+    for name in f"{told.get('class') or ''} {told.get('id') or ''}".lower().split():
+        parts = [x for x in re.split(r"[^a-z]+", name) if x]
+        if len(parts) == 2 and parts[0] in LAYOUT_PARTS:
+            layout.add(parts[1])
+        elif len(parts) <= 2:
+            found.update(parts)
+    return found, layout
 
-FEATURES = ("boiler", "content", "heading", "listed", "words", "links", "words_before", "links_before", "words_after", "links_after")
+
+def unseen(told: dict) -> bool:
+    style = (told.get("style") or "").replace(" ", "").lower()
+    return "hidden" in told or "display:none" in style or "visibility:hidden" in style
 
 
 class Blocks(HTMLParser):
-    """Flat blocks of a page: text, words, words in links, and what encloses them."""
+    """Flat blocks of a page: text, words, words in links, and the regions that enclose them."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # tag, boilerplate (1: by name, 2: by tag, role or being unseen), content
-        self.hidden = self.links = 0
+        self.open: list[Region] = []
+        self.unseen: list[tuple[str, int]] = []  # open inline elements that are not shown or adverts: tag, open regions
+        self.hidden = 0
+        self.link: int | None = None  # open regions where the open link began
         self.parts: list[str] = []
         self.linked = 0
         self.blocks: list[dict] = []
@@ -62,90 +101,111 @@ class Blocks(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            # A name that tells of boilerplate counts for less than an <article> or <main> within it.
-            strong = max((k for k, (t, _, content) in enumerate(self.open) if content and t in CONTENT_TAGS), default=-1)
-            depth = max((k for k, (_, boiler, _) in enumerate(self.open) if boiler > 1 or boiler and k > strong), default=-1)
-            inner = max((k for k, (_, _, content) in enumerate(self.open) if content), default=-1)
-            tags = [t for t, _, _ in self.open]
+            words = len(text.split())
+            for region in self.open:
+                region.words += words
+            tags = [r.tag for r in self.open]
             self.blocks.append(
                 {
-                    "text": text, "words": len(text.split()), "linked": self.linked, "boiler": int(depth >= 0) + int(depth > inner >= 0),
-                    "content": int(inner >= 0), "heading": int(any(t in HEADINGS for t in tags)), "listed": int("li" in tags),
+                    "text": text, "words": words, "linked": min(words, self.linked), "regions": list(self.open),
+                    "heading": int(any(t in HEADINGS for t in tags)), "listed": int("li" in tags), "sentence": int(text.rstrip("\"'\u201d\u2019\u00bb)")[-1:] in SENTENCE_ENDS),
                 }
             )
         self.parts, self.linked = [], 0
 
+    def _region(self, tag: str, told: dict) -> Region:
+        names, layout = names_of(told)
+        role = (told.get("role") or "").lower()
+        inside = any(r.by_tag > 0 or r.by_name > 0 for r in self.open)
+        if tag in ("html", "body"):
+            return Region(tag, 0, 0)
+        by_tag = -1 if tag in BOILER_TAGS or role in BOILER_ROLES or told.get("aria-hidden") == "true" or (tag == "header" and not inside and not names & CONTENT_NAMES) else int(tag in CONTENT_TAGS or role in CONTENT_ROLES)
+        by_name = -1 if names & BOILER_NAMES else int(bool(names & CONTENT_NAMES)) or -int(bool(names & HEAD_NAMES) and not inside)
+        return Region(tag, by_tag, by_name)
+
     def handle_starttag(self, tag, attrs):
+        told = dict(attrs)
         if tag in VOID or tag in INLINE:
             if tag in ("br", "hr", "img", "input"):
                 self.parts.append(" ")
             if tag not in INLINE:
                 self.flush()
+            if tag not in VOID and (self.unseen and self.unseen[-1][0] == tag or unseen(told) or names_of(told)[0] & AD_NAMES):
+                self.unseen.append((tag, len(self.open)))
             if tag == "a":
-                self.links = 1
+                self.link = len(self.open)
             return
         self.flush()
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th", *HEADINGS):
             self._close(tag, siblings=True)
-        told = dict(attrs)
-        names = set(re.split(r"[^a-z]+", f"{told.get('class') or ''} {told.get('id') or ''}".lower()))
-        role = (told.get("role") or "").lower()
-        style = (told.get("style") or "").replace(" ", "").lower()
-        unseen = "hidden" in told or told.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
-        inside = any(c for _, _, c in self.open)
-        content = tag in CONTENT_TAGS or role in ("main", "article") or bool(names & CONTENT_NAMES)
-        by_tag = tag in BOILER_TAGS or role in BOILER_ROLES or unseen or (tag == "header" and not inside)
-        boiler = 0 if tag in ("html", "body") else 2 if by_tag else int(bool(names & BOILER_NAMES))
-        self.open.append((tag, boiler, content and not boiler and tag not in ("html", "body")))
-        if tag in HIDDEN:
+        self.open.append(self._region(tag, told))
+        if tag in HIDDEN or unseen(told):
+            self.open[-1].tag, self.open[-1].by_tag = tag, HIDE
             self.hidden += 1
 
     def _close(self, tag: str, siblings: bool = False) -> None:
         """End the innermost open tag of this name and all within it; a paragraph left open ends where the next starts."""
         for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                self.hidden -= sum(t in HIDDEN for t, _, _ in self.open[k:])
+            if self.open[k].tag == tag:
+                self.hidden -= sum(r.by_tag == HIDE for r in self.open[k:])
                 del self.open[k:]
+                # Links and inline elements left open end with the element that they stand in.
+                self.unseen = [u for u in self.unseen if u[1] <= k]
+                if self.link is not None and self.link > k:
+                    self.link = None
                 return
-            if siblings and self.open[k][0] not in ("p",):
+            if siblings and self.open[k].tag != "p":
                 return
 
     def handle_endtag(self, tag):
         if tag == "a":
-            self.links = 0
-        elif tag not in INLINE and tag not in VOID:
+            self.link = None
+        if tag in INLINE:
+            if self.unseen and self.unseen[-1][0] == tag:
+                self.unseen.pop()
+        elif tag not in VOID:
             self.flush()
             self._close(tag)
 
     def handle_data(self, data):
-        if not self.hidden:
+        if not self.hidden and not self.unseen:
             self.parts.append(data)
-            if self.links:
+            if self.link is not None:
                 self.linked += len(data.split())
 
 
 def blocks_of(html: str | None) -> list[dict]:
+    """The blocks of a page with the hints of their regions; the name of a region that holds most of the page's words hints at nothing."""
     parser = Blocks()
     parser.feed(html or "")
     parser.close()
     parser.flush()
+    total = sum(b["words"] for b in parser.blocks)
+    for b in parser.blocks:
+        hints = [(r.by_tag, r.by_name if r.by_name > 0 or 2 * r.words < total or r.tag in INLINE else 0) for r in b.pop("regions")]
+        sides = [-1 if -1 in h else max(h) for h in hints]
+        b["boiler"] = 2 * any(t < 0 for t, _ in hints) or int(any(n < 0 for _, n in hints))
+        b["content"] = int(any(x > 0 for x in sides))
+        b["nearest"] = next((x for x in reversed(sides) if x), 0)
     return parser.blocks
 
 
 def features(blocks: list[dict]) -> np.ndarray:
     """A row of FEATURES for each block; beyond the page's ends there are no words."""
     n = len(blocks)
-    own = np.array([[b["boiler"], b["content"], b["heading"], b["listed"]] for b in blocks], float).reshape(n, 4)
+    if not n:
+        return np.zeros((0, len(FEATURES)))
     words = np.array([b["words"] for b in blocks], float)
-    links = np.array([min(1.0, b["linked"] / b["words"]) for b in blocks])
-    around = [np.concatenate(p) for p in (([0.0], words[:-1]), ([0.0], links[:-1]), (words[1:], [0.0]), (links[1:], [0.0]))] if n else [words] * 4
-    return np.column_stack((own, words, links, *around)) if n else np.zeros((0, len(FEATURES)))
+    links = np.array([b["linked"] / b["words"] for b in blocks])
+    around = [np.concatenate(p) for p in (([0.0], words[:-1]), ([0.0], links[:-1]), (words[1:], [0.0]), (links[1:], [0.0]))]
+    own = [np.array([b[f] for b in blocks], float) for f in FEATURES[6:]]
+    return np.column_stack((words, links, *around, *own))
 
 
 class Tree:
     """A decision tree by Gini impurity; ties go to the earlier feature and the lower threshold."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 1):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 12, least: int = 4):
         self.label = bool(2 * y.sum() > len(y))
         self.feature = None
         if depth == 0 or y.all() or not y.any():
@@ -173,60 +233,82 @@ class Tree:
         return out
 
 
-_LONG = "The committee met in the old town hall and after a long debate agreed to repair the bridge before the winter, since the river had risen twice."
-_MID = "Nobody had expected so many visitors on the first day."
-#: The labelled table: pages of blocks; a line that starts with + is main text, one with - is not. Each line is the block's HTML.
-LABELLED = [
-    [
-        '-<nav><ul><li><a href="/">Home</a></li>', '-<li><a href="/a">News</a></li>', '-<li><a href="/b">About us</a></li></ul></nav>', '-<div class="ad">Buy now and save on every order this week.</div>',
-        "+<article><h1>The bridge is repaired</h1>", f"+<p>{_LONG}</p>", "+<p>So it was.</p>", f"+<p>{_LONG} {_MID}</p>", '+<p>See <a href="/x">the plans</a> for more.</p>', "+<ul><li>One stone arch</li>", "+<li>Two new lamps</li></ul></article>",
-        '-<aside><h3>Related</h3>', '-<a href="/r">Ten bridges you must see</a></aside>', "-<footer>&copy; The Town Paper. All rights reserved.</footer>",
-    ],
-    [
-        '-<header><div>The Daily</div>', '-<a href="/in">Log in</a></header>', '-<div class="cookie-notice">We use cookies to make this site better for you and to measure how it is used by visitors every day.</div>',
-        f'+<main><h2>Visitors</h2>', f"+<p>{_MID}</p>", f"+<blockquote>{_LONG}</blockquote>", "+<p>Yes.</p></main>",
-        f'-<section id="comments"><h3>Comments</h3>', f"-<p>{_LONG}</p>", "-<p>I do not agree.</p></section>", '-<form><label>Your name</label></form>', '-<div role="contentinfo">Imprint and contact</div>',
-    ],
-    [
-        '-<div><a href="/1">Home</a> <a href="/2">Sport</a> <a href="/3">Weather</a></div>',
-        f"+<div><p>{_LONG}</p>", f"+<p>{_LONG} {_LONG}</p>", f"+<p>{_MID}</p>", f"+<p>{_LONG} {_MID}</p></div>",
-        '-<p><a href="/4">Older posts</a></p>', '-<div><a href="/5">Terms</a> <a href="/6">Privacy</a> <a href="/7">Contact the editors</a></div>',
-    ],
-    [
-        f'+<div class="post-content"><h1>Repairs</h1>', f"+<p>{_LONG}</p>", f'-<div class="newsletter">Sign up to hear from us: {_MID}</div>', "+<p>The end.</p>", f"+<p>{_MID}</p></div>",
-        f'-<div class="comments"><div class="comment-content"><p>{_LONG}</p>', "-<p>Well said.</p></div></div>", f'-<div class="sidebar"><p>{_LONG}</p></div>', f'-<div role="alert">{_MID}</div>',
-    ],
-    [
-        f'-<div class="notice">{_LONG}</div>', "+<article><header><h1>Lamps</h1>", "+<p>By a reporter</p></header>", "+<p>Of.</p>", f"+<p>{_LONG}</p>", f'-<aside class="promo">{_LONG}</aside>', "+<table><tr><td>Lamps</td>", "+<td>12</td></tr></table>",
-        '-<nav><a href="/8">Next article</a></nav>', f'-<div id="comments"><p>{_MID}</p></div></article>', f"-<footer><p>{_LONG}</p></footer>",
-    ],
-    [
-        '-<nav><a href="/">Home</a></nav>', "+<article><h1>Rivers</h1>", '+<p><a href="/map">A map of the river</a></p>', f"+<p>{_LONG}</p>", '+<ul><li><a href="/s">The full survey</a></li></ul>', f"+<p>{_MID}</p></article>",
-    ],
-    [
-        '-<div><a href="/1">Home</a> <a href="/2">Sport</a></div>', "-<div>Browse by topic</div>", '-<div><a href="/5">Town</a> <a href="/6">River</a></div>', f"+<p>{_LONG}</p>", "+<p>So they said.</p>", f"+<p>{_LONG}</p>", f"+<p>{_MID}</p>", '-<p><a href="/3">More</a> <a href="/4">Back to the start</a></p>',
-    ],
-    [
-        '-<ul><li><a href="/1">Home</a></li>', '-<li><a href="/2">Archive</a></li></ul>', f"+<h2>Winter</h2>", f"+<p>{_LONG}</p>", f"+<p>{_LONG}</p>", '-<div><a href="/9">Imprint</a></div>',
-    ],
+#: Texts that fill the labelled table: paragraphs, sentences, short sentences, names and titles.
+LONG = [
+    "The committee met in the old town hall and after a long debate agreed to repair the bridge before the winter, since the river had risen twice and the road to the mill was closed for a week each time.",
+    "Der Rat der Stadt hat am Abend beschlossen, die alte Br\u00fccke noch vor dem Winter zu erneuern, weil der Fluss im vergangenen Jahr zweimal \u00fcber die Ufer getreten war und niemand mehr zur M\u00fchle kam.",
+    "Les habitants du village ont attendu toute la journ\u00e9e sur la place, mais le maire n'est arriv\u00e9 que tard dans la soir\u00e9e pour expliquer pourquoi le pont resterait ferm\u00e9 jusqu'au printemps.",
+    "She had kept the letters in a drawer for thirty years. Nobody knew of them until the house was sold; then the new owner found the key, read the first lines, and drove to the coast to give them back.",
+]
+MID = ["Nobody had expected so many visitors on the first day.", "El r\u00edo creci\u00f3 otra vez y nadie pudo cruzar el puente.", "The second attempt, made in spring, went better than the first one.", "We use what we have and ask for nothing more than a little time."]
+SHORT = ["So it was.", "He agreed.", "Nadie lo sab\u00eda.", "Yes."]
+NAME = ["Home", "About us.", "The town paper", "Contact", "Older posts", "Ten bridges you must see!", "Sport", "Log in", "News.", "and,", "Weather: rain."]
+TITLE = ["The bridge is repaired", "Visitors in the valley", "A letter from the coast", "What the river took"]
+
+#: Articles: a line that starts with + is main text, one with - is not. Each line is a block's HTML, or tags alone.
+ARTICLES = [
+    ["+<h1>{T}</h1>", "+<p>{L}</p>", "+<p>{S}</p>", "+<p>{L} {M}</p>", "+<p>{M}</p>"],
+    ["+<h1>{T}</h1>", "+<p>{M}</p>", "+<ul><li>{M}</li>", "+<li>{N}</li>", '+<li><a href="/s">{M}</a></li></ul>', "+<p>{L}</p>", "+<blockquote>{L}</blockquote>", "+<p>{S}</p>"],
+    ["+<h2>{T}</h2>", '+<p>{M} <a href="/x">{N}</a> {L}</p>', "+<p>{L} {L}</p>", '+<p><a href="/map">{T}</a></p>', "+<h3>{T}</h3>", "+<p>{L}</p>"],
+    ["+<h1>{T}</h1>", "+<p>{L}</p>", '-<div class="related"><a href="/r">{N}</a></div>', "+<p>{M} {M}</p>", "-<aside>{M}</aside>", "+<p>{L}</p>", '-<div class="newsletter">{M}</div>', "+<p>{S}</p>"],
+    ["+<h1>{T}</h1>", "+<p>{L}</p>", "+<table><tr><td>{N}</td>", "+<td>12</td></tr>", "+<tr><td>{N}</td>", "+<td>7</td></tr></table>", "+<p>{L}</p>", '+<p class="body-text notice-of-death">{M}</p>', "+<p>{L}</p>"],
+    ['+<div class="entry-header"><h1>{T}</h1></div>', "+<p>{S}</p>", "+<p>{L}</p>", '-<div class="share-links"><a href="/f">{N}</a></div>', "+<p>{L} {M} {L}</p>"],
+]
+#: Sites: lines before the article, its wrapper's tags, and lines after it.
+SITES = [
+    (['-<nav><ul><li><a href="/">{N}</a></li>', '-<li><a href="/a">{N}</a></li>', '-<li><a href="/b">{N}</a></li></ul></nav>', '-<div class="ad">{M}</div>'], "<article>", "</article>", ["-<footer>&copy; {N} &middot; {M}</footer>"]),
+    (["-<header><div>{N}</div>", '-<a href="/in">{N}</a></header>', '-<div class="cookie-notice">{M} {M}</div>'], "<main>", "</main>", ['-<section id="comments"><h3>{N}</h3>', "-<p>{L}</p>", "-<p>{S}</p></section>", "-<form><label>{N}</label></form>", '-<div role="contentinfo">{N}</div>']),
+    (['-<div><a href="/1">{N}</a> <a href="/2">{N}</a> <a href="/3">{N}</a></div>'], "<div>", "</div>", ['-<p><a href="/4">{N}</a></p>', '-<div><a href="/5">{N}</a> <a href="/6">{N}</a> <a href="/7">{N}</a></div>']),
+    (['-<div class="site-header"><a href="/">{N}</a></div>'], '<div class="site has-sidebar"><div class="post-content">', "</div></div>", ['-<div class="comments"><div class="comment-content"><p>{L}</p>', "-<p>{M}</p></div></div>", '-<div class="sidebar"><p>{L}</p>', '-<ul><li><a href="/r">{N}</a></li></ul></div>', '-<div role="alert">{M}</div>']),
+    (["-<header><h1>{N}</h1></header>", '-<div class="notice">{L}</div>'], '<article class="post"><header>', "</article>", ['-<aside class="promo">{L}</aside>', '-<nav><a href="/8">{T}</a></nav>', '-<div id="comments"><p>{M}</p></div>', "-<footer><p>{L}</p></footer>"]),
+    (['-<table><tr><td><a href="/1">{N}</a></td>', '-<td><a href="/2">{N}</a></td></tr></table>'], "", "", ['-<p><a href="/3">{N}</a> <a href="/4">{N}</a></p>']),
+    ([], "", "", []),
+    ([], "<article>", "</article>", []),
+    ([], "<div>", "</div>", ['-<p><a href="/b">{N}</a></p>']),
+    (['-<p><a href="/b">{N}</a></p>'], '<div class="story">', "</div>", []),
+    (['-<ul><li><a href="/1">{N}</a></li>', '-<li><a href="/2">{N}</a></li>', '-<li><a href="/3">{N}</a></li></ul>'], "<section>", "</section>", ['-<ul><li><a href="/9">{T}</a></li>', '-<li><a href="/10">{T}</a></li></ul>', '-<div>&copy; <a href="/11">{N}</a></div>']),
+    (['-<div id="masthead"><a href="/">{N}</a>', '-<form><input name="q"> {N}</form></div>', '-<div class="breadcrumbs"><a href="/">{N}</a> / <a href="/n">{N}</a></div>'], '<div id="content"><div class="story">', "</div></div>", ['-<div class="tags"><a href="/t">{N}</a> <a href="/u">{N}</a></div>', '-<div class="related"><h3>{N}</h3>', '-<p><a href="/x">{T}</a></p>', '-<p><a href="/y">{T}</a></p></div>', '-<div id="footer">{M} <a href="/p">{N}</a></div>']),
+    (['-<div class="popup">{M} {M}</div>', '-<div class="menu"><a href="/1">{N}</a> <a href="/2">{N}</a></div>'], '<div role="main">', "</div>", ['-<div class="author-box"><a href="/me">{N}</a></div>', '-<div class="disqus"><p>{M}</p>', "-<p>{L}</p></div>", '-<div class="copyright">{M}</div>']),
+    (['-<p><a href="/">{N}</a></p>'], "<div><div>", "</div></div>", ['-<p><a href="/next">{N}</a></p>', '-<p><a href="/prev">{T}</a></p>']),
+    (['-<div class="top-bar"><a href="/">{N}</a> <a href="/l">{N}</a></div>', '-<div class="sponsored">{L}</div>'], '<article><div class="entry">', "</div></article>", ['-<section class="comments"><article class="comment"><p>{L}</p></article>', '-<article class="comment"><p>{S}</p></article></section>', '-<div class="legal"><a href="/c">{N}</a> {M}</div>']),
+    (['-<div class="social"><a href="/f">{N}</a> <a href="/g">{N}</a></div>'], '<div class="hentry">', "</div>", ['-<ol class="commentlist"><li><p>{M}</p></li>', "-<li><p>{L}</p></li></ol>", '-<div id="respond">{N}</div>', '-<aside><a href="/z">{N}</a></aside>']),
+    ([*[f'-<li><a href="/{k}">{{N}}</a></li>' for k in range(8)], "-<div>{N}</div>"], "<div>", "</div>", [*[f'-<li><a href="/{k}">{{T}}</a></li>' for k in range(8)], '-<p>{N} &middot; <a href="/i">{N}</a></p>']),
+    ([*[f'-<td><a href="/{k}">{{N}}</a></td>' for k in range(6)]], "<center>", "</center>", ['-<p><a href="/b">{N}</a></p>', *[f'-<td><a href="/{k}">{{N}} {{N}}</a></td>' for k in range(6)]]),
+    (['-<dl><dt><a href="/d">{T}</a></dt>', *[f'-<dd><a href="/{k}">{{N}}</a> {{N}}</dd>' for k in range(5)], "+</dl>"], "<div><section>", "</section></div>", [*[f'-<p><a href="/{k}">{{T}}</a>, <a href="/q{k}">{{N}}</a></p>' for k in range(6)], "-<div>{N}</div>"]),
+    (['-<div><a href="/l">{N}</a></div>', *[f'-<li><a href="/{k}">{{N}}</a></li>' for k in range(5)]], "<div>", "</div>", ['-<div><a href="/m">{N}</a> {N} <a href="/n">{N}</a></div>', *[f'-<li><a href="/{k}">{{T}}</a></li>' for k in range(7)]]),
 ]
 
 
+def labelled_pages() -> list[list[str]]:
+    """The labelled table: every site with every article, filled with the texts in turn."""
+    pages, turn = [], 0
+    for before, opening, closing, after in SITES:
+        for article in ARTICLES:
+            lines = [*before, f"+{opening}", *article, f"+{closing}", *after]
+            if opening.endswith("<header>"):  # the header of an article holds its title
+                lines = [*before, f"+{opening}", article[0], "+</header>", *article[1:], f"+{closing}", *after]
+            for k, line in enumerate(lines):
+                for mark, texts in (("{L}", LONG), ("{M}", MID), ("{S}", SHORT), ("{N}", NAME), ("{T}", TITLE)):
+                    while mark in line:
+                        line, turn = line.replace(mark, texts[turn % len(texts)], 1), turn + 1
+                lines[k] = line
+            pages.append(lines)
+    return pages
+
+
+def rows_of_page(page: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of a labelled page's blocks; a line may hold several blocks or none, all have its label."""
+    blocks = blocks_of("".join(line[1:] for line in page))
+    marks = [line[0] == "+" for line in page for _ in blocks_of(line[1:])]
+    if len(marks) != len(blocks):
+        raise ValueError("a labelled line does not end its block")
+    return features(blocks), np.array(marks)
+
+
 def train(labelled: list[list[str]] | None = None) -> Tree:
     """A tree from the labelled table."""
-    xs, ys = [], []
-    for page in LABELLED if labelled is None else labelled:
-        blocks = blocks_of("".join(line[1:] for line in page))
-        marks, k = [], 0
-        for line in page:  # a line may hold several blocks; all have its label
-            n = len(blocks_of(line[1:]))
-            marks += [line[0] == "+"] * n
-            k += n
-        if len(marks) != len(blocks):
-            raise ValueError("a labelled line does not end its block")
-        xs.append(features(blocks))
-        ys.append(np.array(marks))
-    return Tree(np.concatenate(xs), np.concatenate(ys))
+    rows = [rows_of_page(p) for p in (labelled_pages() if labelled is None else labelled)]
+    return Tree(np.concatenate([x for x, _ in rows]), np.concatenate([y for _, y in rows]))
 
 
 def main_text(html: str | None, tree: Tree) -> str:
