@@ -2,13 +2,15 @@
 
 Kernel of two texts: the number of character n-grams (n = 1 to 3, a blended spectrum) that
 are present in both, over the root of the product of their numbers of n-grams. A bounded
-sample of labelled rows (SAMPLE rows per language) trains one-versus-rest kernel ridge
-regressions; LANDMARKS of these rows per language approximate the kernel (Nyström). A
-batch of texts is scored by two matrix products: n-gram presence times the landmarks'
-presence, then times the weights.
+sample of labelled rows (SAMPLE rows for each label, however many labels there are) trains
+one-versus-rest kernel ridge regressions; LANDMARKS of these rows per label approximate the
+kernel (Nyström). A batch of texts is scored by two matrix products: n-gram presence times
+the landmarks' presence, then times the weights.
 
-Characters are lower-cased; runs of characters that are no letters count as one word
-border. The whole text is read, whatever its length.
+N-grams are of code points: lower-cased letters, each as it is in any script, and a border
+for every run of other characters. An n-gram is known by its hash to one of BUCKETS. Whole
+texts are read, in blocks, so that a very long one needs little memory; the rows that are
+learned from hand on the buckets that they hold, not their texts.
 
 The margins of a text sum to about 2 - k for k languages whatever it says, so the best of
 them never falls under a floor and cannot tell that a text is in none of the languages. What
@@ -16,8 +18,8 @@ can fall is the share of its three-letter n-grams, repeats counted, that the lan
 the best language hold; under LEAST_KNOWN the text is ``und``.
 
 Defined results. Null texts, texts without a letter and texts in none of the languages: ``und``, score 0. Rows whose label,
-text or id is null teach nothing. With no labelled row at all every text is ``und``. Equal
-scores: the language first in alphabetical order. Repeated rows are each scored. An empty
+text or id is null, or whose text has no letter, teach nothing. With no labelled row at all every text is ``und``. Equal
+scores: the language first in alphabetical order. Repeated rows are each scored, and teach once. An empty
 table gives no rows. All asked-for columns are kept; the result is one struct column whose
 name gets a number if it is taken.
 """
@@ -26,121 +28,130 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.llm.sample import least_keys, row_key, rows_of
 from quire.plans.staging import fresh, shipped
 
-#: Bounds of what is learned from: labelled rows per language, characters of each, languages, landmarks per language.
-SAMPLE, SAMPLE_CHARS, LANGUAGES, LANDMARKS = 160, 20_000, 64, 40
-ALPHABET = 96  # letters told apart: the commonest of the sample; all others are one class
+#: Bounds of what is learned from: labelled rows per label, and landmarks among them.
+SAMPLE, LANDMARKS = 160, 40
+BUCKETS = 1 << 22
 #: sf0.1: held-out rows have 0.72 and more; random letters, Polish, Finnish, Italian and Dutch 0.53 and less.
 LEAST_KNOWN = 0.55
 RIDGE = 1e-2
 BATCH = 64  # texts in one matrix product
+BLOCK = 1 << 18  # characters whose n-grams are hashed at a time
 
 RESULT = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
 
+_LETTER: list[np.ndarray] = []
 
-class Kernel:
-    """N-gram presence over an alphabet and the n-grams that the landmarks hold."""
-
-    def __init__(self, texts: list[str]):
-        counts: dict[str, int] = {}
-        for t in texts:
-            for c in t.lower():
-                if c.isalpha():
-                    counts[c] = counts.get(c, 0) + 1
-        self.letters = sorted(sorted(counts, key=lambda c: (-counts[c], c))[:ALPHABET])
-        self.size = len(self.letters) + 2  # 0: word border, 1: another letter
-        self.column = None
-
-    def classes(self, text: str) -> np.ndarray:
-        """Letter classes of a text with one border at each side of every word."""
-        if not hasattr(self, "_class"):
-            known = np.full(0x110000, 255, np.uint8)
-            known[[ord(c) for c in self.letters]] = np.arange(2, self.size)
-            self._class = known
-        points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        found = self._class[points]
-        new = found == 255
-        if new.any():
-            odd, back = np.unique(points[new], return_inverse=True)
-            found[new] = np.array([1 if chr(c).isalpha() else 0 for c in odd.tolist()], np.uint8)[back]
-        found = np.concatenate(([0], found, [0]))
-        keep = (found[1:] != 0) | (found[:-1] != 0)
-        return np.concatenate(([0], found[1:][keep])).astype(np.int32)
-
-    def grams(self, text: str) -> np.ndarray:
-        """Numbers of all n-grams of a text, repeats included."""
-        c, k = self.classes(text), self.size
-        two = c[:-1] * k + c[1:]
-        return np.concatenate((c, k + two, k + k * k + two[:-1] * k + c[2:]))
-
-    def fit(self, texts: list[str]) -> None:
-        found = np.unique(np.concatenate([self.grams(t) for t in texts]))
-        self.column = np.full(self.size + self.size**2 + self.size**3, len(found), np.int32)
-        self.column[found] = np.arange(len(found))
-        self.width = len(found)
-
-    def presence(self, texts: list[str]) -> np.ndarray:
-        """Which of the landmarks' n-grams each text holds, over the root of the number of all its n-grams."""
-        return self.rows([self.grams(t) for t in texts])
-
-    def rows(self, grams: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(grams), self.width + 1), np.float32)
-        size = np.zeros((len(grams), 1), np.float32)
-        for k, g in enumerate(grams):
-            at = self.column[g]
-            out[k, at] = 1
-            size[k] = len(np.unique(g[at == self.width]))
-        out = out[:, : self.width]
-        return out / np.sqrt(np.maximum(out.sum(1, keepdims=True) + size, 1))
-
-    def triples(self, grams: np.ndarray) -> np.ndarray:
-        """Columns of a text's n-grams of three, repeats included; unknown ones have the column width."""
-        return self.column[grams[grams >= self.size + self.size**2]]
+
+def letter_table() -> np.ndarray:
+    """Which code points are letters."""
+    if not _LETTER:
+        _LETTER.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
+    return _LETTER[0]
+
+
+def letters(text: str, before: int) -> np.ndarray:
+    """Code points of a text in lower case, with one 0 for each run between letters; none if 0 stood before."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    points = np.where(letter_table()[points], points, 0).astype(np.uint64)
+    last = np.concatenate((np.array([before], np.uint64), points[:-1]))
+    return points[(points != 0) | (last != 0)]
+
+
+def hashed(symbols: np.ndarray, n: int) -> np.ndarray:
+    """Buckets of the n-grams of symbols."""
+    code = np.full(max(0, len(symbols) - n + 1), n, np.uint64)
+    for k in range(n):
+        code = code * np.uint64(0x9E3779B97F4A7C15) + symbols[k : k + len(code)]
+    code = (code ^ (code >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (code >> np.uint64(42)).astype(np.int64)
+
+
+def blocks(text: str):
+    """Buckets of n-grams (of one and two letters, of three; repeats included) of a text, a block of it at a time."""
+    border = np.zeros(1, np.uint64)
+    held = border[:0]
+    for k in range(0, len(text), BLOCK):
+        new = border if not k else border[:0]
+        new = np.concatenate((new, letters(text[k : k + BLOCK], int((*held, *new)[-1]))))
+        symbols = np.concatenate((held, new))
+        if k + BLOCK >= len(text) and symbols[-1]:
+            symbols = np.concatenate((symbols, border))
+        n = len(held)
+        yield np.concatenate((hashed(symbols[n:], 1), hashed(symbols[max(0, n - 1) :], 2))), hashed(symbols, 3)
+        held = symbols[-2:]
+
+
+def buckets(text: str) -> np.ndarray:
+    """The distinct buckets of a text."""
+    found = [np.unique(np.concatenate(b)) for b in blocks(text)]
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
 class Model:
     """Nyström features of the kernel, and one ridge regression per language."""
 
-    def __init__(self, labels: list[str], texts: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE):
+    def __init__(self, labels: list[str], grams: list[np.ndarray], landmarks: int = LANDMARKS, ridge: float = RIDGE):
+        """labels and distinct buckets of the rows that are learned from."""
         self.langs = sorted(set(labels))
         if not self.langs:
             return
-        marks = [t for lang in self.langs for t in [t for t, y in zip(texts, labels, strict=True) if y == lang][:landmarks]]
-        self.kernel = Kernel(marks)
-        self.kernel.fit(marks)
-        self.marks = self.kernel.presence(marks)
+        of = {lang: [k for k, y in enumerate(labels) if y == lang] for lang in self.langs}
+        marks = [k for lang in self.langs for k in of[lang][:landmarks]]
+        known = np.unique(np.concatenate([grams[k] for k in marks]))
+        self.width = len(known)
+        self.column = np.full(BUCKETS, self.width, np.int32)
+        self.column[known] = np.arange(self.width)
+        self.marks = np.concatenate([self.presence(grams[k])[None] for k in marks])
         # Which n-grams the landmarks of each language hold; none holds the column of unknown ones.
-        owner = [lang for lang in self.langs for _ in [y for y in labels if y == lang][:landmarks]]
-        self.holds = np.zeros((len(self.langs), self.kernel.width + 1), bool)
-        for lang, row in zip(owner, self.marks, strict=True):
-            self.holds[self.langs.index(lang), :-1] |= row > 0
+        self.holds = np.zeros((len(self.langs), self.width + 1), bool)
+        for k, row in zip(marks, self.marks, strict=True):
+            self.holds[self.langs.index(labels[k]), :-1] |= row > 0
         values, vectors = np.linalg.eigh((self.marks @ self.marks.T).astype(np.float64))
         good = values > 1e-6 * values[-1]
         root = vectors[:, good] / np.sqrt(values[good])
-        x = (self.kernel.presence(texts) @ self.marks.T).astype(np.float64) @ root
+        x = np.concatenate([(self.presence(g) @ self.marks.T)[None] for g in grams]).astype(np.float64) @ root
         x1 = np.hstack((x, np.ones((len(x), 1))))
         y = np.array([[1.0 if label == lang else -1.0 for lang in self.langs] for label in labels])
-        share = np.array([1 / labels.count(label) for label in labels])[:, None]  # each language weighs the same
+        share = np.array([1 / len(of[label]) for label in labels])[:, None]  # each language weighs the same
         share *= len(labels) / len(self.langs)
         w = np.linalg.solve(x1.T @ (share * x1) + ridge * np.eye(x1.shape[1]), x1.T @ (share * y))
         self.weights, self.bias = (root @ w[:-1]).astype(np.float32), w[-1]
 
+    def presence(self, grams: np.ndarray) -> np.ndarray:
+        """Which of the landmarks' n-grams a text of these distinct buckets holds, over the root of the number of all of them."""
+        out = np.zeros(self.width + 1, np.float32)
+        out[self.column[grams]] = 1
+        return out[:-1] / np.sqrt(max(1, len(grams)))
+
+    def row(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Presence of a text, and how many of its three-letter n-grams, repeats counted, each language holds, as a share."""
+        distinct, known, total = [], np.zeros(len(self.langs)), 0
+        for short, triple in blocks(text):
+            distinct.append(np.unique(np.concatenate((short, triple))))
+            at = self.column[triple]
+            known += self.holds[:, at].sum(1)
+            total += len(triple)
+        found = distinct[0] if len(distinct) == 1 else np.unique(np.concatenate(distinct))
+        return self.presence(found), known / max(1, total)
+
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out = [("und", 0.0)] * len(texts)
         use = [i for i, t in enumerate(texts) if self.langs and t and any(map(str.isalpha, t))]
         for k in range(0, len(use), BATCH):
             rows = use[k : k + BATCH]
-            grams = [self.kernel.grams(texts[i]) for i in rows]
-            margin = (self.kernel.rows(grams) @ self.marks.T) @ self.weights + self.bias
+            found = [self.row(texts[i]) for i in rows]
+            margin = (np.stack([p for p, _ in found]) @ self.marks.T) @ self.weights + self.bias
             best = margin.argmax(1)
             score = np.clip((margin[np.arange(len(rows)), best] + 1) / 2, 0, 1)
-            for i, g, b, s in zip(rows, grams, best.tolist(), score.tolist(), strict=True):
-                if self.holds[b, self.kernel.triples(g)].mean() >= LEAST_KNOWN:
+            for i, (_, known), b, s in zip(rows, found, best.tolist(), score.tolist(), strict=True):
+                if known[b] >= LEAST_KNOWN:
                     out[i] = (self.langs[b], s)
         return out
 
@@ -151,31 +162,27 @@ def held_out(id_col: str, parts: int, part: int) -> Column:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", may_learn: Column | None = None) -> Model:
-    """A model from at most LANGUAGES (the commonest) times SAMPLE labelled rows, chosen by a hash of the id.
+    """A model from at most SAMPLE labelled rows of each label, those with the least hash of id, label and text.
 
-    The rows are picked by id alone; the texts of the picked rows are then fetched.
+    The rows are picked by hash alone; the texts of the picked rows are then read where they lie, whole.
     """
-    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
+    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & F.col(id_col).isNotNull())
     if may_learn is not None:
         rows = rows.filter(may_learn)
-    langs = [r[0] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()]
-    by = Window.partitionBy(lang_col).orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col)
-    picked = (
-        rows.filter(F.col(lang_col).isin(langs) if langs else F.lit(False))
-        .select(id_col, lang_col)
-        .withColumn("_n", F.row_number().over(by))
-        .filter(F.col("_n") <= SAMPLE)
-    )
-    ids = [r[0] for r in picked.select(id_col).collect()]
-    if not ids:
+    rows = rows.select(row_key(id_col, lang_col, text_col).alias("key"), F.col(lang_col).cast("string").alias("label"), F.col(text_col).alias("text"))
+    keys = set().union(*least_keys(rows, "label", "key", SAMPLE).values())
+    if not keys:
         return Model([], [])
-    # A long text is cut to pieces and one piece kept, for learning only; predictions read whole texts.
-    start = F.greatest(F.lit(1), F.lit(1) + F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.length(text_col) - SAMPLE_CHARS + 1).cast("int"))
-    piece = F.when(F.length(text_col) <= SAMPLE_CHARS, F.col(text_col)).otherwise(F.substring(F.col(text_col), start, F.lit(SAMPLE_CHARS)))
-    found = rows.filter(F.col(id_col).isin(ids)).select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(lang_col).alias("y"), piece.alias("t"))
-    found = sorted(map(tuple, found.limit(2 * len(ids)).collect()))
-    found = [r for r in found if any(map(str.isalpha, r[2]))]
-    return Model([y for _, y, _ in found], [t for _, _, t in found])
+
+    def run(batches):
+        for batch in batches:
+            grams = [buckets(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("label"), pa.array(grams, pa.list_(pa.int32()))], names=["key", "label", "grams"])
+
+    found = rows_of(rows, "key", keys).mapInArrow(run, "key long, label string, grams array<int>").toArrow()
+    found = found.sort_by([("key", "ascending"), ("label", "ascending")])
+    grams = [np.asarray(g.values.to_numpy(zero_copy_only=False), np.int64) for g in found.column("grams")]
+    return Model(found.column("label").to_pylist(), grams)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, name: str = "language") -> tuple[DataFrame, str]:

@@ -8,14 +8,50 @@ import pytest
 from quire.llm import langid, toxicity
 
 
+def slow_grams(text):
+    """N-grams by the definition: lower-case letters, a border for each run of other characters."""
+    s = re.sub("_+", "_", "_" + "".join(c if c.isalpha() else "_" for c in text.lower()) + "_")
+    return [s[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1)]
+
+
+def as_buckets(grams):
+    at = lambda g: int(langid.hashed(np.array([0 if c == "_" else ord(c) for c in g], np.uint64), len(g))[0])
+    return [at(g) for g in grams]
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 5, 1 << 18])
+def test_grams_do_not_depend_on_blocks(block, monkeypatch):
+    monkeypatch.setattr(langid, "BLOCK", block)
+    for text in ["the cat", "The  cat!!", "a", "??a? b!", "Straße 中文 1 x", "!!", " a b  c "]:
+        want = sorted(as_buckets(slow_grams(text)))
+        got = np.sort(np.concatenate([np.concatenate(b) for b in langid.blocks(text)])).tolist()
+        assert got == want, (text, block)
+
+
 def test_kernel_is_shared_grams_over_the_root_of_the_product():
     texts = ["the cat", "The  cat!!", "le chat", "x"]
-    kernel = langid.Kernel(texts)
-    kernel.fit(texts)
-    grams = [set(kernel.grams(t).tolist()) for t in texts]
-    want = [[len(a & b) / (len(a) * len(b)) ** 0.5 for b in grams] for a in grams]
-    p = kernel.presence(texts)
-    assert np.allclose(p @ p.T, want, atol=1e-6) and want[0][1] == 1
+    grams = [langid.buckets(t) for t in texts]
+    model = langid.Model(["a", "b", "c", "d"], grams)
+    sets = [set(slow_grams(t)) for t in texts]
+    want = [[len(a & b) / (len(a) * len(b)) ** 0.5 for b in sets] for a in sets]
+    assert np.allclose(model.marks @ model.marks.T, want, atol=1e-6) and want[0][1] == 1
+
+
+def test_scores_equal_a_slow_kernel_regression():
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(w) for _ in range(12)) for w in (["the", "dog", "house"], ["le", "chien", "maison"], ["der", "hund", "haus"]) for _ in range(6)]
+    labels = [x for x in ("en", "fr", "de") for _ in range(6)]
+    model = langid.Model(labels, [langid.buckets(t) for t in texts], landmarks=6)
+    sets = [set(slow_grams(t)) for t in texts]
+    k = np.array([[len(a & b) / (len(a) * len(b)) ** 0.5 for b in sets] for a in sets])
+    # with every row a landmark the Nyström features give the kernel itself: ridge regression in its dual form, with a bias
+    y = np.array([[1.0 if v == lang else -1.0 for lang in ("de", "en", "fr")] for v in labels])
+    x = np.linalg.eigh(k)[1] * np.sqrt(np.maximum(np.linalg.eigh(k)[0], 0))
+    x1 = np.hstack((x, np.ones((18, 1))))
+    margin = x1 @ np.linalg.solve(x1.T @ x1 + langid.RIDGE * np.eye(19), x1.T @ y)
+    got = model.predict(texts)
+    assert [lang for lang, _ in got] == labels
+    assert np.allclose([s for _, s in got], np.clip((margin.max(1) + 1) / 2, 0, 1), atol=1e-3)
 
 
 def test_language_edges(spark):
@@ -32,6 +68,17 @@ def test_language_edges(spark):
     assert langid.identify(docs.limit(0), none)[0].count() == 0
 
 
+def test_many_languages_and_scripts(spark):
+    """No bound on the number of labels, and letters of any script are told apart."""
+    rng = random.Random(8)
+    alphabets = [[chr(0x4E00 + 40 * k + j) for j in range(40)] for k in range(70)]
+    say = lambda k: " ".join("".join(rng.choice(alphabets[k]) for _ in range(4)) for _ in range(30))
+    rows = [(100 * k + i, say(k), f"l{k:02d}") for k in range(70) for i in range(3)] + [(5, say(0), "l00"), (5, "again", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found, at = langid.identify(docs, langid.train(docs.unionByName(docs)))
+    assert all(r[at].lang == r.lang for r in found.collect() if r.lang)
+
+
 def test_language_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     got = langid.op4_langid(spark, sf).toPandas()
