@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 
 #: Lower-cases A-Z and turns every ASCII byte outside 0-9a-z into a space; other bytes stay.
 _WORD_TABLE = bytes(
@@ -22,3 +23,8 @@ def space_words(raw: bytes | None) -> list[bytes]:
 
 def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
+
+
+def opened(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path in the shared folder, and the path there."""
+    return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
