@@ -14,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where none is set (tests, one machine) a new local folder."""
+    """The cluster's spark.checkpoint.dir; where none is set, on one machine alone, a new local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quire-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -34,15 +36,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a path under the shared folder."""
+    if not path.startswith(f"{shared_dir(spark)}/quire/"):
+        raise ValueError(f"{path} is not in the shared folder")
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a staged table that no later plan reads."""
     spark = df.sparkSession
     root = f"{shared_dir(spark)}/quire/"
-    jvm = spark.sparkContext._jvm
+    inside = root.split("://")[-1].replace("file:", "")
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if root.split("://")[-1].replace("file:", "") in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if inside in folder:
+            removed(spark, root + folder.split(inside, 1)[1])
 
 
 def shipped(spark: SparkSession, value):
