@@ -8,9 +8,9 @@ neither: the search starts at the least sufficient rest and steps to the next bi
 is compatible; if none is, a new bin is opened. So a bin holds at most one piece of a
 duplicate cluster and at most PER_SOURCE pieces of one source.
 
-Documents are dealt by a hash of id and length to shards of about SHARD pieces, and each
-shard is packed by one task; texts do not move. A source or cluster that holds a third of all
-rows is spread evenly over the shards.
+Pieces are numbered as they are read and dealt by a hash of that number to shards of about
+SHARD pieces; each shard is packed by one task; texts do not move. A source or cluster that
+holds a third of all rows is spread evenly over the shards, and so are rows of null or equal id.
 
 Defined results. Null and empty texts have length 0 and take a place like others. A null
 source or cluster conflicts with nothing. Equal lengths go by id, then by piece; repeated
@@ -76,9 +76,10 @@ def pack(
     )
     each = rows.select("*", F.posexplode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("total") / capacity) - 1, F.lit(0)))).alias("piece", "_k"))
     start = F.col("piece").cast("long") * capacity
-    each = each.select("id", "piece", start.alias("start"), F.least(F.col("total") - start, F.lit(capacity)).alias("length"), "source", "cluster", "total")
+    each = each.select("id", "piece", start.alias("start"), F.least(F.col("total") - start, F.lit(capacity)).alias("length"), "source", "cluster")
     n_shards = max(1, -(-each.count() // shard))
-    dealt = each.withColumn("shard", F.pmod(F.xxhash64("id", "piece", "total"), F.lit(n_shards)))
+    # The number tells apart rows that agree in all columns; a task that runs again gives the same numbers.
+    dealt = each.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id(), "id", "piece"), F.lit(n_shards)))
     fields = [T.StructField("id", docs.schema[id_col].dataType)] + [
         T.StructField(c, t) for c, t in (("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("shard", T.LongType()), ("bin", T.LongType()), ("offset", T.LongType()))
     ]

@@ -10,14 +10,15 @@ sidecar index of (offset, length, record id, page id).
 
 Reading. Records are fetched through the sidecar, each inflated alone.
 
-Archives lie in the shared folder, and are written under a name of their own and then moved
-to the name of their partition, so a task that runs again leaves one whole file. Manifests
-are tables in that folder.
+Archives lie in the shared folder. Each attempt of a task writes files under names of its own
+and moves nothing; the manifest, a table in that folder, names those of the attempt that was
+finished, and only these are read. The monolithic archives are deleted once all are rewritten.
 
 Defined results. A null page has an empty payload. Rows of equal payload and the same
 smallest id are all responses. A null id is greater than any other: it names no response,
 and such rows revisit the group's smallest id; if a group has only null ids, all are
-responses. Line breaks in urls are percent-encoded. An empty table gives no rows. Other
+responses. Line breaks in urls, and then percent signs too, are percent-encoded, which a header
+of the record says; reading undoes it. An empty table gives no rows. Other
 columns of the input are not read.
 """
 
@@ -30,15 +31,16 @@ import io
 import json
 import uuid
 import zlib
+from urllib.parse import unquote
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.plans.staging import new_path, staged
+from quire.llm.text import opened
+from quire.plans.staging import discard, new_path, removed, staged
 
 PIECE = 1 << 18  # bytes inflated at a time
 LEAST_REVISIT = 0  # bytes: smaller payloads are never written as revisits
@@ -51,7 +53,10 @@ def digest(payload: bytes) -> str:
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """One WARC/1.1 record, a response or a revisit of refers_to."""
-    uri = (url or "about:blank").replace("\r", "%0D").replace("\n", "%0A")
+    uri = url or "about:blank"
+    coded = "\r" in uri or "\n" in uri or uri != uri.strip()
+    if coded:
+        uri = "".join(f"%{ord(c):02X}" if c in "% \r\n\t\v\f" else c for c in uri)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     kind = "response" if refers_to is None else "revisit"
@@ -67,6 +72,8 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         f"WARC-Page-ID: {'' if page_id is None else page_id}",
         "Content-Type: application/http;msgtype=response",
     ]
+    if coded:
+        head.append("WARC-Target-URI-Encoded: yes")
     if refers_to is not None:
         head += [f"WARC-Refers-To-Page-ID: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     return ("\r\n".join([*head, f"Content-Length: {len(block)}"]) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
@@ -134,23 +141,23 @@ def parsed(raw: bytes) -> dict:
         raise ValueError(f"digest of {h['warc-record-id']} does not hold")
     size = len(payload) if payload is not None else int(headers(block[:cut])["content-length"])
     number = lambda s: int(s) if s else None
+    url = unquote(h["warc-target-uri"]) if "warc-target-uri-encoded" in h else h["warc-target-uri"]
     return {
-        "page_id": number(h["warc-page-id"]), "url": h["warc-target-uri"], "record_type": h["warc-type"], "payload_bytes": size,
+        "page_id": number(h["warc-page-id"]), "url": url, "record_type": h["warc-type"], "payload_bytes": size,
         "payload_digest": stated, "refers_to": number(h.get("warc-refers-to-page-id", "")), "payload": payload,
     }
 
 
-def opened(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+def attempt(folder: str) -> str:
+    """A file name that no other attempt of any task has."""
+    return f"{folder}/part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.gz"
 
 
-def replace(fs: pafs.FileSystem, path: str, write) -> None:
-    """Write a file beside its place, then move it there."""
-    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    part = f"{path}.{uuid.uuid4().hex}.tmp"
-    with fs.open_output_stream(part, compression=None) as out:
+def written(path: str, write) -> None:
+    fs, local = opened(path)
+    fs.create_dir(local.rsplit("/", 1)[0], recursive=True)
+    with fs.open_output_stream(local, compression=None) as out:
         write(out)
-    fs.move(part, path)
 
 
 def choose(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -174,9 +181,7 @@ def write_archives(chosen: DataFrame, folder: str) -> DataFrame:
     """Write the rows of choose() as monolithic archives, one for each partition; the manifest (archive, records)."""
 
     def run(batches):
-        part, count = TaskContext.get().partitionId(), 0
-        path = f"{folder}/raw/part-{part:05d}.warc.gz"
-        fs, local = opened(path)
+        path, count = attempt(f"{folder}/raw"), 0
 
         def write(out):
             nonlocal count
@@ -187,7 +192,7 @@ def write_archives(chosen: DataFrame, folder: str) -> DataFrame:
                     count += 1
             out.write(zipper.flush())
 
-        replace(fs, local, write)
+        written(path, write)
         yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([count], pa.int64())], names=["archive", "records"])
 
     return staged(chosen.mapInArrow(run, "archive string, records long").filter("records > 0"), "warc-raw")
@@ -198,31 +203,36 @@ def spread(manifest: DataFrame, n: int) -> DataFrame:
 
 
 def normalise_archives(manifest: DataFrame, folder: str) -> DataFrame:
-    """Rewrite every archive of a manifest as members with a sidecar; the new manifest (archive, sidecar, records)."""
+    """Rewrite every archive of a manifest as members with a sidecar; the new manifest (archive, sidecar, records).
+
+    The old archives under folder and their manifest are gone after that.
+    """
 
     def run(batches):
         for batch in batches:
             rows = []
             for path in batch.column("archive").to_pylist():
                 fs, local = opened(path)
-                target = f"{folder}/normal/{path.rsplit('/', 1)[1]}"
-                out_fs, out_local = opened(target)
+                target = attempt(f"{folder}/normal")
                 found: list[dict] = []
 
                 def write(out, local=local, fs=fs, found=found):
                     with fs.open_input_stream(local, compression=None) as stream:
                         found += normalise(stream, out)
 
-                replace(out_fs, out_local, write)
+                written(target, write)
                 lines = "".join(json.dumps(x) + "\n" for x in found).encode()
-                replace(out_fs, f"{out_local}.idx", lambda out, lines=lines: out.write(lines))
+                written(f"{target}.idx", lambda out, lines=lines: out.write(lines))
                 rows.append((target, f"{target}.idx", len(found)))
             names = ["archive", "sidecar", "records"]
             kinds = (pa.string(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
     n = manifest.count()
-    return staged(spread(manifest.select("archive"), n).mapInArrow(run, "archive string, sidecar string, records long"), "warc-normal")
+    normal = staged(spread(manifest.select("archive"), n).mapInArrow(run, "archive string, sidecar string, records long"), "warc-normal")
+    removed(manifest.sparkSession, f"{folder}/raw")
+    discard(manifest)
+    return normal
 
 
 READ = T.StructType(

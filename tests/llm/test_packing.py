@@ -49,6 +49,12 @@ def test_pack(spark):
     assert P.pack(docs.limit(0)).count() == 0
 
 
+def test_rows_that_agree_are_dealt_over_all_shards(spark):
+    docs = spark.range(600, numPartitions=3).selectExpr("cast(null as long) doc_id", "30L length", "cast(null as string) source", "cast(null as long) cluster")
+    out = P.pack(docs, capacity=100, shard=60).toPandas()
+    assert len(out) == 600 and out.groupby("shard").size().between(20, 120).all() and out.shard.nunique() == 10
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     out = P.op9_packing(spark, sf).toPandas()
