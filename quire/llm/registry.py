@@ -72,35 +72,41 @@ def _quality_sql() -> str:
 
 
 def _licenses_sql() -> str:
-    """Phrases at every place of a document's words; every line against every template, without filters."""
+    """Phrases at every place of a document's words; every run of words against every template, without filters."""
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    phrases = ", ".join(f"('{k}', {len(k.split())}, '{v}')" for k, v in licenses.PHRASES.items())
+    phrases = ", ".join(
+        f"('{k}', {len(k.split())}, '{v}', {base})" for base, told in (("true", licenses.PHRASES), ("false", licenses.STATEMENTS)) for k, v in told.items()
+    )
     sets = ", ".join(
-        f"({k}, '{label}', [{', '.join(repr(w.decode()) for w in sorted(tokens))}])"
-        for k, (label, tokens) in enumerate(licenses.template_sets(licenses.TEMPLATES))
+        f"({k}, '{label}', {wide}, {licenses.least_overlap(len(tokens), licenses.THRESHOLD)}, [{', '.join(repr(w.decode()) for w in sorted(tokens))}])"
+        for k, (label, tokens, wide) in enumerate(licenses.template_sets(licenses.TEMPLATES))
     )
     return rf"""
-    WITH d AS (SELECT doc_id, {low.format("coalesce(text, '')")} AS t FROM documents),
-    w AS (SELECT doc_id, regexp_extract_all(t, '{word}') AS w FROM d),
-    phrases(phrase, n, label) AS (VALUES {phrases}),
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, {low.format("coalesce(text, '')")} AS t FROM documents),
+    w AS (SELECT r, doc_id, regexp_extract_all(t, '{word}') AS w FROM d),
+    phrases(phrase, n, label, base) AS (VALUES {phrases}),
     places AS (
-      SELECT doc_id, i - 1 AS place, label
-      FROM (SELECT doc_id, w, phrase, n, label, unnest(range(1, len(w) - n + 2)) AS i FROM w, phrases)
+      SELECT r, i - 1 AS place, label, base
+      FROM (SELECT r, w, phrase, n, label, base, unnest(range(1, len(w) - n + 2)) AS i FROM w, phrases)
       WHERE array_to_string(w[i:i + n - 1], ' ') = phrase),
-    templates(k, label, tokens) AS (VALUES {sets}),
-    lines AS (
-      SELECT doc_id, list_distinct(regexp_extract_all(x, '{word}')) AS b FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d)),
+    templates(k, label, wide, need, tokens) AS (VALUES {sets}),
+    listed AS (SELECT k, wide, need, unnest(tokens) AS x FROM templates),
+    hits AS (SELECT r, k, wide, need, i, x FROM (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM w) JOIN listed USING (x)),
+    able AS (SELECT r, k FROM hits GROUP BY r, k, need HAVING count(DISTINCT x) >= need),
+    able_hits AS (SELECT * FROM hits SEMI JOIN able USING (r, k)),
     met AS (
-      SELECT doc_id, label, len(list_intersect(b, tokens)) / len(tokens) AS share FROM lines, templates
-      WHERE len(list_intersect(b, tokens)) >= ceil({licenses.THRESHOLD} * len(tokens) - 1e-9)),
-    base AS (SELECT doc_id, count(*) AS n, min(place) AS a, max(place) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS said FROM places GROUP BY doc_id),
+      SELECT r, k, max(n) AS n FROM (
+        SELECT a.r, a.k, a.i, count(DISTINCT b.x) AS n FROM able_hits a JOIN able_hits b ON a.r = b.r AND a.k = b.k AND b.i BETWEEN a.i AND a.i + a.wide - 1
+        GROUP BY a.r, a.k, a.i, a.need HAVING count(DISTINCT b.x) >= a.need) GROUP BY r, k),
+    found AS (SELECT r, label, n / len(tokens) AS share FROM met JOIN templates USING (k)),
+    base AS (SELECT r, count(*) AS n, min(place) AS a, max(place) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS said FROM places WHERE base GROUP BY r),
     every AS (
-      SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS said FROM (SELECT doc_id, label FROM places UNION SELECT doc_id, label FROM met) GROUP BY doc_id),
-    best AS (SELECT doc_id, max(share) AS share FROM met GROUP BY doc_id)
+      SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS said, max(share) AS share
+      FROM (SELECT r, label, 1.0 AS share FROM places UNION ALL SELECT r, label, share FROM found) GROUP BY r)
     SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(base.n, 0) AS BIGINT) AS n_base, CAST(base.a AS BIGINT) AS first_word,
-      CAST(base.z AS BIGINT) AS last_word, coalesce(base.said, '') AS base_labels, coalesce(every.said, '') AS labels, coalesce(share, 0.0) AS score
-    FROM w LEFT JOIN base USING (doc_id) LEFT JOIN every USING (doc_id) LEFT JOIN best USING (doc_id)"""
+      CAST(base.z AS BIGINT) AS last_word, coalesce(base.said, '') AS base_labels, coalesce(every.said, '') AS labels, CAST(coalesce(share, 0) AS DOUBLE) AS score
+    FROM w LEFT JOIN base USING (r) LEFT JOIN every USING (r)"""
 
 
 QUERIES = {
