@@ -14,7 +14,7 @@ MAX_CHARS, MIN_CHARS = 350, 30
 ABBREVIATIONS = (
     "mr mrs ms dr prof sr jr st vs etc inc ltd co corp dept fig no vol pp eg ie al ca cf ph approx gen gov sen rep ave blvd rd mt ft i.e e.g"
 ).split()
-#: A sentence ends at . ! or ?, a closing mark may follow, then white space and what may begin a sentence.
+# Fixed value: a sentence ends at . ! or ?, a closing mark may follow, then white space and what may begin a sentence.
 ENDS = r"([.!?])([\"'”’)\]]?)(?U:\s+)([\"'“‘(\[A-Z0-9])"
 CUT = "\u0001"
 
@@ -80,23 +80,64 @@ def quote_open(text: Column) -> Column:
     return F.when(opened != closed, opened > closed).when((opened > 0) | (closed > 0), False).otherwise(count_of(text, '"') % 2 == 1)
 
 
-def merged(parts: Column, joins) -> Column:
-    """Fold an array of texts: joins(last, next) says whether next is added to the last one, after a space."""
+def bound(value: Column, use) -> Column:
+    """use(value), with value worked out once though use may name it often."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    def step(done: Column, p: Column) -> Column:
-        last = F.element_at(done, -1)
-        add = (F.size(done) > 0) & F.coalesce(joins(F.get(done, F.size(done) - 1), p), F.lit(False))
-        return F.when(add, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat(last, F.lit(" "), p)))).otherwise(
-            F.concat(done, F.array(p))
-        )
 
-    return F.aggregate(parts, F.array().cast("array<string>"), step)
+def runs(parts: Column, joins: Column) -> Column:
+    """An array of texts with each that joins (an array of booleans) added to the one before, after a space."""
+
+    def put(p: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(p.parts) - 1), lambda i: ~F.get(p.joins, i))
+        text = lambda s, k, all_: F.array_join(F.slice(p.parts, s + 1, F.coalesce(F.get(all_, k + 1), F.size(p.parts)) - s), " ")
+        return bound(starts, lambda all_: F.transform(all_, lambda s, k: text(s, k, all_)))
+
+    whole = F.struct(parts.alias("parts"), joins.alias("joins"))
+    return F.when(F.exists(joins, lambda j: j), bound(whole, put)).otherwise(parts)
+
+
+#: Elements that a fold takes at a time, so that its result is put together from few pieces.
+STEP = 256
+
+
+def folded(items: Column, zero: Column, step) -> Column:
+    """Fold an array from the state zero; step(state, item) gives the next state, whose field joins is collected. Linear in the array."""
+
+    def inner(a: Column, x: Column) -> Column:
+        return bound(step(a.state, x), lambda s: F.struct(s.alias("state"), F.concat(a.done, F.array(s.joins)).alias("done")))
+
+    def outer(a: Column, block: Column) -> Column:
+        part = F.aggregate(block, F.struct(a.state.alias("state"), F.array().cast("array<boolean>").alias("done")), inner)
+        return bound(part, lambda p: F.struct(p.state.alias("state"), F.concat(a.done, F.array(p.done)).alias("done")))
+
+    def put(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / STEP).cast("int")), lambda k: F.slice(v, k * STEP + 1, F.lit(STEP)))
+        start = F.struct(zero.alias("state"), F.array().cast("array<array<boolean>>").alias("done"))
+        return F.when(F.size(v) > 0, F.aggregate(blocks, start, outer, lambda a: F.flatten(a.done))).otherwise(F.array().cast("array<boolean>"))
+
+    return bound(items, put)
 
 
 def sentences(paragraph: Column) -> Column:
     """Sentences of a paragraph: pieces, joined again after abbreviations and inside an open quotation (under MAX_CHARS)."""
-    whole = merged(pieces(paragraph), lambda last, p: abbreviated(last))
-    return merged(whole, lambda last, p: quote_open(last) & (F.length(last) + F.length(p) < MAX_CHARS))
+    whole = bound(pieces(paragraph), lambda v: runs(v, F.transform(v, lambda p, i: (i > 0) & F.coalesce(abbreviated(F.get(v, i - 1)), F.lit(False)))))
+
+    def quoted(v: Column) -> Column:
+        marks = F.transform(v, lambda p: F.struct(count_of(p, "“").alias("o"), count_of(p, "”").alias("c"), count_of(p, '"').alias("s"), F.length(p).alias("n")))
+        zero = F.struct(F.lit(0).alias("o"), F.lit(0).alias("c"), F.lit(0).alias("s"), F.lit(MAX_CHARS).alias("n"), F.lit(False).alias("joins"))
+
+        def step(a: Column, m: Column) -> Column:
+            is_open = F.when(a.o != a.c, a.o > a.c).when((a.o > 0) | (a.c > 0), False).otherwise(a.s % 2 == 1)
+            more = lambda k: F.when(j, a[k]).otherwise(0) + m[k]
+            j = is_open & (a.n + m.n < MAX_CHARS)
+            n = F.when(j, a.n + 1).otherwise(0) + m.n
+            return F.struct(more("o").alias("o"), more("c").alias("c"), more("s").alias("s"), n.alias("n"), j.alias("joins"))
+
+        quotes = F.exists(v, lambda p: p.rlike('["“”]'))
+        return F.when(quotes, runs(v, folded(marks, zero, step))).otherwise(v)
+
+    return bound(whole, quoted)
 
 
 def soft_split(sentence: Column) -> Column:
@@ -109,8 +150,27 @@ def soft_split(sentence: Column) -> Column:
 
 def chunks(paragraph: Column) -> Column:
     """The units in which a paragraph is read: sentences, joined while the last is under MIN_CHARS, long ones cut."""
-    joined = merged(sentences(paragraph), lambda last, p: F.length(last) < MIN_CHARS)
-    return F.flatten(F.transform(joined, lambda s: soft_split(s)))
+
+    def joined(v: Column) -> Column:
+        zero = F.struct(F.lit(MIN_CHARS).alias("n"), F.lit(False).alias("joins"))
+
+        def step(a: Column, n: Column) -> Column:
+            return F.struct((F.when(a.n < MIN_CHARS, a.n + 1).otherwise(0) + n).alias("n"), (a.n < MIN_CHARS).alias("joins"))
+
+        short = F.exists(v, lambda p: F.length(p) < MIN_CHARS)
+        return F.when(short, runs(v, folded(F.transform(v, lambda p: F.length(p)), zero, step))).otherwise(v)
+
+    return F.flatten(F.transform(bound(sentences(paragraph), joined), lambda s: soft_split(s)))
+
+
+def clean_paragraphs(text: Column) -> Column:
+    """Cleaned paragraphs of a text, without empty ones."""
+    return F.filter(F.transform(paragraphs(text), clean_paragraph), lambda p: p != "")
+
+
+def units(text: Column) -> Column:
+    """The chunks of all paragraphs of a text, in order."""
+    return F.flatten(F.transform(clean_paragraphs(text), chunks))
 
 
 def roman(numeral: Column) -> Column:

@@ -15,8 +15,12 @@ from quire.functions import text as X
 
 def paragraph_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, para, text) of cleaned paragraphs, numbered from 0; documents without any give no row."""
-    clean = F.filter(F.transform(X.paragraphs(F.col(text_col)), X.clean_paragraph), lambda p: p != "")
-    return docs.select(F.col(id_col).alias("id"), F.posexplode(clean).alias("para", "text"))
+    return docs.select(F.col(id_col).alias("id"), F.posexplode(X.clean_paragraphs(F.col(text_col))).alias("para", "text"))
+
+
+def sentence_table(docs: DataFrame, *keep: str, text_col: str = "text") -> DataFrame:
+    """(columns keep, idx, text): the chunks of whole documents, numbered from 0; nothing is shuffled."""
+    return docs.select(*keep, F.posexplode(X.units(F.col(text_col))).alias("idx", "text"))
 
 
 def heading_levels(paras: DataFrame) -> DataFrame:

@@ -9,17 +9,65 @@ from quire.operators import structure as S
 from quire.plans.tables import table
 from quire.queries import query
 
-PIECES_SQL = r"""
-    pieces AS (
-      SELECT doc_id, generate_subscripts(p, 1) - 1 AS idx, unnest(p) AS text, lang FROM (
-        SELECT doc_id, lang, list_filter(string_split(regexp_replace(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')),
-          '([.!?])(["''”’)\]]?)\s+(["''“‘(\[A-Z0-9])', '\1\2' || chr(1) || '\3', 'g'), chr(1)), lambda x: x <> '') AS p FROM documents))"""
+_W = r"[\s\x0B\x85\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_ABBREVIATIONS = ", ".join(f"'{w}'" for w in X.ABBREVIATIONS)
+
+
+def _trim(x: str) -> str:
+    return f"regexp_replace({x}, '^{_W}+|{_W}+$', '', 'g')"
+
+
+def _merged(listed: str, joins: str) -> str:
+    """A list of texts, each added to the one before where joins (of a.l, the last text so far, and b.l) holds."""
+    each = f"list_transform({listed}, lambda x: {{'d': CAST([] AS VARCHAR[]), 'l': x}})"
+    step = f"CASE WHEN {joins} THEN {{'d': a.d, 'l': a.l || ' ' || b.l}} ELSE {{'d': list_append(a.d, a.l), 'l': b.l}} END"
+    return f"CASE WHEN len({listed}) > 0 THEN list_transform([list_reduce({each}, lambda a, b: {step})], lambda r: list_append(r.d, r.l))[1] ELSE [] END"
+
+
+def _lost(x: str, mark: str) -> str:
+    return f"(length({x}) - length(replace({x}, '{mark}', '')))"
+
+
+_WORD = r"rtrim(ltrim(lower(regexp_extract(a.l, '([\p{L}\p{M}\p{N}_.]+)\.$', 1)), '.'), '.')"
+_INITIAL = rf"regexp_matches({_WORD}, '^\p{{L}}$')"
+_OPEN = (
+    f"CASE WHEN {_lost('a.l', '“')} <> {_lost('a.l', '”')} THEN {_lost('a.l', '“')} > {_lost('a.l', '”')} WHEN contains(a.l, '“') OR contains(a.l, '”') THEN false"
+    f" ELSE {_lost('a.l', chr(34))} % 2 = 1 END"
+)
+_SOFT = rf"{_W}*(.{{1,{X.MAX_CHARS}}}\z|.{{{X.MAX_CHARS * 2 // 5},{X.MAX_CHARS - 2}}}[;:,] |.{{1,{X.MAX_CHARS - 1}}} |.{{{X.MAX_CHARS}}})"
+#: Paragraphs of whole texts, cleaned, and the sentences in which they are read: pieces, merged after abbreviations, in
+#: open quotations and while short, cut where long. Every step is the rule itself, text by text.
+PARAGRAPHS_SQL = rf"""
+    raw AS (SELECT doc_id, lang, regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g') AS t FROM documents),
+    lines AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: {_trim("x")} <> '') AS w FROM raw),
+    counted AS (
+      SELECT *, len(list_filter(w, lambda x: length({_trim("x")}) <= 80)) AS short,
+        len(list_filter(w, lambda x: regexp_matches(x, '[.!?:;]["''”’)\]]?{_W}*$'))) AS ended FROM lines),
+    blocks AS (
+      SELECT doc_id, lang, CASE WHEN len(w) = 0 THEN []
+        WHEN regexp_matches(t, '\n[ \t]*\n') THEN list_filter(regexp_split_to_array(t, '\n[ \t]*\n[ \t\n]*'), lambda x: {_trim("x")} <> '')
+        WHEN len(w) > 2 AND short / len(w) > 0.8 AND ended / len(w) < 0.5 THEN [t] ELSE w END AS p FROM counted),
+    paras AS (
+      SELECT doc_id, lang, para, {_trim(r"regexp_replace(regexp_replace(regexp_replace(text, '([\p{L}\p{M}\p{N}_])[-‐]\n([\p{L}\p{M}\p{N}_])', '\1\2', 'g'), '[ \t]*\n[ \t]*', ' ', 'g'), '[ \t\x{A0}]{2,}', ' ', 'g')")} AS text
+      FROM (SELECT doc_id, lang, generate_subscripts(p, 1) - 1 AS para, unnest(p) AS text FROM blocks)),
+    full_paras AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY doc_id ORDER BY para) - 1 AS para, text FROM paras WHERE text <> '')"""
+PIECES_SQL = rf"""{PARAGRAPHS_SQL},
+    split AS (
+      SELECT doc_id, lang, para, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])(["''”’)\]]?){_W}+(["''“‘(\[A-Z0-9])', '\1\2' || chr(1) || '\3', 'g'), chr(1)),
+        lambda x: {_trim("x")}), lambda x: x <> '') AS p FROM full_paras),
+    whole AS (SELECT doc_id, lang, para, {_merged("p", f"{_WORD} IN ({_ABBREVIATIONS}) OR {_INITIAL}")} AS p FROM split),
+    quoted AS (SELECT doc_id, lang, para, {_merged("p", f"({_OPEN}) AND length(a.l) + length(b.l) < {X.MAX_CHARS}")} AS p FROM whole),
+    joined AS (SELECT doc_id, lang, para, {_merged("p", f"length(a.l) < {X.MIN_CHARS}")} AS p FROM quoted),
+    cut AS (
+      SELECT doc_id, lang, para, flatten(list_transform(p, lambda x: CASE WHEN length(x) <= {X.MAX_CHARS} THEN [x]
+        ELSE list_filter(list_transform(regexp_extract_all(x, '{_SOFT}', 1, 's'), lambda y: {_trim("y")}), lambda y: y <> '') END)) AS p FROM joined),
+    units AS (SELECT doc_id, lang, para, generate_subscripts(p, 1) - 1 AS pos, unnest(p) AS text FROM cut),
+    pieces AS (SELECT doc_id, lang, para, row_number() OVER (PARTITION BY doc_id ORDER BY para, pos) - 1 AS idx, text FROM units)"""
 
 
 def piece_table(spark, sf_dir):
-    """(doc_id, idx, text, lang): pieces of whole texts whose white space is levelled."""
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", "lang", F.posexplode(X.pieces(X.flat(F.coalesce("text", F.lit(""))))).alias("idx", "text"))
+    """(doc_id, lang, idx, text): the sentences of whole texts, as they are read."""
+    return S.sentence_table(table(spark, sf_dir, "documents"), "doc_id", "lang")
 
 
 @query("sentence_stats", f"""
@@ -44,30 +92,48 @@ def page_sentences(spark, sf_dir):
     return S.page_index(p.select(F.col("doc_id").alias("id"), (F.floor(F.col("idx") / 12) + 1).cast("int").alias("page")))
 
 
-@query("paragraph_split", r"""
-    WITH l AS (
-      SELECT doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10)), lambda x: regexp_matches(x, '[^\s]')) AS w,
-        regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g') AS t FROM documents),
-    s AS (
-      SELECT doc_id, w, t, len(list_filter(w, lambda x: length(trim(x)) <= 80)) AS short,
-        len(list_filter(w, lambda x: regexp_matches(x, '[.!?:;]["''”’)\]]?\s*$'))) AS ended FROM l),
-    b AS (
-      SELECT doc_id, CASE WHEN len(w) = 0 THEN 0
-        WHEN regexp_matches(t, '\n[ \t]*\n') THEN len(list_filter(regexp_split_to_array(t, '\n[ \t]*\n[ \t\n]*'), lambda x: regexp_matches(x, '[^\s]')))
-        WHEN len(w) > 2 AND short / len(w) > 0.8 AND ended / len(w) < 0.5 THEN 1 ELSE len(w) END AS n FROM s)
-    SELECT doc_id AS id, CAST(n AS BIGINT) AS n_paragraphs FROM b WHERE n > 0""")
+@query("paragraph_split", f"WITH {PARAGRAPHS_SQL} SELECT doc_id AS id, CAST(para AS INTEGER) AS para, text FROM full_paras")
 def paragraph_split(spark, sf_dir):
-    return S.paragraph_table(table(spark, sf_dir, "documents")).groupBy("id").agg(F.count("*").alias("n_paragraphs"))
-
-
-@query("document_chunks")
+    return S.paragraph_table(table(spark, sf_dir, "documents"))
+
+
+#: Headings by their form, then by how many of each form a document has; \b and (?i) agree in both engines.
+HEADINGS_SQL = rf"""
+    numerals AS (SELECT unnest(['M', 'CM', 'D', 'CD', 'C', 'XC', 'L', 'XL', 'X', 'IX', 'V', 'IV', 'I']) AS s, unnest([1000, 900, 500, 400, 100, 90, 50, 40, 10, 9, 5, 4, 1]) AS v),
+    formed AS (
+      SELECT *, length(regexp_replace(text, '\P{{L}}', '', 'g')) AS letters, regexp_extract(text, '^([IVXLCDM]{{1,8}}|\d{{1,3}})\.', 1) AS num FROM full_paras),
+    kinds AS (
+      SELECT *, CASE WHEN length(text) > 90 OR contains(text, chr(10)) THEN NULL
+        WHEN regexp_matches(text, '{X.HEADING["explicit"]}') THEN 'explicit' WHEN regexp_matches(text, '{X.HEADING["numeral"]}') THEN 'numeral'
+        WHEN regexp_matches(text, '{X.HEADING["numtitle"].replace("'", "''")}') THEN 'numtitle'
+        WHEN regexp_matches(text, '{X.HEADING["allcaps"]}') AND letters >= greatest(2, floor(length(text) / 2)) THEN 'allcaps' END AS kind FROM formed),
+    valued AS (
+      SELECT *, CASE WHEN kind = 'numtitle' THEN CASE WHEN regexp_matches(num, '^\d') THEN CAST(num AS INTEGER) ELSE
+        CAST(list_sum(list_transform(range(1, length(num) + 1), lambda i: CASE WHEN i < length(num) AND
+          [1, 5, 10, 50, 100, 500, 1000][instr('IVXLCDM', num[i + 1])] > [1, 5, 10, 50, 100, 500, 1000][instr('IVXLCDM', num[i])] THEN -1 ELSE 1 END
+          * [1, 5, 10, 50, 100, 500, 1000][instr('IVXLCDM', num[i])])) AS INTEGER) END END AS value FROM kinds),
+    before AS (SELECT *, last_value(value IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY para ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM valued),
+    totals AS (
+      SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE kind = 'explicit') AS ne, count(*) FILTER (WHERE kind = 'numeral') AS nn, count(*) FILTER (WHERE kind = 'numtitle') AS nt,
+        count(*) FILTER (WHERE kind = 'allcaps') AS nc, count(*) FILTER (WHERE value >= prev) AS up FROM before GROUP BY doc_id),
+    ruled AS (SELECT *, nt >= 3 AND up >= 0.8 * (nt - 1) AS run FROM totals),
+    first AS (
+      SELECT b.doc_id, para, n, CASE WHEN kind = 'explicit' OR (kind = 'numeral' AND nn >= 2) OR (kind = 'numtitle' AND run) THEN 1
+        WHEN kind = 'allcaps' AND (ne > 0 OR nn >= 2 OR run) AND nc >= 2 THEN 2 WHEN kind = 'allcaps' AND nc >= 3 AND NOT (ne > 0 OR nn >= 2 OR run) THEN 1 ELSE 0 END AS level
+      FROM before b JOIN ruled USING (doc_id)),
+    found AS (SELECT doc_id, count(*) FILTER (WHERE level > 0) AS f FROM first GROUP BY doc_id),
+    levels AS (SELECT doc_id, para, CASE WHEN f < 2 OR f > 0.55 * n OR f > greatest(400, 0.08 * n) THEN 0 ELSE level END AS level FROM first JOIN found USING (doc_id))"""
+CHUNKS_SQL = f"{PIECES_SQL}, {HEADINGS_SQL}, chunks AS (SELECT doc_id AS id, CAST(idx AS INTEGER) AS idx, CAST(para AS INTEGER) AS para, CAST(level AS INTEGER) AS level, text FROM pieces JOIN levels USING (doc_id, para))"
+
+
+@query("document_chunks", f"WITH {CHUNKS_SQL} SELECT * FROM chunks")
 def document_chunks(spark, sf_dir):
-    """The full chunk pipeline; the folds are checked against a slow version in tests/."""
+    """The full chunk pipeline."""
     paras = S.heading_levels(S.paragraph_table(table(spark, sf_dir, "documents")))
     return S.chunk_table(paras)
 
 
-@query("document_contents")
+@query("document_contents", f"WITH {CHUNKS_SQL} SELECT id, arg_min(level, idx) AS level, left(arg_min(text, idx), 120) AS title, min(idx) AS idx FROM chunks WHERE level > 0 GROUP BY id, para")
 def document_contents(spark, sf_dir):
     return S.contents(document_chunks(spark, sf_dir))
 
