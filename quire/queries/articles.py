@@ -9,7 +9,7 @@ from quire.operators import align, layout
 from quire.operators import structure as S
 from quire.plans.tables import table
 from quire.queries import query
-from quire.queries.structure import piece_table
+from quire.queries.structure import PARAGRAPHS_SQL, _trim, piece_table
 from quire.sources import pages as P
 
 
@@ -36,16 +36,35 @@ def web_addresses(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", K.web_address(F.col("url")).alias("address"))
 
 
-@query("printed_lists")
+@query("printed_lists", f"WITH {PARAGRAPHS_SQL} SELECT doc_id AS id, count(*) + 2 AS n_paragraphs, 0 AS start FROM full_paras GROUP BY doc_id")
 def printed_lists(spark, sf_dir):
-    """Every document with a printed list put before it, and the paragraphs that are left."""
+    """Every document with a printed list put before it, and the paragraphs that are left: its own, the prose before them, and the list's last entry as its heading."""
     paras = S.paragraph_table(table(spark, sf_dir, "documents"))
-    front = paras.select("id").distinct().select("id", F.posexplode(F.array(*[F.lit(x) for x in ("CONTENTS", "Chapter I. 1", "Chapter II. 20", "Chapter III. 31")])).alias("para", "text"))
-    both = front.unionByName(paras.withColumn("para", F.col("para") + 4))
+    front = paras.select("id").distinct().select("id", F.posexplode(F.array(*[F.lit(x) for x in ("CONTENTS", "Chapter I. 1", "Chapter II. 20", "Chapter III. 31", "It was a long time ago. " * 6)])).alias("para", "text"))
+    both = front.unionByName(paras.withColumn("para", F.col("para") + 5))
     return layout.strip_printed_lists(both).groupBy("id").agg(F.count("*").alias("n_paragraphs"), F.max("start").alias("start"))
 
 
-@query("stitched_pages")
+#: Page by page, each seen as the one before left it.
+_STITCHED = rf"""
+    WITH RECURSIVE {PARAGRAPHS_SQL},
+    pg AS (SELECT doc_id AS id, CAST(para // 3 + 1 AS INTEGER) AS page, list(text ORDER BY para) AS ps FROM full_paras GROUP BY ALL),
+    walk AS (
+      SELECT id, page, ps AS cur, CAST([] AS VARCHAR[]) AS done FROM pg WHERE page = 1
+      UNION ALL
+      SELECT id, page, CASE WHEN NOT goes THEN ps WHEN {_trim("rest")} = '' THEN ps[2:] ELSE list_prepend({_trim("rest")}, ps[2:]) END,
+        CASE WHEN NOT goes THEN cur ELSE list_append(cur[:len(cur) - 1], CASE WHEN hyphen AND regexp_matches(moved, '^[\p{{L}}\p{{N}}]') THEN tail[:length(tail) - 1] || moved ELSE tail || ' ' || moved END) END
+      FROM (
+        SELECT *, substr(head, length(moved) + 1) AS rest, len(cur) > 0 AND (hyphen OR (NOT regexp_matches(tail, '[.!?]["''”’)\]]*$') AND length(tail) >= 40 AND regexp_matches(head, '^\p{{Ll}}'))) AS goes
+        FROM (
+          SELECT *, coalesce(nullif(regexp_extract(head, '^(.*?[.!?]["''”’)\]]*)(\s|$)', 1, 's'), ''), head) AS moved, coalesce(regexp_matches(tail, '[\p{{L}}\p{{N}}][-‐]$'), false) AS hyphen
+          FROM (SELECT w.id, n.page, w.cur, n.ps, w.cur[-1] AS tail, n.ps[1] AS head FROM walk w JOIN pg n ON n.id = w.id AND n.page = w.page + 1)))),
+    ends AS (SELECT id, max(page) AS page FROM pg GROUP BY id),
+    out AS (SELECT id, page - 1 AS page, done AS ps FROM walk WHERE page > 1 UNION ALL SELECT id, page, cur FROM walk SEMI JOIN ends USING (id, page))
+    SELECT id, CAST(page AS INTEGER) AS page, CAST(generate_subscripts(ps, 1) - 1 AS INTEGER) AS para, unnest(ps) AS text FROM out"""
+
+
+@query("stitched_pages", _STITCHED)
 def stitched_pages(spark, sf_dir):
     paras = S.paragraph_table(table(spark, sf_dir, "documents"))
     return layout.stitch(paras.select("id", (F.floor(F.col("para") / 3) + 1).alias("page"), "para", "text"))

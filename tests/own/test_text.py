@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -117,20 +118,61 @@ def test_audio_seconds():
     assert K.seconds_of(b"") == K.seconds_of(b"\xff" * 9) == 0
 
 
-def test_stitched_pages():
+def slow_stitch(pages):
+    """The rule page by page: {page: paragraphs}, each page seen as the one before left it."""
+    out = {k: list(v) for k, v in pages.items()}
+    for k in sorted(out):
+        here, there = out[k], out.get(k + 1)
+        if not here or not there:
+            continue
+        tail, head = here[-1], there[0]
+        cut_word = re.search(r"[^\W_][-‐]$", tail)
+        if not cut_word and (re.search(r"[.!?][\"'”’)\]]*$", tail) or len(tail) < 40 or not head[:1].islower()):
+            continue
+        m = re.search(r"[.!?][\"'”’)\]]*(?=\s|$)", head)
+        moved, rest = (head[: m.end()], head[m.end() :].strip()) if m else (head, "")
+        here[-1] = tail[:-1] + moved if cut_word and moved[:1].isalnum() else f"{tail} {moved}"
+        out[k + 1] = ([rest] if rest else []) + there[1:]
+    return out
+
+
+def stitched(spark, docs):
+    rows = [(d, k, n, t) for d, pages in enumerate(docs) for k, paras in pages.items() for n, t in enumerate(paras)]
+    table = spark.createDataFrame(rows, "id long, page int, para int, text string").repartition(3)
+    out = [{} for _ in docs]
+    for r in layout.stitch(table).orderBy("id", "page", "para").collect():
+        out[r.id].setdefault(r.page, []).append(r.text)
+    return out
+
+
+def test_stitched_pages(spark):
     tail = "this is a long paragraph that does not end on its own page"
-    assert layout.stitched([[tail], ["but here. Next one."], ["X."]]) == [[tail + " but here."], ["Next one."], ["X."]]
-    assert layout.stitched([["a bro-"], ["ken word. More."]]) == [["a broken word."], ["More."]]
-    assert layout.stitched([[tail], ["and this."], ["capital no."]]) == [[tail + " and this."], [], ["capital no."]]
-    assert layout.stitched([[tail], ["Capital."]]) == [[tail], ["Capital."]] and layout.stitched([]) == []
+    rng = random.Random(6)
+    texts = [tail, "but here. Next one.", "and this.", "X.", "a bro-", "ken word. More.", "no end at all", "Capital", tail + ". and so on, " + tail, "1-", "short. " + tail, "é ça! " + tail, '"q" it. ' + tail + "-", "a:", tail + ":"]
+    docs = [{1: [tail], 2: ["but here. Next one."], 3: ["X."]}, {1: [tail], 2: ["and this."], 3: ["no."]}, {1: [tail], 3: ["and this."]}]
+    docs += [{k: [rng.choice(texts) for _ in range(rng.choice([1, 1, 1, 2]))] for k in range(1, 9) if rng.random() < 0.95} for _ in range(150)]
+    want = [{k: v for k, v in slow_stitch(d).items() if v} for d in docs]
+    assert stitched(spark, docs) == want
+    assert want[0][1] == [tail + " but here."] and 2 not in want[1] and want[2][1] == [tail]
+    assert layout.stitch(spark.createDataFrame([], "id long, page int, para int, text string")).count() == 0
 
 
-def test_printed_lists():
+def test_printed_lists(spark):
     body = ["Chapter I. The Start", "It was a long time ago that all of this took place, " * 4, "More."]
     front = ["CONTENTS", "Chapter I. The Start 1", "Chapter II. The End 20", "Chapter III. After 31"]
-    assert layout.without_printed_lists(["Title", *front, *body]) == (["Title", *body], 1)
-    assert layout.without_printed_lists(["Title", *body]) == (["Title", *body], 0)
-    assert layout.without_printed_lists(["Contents " + " ".join(f"Letter {k}" for k in range(9)), *body])[0] == body
+    pictures = ["List of Illustrations", "The mill", "The house", "The old bridge", "A fair day"]
+    letters = "Contents " + " ".join(f"Letter {k}" for k in range(9))
+    prose = "Nobody knew where the road went or who had made it, and so they stayed at home. " * 3
+    cases = [
+        (["Title", *front, *body], ["Title", *body], 1), (["Title", *body], ["Title", *body], 0), ([letters, *body], body, 0),
+        ([*front, *pictures, prose, *body], [*pictures[2:], prose, *body], 0), ([*front[:3], *body], [*front[:3], *body], 0), (["x"] * 200 + front, ["x"] * 200 + front, 0),
+        (["Contents", "stray", "stray", *front[1:], "stray", "stray", prose], ["stray", "stray", prose], 0), ([], [], 0),
+    ]
+    rows = [(k, n, t) for k, (paras, _, _) in enumerate(cases) for n, t in enumerate(paras)]
+    got = layout.strip_printed_lists(spark.createDataFrame(rows, "id int, para int, text string")).orderBy("id", "para").collect()
+    for k, (_, want, start) in enumerate(cases):
+        mine = [r for r in got if r.id == k]
+        assert [r.text for r in mine] == want and {r.start for r in mine} <= {start} and [r.para for r in mine] == list(range(len(want))), k
 
 
 def test_located_words():
@@ -139,3 +181,7 @@ def test_located_words():
     got = layout.located(sentence, page)
     assert [sentence[a:b] for a, b, _ in got] == sentence.split() and got[4][2] == [5, 6]
     assert layout.located("Nothing here at all", page) == [] and layout.located("", []) == []
+    twice = "the dog ran the dog ran home the end".split()
+    assert [p for *_, at in layout.located("the dog ran home", twice) for p in at] == [3, 4, 5, 6]
+    far = "one two x x x x x three four".split()
+    assert len(layout.located("one two three four", far)) == 4 and layout.located("one z", ["one"]) == []
