@@ -31,69 +31,128 @@ def estimated_words(text: Column, duration: Column) -> Column:
     return F.when(duration > 0, F.aggregate(pairs, zero, step, lambda a: a.spans)).otherwise(F.array().cast(SPAN))
 
 
-# Words of spoken numbers, and words that may stand inside or after one.
-NUMBERS = (
+# Words of spoken numbers, and words that may stand inside or after one; a number as it is written.
+CARDINALS = (
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
     "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion trillion"
 ).split()
-BETWEEN, AFTER = {"and", "point", "to"}, {"dollars", "dollar", "cents", "cent", "percent", "pounds", "euros"}
+IRREGULAR = {"one": "first", "two": "second", "three": "third", "five": "fifth", "eight": "eighth", "nine": "ninth", "twelve": "twelfth"}
+BETWEEN = frozenset("and point oh".split())
+AFTER = frozenset("dollars dollar cents cent percent pounds pound euros euro".split())
+WRITTEN = re.compile(r"(?<!\w)[$€£]?\d(?:[\d,.:/\-–—]*\d)?\w*")
+EDGES = "\"'“”‘’()[].,!?;:—–-"
+QUOTES = str.maketrans({"’": "'", "‘": "'", "“": '"', "”": '"'})
+#: How far ahead of the last place a word is looked for, in characters.
 REACH = 80
-_WRITTEN = re.compile(r"\d[\d,.:]*")
 
 
-def align(text: str, spoken: list[str]) -> list[tuple[int, int]]:
-    """The span of text (start, end; -1 if none) that each spoken word is heard for.
+def number_words() -> frozenset[str]:
+    """Cardinals, their ordinals, and the plurals of tens and larger ones."""
+    ordinals = [IRREGULAR.get(w, w[:-1] + "ieth" if w.endswith("ty") else w + "th") for w in CARDINALS if w not in ("zero", "trillion")]
+    plurals = [w[:-1] + "ies" if w.endswith("y") else w + "s" for w in CARDINALS[20:] if w != "trillion"]
+    return frozenset((*CARDINALS, *ordinals, *plurals))
+
+
+NUMBERS = number_words()
+
+
+def is_number(word: str) -> bool:
+    parts = [p for p in word.split("-") if p]
+    return bool(parts) and NUMBERS.issuperset(parts)
+
+
+class Place:
+    """Where a text was heard last, and the written number that a run of spoken number words is heard for."""
+
+    def __init__(self, text: str):
+        self.low, self.at, self.number = text.lower().translate(QUOTES), 0, None
+
+    def literal(self, word: str) -> tuple[int, int] | None:
+        """The word itself, whole, within reach."""
+        stop = self.at + REACH + len(word)
+        for m in re.compile(rf"(?<!\w){re.escape(word)}(?!\w)").finditer(self.low, self.at, stop + 1):
+            if m.end() <= stop:
+                return m.span()
+        return None
+
+    def written(self, at: int) -> tuple[int, int] | None:
+        """The next number as it is written, within reach."""
+        m = WRITTEN.search(self.low, at)
+        return m.span() if m and m.start() <= at + REACH else None
+
+    def leave_number(self) -> None:
+        if self.number:
+            self.at, self.number = self.number[1], None
+
+    def mark(self, marks: str) -> None:
+        """A mark was heard: it ends a spoken number, unless it stands in the written one."""
+        if self.number and marks not in self.low[slice(*self.number)]:
+            self.leave_number()
+
+    def hear(self, word: str, numeric: bool) -> tuple[int, int] | None:
+        if not numeric:
+            self.leave_number()
+        said = self.literal(word)
+        if numeric:
+            number = self.number or self.written(self.at)
+            if self.number and said:
+                # Inside a run only the very next word can be meant itself, and only before another number.
+                end, after = self.number[1], self.written(self.number[1])
+                if said[0] < end or after and said[0] >= after[0] or re.search(r"\w", self.low[end : said[0]]):
+                    said = None
+            elif said and number and said[0] >= number[0]:
+                said = None
+            if not said and number:
+                self.at, self.number = number[0], number
+                return number
+        if said:
+            self.at, self.number = said[1], None
+        return said
+
+
+def heard(text: str, spoken: list[tuple[str, float | None, float | None]]) -> list[tuple[float | None, float | None, int, int]]:
+    """(start, end, cs, ce) for each spoken (word, start, end): its time, and the span of text that it is heard for (-1 if none).
 
     Words are matched forward within REACH characters at word borders; a run of number words
     lights the next written number; what stays unmatched between two matches shares the text
-    between them.
+    between them. A mark is no word of its own: the word before it lasts until the mark ends.
     """
-    low, at, out, run = text.lower().replace("’", "'"), 0, [], None
-    inside = lambda k: 0 <= k < len(low) and (low[k].isalnum() or low[k] == "_")
-    number = lambda w: bool(w) and all(p in NUMBERS for p in w.split("-") if p)
-    words = [w.strip(" \t\n.,;:!?\"'“”‘’()[]{}…—–-").lower().replace("’", "'") for w in spoken]
-    for k, w in enumerate(words):
-        if not w:
-            out.append(None)
+    place, out = Place(text), []
+    words = [w.strip().strip(EDGES).lower().translate(QUOTES) for w, _, _ in spoken]
+    following = [""] * len(words)
+    for k in range(len(words) - 2, -1, -1):
+        following[k] = words[k + 1] or following[k + 1]
+    for (raw, start, end), word, after in zip(spoken, words, following, strict=True):
+        if not word:
+            place.mark(raw.strip().translate(QUOTES))
+            if out and end is not None and (out[-1][1] is None or end > out[-1][1]):
+                out[-1] = (out[-1][0], end, *out[-1][2:])
             continue
-        following = next((x for x in words[k + 1 :] if x), "")
-        counts = number(w) or run is not None and (w in AFTER or w in BETWEEN and number(following))
-        if run is not None and not counts:
-            at, run = run[1], None
-        place = next((m.start() for m in re.finditer(re.escape(w), low[at : at + REACH + len(w)]) if not inside(at + m.start() - 1) and not inside(at + m.end())), None)
-        place = None if place is None else at + place
-        written = run or next(((m.start(), m.end()) for m in _WRITTEN.finditer(low, at) if m.start() <= at + REACH and not inside(m.start() - 1)), None)
-        if counts and written and (place is None or place >= written[0]):
-            out.append(written)
-            at, run = written[0], written
-        elif place is not None:
-            out.append((place, place + len(w)))
-            at, run = place + len(w), None
-        else:
-            out.append((-1, -1))
-    return _filled(text, out)
-
-
-def _filled(text: str, spans: list) -> list[tuple[int, int]]:
-    """Marks that are no word follow the word before; unmatched runs take the text between their neighbours."""
-    known = [s for s in spans]
-    for k, s in enumerate(known):
-        if s is None:
-            known[k] = known[k - 1] if k else (0, 0)
-    k = 0
-    while k < len(known):
+        numeric = is_number(word) or place.number is not None and (word in AFTER or word in BETWEEN and is_number(after))
+        out.append((start, end, *(place.hear(word, numeric) or (-1, -1))))
+    return [(*o[:2], *span) for o, span in zip(out, _filled(text, [o[2:] for o in out]), strict=True)]
+
+
+def _filled(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs without a span take the text between their neighbours, if there is a word in it."""
+    out, k = list(spans), 0
+    while k < len(out):
         end = k
-        while end < len(known) and known[end] == (-1, -1):
+        while end < len(out) and out[end] == (-1, -1):
             end += 1
         if end > k:
-            a, b = known[k - 1][1] if k else 0, known[end][0] if end < len(known) else len(text)
+            a, b = out[k - 1][1] if k else 0, out[end][0] if end < len(out) else len(text)
             gap = text[a:b] if a < b else ""
             a += len(gap) - len(gap.lstrip(" \t\n\"'“”‘’([{,;:"))
             b = a + len(text[a:b].rstrip(" \t\n\"'“”‘’)]},;:")) if a < b else a
-            if any(c.isalnum() for c in text[a:b]):
-                known[k:end] = [(a, b)] * (end - k)
+            if re.search(r"\w", text[a:b]):
+                out[k:end] = [(a, b)] * (end - k)
         k = max(end, k + 1)
-    return known
+    return out
+
+
+#: The version of the rules above; what an older one aligned is aligned again when it is read.
+ALIGNED_BY = 2
 
 
 def aligned(rows: DataFrame) -> DataFrame:
@@ -104,13 +163,30 @@ def aligned(rows: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for text, words in zip(batch.column("text").to_pylist(), batch.column("words").to_pylist(), strict=True):
-                spans = align(text or "", [w["word"] or "" for w in words or []])
-                out.append([{"start": w["start"], "end": w["end"], "cs": a, "ce": b} for w, (a, b) in zip(words or [], spans, strict=True)])
+                spans = heard(text or "", [(w["word"] or "", w["start"], w["end"]) for w in words or [] if w])
+                out.append([{"start": s, "end": e, "cs": a, "ce": b} for s, e, a, b in spans])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], names=[*batch.schema.names, "spans"])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("spans", SPAN)]))
 
 
+def realigned(entries: DataFrame, version: int = ALIGNED_BY) -> DataFrame:
+    """Stored sounds (text, words, spans, aligned_by): those of another version that kept text and words are aligned again; others stay."""
+    old = ~F.col("aligned_by").eqNullSafe(F.lit(version)) & (F.coalesce("text", F.lit("")) != "") & (F.coalesce(F.size("words"), F.lit(0)) > 0)
+    again = aligned(entries.filter(old).drop("spans")).withColumn("aligned_by", F.lit(version)).select(*entries.columns)
+    return entries.filter(~old).unionByName(again)
+
+
+def speakable(text: Column) -> Column:
+    """A text as it is sent to a voice: dashes of two hyphens as one mark, brackets round, upright bars as commas; no word changes."""
+    return F.translate(F.regexp_replace(text, "--+", "—"), "[]{}|", "()(),")
+
+
+def has_speech(text: Column) -> Column:
+    """Whether there is a letter or digit to say."""
+    return F.coalesce(speakable(text).rlike(r"[\p{L}\p{N}]"), F.lit(False))
+
+
 def line_boxes(words: DataFrame, most: int = 24) -> DataFrame:
     """(id, x0, y0, x1, y1): the union box of each line's words, the first so many in reading order."""
     box = words.groupBy("id", "block", "line").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))

@@ -118,12 +118,25 @@ def generated_covers(spark, sf_dir):
     return align.generated_cover(p).withColumn("white", F.round("white", 9))
 
 
-@query("spoken_words")
+_EDGES = "[\"''“”‘’()\\[\\].,!?;:—–-]"
+
+
+@query("spoken_words", rf"""
+    WITH t AS (SELECT conv_id, turn, string_split(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'), ' ') AS w, coalesce(text, '') AS text FROM conversations),
+    e AS (SELECT conv_id, turn, generate_subscripts(w, 1) AS n, unnest(w) AS word FROM t),
+    p AS (SELECT *, coalesce(sum(length(word) + 1) OVER (PARTITION BY conv_id, turn ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off, (n - 1) * 0.3 + 0.25 AS until,
+      regexp_replace(word, '^{_EDGES}+|{_EDGES}+$', '', 'g') AS bare FROM e),
+    g AS (SELECT *, count(*) FILTER (WHERE bare <> '') OVER (PARTITION BY conv_id, turn ORDER BY n) AS g FROM p)
+    SELECT conv_id, turn, CAST(g - 1 AS INTEGER) AS k, round(min(n - 1) * 0.3, 6) AS start, round(max(until), 6) AS "end",
+      CAST(min(off + length(word) - length(ltrim(word, '"''“”‘’()[].,!?;:—–-'))) AS INTEGER) AS cs,
+      CAST(min(off + length(word) - length(ltrim(word, '"''“”‘’()[].,!?;:—–-')) + length(bare)) FILTER (WHERE bare <> '') AS INTEGER) AS ce
+    FROM g WHERE g > 0 GROUP BY conv_id, turn, g""")
 def spoken_words(spark, sf_dir):
-    """Every turn's words said at a steady pace and held against its text."""
-    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    """Every turn's words, white space levelled, said at a steady pace and held against its text: each is heard for itself."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ").alias("text"))
     said = F.transform(F.split("text", r"\s+"), lambda w, k: F.struct(w.alias("word"), (k * 0.3).alias("start"), (k * 0.3 + 0.25).alias("end")))
-    return align.aligned(t.withColumn("words", said)).select("conv_id", "turn", F.posexplode("spans").alias("k", "s")).select("conv_id", "turn", "k", "s.*")
+    found = align.aligned(t.withColumn("words", said)).select("conv_id", "turn", F.posexplode("spans").alias("k", "s"))
+    return found.select("conv_id", "turn", "k", F.round("s.start", 6).alias("start"), F.round("s.end", 6).alias("end"), "s.cs", "s.ce")
 
 
 @query("translation_terms", """
