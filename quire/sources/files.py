@@ -1,7 +1,8 @@
 """Documents from files: text, e-books, catalog archives and text bundles; presence of files.
 
-Archives are read by one task each, as a stream; a task yields batches of bounded size and
-holds no archive whole. Only Spark's readers open paths, so any store that Spark knows works.
+Only Spark's readers open paths, so any store that Spark knows works. A tar archive is one task's
+stream and a row of Spark's binary reader, so its file is held once and may have 2 GB at most; what
+it gives is yielded in batches. Of a bundle only the members that are wanted are inflated.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ ENTRY_BYTES, BOOK_BYTES = 8 << 20, 24 << 20
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of whole text files; bytes that are no UTF-8 are replaced, a mark at the start is dropped."""
-    raw = spark.read.format("binaryFile").load(path).select("path", F.decode(F.col("content"), "utf-8").alias("text"))
+    raw = spark.read.format("binaryFile").load(path).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     return raw.withColumn("text", F.regexp_replace("text", "^﻿+", ""))
 
 
@@ -157,20 +158,69 @@ def records(spark: SparkSession, path: str, terms: str) -> DataFrame:
 MEMBER = re.compile(r"(?:^|/)(\d+)/pg(\1)\.txt(?:\.utf-?8)?$")
 
 
+def bundle_members(spark: SparkSession, path: str) -> DataFrame:
+    """(path, gid, name) of the texts in zip bundles; names are read, nothing is inflated."""
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for file, content in zip(frame.path, frame.content, strict=True):
+                with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
+                    rows += [(file, int(m[1]), name) for name in z.namelist() if (m := MEMBER.search(name))]
+            yield pd.DataFrame(rows, columns=["path", "gid", "name"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, gid long, name string")
+
+
 def bundle_texts(spark: SparkSession, path: str, wanted: DataFrame, present: DataFrame | None = None) -> DataFrame:
-    """(gid, text) of the texts in zip bundles whose number is wanted and not yet present."""
+    """(gid, text) of the texts in zip bundles whose number is wanted and not yet present.
+
+    The names are joined with what is wanted before any member is inflated; a text that stands in
+    several bundles is read from the first. A bundle may hold its texts in a tar of its own.
+    """
+    listed = bundle_members(spark, path).groupBy("gid").agg(F.min(F.struct("path", "name")).alias("m")).select("gid", "m.*")
+    listed = listed.join(wanted.select("gid").distinct(), "gid", "left_semi")
+    if present is not None:
+        listed = listed.join(present.select("gid"), "gid", "left_anti")
+    picked = listed.groupBy("path").agg(F.collect_list(F.struct("gid", "name")).alias("members"))
 
     def run(frames):
         for frame in frames:
-            for content in frame.content:
+            for content, members in zip(frame.content, frame.members, strict=True):
                 with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
-                    for name in z.namelist():
-                        if m := MEMBER.search(name):
-                            yield pd.DataFrame({"gid": [int(m[1])], "text": [z.read(name).decode("utf-8", "replace")]})
+                    for m in members:
+                        yield pd.DataFrame({"gid": [m["gid"]], "text": [z.read(m["name"]).decode("utf-8", "replace")]})
+
+    found = spark.read.format("binaryFile").load(path).select("path", "content").join(picked, "path")
+    return found.select("content", "members").mapInPandas(run, "gid long, text string")
+
+
+def tar_texts(spark: SparkSession, path: str, wanted: DataFrame, present: DataFrame | None = None) -> DataFrame:
+    """As bundle_texts, for tar archives (any compression), also such as lie in a zip: a stream can only be read on, so members are told by name as they pass."""
+    numbers = wanted.select("gid").distinct()
+    if present is not None:
+        numbers = numbers.join(present.select("gid"), "gid", "left_anti")
+
+    def members(content: bytes):
+        if zipfile.is_zipfile(io.BytesIO(content)):
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                for name in z.namelist():
+                    if re.search(r"\.tar(\.\w+)?$", name):
+                        with z.open(name) as f, tarfile.open(fileobj=f, mode="r|*") as tar:
+                            yield from ((m.name, tar.extractfile(m)) for m in tar if m.isfile())
+        else:
+            with tarfile.open(fileobj=io.BytesIO(content), mode="r|*") as tar:
+                yield from ((m.name, tar.extractfile(m)) for m in tar if m.isfile())
+
+    def run(frames):
+        for frame in frames:
+            for content in frame.content:
+                for name, f in members(bytes(content)):
+                    if m := MEMBER.search(name):
+                        yield pd.DataFrame({"gid": [int(m[1])], "text": [f.read().decode("utf-8", "replace")]})
 
     found = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "gid long, text string")
-    found = found.join(wanted.select("gid").distinct(), "gid", "left_semi")
-    return found if present is None else found.join(present.select("gid"), "gid", "left_anti")
+    return found.join(numbers, "gid", "left_semi").dropDuplicates(["gid"])
 
 
 def with_presence(books: DataFrame, listed: DataFrame) -> DataFrame:
@@ -183,6 +233,25 @@ def with_presence(books: DataFrame, listed: DataFrame) -> DataFrame:
     return out.withColumns({"has_text": F.coalesce("_t", F.lit(False)), "has_cover": F.coalesce("_c", F.lit(False))}).drop("_t", "_c").select(*books.columns)
 
 
+def presence_sums(books: DataFrame) -> DataFrame:
+    """One row: books, and those with a text, with a cover, and with both."""
+    both = F.col("has_text") & F.col("has_cover")
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0).cast("long"))
+    return books.agg(F.count("*").alias("books"), count(F.col("has_text")).alias("texts"), count(F.col("has_cover")).alias("covers"), count(both).alias("complete"))
+
+
+def fetched_page(content: Column, content_type: Column) -> Column:
+    """What came from an address: pdf by its type or first bytes, else page."""
+    head = F.substring(content, 1, 5).cast("string")
+    return F.when(F.lower(F.coalesce(content_type, F.lit(""))).contains("application/pdf") | (F.coalesce(head, F.lit("")) == "%PDF-"), "pdf").otherwise("page")
+
+
+def article_or_plain(article: Column, plain: Column, least: int = 40) -> Column:
+    """The article of a page; where none was found its plain text, if that has least characters or more; else null."""
+    bare = lambda c: F.nullif(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), F.lit(""))
+    return F.coalesce(bare(article), F.when(F.length(bare(plain)) >= least, bare(plain)))
+
+
 def stripped_book(text: Column, edges: dict[str, list[str]]) -> Column:
     """A book's own text: what is between the first start and the first end mark found, credits and picture notes gone.
 

@@ -38,20 +38,19 @@ def admitted_stream(attempts: DataFrame, limit: int = LIMIT, seconds: float = WI
     )
 
 
-def fold_progress(stream: DataFrame, path: str, checkpoint: str, read):
-    """Keep a table (doc_id, idx, seq) of the last place in every document from a stream of such rows.
+def fold_progress(stream: DataFrame, path: str, checkpoint: str, buckets: int = 64):
+    """Keep a published table (doc_id, idx, seq) of the last place in every document from a stream of such rows.
 
-    read() gives the table as it is, or None. Each trigger folds its rows into the table and
-    publishes it whole; a trigger that is repeated gives the same table.
+    Each trigger writes only the parts that hold its documents; a trigger that is repeated gives
+    the same table. A row that is older than what the table has changes nothing.
     """
-    from quire.sources.sinks import publish
+    from quire.sources.sinks import published, replace_documents
 
     def each(batch: DataFrame, _: int) -> None:
-        now = read()
-        rows = batch.select("doc_id", "idx", "seq")
-        rows = rows if now is None else rows.unionByName(now.select("doc_id", "idx", "seq"))
-        last = rows.groupBy("doc_id").agg(F.max_by("idx", "seq").alias("idx"), F.max("seq").alias("seq"))
-        publish(last, path)
+        rows, now = batch.select("doc_id", "idx", "seq"), published(batch.sparkSession, path)
+        if now is not None:
+            rows = rows.unionByName(now.join(rows.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "idx", "seq"))
+        replace_documents(rows.groupBy("doc_id").agg(F.max_by("idx", "seq").alias("idx"), F.max("seq").alias("seq")), path, buckets)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 

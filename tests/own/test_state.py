@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import align, language, library, state
+from quire.sources import sinks
 from quire.streaming import admitted_stream, fold_progress, windowed_counts
 
 
@@ -28,15 +29,13 @@ def test_stream_equals_table(spark, tmp_path):
 
 
 def test_progress_stream(spark, tmp_path):
-    path, seen = f"{tmp_path}/table", {"n": 0}
+    path = f"{tmp_path}/table"
     spark.createDataFrame([(1, 5, 1), (1, 9, 2), (2, 3, 3)], "doc_id long, idx int, seq long").write.parquet(f"{tmp_path}/in/0")
-    read = lambda: spark.read.parquet(path) if seen["n"] else None
     for k in range(2):
         stream = spark.readStream.schema("doc_id long, idx int, seq long").option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
-        assert fold_progress(stream, path, f"{tmp_path}/cp", read).start().awaitTermination(60)
-        seen["n"] += 1
-        spark.createDataFrame([(2, 1, 4)], "doc_id long, idx int, seq long").write.parquet(f"{tmp_path}/in/{k + 1}")
-    assert {(r.doc_id, r.idx) for r in spark.read.parquet(path).collect()} == {(1, 9), (2, 1)}
+        assert fold_progress(stream, path, f"{tmp_path}/cp", 4).start().awaitTermination(120)
+        spark.createDataFrame([(2, 1, 4), (1, 0, 1)], "doc_id long, idx int, seq long").write.parquet(f"{tmp_path}/in/{k + 1}")
+    assert {(r.doc_id, r.idx) for r in sinks.published(spark, path).collect()} == {(1, 9), (2, 1)}
 
 
 def test_windowed_counts(spark):
