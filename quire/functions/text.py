@@ -6,6 +6,8 @@ Offsets and lengths are code points. Null texts give null or an empty array, as
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -207,13 +209,30 @@ def heading_kind(paragraph: Column) -> Column:
 
 
 def inline_markdown(text: Column) -> Column:
-    """Plain text of a line of Markdown: links become their label, emphasis, quote and bullet marks go, escapes are undone."""
-    t = F.regexp_replace(text, r"!?\[([^\]]*)\]\([^)]*\)", "$1")
+    """Plain text of a block of Markdown: links become their label, emphasis (three deep), a quote and a bullet mark go, escapes are undone."""
+    t = F.regexp_replace(text, r"(?<!!)\[([^\]]*)\]\([^)]*\)", "$1")
     for _ in range(3):
-        t = F.regexp_replace(t, r"(\*\*|__|\*|_|`)(?=\S)(.+?)(?<=\S)\1", "$2")
-    t = F.regexp_replace(t, r"^\s*(?:>\s*)+", "")
-    t = F.regexp_replace(t, r"^\s*(?:[-*+]|\d+[.)])\s+", "")
-    return F.trim(F.regexp_replace(t, r"\\([\\`*_{}\[\]()#+.!>~|-])", "$1"))
+        t = F.regexp_replace(t, r"(?s)(\*\*|__|\*|_|`)(.+?)\1", "$2")
+    t = F.regexp_replace(F.regexp_replace(t, r"\A>\s?", ""), r"\A[-*+]\s+", "")
+    return F.regexp_replace(F.regexp_replace(t, r"\\([\\`*_{}\[\]()#+.!-])", "$1"), r"(?U)\A\s+|\s+\z", "")
+
+
+def unescaped(text: Column) -> Column:
+    """Character references undone: decimal, hexadecimal and by name; unknown ones stay."""
+    mark = r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][0-9A-Za-z]{1,10});"
+    parts = F.split(text, rf"(?={mark})|(?<={mark})")
+    names = F.create_map(*[F.lit(x) for name, code in sorted({**name2codepoint, "apos": 39}.items()) for x in (name, chr(code))])
+
+    def char(p: Column) -> Column:
+        number = F.coalesce(
+            F.regexp_extract(p, r"^&#(\d{1,7});$", 1).try_cast("long"),
+            F.conv(F.nullif(F.regexp_extract(p, "^&#[xX]([0-9a-fA-F]{1,6});$", 1), F.lit("")), 16, 10).try_cast("long"),
+        )
+        valid = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+        by_number = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+        return F.coalesce(by_number, F.try_element_at(names, F.regexp_extract(p, r"^&(\w+);$", 1)), p)
+
+    return F.when(text.contains("&"), F.array_join(F.transform(parts, lambda p: F.when(p.startswith("&"), char(p)).otherwise(p)), "")).otherwise(text)
 
 
 def normal_word(word: Column) -> Column:

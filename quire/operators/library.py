@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.text import normal_title
+
 
 def live_events(events: DataFrame, keys: list[str]) -> DataFrame:
     """Events after the last delete of their key (kind ``delete``, seq says the order)."""
@@ -50,14 +52,70 @@ def with_sentence(marks: DataFrame, sentences: DataFrame) -> DataFrame:
 
 
 def documents_listed(docs: DataFrame, marks: DataFrame, media: DataFrame) -> DataFrame:
-    """Documents with bookmarked (at their current place), thumb_ord (least ready media) and progress, newest first by updated_at."""
-    marked = marks.select("doc_id", F.col("idx").alias("current_idx")).distinct().withColumn("_m", F.lit(True))
+    """Documents with bookmarked (anywhere), thumb_ord (least ready media) and progress; in_order() puts them in a library's order."""
+    marked = marks.select("doc_id").distinct().withColumn("_m", F.lit(True))
     thumbs = media.filter("filename is not null").groupBy("doc_id").agg(F.min("ord").alias("thumb_ord"))
-    d = docs.join(marked, ["doc_id", "current_idx"], "left").join(thumbs, "doc_id", "left")
+    d = docs.join(marked, "doc_id", "left").join(thumbs, "doc_id", "left")
     progress = F.when(F.col("num_sentences") > 0, F.col("current_idx") / F.col("num_sentences")).otherwise(0.0)
     return d.select(*docs.columns, F.col("_m").isNotNull().alias("bookmarked"), "thumb_ord", progress.alias("progress"))
 
 
+def in_order(rows: DataFrame, newest: str = "updated_at", key: str = "doc_id") -> DataFrame:
+    """Newest first; equal times by key. Documents go by updated_at, folders by created_at."""
+    return rows.orderBy(F.desc_nulls_last(newest), key)
+
+
+def created(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """New documents (doc_id, current_idx, ...) with num_sentences, their place brought inside [0, num_sentences - 1].
+
+    chunks (doc_id, idx, ...) are their rows of sentences; contents and media go along as tables of
+    their own, published with sinks.replace_documents under the same doc_id. A document without
+    chunks has place 0.
+    """
+    n = chunks.groupBy("doc_id").agg(F.count("*").alias("_n"))
+    d = docs.join(n, "doc_id", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    place = F.greatest(F.lit(0), F.least(F.coalesce("current_idx", F.lit(0)), F.col("_n") - 1)).cast("int")
+    columns = [place.alias(c) if c == "current_idx" else F.col(c) for c in docs.columns if c != "num_sentences"]
+    return d.select(*columns, F.col("_n").cast("long").alias("num_sentences"))
+
+
+def progressed(docs: DataFrame, reads: DataFrame) -> DataFrame:
+    """docs after reads (doc_id, idx, voice, seq): the last place; a document that pins a voice takes the last one it was read in, others none."""
+    last = reads.groupBy("doc_id").agg(
+        F.max_by("idx", "seq").alias("_idx"), F.max_by("voice", F.when(F.col("voice").isNotNull(), F.col("seq"))).alias("_voice")
+    )
+    change = {
+        "current_idx": F.coalesce("_idx", "current_idx"),
+        "voice_override": F.when(F.col("voice_override").isNotNull(), F.coalesce("_voice", "voice_override")),
+    }
+    return docs.join(last, "doc_id", "left").select(*[change[c].alias(c) if c in change else c for c in docs.columns])
+
+
+def of_kinds(docs: DataFrame, *kinds: str) -> DataFrame:
+    """Documents of some kinds that have an address, by id."""
+    return docs.filter(F.col("kind").isin(*kinds) & F.col("source_url").isNotNull()).orderBy("doc_id")
+
+
+def folders(events: DataFrame) -> DataFrame:
+    """(folder_id, name, created_at) of folders made and renamed (kind ``put``) and deleted: the first date, the last name that is one.
+
+    Names are levelled and cut; an event without a name changes none, and makes no folder.
+    """
+    named = events.withColumn("name", normal_title(F.col("name"))).filter((F.col("kind") == "delete") | F.col("name").isNotNull())
+    return upserted(named, ["folder_id"], ["created_at"], ["name"])
+
+
+def addable(books: DataFrame, bodies: DataFrame, docs: DataFrame, least: int = 200) -> DataFrame:
+    """Books not added yet whose body (gid, text) has least characters or more and something to read."""
+    usable = bodies.filter((F.length("text") >= least) & F.col("text").rlike(r"(?U)\S")).select("gid").distinct()
+    return not_yet_added(books, docs).join(usable, "gid", "left_semi")
+
+
+def page_sentences(sentences: DataFrame, doc_id: int, page: int) -> DataFrame:
+    """The sentences of one page, in order."""
+    return sentences.filter((F.col("doc_id") == doc_id) & (F.col("page") == page)).orderBy("idx")
+
+
 def folder_counts(folders: DataFrame, docs: DataFrame) -> DataFrame:
     """Folders with the number of their documents, 0 included."""
     n = docs.filter("folder_id is not null").groupBy("folder_id").agg(F.count("*").alias("count"))

@@ -78,14 +78,72 @@ def coalesced(requests: DataFrame, keys: list[str], work) -> DataFrame:
     return requests.join(work(requests.select(*keys).distinct()), keys, "left")
 
 
-# Settings with their default and their bounds.
-KNOBS = {"speed": (1.0, 0.5, 3.0), "rate": (1.0, 0.5, 2.0)}
+# What may be set, with type and default; preferences that follow a reader; bounds of reading numbers.
+KNOBS = {
+    "catalog_full": ("boolean", "false"),
+    "dict_providers": ("string", "wiktionary,datamuse,dictionaryapi"),
+    "dict_timeout_s": ("double", "3.0"),
+    "dict_hedge_ms": ("int", "700"),
+    "translate_enabled": ("boolean", "true"),
+    "translate_timeout_s": ("double", "4.0"),
+}
+PREFERENCES = ("voice", "voices", "speed", "theme")
+NUMBERS = {"speed": (1.0, 0.5, 3.0), "rate": (1.0, 0.5, 2.0)}
 
 
-def setting(stored: Column, knob: str) -> Column:
+def number(stored: Column) -> Column:
+    """A number written as JSON; null for anything else."""
+    return F.when(F.trim(stored).rlike(r"^-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?$"), F.trim(stored).try_cast("double"))
+
+
+def setting(stored: Column, name: str) -> Column:
     """A number stored as JSON text, its default where null or corrupt, inside its bounds."""
-    default, low, high = KNOBS[knob]
-    return F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce(F.try_to_number(stored, F.lit("999999.999999")).cast("double"), F.lit(default))))
+    default, low, high = NUMBERS[name]
+    return F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce(number(stored), F.lit(default))))
+
+
+def coerced(value: Column, kind: str) -> Column:
+    """JSON text as the text of a knob of a kind; null for null (a reset) and for what cannot be one."""
+    bare = F.nullif(F.trim(value), F.lit("null"))
+    string = F.when(bare.startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), bare, F.lit("}")), "$.v")).otherwise(bare)
+    truth = ~(bare.isin("false", '""', "[]", "{}") | F.coalesce(number(bare) == 0, F.lit(False)))
+    return {
+        "boolean": F.when(bare.isNotNull(), truth.cast("string")),
+        "int": F.coalesce(number(string), F.when(bare == "true", 1.0).when(bare == "false", 0.0)).cast("long").cast("string"),
+        "double": F.coalesce(number(string), F.when(bare == "true", 1.0).when(bare == "false", 0.0)).cast("string"),
+        "string": string,
+    }[kind]
+
+
+def knobs_after(patches: DataFrame, keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(settings, rejected) of patches (keys, key, value as JSON, seq): every knob of everyone (keys) with its value as text, and patches of unknown knobs.
+
+    The last patch of a knob counts; null resets it to its default. A patch of an unknown knob changes nothing.
+    """
+    who = keys or []
+    known = F.col("key").isin(*KNOBS)
+    text = F.when(F.lit(False), "")
+    for name, (kind, _) in KNOBS.items():
+        text = text.when(F.col("key") == name, coerced(F.col("value"), kind))
+    last = patches.filter(known).withColumn("_v", text).groupBy(*who, "key").agg(F.max_by(F.struct(F.col("_v").alias("v")), "seq").alias("_r"))
+    every = F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.lit(d).alias("default")) for k, (_, d) in KNOBS.items()])).alias("k")
+    owners = patches.select(*who).distinct() if who else patches.sparkSession.range(1)
+    full = owners.select(*who, every).select(*who, "k.key", "k.default").join(last, [*who, "key"], "left")
+    return full.select(*who, "key", F.coalesce(F.col("_r.v"), "default").alias("value")), patches.filter(~F.coalesce(known, F.lit(False)))
+
+
+def preferences(patches: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, prefs): the map of preferences that are set, as JSON; a null or JSON null takes one away; other keys are not read."""
+    mine = patches.filter(F.col("key").isin(*PREFERENCES)).groupBy(*keys, "key").agg(F.max_by(F.struct("value"), "seq").alias("r"))
+    there = mine.filter("r.value is not null and trim(r.value) <> 'null'")
+    return there.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "r.value")))).alias("prefs"))
+
+
+def reading_defaults(prefs: Column, voice: str = "af_heart", speed: float = 1.0) -> Column:
+    """(voice, speed) that a document is read with where nothing of its own says otherwise."""
+    said = coerced(F.try_element_at(prefs, F.lit("voice")), "string")
+    fast = F.nullif(number(F.try_element_at(prefs, F.lit("speed"))), F.lit(0.0))
+    return F.struct(F.coalesce(F.nullif(said, F.lit("")), F.lit(voice)).alias("voice"), F.coalesce(fast, F.lit(speed)).alias("speed"))
 
 
 def first_found(words: DataFrame, cache: DataFrame) -> DataFrame:
@@ -111,14 +169,72 @@ def base_word(senses: Column) -> Column:
 
 
 def clean_sense(text: Column) -> Column:
-    """A definition without tags and runs of white space; an editor's placeholder is empty."""
-    bare = F.regexp_replace(text, r"<[^>]*>", "")
-    for name, char in {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}.items():
-        bare = F.replace(bare, F.lit(name), F.lit(char))
-    flat = X.flat(bare)
+    """A definition without tags, character references and runs of white space; an editor's placeholder is empty."""
+    bare = F.regexp_replace(text, r"<[^>]+>", "")
+    flat = X.flat(X.unescaped(bare))
     return F.when(flat.rlike(r"(?i)\{\{|rfdef|needs a definition|This term needs"), "").otherwise(flat)
 
 
+SENSES = "array<struct<pos:string,definition:string,example:string>>"
+# Parts of speech as one provider writes them.
+PARTS = {"n": "noun", "v": "verb", "adj": "adjective", "adv": "adverb", "u": "", "prop": "proper noun"}
+
+
+def entry(payload: Column, provider: Column, word: Column, lang: Column, most: int = 4) -> Column:
+    """(phonetic, senses) of a provider's JSON answer; null where it has no sense that is one.
+
+    One sense a part of speech or block, the first that is not empty, at most so many. One provider
+    gives sections by language (the own one, else English, else the first); the others know English
+    only, and one of them may answer with another word.
+    """
+
+    def first_of(pos: Column, listed: Column) -> Column:
+        clean = F.transform(listed, lambda d: F.struct(pos.alias("pos"), clean_sense(d.definition).alias("definition"), clean_sense(d.example).alias("example")))
+        return F.get(F.filter(clean, lambda d: d.definition != ""), F.lit(0))
+
+    blocks = "array<struct<partOfSpeech:string,definitions:array<struct<definition:string,examples:array<string>,example:string>>>>"
+    sections = F.from_json(payload, f"map<string,{blocks}>")
+    own = F.when(F.size(F.try_element_at(sections, lang)) > 0, F.try_element_at(sections, lang))
+    english = F.when(F.size(F.try_element_at(sections, F.lit("en"))) > 0, F.try_element_at(sections, F.lit("en")))
+    section = F.coalesce(own, english, F.get(F.map_values(sections), F.lit(0)))
+    shown = lambda b: F.transform(b.definitions, lambda d: F.struct(d.definition.alias("definition"), F.coalesce(F.get(d.examples, F.lit(0)), d.example).alias("example")))
+    by_block = lambda listed, low: F.filter(F.transform(listed, lambda b: first_of(F.lower(b.partOfSpeech) if low else b.partOfSpeech, shown(b))), lambda d: d.isNotNull())
+
+    pairs = F.get(F.from_json(payload, "array<struct<word:string,defs:array<string>>>"), F.lit(0))
+    part = lambda d: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in PARTS.items() for x in kv]), F.substring_index(d, "\t", 1)), F.substring_index(d, "\t", 1))
+    told = F.filter(F.transform(pairs.defs, lambda d: F.struct(part(d).alias("pos"), clean_sense(F.regexp_extract(d, r"(?s)\t(.*)$", 1)).alias("definition"), F.lit(None).cast("string").alias("example"))), lambda d: d.definition != "")
+    once = F.filter(told, lambda d, i: ~F.exists(F.slice(told, F.lit(1), i), lambda e: e.pos == d.pos))
+
+    book = F.get(F.from_json(payload, f"array<struct<word:string,phonetic:string,phonetics:array<struct<text:string>>,meanings:{blocks}>>"), F.lit(0))
+    sounds = F.filter(F.transform(book.phonetics, lambda p: F.trim(p.text)), lambda t: t != "")
+    phonetic = F.coalesce(F.nullif(F.trim(book.phonetic), F.lit("")), F.get(sounds, F.lit(0)))
+    english_only = lang == "en"
+    senses = (
+        F.when(provider == "wiktionary", by_block(section, True))
+        .when((provider == "datamuse") & english_only & (F.lower(pairs.word) == word), once)
+        .when((provider == "dictionaryapi") & english_only, by_block(book.meanings, False))
+    )
+    senses = F.slice(senses, 1, most)
+    return F.when(F.size(senses) > 0, F.struct(F.when(provider == "dictionaryapi", phonetic).alias("phonetic"), senses.cast(SENSES).alias("senses")))
+
+
+def defined(words: DataFrame, entries: DataFrame) -> DataFrame:
+    """(word, found, form_of, senses): the first spelling of each word that has an entry; of a mere inflection the base word's entry, one hop on.
+
+    entries (word, senses: array of texts) are answers and cached ones that may still be used. An inflection whose base has none stays itself.
+    """
+    known = entries.select("word", "senses").dropDuplicates(["word"])
+    first = first_found(words, known.withColumnRenamed("senses", "payload")).withColumn("base", base_word(F.col("payload")))
+    hop = first_found(first.filter("base is not null and base <> spelling").select(F.col("base").alias("word")), known.withColumnRenamed("senses", "payload"))
+    hop = hop.filter("spelling is not null").select(F.col("word").alias("base"), F.col("spelling").alias("_to"), F.col("payload").alias("_senses"))
+    d = first.join(hop, "base", "left")
+    moved = F.col("_to").isNotNull() & (F.col("base") != F.col("spelling"))
+    return d.select(
+        "word", F.when(moved, F.col("_to")).otherwise(F.col("spelling")).alias("found"), F.when(moved, F.col("spelling")).alias("form_of"),
+        F.when(moved, F.col("_senses")).otherwise(F.col("payload")).alias("senses"),
+    )
+
+
 def top_senses(senses: DataFrame, n: int = 4) -> DataFrame:
     """At most n senses a word: the first of each part of speech, in order. senses: (word, pos, place, text)."""
     first = senses.groupBy("word", "pos").agg(F.min_by(F.struct("place", "text"), "place").alias("s"))
@@ -132,6 +248,11 @@ def target_languages(listed: Column, most: int = 4) -> Column:
     return F.slice(F.array_distinct(F.filter(codes, lambda c: c.rlike(r"^\p{L}{2}$"))), 1, most)
 
 
+def preferred(sub: Column, page: Column) -> Column:
+    """Translations of a word: those of its page of translations where there are any, else of its own page."""
+    return F.when(F.coalesce(F.size(sub), F.lit(0)) > 0, sub).otherwise(F.coalesce(page, F.array().cast("array<string>")))
+
+
 def translatable(word: Column, src: Column, dst: Column) -> Column:
     """The word to look up, or null where nothing is to be asked: same language, no two-letter code, an empty or a very long word."""
     a, b = F.substring(F.lower(F.coalesce(src, F.lit("en"))), 1, 2), F.substring(F.lower(dst), 1, 2)

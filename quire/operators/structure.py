@@ -71,9 +71,14 @@ def contents(chunks: DataFrame) -> DataFrame:
     return heads.select("id", "h.level", F.substring("h.text", 1, 120).alias("title"), "h.idx")
 
 
-def page_index(chunks: DataFrame) -> DataFrame:
-    """(id, page, start, count) of every page that has chunks; start is the number of chunks on earlier pages."""
+def page_index(chunks: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """(id, page, start, count); start is the number of chunks on earlier pages.
+
+    pages (id, page) lists all pages, also those without chunks; else pages that have chunks are listed.
+    """
     per = chunks.groupBy("id", "page").agg(F.count("*").alias("count"))
+    if pages is not None:
+        per = pages.select("id", "page").distinct().join(per, ["id", "page"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
     before = Window.partitionBy("id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
     return per.select("id", "page", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"), "count")
 
@@ -114,14 +119,20 @@ def toc_targets(toc: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def moved_progress(old: DataFrame, new: DataFrame, places: DataFrame) -> DataFrame:
-    """places (id, idx) in old chunks as places in new ones, by the characters that come before; else the last chunk."""
+    """places (id, idx) in old chunks as places in new ones, by the characters that come before; else the last chunk.
+
+    An as-of join: places and new chunks stand in one order by where they begin, and each place
+    takes the least new chunk from there on.
+    """
     before = Window.partitionBy("id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
     at = lambda d: d.select("id", "idx", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).alias("at"))
-    target = places.join(at(old), ["id", "idx"]).select("id", F.col("idx").alias("old_idx"), "at")
-    end = new.groupBy("id").agg(F.max("idx").alias("end"))
-    found = target.join(at(new).withColumnsRenamed({"idx": "new", "at": "new_at"}), "id").filter("new_at >= at").groupBy("id", "old_idx").agg(F.min("new").alias("new"))
-    out = places.select("id", F.col("idx").alias("old_idx")).join(found, ["id", "old_idx"], "left").join(end, "id", "left")
-    return out.select("id", "old_idx", F.when(F.col("old_idx") <= 0, 0).otherwise(F.coalesce("new", "end")).alias("idx"))
+    asked = places.select("id", "idx").distinct().join(at(old), ["id", "idx"], "left")
+    none = F.lit(None).cast("int")
+    both = at(new).select("id", "at", F.col("idx").alias("new"), none.alias("old_idx")).unionByName(asked.select("id", "at", none.alias("new"), F.col("idx").alias("old_idx")))
+    later = Window.partitionBy("id").orderBy(F.col("at").asc_nulls_last()).rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    both = both.withColumns({"next": F.min("new").over(later), "end": F.max("new").over(Window.partitionBy("id"))}).filter("old_idx is not null")
+    next_ = F.when(F.col("at").isNotNull(), F.coalesce("next", "end")).otherwise(F.col("end"))
+    return both.select("id", "old_idx", F.when(F.col("old_idx") <= 0, 0).otherwise(next_).alias("idx"))
 
 
 def dedup_paragraphs(paras: DataFrame, least: int = 200, prefix: int = 160) -> DataFrame:

@@ -9,26 +9,74 @@ from quire.operators import align, layout
 from quire.operators import structure as S
 from quire.plans.tables import table
 from quire.queries import query
-from quire.queries.structure import PARAGRAPHS_SQL, _trim, piece_table
+from quire.queries.structure import PARAGRAPHS_SQL, UNITS_SQL, _trim
 from quire.sources import pages as P
 
 
-@query("article_blocks")
+_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&amp;", "&")]
+
+
+def _bare(x: str) -> str:
+    """Text of HTML: comments and tags gone, references of the tables' pages undone, white space levelled."""
+    x = f"regexp_replace(regexp_replace({x}, '<!--.*?-->', '', 'gs'), '<[^>]*>', '', 'g')"
+    for name, char in _ENTITIES:
+        x = f"replace({x}, '{name}', '{char}')"
+    return rf"trim(regexp_replace({x}, '[\s\x{{A0}}]+', ' ', 'g'))"
+
+
+def _inline(x: str) -> str:
+    """Inline Markdown to text; RE2 has no back references, so each mark is an alternative."""
+    x = rf"regexp_replace({x}, '\[([^\]]*)\]\([^)]*\)', '\1', 'g')"
+    for _ in range(3):
+        x = rf"regexp_replace({x}, '\*\*(.+?)\*\*|__(.+?)__|\*(.+?)\*|_(.+?)_|`(.+?)`', '\1\2\3\4\5', 'gs')"
+    x = rf"regexp_replace(regexp_replace({x}, '^>\s?', ''), '^[-*+]\s+', '')"
+    return _trim(rf"regexp_replace({x}, '\\([\\`*_{{}}\[\]()#+.!-])', '\1', 'g')")
+
+
+#: Headings and paragraphs of the pages as they are written, a paragraph ending where the next begins; all text of the body as
+#: one block where these hold under half of it; then the Markdown rules.
+_BLOCKS = rf"""
+    art AS (SELECT page_id AS doc_id, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS h, {_bare("regexp_extract(coalesce(html, ''), '<body>(.*)$', 1, 's')")} AS body FROM pages),
+    parts AS (SELECT doc_id, generate_subscripts(w, 1) AS n, unnest(w) AS raw FROM (SELECT doc_id, regexp_split_to_array(h, '</p>|</h1>|<p>|<h1>') AS w FROM art)),
+    heads AS (SELECT doc_id, body, regexp_extract_all(h, '<h1>(.*?)</h1>', 1, 's') AS hs FROM art),
+    plain AS (SELECT doc_id, n, body, {_bare("raw")} AS text, list_contains(hs, raw) AND row_number() OVER (PARTITION BY doc_id, raw ORDER BY n) = 1 AS head FROM parts JOIN heads USING (doc_id)),
+    full_text AS (SELECT doc_id, sum(length(text)) < length(any_value(body)) / 2 AS few FROM plain GROUP BY doc_id),
+    written AS (
+      SELECT doc_id, n, CASE WHEN head THEN '# ' || text ELSE text END AS md FROM plain JOIN full_text USING (doc_id) WHERE text <> '' AND NOT few
+      UNION ALL SELECT doc_id, 0, body FROM art JOIN full_text USING (doc_id) WHERE few AND body <> ''),
+    headed AS (SELECT *, regexp_extract(md, '^(#{{1,6}})\s+.*\S\s*$', 1) AS hd, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS para FROM written),
+    listed AS (
+      SELECT doc_id, para, least(3, length(hd)) AS level, CASE WHEN hd <> '' THEN {_inline(r"regexp_extract(md, '^#{1,6}\s+(.*\S)\s*$', 1)")}
+        ELSE {_trim(r"regexp_replace(" + _inline("md") + r", '[ \t\x{A0}]{2,}', ' ', 'g')")} END AS text FROM headed),
+    known AS (
+      SELECT *, row_number() OVER (PARTITION BY doc_id, CASE WHEN level > 0 OR length(text) >= 200 THEN lower(CASE WHEN level > 0 THEN text ELSE left(text, 160) END) END ORDER BY para) AS k
+      FROM listed WHERE text <> ''),
+    kept AS (SELECT doc_id, NULL AS lang, para, CAST(level AS INTEGER) AS level, text FROM known WHERE k = 1 OR NOT (level > 0 OR length(text) >= 200))"""
+
+
+@query("article_blocks", f"WITH {_BLOCKS} SELECT doc_id AS id, CAST(para AS INTEGER) AS para, level, text FROM kept")
 def article_blocks(spark, sf_dir):
-    """Headings and paragraphs of every page; held against a slow parse in tests/."""
+    """Headings and paragraphs of every page."""
     pages = table(spark, sf_dir, "pages").select("page_id", "html")
     return P.article_blocks(P.with_markdown(pages), "page_id")
 
 
-@query("article_chunks")
+@query("article_chunks", f"""
+    WITH {_BLOCKS}, full_paras AS (SELECT doc_id, lang, para, text FROM kept WHERE level = 0), {UNITS_SQL},
+    every AS (SELECT doc_id, para, pos, 0 AS level, text FROM units UNION ALL SELECT doc_id, para, 0, level, text FROM kept WHERE level > 0)
+    SELECT doc_id AS id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY para, pos) - 1 AS INTEGER) AS idx, CAST(para AS INTEGER) AS para, level, text FROM every""")
 def article_chunks(spark, sf_dir):
     return P.article_chunks(article_blocks(spark, sf_dir))
 
 
-@query("article_images")
+@query("article_images", r"""
+    SELECT page_id AS id, 0 AS ord, 1 AS para, url || '/x.png' AS src_url, 'a' AS alt, 1 AS anchor_idx FROM pages WHERE regexp_matches(url, '^https?://[^\s)]*$')
+    UNION ALL SELECT page_id, 1, 2, 'https://h.example/z.jpg', '', 1 FROM pages WHERE regexp_matches(url, '^https?://[^\s)]*$')""")
 def article_images(spark, sf_dir):
-    mark = F.concat(F.lit("![a]("), F.col("url"), F.lit("/x.png) ![b](y.gif) ![a]("), F.col("url"), F.lit("/x.png)"))
-    return P.images(table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url", mark.alias("markdown")))
+    """Pictures of a page with one sentence before them and one behind, and where they are anchored."""
+    mark = F.concat(F.lit("One sentence.\n\n![a]("), F.col("url"), F.lit("/x.png) ![b](y.gif) ![a]("), F.col("url"), F.lit("/x.png)\n\n![](https://h.example/z.jpg) Another sentence."))
+    marked = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url", mark.alias("markdown"))
+    return P.anchored(P.images(marked), P.article_chunks(P.article_blocks(marked)))
 
 
 @query("web_addresses", r"SELECT page_id, CASE WHEN regexp_matches(url, '^https?://[^/?#\s]*\.[^/?#\s]*') THEN url END AS address FROM pages")
@@ -70,7 +118,13 @@ def stitched_pages(spark, sf_dir):
     return layout.stitch(paras.select("id", (F.floor(F.col("para") / 3) + 1).alias("page"), "para", "text"))
 
 
-@query("sentence_boxes")
+@query("sentence_boxes", r"""
+    WITH t AS (SELECT conv_id AS id, CAST(turn AS INTEGER) AS page, coalesce(text, '') AS text FROM conversations),
+    w AS (SELECT id, page, regexp_extract_all(text, '\S+') AS tok, regexp_split_to_array(text, '\S+') AS gaps FROM t),
+    e AS (SELECT id, page, generate_subscripts(tok, 1) AS k, unnest(tok) AS word, unnest(gaps[:len(tok)]) AS gap, CASE WHEN gaps[1] <> '' THEN 1 ELSE 0 END AS lead FROM w),
+    c AS (SELECT *, sum(length(gap) + length(word)) OVER (PARTITION BY id, page ORDER BY k) AS ce, count(*) FILTER (WHERE regexp_matches(word, '[\p{L}\p{N}]')) OVER (PARTITION BY id, page) AS n FROM e)
+    SELECT id, page, 0 AS idx, CAST(ce - length(word) AS INTEGER) AS cs, CAST(ce AS INTEGER) AS ce, 10.0 AS x0, (k - 1 + lead) * 12.0 AS y0, 90.0 AS x1, (k - 1 + lead) * 12.0 + 10 AS y1
+    FROM c WHERE n >= 2 AND regexp_matches(word, '[\p{L}\p{N}]')""")
 def sentence_boxes(spark, sf_dir):
     """Boxes of the words of every turn, its page being the turn's own words one under another."""
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").cast("int").alias("page"), F.lit(0).alias("idx"), F.coalesce("text", F.lit("")).alias("text"))

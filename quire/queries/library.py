@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
@@ -75,11 +76,91 @@ def media(spark, sf_dir):
 
 @query("list_documents", f"""
     WITH {_E}, {_D}, {_M}, t AS (SELECT doc_id, min(ord) AS thumb_ord FROM m WHERE filename IS NOT NULL GROUP BY doc_id)
-    SELECT d.*, EXISTS (SELECT 1 FROM b WHERE b.doc_id = d.doc_id AND b.idx = d.current_idx) AS bookmarked, thumb_ord, CASE WHEN num_sentences > 0 THEN current_idx / num_sentences ELSE 0.0 END AS progress FROM d LEFT JOIN t USING (doc_id)""")
+    SELECT d.*, EXISTS (SELECT 1 FROM b WHERE b.doc_id = d.doc_id) AS bookmarked, thumb_ord, CASE WHEN num_sentences > 0 THEN current_idx / num_sentences ELSE 0.0 END AS progress FROM d LEFT JOIN t USING (doc_id)""")
 def list_documents(spark, sf_dir):
     return L.documents_listed(docs(spark, sf_dir), bookmarks(spark, sf_dir), media(spark, sf_dir))
 
 
+@query("library_order", f"WITH {_D} SELECT doc_id, updated_at, CAST(row_number() OVER (ORDER BY updated_at DESC, doc_id) AS INTEGER) AS place FROM d")
+def library_order(spark, sf_dir):
+    """The order itself, as numbers: one list of documents, newest first."""
+    rows = L.in_order(docs(spark, sf_dir)).select("doc_id", "updated_at")
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("updated_at"), "doc_id")))
+
+
+@query("created_documents", f"""
+    WITH {_S}, n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id)
+    SELECT documents.doc_id, CAST(greatest(0, least(documents.doc_id % 50 - 3, coalesce(n, 0) - 1)) AS INTEGER) AS current_idx, coalesce(n, 0) AS num_sentences FROM documents LEFT JOIN n USING (doc_id)""")
+def created_documents(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 50 - 3).cast("int").alias("current_idx"))
+    return L.created(d, sentences(spark, sf_dir))
+
+
+@query("progress_saved", """
+    WITH r AS (SELECT user_id AS doc_id, event_id AS seq, CAST(event_id % 6 AS INTEGER) AS idx, CASE WHEN event_id % 4 = 0 THEN event_type END AS voice FROM events),
+    l AS (SELECT doc_id, arg_max(idx, seq) AS idx, arg_max(voice, seq) AS voice FROM r GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(idx, 1) AS current_idx, CASE WHEN d.doc_id % 3 > 0 THEN coalesce(voice, 'v') END AS voice_override FROM documents d LEFT JOIN l USING (doc_id)""")
+def progress_saved(spark, sf_dir):
+    i = F.col("event_id")
+    reads = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), i.alias("seq"), (i % 6).cast("int").alias("idx"), F.when(i % 4 == 0, F.col("event_type")).alias("voice"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("current_idx"), F.when(F.col("doc_id") % 3 > 0, "v").alias("voice_override"))
+    return L.progressed(d, reads)
+
+
+@query("documents_of_kinds", f"WITH {_D} SELECT doc_id, source_url FROM d WHERE kind IN ('book', 'url')")
+def documents_of_kinds(spark, sf_dir):
+    return L.of_kinds(docs(spark, sf_dir), "book", "url").select("doc_id", "source_url")
+
+
+@query("folders_named", r"""
+    WITH e AS (SELECT user_id AS folder_id, event_id AS seq, event_type = 'error' AS gone, value AS created_at,
+      CASE WHEN event_id % 3 > 0 THEN nullif(left(trim(regexp_replace(event_type || '  ' || event_id || chr(10), '\s+', ' ', 'g')), 200), '') END AS name FROM events),
+    g AS (SELECT folder_id, max(seq) FILTER (WHERE gone) AS last FROM e GROUP BY folder_id),
+    k AS (SELECT e.* FROM e JOIN g ON e.folder_id IS NOT DISTINCT FROM g.folder_id WHERE NOT gone AND name IS NOT NULL AND (last IS NULL OR seq > last))
+    SELECT folder_id, arg_min(created_at, seq) AS created_at, arg_max(name, seq) AS name FROM k GROUP BY folder_id""")
+def folders_named(spark, sf_dir):
+    i = F.col("event_id")
+    e = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("folder_id"), i.alias("seq"), F.when(F.col("event_type") == "error", "delete").otherwise("put").alias("kind"), F.col("value").alias("created_at"),
+        F.when(i % 3 > 0, F.concat("event_type", F.lit("  "), i.cast("string"), F.lit("\n"))).when(i % 2 == 0, " \n ").alias("name"),
+    )
+    return L.folders(e)
+
+
+@query("books_addable", rf"""
+    WITH {BOOKS_SQL}, {_D} SELECT gid, title FROM books WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.kind = 'book' AND d.source_url = 'pg:' || books.gid)
+      AND EXISTS (SELECT 1 FROM documents x WHERE x.doc_id = books.gid AND length(x.text) >= 200 AND regexp_matches(x.text, '[^\s]'))""")
+def books_addable(spark, sf_dir):
+    bodies = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("gid"), "text")
+    return L.addable(book_table(spark, sf_dir), bodies, docs(spark, sf_dir)).select("gid", "title")
+
+
+@query("page_counts", f"""
+    WITH {_S}, p AS (SELECT doc_id AS id, unnest(range(1, 8)) AS page FROM documents), n AS (SELECT doc_id AS id, page, count(*) AS c FROM s WHERE page % 2 = 1 GROUP BY ALL)
+    SELECT id, CAST(page AS INTEGER) AS page, CAST(coalesce(sum(coalesce(c, 0)) OVER (PARTITION BY id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, coalesce(c, 0) AS count FROM p LEFT JOIN n USING (id, page)""")
+def page_counts(spark, sf_dir):
+    """Seven pages a document, the even ones without sentences."""
+    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(F.sequence(F.lit(1), F.lit(7))).alias("page"))
+    return S.page_index(sentences(spark, sf_dir).filter("page % 2 = 1").withColumnRenamed("doc_id", "id"), pages)
+
+
+@query("page_of_sentences", f"WITH {_S} SELECT doc_id, idx, text FROM s WHERE doc_id = 4 AND page = 1")
+def page_of_sentences(spark, sf_dir):
+    """One page of one document; the page is the feature."""
+    return L.page_sentences(sentences(spark, sf_dir), 4, 1).select("doc_id", "idx", "text")
+
+
+@query("highlights_with_page", f"""
+    WITH {_S}, h AS (SELECT user_id AS doc_id, CAST(event_id % 3 AS INTEGER) AS idx, event_id AS seq, CAST(event_id % 4 * 10 AS INTEGER) AS cs, CAST(event_id % 4 * 10 + 15 AS INTEGER) AS ce, event_type AS color FROM events),
+    f AS (SELECT h.doc_id, h.idx, greatest(0, least(cs, length(text))) AS cs, greatest(0, least(ce, length(text))) AS ce, seq, color, page FROM h JOIN s ON s.doc_id = h.doc_id AND s.idx = h.idx)
+    SELECT doc_id, idx, CAST(cs AS INTEGER) AS cs, CAST(ce AS INTEGER) AS ce, arg_max(color, seq) AS color, coalesce(any_value(page), 1) AS page FROM f WHERE ce > cs GROUP BY ALL HAVING true""")
+def highlights_with_page(spark, sf_dir):
+    i = F.col("seq")
+    e = events(spark, sf_dir).withColumns({"kind": F.lit("put"), "idx": (i % 3).cast("int"), "cs": (i % 4 * 10).cast("int"), "ce": (i % 4 * 10 + 15).cast("int")})
+    marks = L.highlights(e, sentences(spark, sf_dir))
+    return L.with_sentence(marks, sentences(spark, sf_dir)).select("doc_id", "idx", "cs", "ce", "color", "page")
+
+
 @query("folder_counts", f"WITH {_D}, f AS (SELECT unnest(range(1, 7)) AS folder_id) SELECT folder_id, (SELECT count(*) FROM d WHERE d.folder_id = f.folder_id) AS count FROM f")
 def folder_counts(spark, sf_dir):
     return L.folder_counts(spark.range(1, 7).withColumnRenamed("id", "folder_id"), docs(spark, sf_dir))

@@ -51,7 +51,8 @@ PARAGRAPHS_SQL = rf"""
       SELECT doc_id, lang, para, {_trim(r"regexp_replace(regexp_replace(regexp_replace(text, '([\p{L}\p{M}\p{N}_])[-‐]\n([\p{L}\p{M}\p{N}_])', '\1\2', 'g'), '[ \t]*\n[ \t]*', ' ', 'g'), '[ \t\x{A0}]{2,}', ' ', 'g')")} AS text
       FROM (SELECT doc_id, lang, generate_subscripts(p, 1) - 1 AS para, unnest(p) AS text FROM blocks)),
     full_paras AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY doc_id ORDER BY para) - 1 AS para, text FROM paras WHERE text <> '')"""
-PIECES_SQL = rf"""{PARAGRAPHS_SQL},
+#: The units of full_paras, and all of a document numbered.
+UNITS_SQL = rf"""
     split AS (
       SELECT doc_id, lang, para, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])(["''”’)\]]?){_W}+(["''“‘(\[A-Z0-9])', '\1\2' || chr(1) || '\3', 'g'), chr(1)),
         lambda x: {_trim("x")}), lambda x: x <> '') AS p FROM full_paras),
@@ -63,6 +64,7 @@ PIECES_SQL = rf"""{PARAGRAPHS_SQL},
         ELSE list_filter(list_transform(regexp_extract_all(x, '{_SOFT}', 1, 's'), lambda y: {_trim("y")}), lambda y: y <> '') END)) AS p FROM joined),
     units AS (SELECT doc_id, lang, para, generate_subscripts(p, 1) - 1 AS pos, unnest(p) AS text FROM cut),
     pieces AS (SELECT doc_id, lang, para, row_number() OVER (PARTITION BY doc_id ORDER BY para, pos) - 1 AS idx, text FROM units)"""
+PIECES_SQL = f"{PARAGRAPHS_SQL},{UNITS_SQL}"
 
 
 def piece_table(spark, sf_dir):
@@ -199,14 +201,24 @@ def dedup_paragraphs(spark, sf_dir):
     return S.dedup_paragraphs(paras).select("id", "para", F.length("text").alias("n_chars"))
 
 
-@query("plain_documents")
+#: No document of the tables has a printed list, so a body starts at once.
+@query("plain_documents", f"WITH {PIECES_SQL} SELECT doc_id AS id, count(*) AS n_chunks, CAST(sum(length(text)) AS BIGINT) AS n_chars, 0 AS start_idx FROM pieces GROUP BY doc_id")
 def plain_documents(spark, sf_dir):
     """Chunks and where the body starts, printed lists gone, from whole texts."""
     chunks, starts = S.plain_documents(table(spark, sf_dir, "documents"))
     return chunks.groupBy("id").agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).cast("long").alias("n_chars")).join(starts, "id")
 
 
-@query("rechunked_documents")
+#: The old sentences are pairs of the new ones.
+@query("rechunked_documents", f"""
+    WITH {PIECES_SQL}, long AS (SELECT p.doc_id, idx, p.text FROM pieces p JOIN documents d USING (doc_id) WHERE length(d.text) >= 100),
+    o AS (SELECT doc_id, idx // 2 AS idx, string_agg(text, ' ' ORDER BY idx) AS text FROM long GROUP BY ALL),
+    a AS (SELECT doc_id, idx, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM o),
+    b AS (SELECT doc_id, idx, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM long),
+    p AS (SELECT * FROM a WHERE idx = doc_id % 7)
+    SELECT p.doc_id AS id, CAST(p.idx AS INTEGER) AS old_idx, CAST(CASE WHEN p.idx <= 0 THEN 0 ELSE coalesce(min(b.idx) FILTER (WHERE b.off >= p.off), max(b.idx)) END AS INTEGER) AS idx
+    FROM p JOIN b ON b.doc_id = p.doc_id GROUP BY p.doc_id, p.idx""")
 def rechunked_documents(spark, sf_dir):
-    old = piece_table(spark, sf_dir).select(F.col("doc_id").alias("id"), "idx", "text")
+    new = piece_table(spark, sf_dir).select(F.col("doc_id").alias("id"), F.floor(F.col("idx") / 2).cast("int").alias("k"), "idx", "text")
+    old = new.groupBy("id", "k").agg(F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("t")).select("id", F.col("k").alias("idx"), F.array_join(F.col("t.text"), " ").alias("text"))
     return S.rechunked(old, table(spark, sf_dir, "documents"), old.filter("idx = id % 7").select("id", "idx"))[1]

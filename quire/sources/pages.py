@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from quire.functions import text as X
 
 SHOWN = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+#: Elements that no heading or paragraph can hold: where one begins or ends, an open block ends.
+AROUND = frozenset("address article aside blockquote body center div dl fieldset figure footer form header html main nav ol section table ul".split())
 
 
 class _Body(HTMLParser):
@@ -35,14 +37,14 @@ class _Body(HTMLParser):
             self.hidden += 1
         elif tag == "body":
             self.hidden, self.all = 0, []
-        elif tag in SHOWN:
+        elif tag in SHOWN or tag in AROUND:
             self._end()
-            self.open = tag
+            self.open = tag if tag in SHOWN else None
 
     def handle_endtag(self, tag):
         if tag in ("script", "style", "head"):
             self.hidden = max(0, self.hidden - 1)
-        elif tag == self.open:
+        elif tag == self.open or tag in AROUND:
             self._end()
 
     def handle_data(self, data):
@@ -78,10 +80,18 @@ def with_markdown(pages: DataFrame, html_col: str = "html", name: str = "markdow
 IMAGE = r"!\[([^\]]*)\]\(\s*(<[^>]+>|[^)\s]+)[^)]*\)"
 
 
+BLANK_LINE = r"\n[ \t]*\n"
+
+
+def markdown_blocks(docs: DataFrame, id_col: str, markdown_col: str, *keep: Column) -> DataFrame:
+    """(id, columns keep, para, raw): the blocks of Markdown between blank lines."""
+    blocks = F.split(F.regexp_replace(F.coalesce(markdown_col, F.lit("")), "\r\n", "\n"), BLANK_LINE)
+    return docs.select(F.col(id_col).alias("id"), *keep, F.posexplode(blocks).alias("para", "raw"))
+
+
 def article_blocks(docs: DataFrame, id_col: str = "id", markdown_col: str = "markdown") -> DataFrame:
     """(id, para, level, text): headings (level 1 to 3) and paragraphs (0) of Markdown, long repeats and repeated headings dropped."""
-    blocks = F.split(F.regexp_replace(F.coalesce(markdown_col, F.lit("")), "\r\n", "\n"), r"\n[ \t]*\n")
-    b = docs.select(F.col(id_col).alias("id"), F.posexplode(blocks).alias("para", "raw"))
+    b = markdown_blocks(docs, id_col, markdown_col)
     bare = F.trim(F.regexp_replace(F.trim("raw"), IMAGE, ""))
     head = F.regexp_extract(bare, r"^(#{1,6})\s+(.*\S)\s*$", 1)
     text = F.when(head != "", X.inline_markdown(F.regexp_extract(bare, r"^#{1,6}\s+(.*\S)\s*$", 1))).otherwise(X.clean_paragraph(X.inline_markdown(bare)))
@@ -108,10 +118,10 @@ def absolute(base: str | None, url: str | None) -> str:
 
 
 def images(docs: DataFrame, id_col: str = "id", markdown_col: str = "markdown", base_col: str = "url") -> DataFrame:
-    """(id, ord, src_url, alt): the first place of each image address, drawings and animations left out."""
-    marks = F.regexp_extract_all(F.coalesce(markdown_col, F.lit("")), F.lit(IMAGE), F.lit(0))
-    each = docs.select(F.col(id_col).alias("id"), F.col(base_col).alias("base"), F.posexplode(marks).alias("place", "m"))
-    each = each.select("id", "base", "place", F.regexp_extract("m", IMAGE, 2).alias("u"), F.trim(F.regexp_extract("m", IMAGE, 1)).alias("alt"))
+    """(id, ord, para, src_url, alt): the first place of each image address, drawings and animations left out; para is the image's block."""
+    marks = F.regexp_extract_all("raw", F.lit(IMAGE), F.lit(0))
+    each = markdown_blocks(docs, id_col, markdown_col, F.col(base_col).alias("base")).select("id", "base", "para", F.posexplode(marks).alias("place", "m"))
+    each = each.select("id", "base", F.struct("para", "place").alias("place"), F.regexp_extract("m", IMAGE, 2).alias("u"), F.trim(F.regexp_extract("m", IMAGE, 1)).alias("alt"))
 
     def run(batches):
         for b in batches:
@@ -122,7 +132,19 @@ def images(docs: DataFrame, id_col: str = "id", markdown_col: str = "markdown",
     found = found.filter(~F.lower(F.substring_index("src_url", "?", 1)).rlike(r"\.(svg|gif)$"))
     first = found.groupBy("id", "src_url").agg(F.min_by(F.struct("place", "alt"), "place").alias("f"))
     order = F.row_number().over(Window.partitionBy("id").orderBy("f.place")) - 1
-    return first.select("id", order.alias("ord"), "src_url", "f.alt")
+    return first.select("id", order.alias("ord"), F.col("f.place.para").alias("para"), "src_url", "f.alt")
+
+
+def anchored(pictures: DataFrame, chunks: DataFrame) -> DataFrame:
+    """pictures (id, ord, para, ...) with anchor_idx: the first chunk (id, idx, para) of their block or a later one, else one past the last.
+
+    Both stand in one order by block, so a picture takes the number of chunks before it.
+    """
+    none = F.lit(None).cast("int")
+    both = chunks.select("id", "para", F.lit(1).alias("n"), none.alias("ord")).unionByName(pictures.select("id", "para", F.lit(0).alias("n"), "ord"))
+    before = Window.partitionBy("id").orderBy("para").rangeBetween(Window.unboundedPreceding, -1)
+    at = both.withColumn("anchor_idx", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int")).filter("ord is not null").select("id", "ord", "anchor_idx")
+    return pictures.join(at, ["id", "ord"])
 
 
 def charset(content_type: Column, head: Column) -> Column:
