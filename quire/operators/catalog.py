@@ -8,6 +8,7 @@ parted by ``, ``. Ties in downloads go to the smaller gid.
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,7 +88,15 @@ def book(books: DataFrame, gid: int, full: bool = False) -> DataFrame:
     return cards(found.withColumn("_subjects", subjects), "authors_full", "description", F.col("_subjects").alias("subjects"), "has_text")
 
 
-FOLD = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+def accents() -> tuple[str, str]:
+    """Small Latin letters with marks, and the plain letters that they are without."""
+    marked = [chr(c) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if chr(c).islower()]
+    plain = [(c, unicodedata.normalize("NFKD", c)[0]) for c in marked]
+    plain = [(c, b) for c, b in plain if b.isascii() and b.isalpha()]
+    return "".join(c for c, _ in plain), "".join(b for _, b in plain)
+
+
+FOLD = accents()
 
 
 def terms(*columns: str) -> Column:

@@ -84,8 +84,9 @@ def test_article(spark):
     d = spark.createDataFrame([(1, f"# A\n\n{long}\n\nshort\n\n{long}\n\n# a\n\nshort\n\n![p](x.png)", "http://h/b/"), (2, None, None)], "id int, markdown string, url string")
     got = [(r.level, r.text[:5]) for r in pages.article_blocks(d).orderBy("para").collect()]
     assert got == [(1, "A"), (0, "word "), (0, "short"), (0, "short")]
-    assert [tuple(r) for r in pages.images(d).collect()] == [(1, 0, "http://h/b/x.png", "p")]
+    assert [tuple(r) for r in pages.images(d).collect()] == [(1, 0, 6, "http://h/b/x.png", "p")]
     chunks = pages.article_chunks(pages.article_blocks(d)).orderBy("idx").collect()
+    assert [r.anchor_idx for r in pages.anchored(pages.images(d), pages.article_chunks(pages.article_blocks(d))).collect()] == [len(chunks)]
     assert [r.idx for r in chunks] == list(range(len(chunks))) and [r.text[:5] for r in chunks][0] == "A" and len(chunks) >= 4
 
 
