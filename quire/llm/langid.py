@@ -116,10 +116,9 @@ class Model:
             return
         of = {lang: [k for k, y in enumerate(labels) if y == lang] for lang in self.langs}
         marks = [k for lang in self.langs for k in of[lang][:landmarks]]
-        known = np.unique(np.concatenate([grams[k] for k in marks]))
-        self.width = len(known)
-        self.column = np.full(BUCKETS, self.width, np.int32)
-        self.column[known] = np.arange(self.width)
+        self.known = np.unique(np.concatenate([grams[k] for k in marks]))
+        self.width = len(self.known)
+        self._number()
         self.marks = np.concatenate([self.presence(grams[k])[None] for k in marks])
         # Which n-grams the landmarks of each language hold; none holds the column of unknown ones.
         holds = np.zeros((len(self.langs), self.width + 1), bool)
@@ -138,6 +137,19 @@ class Model:
         # Presence times the landmarks' presence times weights: the two constant matrices are multiplied once.
         self.weights, self.bias = np.ascontiguousarray(self.marks.T @ (root @ w[:-1]).astype(np.float32)), w[-1]
 
+    def _number(self) -> None:
+        self.column = np.full(BUCKETS, self.width, np.int32)
+        self.column[self.known] = np.arange(self.width)
+
+    def __getstate__(self) -> dict:
+        """What scoring needs: the table of columns is made anew, the landmarks' presence is in the weights."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("column", "marks")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        if self.langs:
+            self._number()
+
     def presence(self, grams: np.ndarray) -> np.ndarray:
         """Which of the landmarks' n-grams a text of these distinct buckets holds, over the root of the number of all of them."""
         out = np.zeros(self.width + 1, np.float32)

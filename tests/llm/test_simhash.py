@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quire.llm import simhash
-from quire.llm.graph import connected_components
+from quire.llm.graph import connected_components, put_together
 
 
 def slow_fingerprint(text):
@@ -109,6 +109,21 @@ def test_query_equals_brute_force(spark):
     assert len(got) == len(rows)
 
 
+def test_put_together():
+    rng = random.Random(7)
+    for _ in range(40):
+        edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(rng.randrange(1, 70))]
+        root = {x: x for e in edges for x in e}
+        for a, b in edges:
+            root = {x: root[a] if r == root[b] else r for x, r in root.items()}
+        groups = {}
+        for x, r in root.items():
+            groups.setdefault(r, []).append(x)
+        want = sorted((x, min(g)) for g in groups.values() for x in g if x != min(g))
+        got = put_together(*(np.array(c, np.int64) for c in zip(*edges, strict=True)))
+        assert sorted(zip(*(c.tolist() for c in got), strict=True)) == want
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.root for r in connected_components(edges).collect()} == {0}
