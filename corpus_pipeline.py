@@ -57,8 +57,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # Texts meet the verdicts by one shuffle at any size; a broadcast of the verdicts would grow with the table.
     n_at = fresh(docs.columns, "_dedup_n")
     verdicts = heads.select(F.col("id").alias(id_at), F.col(key_at).alias(f"{key_at}_"), F.col("n").alias(n_at)).hint("merge")
-    met = (docs.doc_id.eqNullSafe(verdicts[id_at])) & (key == verdicts[f"{key_at}_"])
-    kept = docs.join(verdicts, met).select(*docs.columns, n_at, f"{key_at}_")
+    keyed = docs.withColumn(key_at, key)
+    met = (keyed.doc_id.eqNullSafe(verdicts[id_at])) & (keyed[key_at] == verdicts[f"{key_at}_"])
+    kept = keyed.join(verdicts, met).select(*docs.columns, n_at, f"{key_at}_")
     once = kept.filter(F.col(n_at) == 1)
     if heads.filter("n > 1").isEmpty():
         return once.select(*docs.columns)
