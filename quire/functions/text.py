@@ -103,20 +103,20 @@ def runs(parts: Column, joins: Column) -> Column:
 STEP = 256
 
 
-def folded(items: Column, zero: Column, step) -> Column:
-    """Fold an array from the state zero; step(state, item) gives the next state, whose field joins is collected. Linear in the array."""
+def folded(items: Column, zero: Column, step, field: str = "joins", kind: str = "boolean") -> Column:
+    """Fold an array from the state zero; step(state, item) gives the next state, whose field of that name and kind is collected. Linear in the array."""
 
     def inner(a: Column, x: Column) -> Column:
-        return bound(step(a.state, x), lambda s: F.struct(s.alias("state"), F.concat(a.done, F.array(s.joins)).alias("done")))
+        return bound(step(a.state, x), lambda s: F.struct(s.alias("state"), F.concat(a.done, F.array(s[field])).alias("done")))
 
     def outer(a: Column, block: Column) -> Column:
-        part = F.aggregate(block, F.struct(a.state.alias("state"), F.array().cast("array<boolean>").alias("done")), inner)
+        part = F.aggregate(block, F.struct(a.state.alias("state"), F.array().cast(f"array<{kind}>").alias("done")), inner)
         return bound(part, lambda p: F.struct(p.state.alias("state"), F.concat(a.done, F.array(p.done)).alias("done")))
 
     def put(v: Column) -> Column:
         blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / STEP).cast("int")), lambda k: F.slice(v, k * STEP + 1, F.lit(STEP)))
-        start = F.struct(zero.alias("state"), F.array().cast("array<array<boolean>>").alias("done"))
-        return F.when(F.size(v) > 0, F.aggregate(blocks, start, outer, lambda a: F.flatten(a.done))).otherwise(F.array().cast("array<boolean>"))
+        start = F.struct(zero.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("done"))
+        return F.when(F.size(v) > 0, F.aggregate(blocks, start, outer, lambda a: F.flatten(a.done))).otherwise(F.array().cast(f"array<{kind}>"))
 
     return bound(items, put)
 

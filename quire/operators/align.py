@@ -9,26 +9,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.functions.text import bound, folded
+
 TOKEN = r"[\p{L}\p{N}_][\p{L}\p{N}_'’-]*"
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.DoubleType()), T.StructField("end", T.DoubleType()), T.StructField("cs", T.IntegerType()), T.StructField("ce", T.IntegerType())]))
 
 
 def estimated_words(text: Column, duration: Column) -> Column:
     """Spans (start, end, cs, ce) of a text's words, the duration dealt out by word length plus one; none if it is not above 0."""
-    words = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    gaps = F.split(F.regexp_replace(text, TOKEN, "\u0001"), "\u0001")
-    pairs = F.transform(words, lambda w, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), F.length(w).alias("n")))
-    total = F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w) + 1)
-
-    def step(a: Column, p: Column) -> Column:
-        cs, done = a.at + p.gap, a.done + p.n + 1
-        span = F.struct(
-            F.round(duration * a.done / a.total, 3).alias("start"), F.round(duration * done / a.total, 3).alias("end"), cs.alias("cs"), (cs + p.n).alias("ce")
-        )
-        return F.struct((cs + p.n).alias("at"), done.alias("done"), a.total.alias("total"), F.concat(a.spans, F.array(span)).alias("spans"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("done"), total.alias("total"), F.array().cast(SPAN).alias("spans"))
-    return F.when(duration > 0, F.aggregate(pairs, zero, step, lambda a: a.spans)).otherwise(F.array().cast(SPAN))
+    kind = "struct<start:double,end:double,cs:int,ce:int>"
+
+    def spans(words: Column, gaps: Column) -> Column:
+        pairs = F.transform(words, lambda w, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), F.length(w).alias("n")))
+        total = F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w) + 1)
+
+        def step(a: Column, p: Column) -> Column:
+            cs, done = a.at + p.gap, a.done + p.n + 1
+            start, end = F.round(duration * a.done / a.total, 3), F.round(duration * done / a.total, 3)
+            span = F.struct(start.alias("start"), end.alias("end"), cs.alias("cs"), (cs + p.n).alias("ce"))
+            return F.struct((cs + p.n).alias("at"), done.alias("done"), a.total.alias("total"), span.cast(kind).alias("span"))
+
+        zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("done"), total.alias("total"), F.lit(None).cast(kind).alias("span"))
+        return folded(pairs, zero, step, "span", kind)
+
+    found = bound(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda w: bound(F.split(F.regexp_replace(text, TOKEN, "\u0001"), "\u0001"), lambda g: spans(w, g)))
+    return F.when(duration > 0, found).otherwise(F.array().cast(SPAN))
 
 
 # Words of spoken numbers, and words that may stand inside or after one; a number as it is written.
