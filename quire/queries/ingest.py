@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.operators import ingest as I
+from quire.plans.staging import new_path, removed, staged
 from quire.plans.tables import table
 from quire.queries import query
+from quire.sources import archives, files
 
 FILES = T.ArrayType(T.StructType([T.StructField("url", T.StringType()), T.StructField("extent", T.StringType())]))
 AGENTS = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("birth", T.IntegerType()), T.StructField("death", T.IntegerType())]))
@@ -87,3 +89,16 @@ _LISTS = " UNION ALL ".join(
     SELECT gid, coalesce(string_agg(g, ', ' ORDER BY o) FILTER (WHERE len(list_filter(words, lambda w: contains(hay, w))) > 0), '') AS genres FROM h, rules GROUP BY gid""")
 def genre_tags(spark, sf_dir):
     return rows(spark, sf_dir).select("gid", "genres")
+
+
+@query("bundled_texts", """
+    SELECT doc_id AS gid, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars, md5(coalesce(text, '')) AS digest FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)""")
+def bundled_texts(spark, sf_dir):
+    """All documents are written to zip bundles; of those only the labelled ones are read again."""
+    i, path = F.col("doc_id").cast("string"), new_path(spark, "bundles")
+    docs = table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL")
+    archives.write_zips(docs.select(F.concat(i, F.lit("/pg"), i, F.lit(".txt")).alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("content")), path)
+    texts = files.bundle_texts(spark, path, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("gid")))
+    found = staged(texts.select("gid", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest")), "bundled-texts")
+    removed(spark, path)
+    return found

@@ -1,8 +1,7 @@
 """Documents from files: text, e-books, catalog archives and text bundles; presence of files.
 
-Only Spark's readers open paths, so any store that Spark knows works. A tar archive is one task's
-stream and a row of Spark's binary reader, so its file is held once and may have 2 GB at most; what
-it gives is yielded in batches. Of a bundle only the members that are wanted are inflated.
+Single files are opened by Spark's readers, archives by the source in ``quire.sources.archives``, at any size.
+Of a bundle only the members that are wanted are inflated.
 """
 
 from __future__ import annotations
@@ -10,7 +9,6 @@ from __future__ import annotations
 import io
 import posixpath
 import re
-import tarfile
 import zipfile
 from urllib.parse import unquote
 from xml.etree import ElementTree as ET
@@ -19,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.sources import archives
 from quire.sources.pages import markdown_of
 
 #: Bytes of one e-book entry and of all its entries that are read.
@@ -132,95 +131,49 @@ def record_of(data: bytes, terms: str) -> dict | None:
 
 
 def records(spark: SparkSession, path: str, terms: str) -> DataFrame:
-    """Catalog records of tar archives (any compression) of RDF documents; unreadable documents have the reason in skip."""
+    """Catalog records of archives (zip, or tar of any compression) of RDF documents; unreadable documents have the reason in skip.
+
+    Documents leave the task that reads an archive as they are and are parsed by as many tasks as there are cores.
+    """
     fields = [c.split(" ")[0] for c in re.split(r", (?=\w+ )", RECORD)]
 
+    def parsed(content):
+        try:
+            return record_of(bytes(content), terms)
+        except ET.ParseError:
+            return {"skip": "unparsable"}
+
     def run(frames):
         for frame in frames:
-            for content in frame.content:
-                rows: list[dict] = []
-                with tarfile.open(fileobj=io.BytesIO(bytes(content)), mode="r|*") as tar:
-                    for m in tar:
-                        if m.isfile() and m.name.endswith(".rdf"):
-                            try:
-                                rows.append(record_of(tar.extractfile(m).read(), terms))
-                            except ET.ParseError:
-                                rows.append({"skip": "unparsable"})
-                        if len(rows) == 1000:
-                            yield pd.DataFrame([[r.get(c) for c in fields] for r in rows], columns=fields)
-                            rows = []
-                if rows:
-                    yield pd.DataFrame([[r.get(c) for c in fields] for r in rows], columns=fields)
+            found = [parsed(c) if c is not None else {"skip": "unreadable"} for c in frame.content]
+            yield pd.DataFrame([[r.get(c) for c in fields] for r in found], columns=fields)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, RECORD)
+    raw = archives.members(spark, path, r"\.rdf$", content="all").select("content")
+    return raw.repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, RECORD)
 
 
-MEMBER = re.compile(r"(?:^|/)(\d+)/pg(\1)\.txt(?:\.utf-?8)?$")
+#: Names of texts in a bundle: a folder of a number, and a file of the same.
+MEMBER = r"(?:^|/)(\d+)/pg\1\.txt(?:\.utf-?8)?$"
 
 
 def bundle_members(spark: SparkSession, path: str) -> DataFrame:
-    """(path, gid, name) of the texts in zip bundles; names are read, nothing is inflated."""
-
-    def run(frames):
-        for frame in frames:
-            rows = []
-            for file, content in zip(frame.path, frame.content, strict=True):
-                with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
-                    rows += [(file, int(m[1]), name) for name in z.namelist() if (m := MEMBER.search(name))]
-            yield pd.DataFrame(rows, columns=["path", "gid", "name"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, gid long, name string")
+    """The texts in bundles (columns of archives.MEMBERS, and gid); only names are read, but for compressed tars, which pass whole."""
+    return archives.members(spark, path, MEMBER).withColumn("gid", F.regexp_extract("name", MEMBER, 1).cast("long"))
 
 
 def bundle_texts(spark: SparkSession, path: str, wanted: DataFrame, present: DataFrame | None = None) -> DataFrame:
-    """(gid, text) of the texts in zip bundles whose number is wanted and not yet present.
+    """(gid, text) of the texts in bundles (zips, tars, tars in zips) whose number is wanted and not yet present.
 
     The names are joined with what is wanted before any member is inflated; a text that stands in
-    several bundles is read from the first. A bundle may hold its texts in a tar of its own.
+    several bundles is read from the first. Members that can't be read have a null text.
     """
-    listed = bundle_members(spark, path).groupBy("gid").agg(F.min(F.struct("path", "name")).alias("m")).select("gid", "m.*")
-    listed = listed.join(wanted.select("gid").distinct(), "gid", "left_semi")
+    listed = bundle_members(spark, path)
+    first = listed.groupBy("gid").agg(F.min(F.struct("path", "inside", "name", "at", "packed", "size", "method", "content", "error")).alias("m")).select("gid", "m.*")
+    first = first.join(wanted.select("gid").distinct(), "gid", "left_semi")
     if present is not None:
-        listed = listed.join(present.select("gid"), "gid", "left_anti")
-    picked = listed.groupBy("path").agg(F.collect_list(F.struct("gid", "name")).alias("members"))
-
-    def run(frames):
-        for frame in frames:
-            for content, members in zip(frame.content, frame.members, strict=True):
-                with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
-                    for m in members:
-                        yield pd.DataFrame({"gid": [m["gid"]], "text": [z.read(m["name"]).decode("utf-8", "replace")]})
-
-    found = spark.read.format("binaryFile").load(path).select("path", "content").join(picked, "path")
-    return found.select("content", "members").mapInPandas(run, "gid long, text string")
-
-
-def tar_texts(spark: SparkSession, path: str, wanted: DataFrame, present: DataFrame | None = None) -> DataFrame:
-    """As bundle_texts, for tar archives (any compression), also such as lie in a zip: a stream can only be read on, so members are told by name as they pass."""
-    numbers = wanted.select("gid").distinct()
-    if present is not None:
-        numbers = numbers.join(present.select("gid"), "gid", "left_anti")
-
-    def members(content: bytes):
-        if zipfile.is_zipfile(io.BytesIO(content)):
-            with zipfile.ZipFile(io.BytesIO(content)) as z:
-                for name in z.namelist():
-                    if re.search(r"\.tar(\.\w+)?$", name):
-                        with z.open(name) as f, tarfile.open(fileobj=f, mode="r|*") as tar:
-                            yield from ((m.name, tar.extractfile(m)) for m in tar if m.isfile())
-        else:
-            with tarfile.open(fileobj=io.BytesIO(content), mode="r|*") as tar:
-                yield from ((m.name, tar.extractfile(m)) for m in tar if m.isfile())
-
-    def run(frames):
-        for frame in frames:
-            for content in frame.content:
-                for name, f in members(bytes(content)):
-                    if m := MEMBER.search(name):
-                        yield pd.DataFrame({"gid": [int(m[1])], "text": [f.read().decode("utf-8", "replace")]})
-
-    found = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "gid long, text string")
-    return found.join(numbers, "gid", "left_semi").dropDuplicates(["gid"])
+        first = first.join(present.select("gid"), "gid", "left_anti")
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    return archives.fetched(first).select("gid", text.alias("text"))
 
 
 def with_presence(books: DataFrame, listed: DataFrame) -> DataFrame:

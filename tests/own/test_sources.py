@@ -48,7 +48,7 @@ def test_bundle_and_presence(spark, tmp_path):
         z.writestr("texts.tar.gz", inner.getvalue())
     (tmp_path / "u.tar.gz").write_bytes(inner.getvalue())
     for name in ("t.zip", "u.tar.gz"):
-        assert [tuple(r) for r in files.tar_texts(spark, f"{tmp_path}/{name}", gids(21, 22), gids(21)).collect()] == [(22, "text")]
+        assert [tuple(r) for r in files.bundle_texts(spark, f"{tmp_path}/{name}", gids(21, 22), gids(21)).collect()] == [(22, "text")]
     books = gids(1, 2).withColumns({"has_text": F.lit(True), "has_cover": F.lit(False)})
     listed = spark.createDataFrame([("/d/1/pg1.txt",), ("/d/2/pg2.cover.medium.jpg",), ("/d/x",)], "path string")
     assert {tuple(r) for r in files.with_presence(books, listed).collect()} == {(1, True, False), (2, False, True)}
