@@ -6,6 +6,7 @@ from collections import deque
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as Frame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,27 +31,44 @@ class Window:
         return False
 
 
+def busy_runs(attempts: DataFrame, seconds: float = WINDOW_SECONDS) -> DataFrame:
+    """attempts (key, t, seq) with run: numbers of a key's stretches that lie more than a window apart, rising with time.
+
+    Before a run nothing that was admitted counts any more, so runs can be judged each for itself. Times are put in
+    cells of a window's length; within a cell no two are a window apart, so runs begin at
+    cells, and only their first and last times, summed up in each task, meet by key.
+    """
+    rows = attempts.select("key", F.col("t").cast("double").alias("t"), "seq").withColumn("cell", F.floor(F.col("t") / float(seconds)))
+    cells = rows.groupBy("key", "cell").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    by = Frame.partitionBy("key").orderBy("cell")
+    apart = (F.col("first") - F.lag("last").over(by) > float(seconds)).cast("long")
+    told = cells.withColumn("apart", F.coalesce(apart, F.lit(0).cast("long"))).withColumn("run", F.sum("apart").over(by))
+    told = told.select(F.col("key").alias("_key"), F.col("cell").alias("_cell"), "run")
+    met = rows.key.eqNullSafe(told["_key"]) & rows.cell.eqNullSafe(told["_cell"])
+    return rows.join(told, met).select("key", "t", "seq", "run")
+
+
 def admitted(attempts: DataFrame, limit: int = LIMIT, seconds: float = WINDOW_SECONDS) -> DataFrame:
     """attempts (key, t, seq) with ok: whether fewer than limit admitted events of the key lie in the window before.
 
-    Refused attempts are not counted, so admission depends on earlier admissions. Rows are dealt
-    by key and sorted; a task reads them as a stream and holds one key's window, so a key of any
-    size needs little memory.
+    Refused attempts are not counted, so admission depends on earlier admissions, but not over a
+    gap longer than the window. Rows are dealt by key and busy run and sorted; a task reads them as a stream and holds one
+    window, so a key of any size is shared out among tasks and needs little memory.
     """
-    rows = attempts.select("key", F.col("t").cast("double").alias("t"), "seq")
+    rows = busy_runs(attempts, seconds)
 
     def run(batches):
         key, window = object(), None
         for batch in batches:
             ok = []
-            for k, t in zip(batch.column("key").to_pylist(), batch.column("t").to_pylist(), strict=True):
-                if k != key:
-                    key, window = k, Window(limit, seconds)
+            for k, r, t in zip(*(batch.column(c).to_pylist() for c in ("key", "run", "t")), strict=True):
+                if (k, r) != key:
+                    key, window = (k, r), Window(limit, seconds)
                 ok.append(window.admit(t))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ok, pa.bool_())], names=[*batch.schema.names, "ok"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "t", "seq")), pa.array(ok, pa.bool_())], names=["key", "t", "seq", "ok"])
 
-    dealt = rows.repartition("key").sortWithinPartitions("key", "t", "seq")
-    return dealt.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("ok", T.BooleanType())]))
+    dealt = rows.repartition("key", "run").sortWithinPartitions("key", "run", "t", "seq")
+    return dealt.mapInArrow(run, T.StructType([*rows.schema.fields[:3], T.StructField("ok", T.BooleanType())]))
 
 
 def fresh_entries(entries: DataFrame, now: float) -> DataFrame:

@@ -5,36 +5,71 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from quire.operators.state import LIMIT, WINDOW_SECONDS, Window
 
 
-def admitted_stream(attempts: DataFrame, limit: int = LIMIT, seconds: float = WINDOW_SECONDS, late: str = "1 hour") -> DataFrame:
-    """Stream of attempts (key, t in epoch seconds, seq) with ok, as operators.state.admitted gives for a table.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    The state of a key is its admitted times inside the window, limit of them at most; keys that
-    stay silent for a window are forgotten as the watermark passes. Within a trigger attempts are
-    taken by (t, seq); those that come later than the watermark are dropped.
-    """
 
-    def run(key, frames, state: GroupState):
-        w = Window(limit, seconds)
-        if state.hasTimedOut:
-            state.remove()
-            return
-        if state.exists:
-            w.times.extend(state.get[0])
-        rows = pd.concat(list(frames)).sort_values(["t", "seq"])
-        rows["ok"] = [w.admit(t) for t in rows.t]
-        state.update((list(w.times),))
-        state.setTimeoutTimestamp(max(int((rows.t.max() + seconds) * 1000), state.getCurrentWatermarkMs()) + 1)
-        yield rows[["key", "t", "seq", "ok"]]
+class Limiter(StatefulProcessor):
+    """Admits attempts of a key; its state is a list of the admitted times in the window, limit of them at most."""
+
+    def __init__(self, limit: int, seconds: float):
+        self.limit, self.seconds = limit, seconds
+
+    def init(self, handle) -> None:
+        self.handle, self.times = handle, handle.getListState("times", "t double")
+
+    def hold(self, times: list[float]) -> None:
+        """Keep these times, and wake when the last of them leaves the window."""
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if times:
+            self.times.put([(float(t),) for t in times])
+            self.handle.registerTimer(int((times[-1] + self.seconds) * 1000) + 1)
+        else:
+            self.times.clear()
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        """Times that a batch job admitted; a key's rows come one frame after another."""
+        before = [t for (t,) in self.times.get()] if self.times.exists() else []
+        self.hold(sorted([*before, *map(float, initialState["t"])])[-self.limit :])
+
+    def handleInputRows(self, key, rows, timerValues):
+        w = Window(self.limit, self.seconds)
+        if self.times.exists():
+            w.times.extend(t for (t,) in self.times.get())
+        found = pd.concat(list(rows)).sort_values(["t", "seq"])
+        found["ok"] = [w.admit(t) for t in found.t]
+        self.hold(list(w.times))
+        yield found[["key", "t", "seq", "ok"]]
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.times.clear()
+        yield pd.DataFrame({"key": [], "t": [], "seq": [], "ok": []})
+
+    def close(self) -> None:
+        pass
+
+
+def admitted_stream(attempts: DataFrame, limit: int = LIMIT, seconds: float = WINDOW_SECONDS, late: str = "1 hour", before: DataFrame | None = None) -> DataFrame:
+    """Stream of attempts (key, t in epoch seconds, seq) with ok, as operators.state.admitted gives for a table.
+
+    The state of a key is a list of its admitted times inside the window, limit of them at most; an event-time timer
+    forgets keys that stay silent for a window as the watermark passes (a state TTL would go by the clock). Within a trigger
+    attempts are taken by (t, seq); those that come later than the watermark are dropped.
+    before: a table (key, t) of what was admitted earlier, such as operators.state.admitted has told, to start from.
+    States are held in RocksDB, which this sets for the session.
+    """
+    spark = attempts.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     key = dict(attempts.dtypes)["key"]
     timed = attempts.select("key", "t", "seq", F.timestamp_seconds("t").alias("at")).withWatermark("at", late)
-    return timed.groupBy("key").applyInPandasWithState(
-        run, f"key {key}, t double, seq long, ok boolean", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout
+    start = None if before is None else before.select("key", F.col("t").cast("double").alias("t")).groupBy("key")
+    return timed.groupBy("key").transformWithStateInPandas(
+        Limiter(limit, seconds), f"key {key}, t double, seq long, ok boolean", "append", "eventtime", initialState=start
     )
 
 
