@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.operators import catalog as C
+from quire.operators import search as S
+from quire.plans.staging import new_path, removed, staged
 from quire.plans.tables import table
 from quire.queries import query
 
@@ -109,3 +111,27 @@ def search_pool(spark, sf_dir):
 @query("search_page", f"WITH {BOOKS_SQL}, {_pool_sql(['th', 'src1'])} SELECT {_CARD} FROM vis WHERE gid IN (SELECT gid FROM pool) AND language = 'en' ORDER BY downloads DESC, gid LIMIT 40")
 def search_page(spark, sf_dir):
     return flat(C.search(book_table(spark, sf_dir), "th src1", language="en")[0])
+
+
+_INDEXED = (["th", "src"], ["src1"], ["de", "src10"])
+
+
+@query("search_indexed", " UNION ALL ".join(
+    f"SELECT '{' '.join(w)}' AS q, gid, round(score, 6) AS rank FROM (WITH {BOOKS_SQL}, {_pool_sql(w)} SELECT gid, score FROM pool)" for w in _INDEXED
+))
+def search_indexed(spark, sf_dir):
+    """Queries on a stored index of two segments, the second of which replaces books of the first; the pool's bound is part of the search."""
+    books, path = staged(book_table(spark, sf_dir).select("gid", "title", "authors", "subjects"), "books"), new_path(spark, "index")
+    early = F.col("gid") % 3 > 0
+    # The first segment has other titles for a part of the books, which the second puts right.
+    S.add(books.filter(early).withColumn("title", F.when(F.col("gid") % 3 == 1, "a thing of old").otherwise(F.col("title"))), path)
+    S.add(books.filter(F.col("gid") % 3 < 2), path)
+    found = None
+    for k, w in enumerate(_INDEXED):
+        if k == 1:
+            S.merge(spark, path)
+        one = S.pool(spark, path, " ".join(w)).select(F.lit(" ".join(w)).alias("q"), "gid", F.round("rank", 6).alias("rank"))
+        found = one if found is None else found.unionByName(one)
+    found = staged(found, "search-found")
+    removed(spark, path)
+    return found
