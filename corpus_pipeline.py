@@ -25,7 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     n-grams too few are known in the best language (langid.LEAST_KNOWN).
     """
     model = langid.train(docs, may_learn=~langid.held_out("doc_id", 4, 2))
-    found, at = langid.identify(docs, model)
+    found, at = langid.identify(docs, model, least_known=langid.LEAST_KNOWN)
     return found.filter(F.col(at).lang != "und").select(*docs.columns)
 
 

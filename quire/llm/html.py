@@ -3,10 +3,11 @@
 A page is cut at block tags into flat blocks. A block is told by its words and link density
 and by those of its neighbours, by whether it ends as a sentence does, is a heading or a list
 item, and by weak hints: what tags, roles and names (classes, ids) of the regions around it
-tell of. A name is read whole or in its two parts, counts for the region it stands on, and
-counts for nothing on a region that holds most of the page's words. A decision tree, grown
-from a small labelled table of blocks (``labelled_pages``: twenty sites with six articles
-each), keeps or drops each block.
+tell of. A name counts by any of its parts, unless it is a phrase (notice-of-death) or the part
+stands behind one that tells of layout or topic (has-sidebar); a name of boilerplate counts for nothing on
+a region that holds the page's main element or top heading, however many words that region has. A decision tree, grown
+from a small labelled table of blocks (``labelled_pages``: every site with each of six articles),
+keeps or drops each block. Time and memory are in proportion to the page, however deep its tags are nested.
 
 Scripts, styles and text that is never shown (also inline) is in no block, nor are inline
 adverts. Character references are decoded once, white space inside a block becomes one
@@ -21,6 +22,7 @@ column whose name gets a number if it is taken.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -40,7 +42,7 @@ BOILER_TAGS = frozenset("nav footer aside form menu dialog button fieldset".spli
 CONTENT_TAGS = frozenset("article main".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
 CONTENT_ROLES = frozenset(("main", "article"))
-#: Hints that names give: a class or id that is such a word, or has one as one of its two parts ("site-footer", "comment_body").
+#: Hints that names give: a class or id that is such a word, or has one as a part ("site-footer", "comment_body", "gdprCookieNotice").
 AD_NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion".split())
 BOILER_NAMES = AD_NAMES | frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar footer comment comments commentlist respond reply replies discussion disqus cookie cookies consent gdpr "
@@ -50,8 +52,10 @@ BOILER_NAMES = AD_NAMES | frozenset(
 #: Names that tell of boilerplate outside content only: an article has a header of its own.
 HEAD_NAMES = frozenset("header masthead banner".split())
 CONTENT_NAMES = frozenset("article content post entry story maintext hentry".split())
-#: First parts that make a name tell of a page's layout, not of what is in the element.
-LAYOUT_PARTS = frozenset("has with no is without".split())
+#: Parts after which a name tells of a page's layout or a text's topic, not of what is in the element.
+LAYOUT_PARTS = frozenset("has with no is without category tag type status format".split())
+#: Parts that make a name a phrase.
+PHRASE_PARTS = frozenset("of the and for in to a on about".split())
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "sentence", "heading", "listed", "boiler", "content", "nearest")
 
@@ -62,22 +66,34 @@ HIDE = -2
 
 
 class Region:
-    """An open element: what its tag and names hint at, and how many words it holds."""
-
-    def __init__(self, tag: str, by_tag: int, by_name: int):
-        self.tag, self.by_tag, self.by_name, self.words = tag, by_tag, by_name, 0
-
-
-def names_of(told: dict) -> tuple[set[str], set[str]]:
-    """Name words of class and id, and those that stand behind a layout part (\"has-sidebar\")."""
-    found, layout = set(), set()
-    for name in f"{told.get('class') or ''} {told.get('id') or ''}".lower().split():
-        parts = [x for x in re.split(r"[^a-z]+", name) if x]
-        if len(parts) == 2 and parts[0] in LAYOUT_PARTS:
-            layout.add(parts[1])
-        elif len(parts) <= 2:
-            found.update(parts)
-    return found, layout
+    """An open element and what it stands in: what its tag and names hint at, whether it wraps a page's main part."""
+
+    def __init__(self, tag: str, by_tag: int, by_name: int, parent: Region | None):
+        self.tag, self.by_tag, self.by_name, self.parent, self.wraps = tag, by_tag, by_name, parent, False
+        self.inside = bool(parent and parent.inside) or by_tag > 0 or by_name > 0
+
+    def settle(self) -> None:
+        """Work out the hints of all regions around, those of the parent being worked out."""
+        p, name = self.parent, 0 if self.wraps and self.by_name < 0 else self.by_name
+        side = -1 if -1 in (self.by_tag, name) else max(self.by_tag, name)
+        self.tag_told = self.by_tag < 0 or bool(p and p.tag_told)
+        self.name_told = name < 0 or bool(p and p.name_told)
+        self.content = side > 0 or bool(p and p.content)
+        self.nearest = side or (p.nearest if p else 0)
+        self.heading = self.tag in HEADINGS or bool(p and p.heading)
+        self.listed = self.tag == "li" or bool(p and p.listed)
+
+
+def names_of(told: dict) -> set[str]:
+    """Name words of class and id."""
+    found = set()
+    for name in f"{told.get('class') or ''} {told.get('id') or ''}".split():
+        parts = [x for x in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if x]
+        if PHRASE_PARTS & set(parts[:-1]):
+            continue
+        layout = next((k for k, x in enumerate(parts[:-1]) if x in LAYOUT_PARTS), len(parts))
+        found.update(parts[:layout])
+    return found
 
 
 def unseen(told: dict) -> bool:
@@ -86,11 +102,13 @@ def unseen(told: dict) -> bool:
 
 
 class Blocks(HTMLParser):
-    """Flat blocks of a page: text, words, words in links, and the regions that enclose them."""
+    """Flat blocks of a page: text, words, words in links, and the region that they stand in."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
+        self.regions: list[Region] = []  # all, each after the one that it stands in
         self.open: list[Region] = []
+        self.counts: Counter[str] = Counter()  # open regions of each tag
         self.unseen: list[tuple[str, int]] = []  # open inline elements that are not shown or adverts: tag, open regions
         self.hidden = 0
         self.link: int | None = None  # open regions where the open link began
@@ -102,26 +120,24 @@ class Blocks(HTMLParser):
         text = " ".join("".join(self.parts).split())
         if text:
             words = len(text.split())
-            for region in self.open:
-                region.words += words
-            tags = [r.tag for r in self.open]
-            self.blocks.append(
-                {
-                    "text": text, "words": words, "linked": min(words, self.linked), "regions": list(self.open),
-                    "heading": int(any(t in HEADINGS for t in tags)), "listed": int("li" in tags), "sentence": int(text.rstrip("\"'\u201d\u2019\u00bb)")[-1:] in SENTENCE_ENDS),
-                }
-            )
+            ends = text.rstrip("\"'\u201d\u2019\u00bb)")[-1:] in SENTENCE_ENDS
+            self.blocks.append({"text": text, "words": words, "linked": min(words, self.linked), "region": self.open[-1] if self.open else None, "sentence": int(ends)})
         self.parts, self.linked = [], 0
 
     def _region(self, tag: str, told: dict) -> Region:
-        names, layout = names_of(told)
-        role = (told.get("role") or "").lower()
-        inside = any(r.by_tag > 0 or r.by_name > 0 for r in self.open)
+        parent = self.open[-1] if self.open else None
         if tag in ("html", "body"):
-            return Region(tag, 0, 0)
+            return Region(tag, 0, 0, parent)
+        names, role = names_of(told), (told.get("role") or "").lower()
+        inside = bool(parent and parent.inside)
         by_tag = -1 if tag in BOILER_TAGS or role in BOILER_ROLES or told.get("aria-hidden") == "true" or (tag == "header" and not inside and not names & CONTENT_NAMES) else int(tag in CONTENT_TAGS or role in CONTENT_ROLES)
         by_name = -1 if names & BOILER_NAMES else int(bool(names & CONTENT_NAMES)) or -int(bool(names & HEAD_NAMES) and not inside)
-        return Region(tag, by_tag, by_name)
+        if tag in ("main", "h1") or role == "main":
+            # Those around a marked region are marked already.
+            around = parent
+            while around and not around.wraps:
+                around.wraps, around = True, around.parent
+        return Region(tag, by_tag, by_name, parent)
 
     def handle_starttag(self, tag, attrs):
         told = dict(attrs)
@@ -130,7 +146,7 @@ class Blocks(HTMLParser):
                 self.parts.append(" ")
             if tag not in INLINE:
                 self.flush()
-            if tag not in VOID and (self.unseen and self.unseen[-1][0] == tag or unseen(told) or names_of(told)[0] & AD_NAMES):
+            if tag not in VOID and (self.unseen and self.unseen[-1][0] == tag or unseen(told) or names_of(told) & AD_NAMES):
                 self.unseen.append((tag, len(self.open)))
             if tag == "a":
                 self.link = len(self.open)
@@ -138,19 +154,27 @@ class Blocks(HTMLParser):
         self.flush()
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th", *HEADINGS):
             self._close(tag, siblings=True)
-        self.open.append(self._region(tag, told))
+        region = self._region(tag, told)
+        self.open.append(region)
+        self.regions.append(region)
+        self.counts[tag] += 1
         if tag in HIDDEN or unseen(told):
-            self.open[-1].tag, self.open[-1].by_tag = tag, HIDE
+            region.by_tag = HIDE
             self.hidden += 1
 
     def _close(self, tag: str, siblings: bool = False) -> None:
         """End the innermost open tag of this name and all within it; a paragraph left open ends where the next starts."""
+        if not self.counts[tag]:
+            return
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k].tag == tag:
-                self.hidden -= sum(r.by_tag == HIDE for r in self.open[k:])
+                for r in self.open[k:]:
+                    self.hidden -= r.by_tag == HIDE
+                    self.counts[r.tag] -= 1
                 del self.open[k:]
                 # Links and inline elements left open end with the element that they stand in.
-                self.unseen = [u for u in self.unseen if u[1] <= k]
+                while self.unseen and self.unseen[-1][1] > k:
+                    self.unseen.pop()
                 if self.link is not None and self.link > k:
                     self.link = None
                 return
@@ -175,18 +199,18 @@ class Blocks(HTMLParser):
 
 
 def blocks_of(html: str | None) -> list[dict]:
-    """The blocks of a page with the hints of their regions; the name of a region that holds most of the page's words hints at nothing."""
+    """The blocks of a page with the hints of their regions."""
     parser = Blocks()
     parser.feed(html or "")
     parser.close()
     parser.flush()
-    total = sum(b["words"] for b in parser.blocks)
+    for r in parser.regions:
+        r.settle()
     for b in parser.blocks:
-        hints = [(r.by_tag, r.by_name if r.by_name > 0 or 2 * r.words < total or r.tag in INLINE else 0) for r in b.pop("regions")]
-        sides = [-1 if -1 in h else max(h) for h in hints]
-        b["boiler"] = 2 * any(t < 0 for t, _ in hints) or int(any(n < 0 for _, n in hints))
-        b["content"] = int(any(x > 0 for x in sides))
-        b["nearest"] = next((x for x in reversed(sides) if x), 0)
+        r = b.pop("region")
+        b["boiler"] = 2 * r.tag_told or int(r.name_told) if r else 0
+        for hint in ("content", "nearest", "heading", "listed"):
+            b[hint] = int(getattr(r, hint)) if r else 0
     return parser.blocks
 
 
@@ -243,7 +267,7 @@ LONG = [
 MID = ["Nobody had expected so many visitors on the first day.", "El r\u00edo creci\u00f3 otra vez y nadie pudo cruzar el puente.", "The second attempt, made in spring, went better than the first one.", "We use what we have and ask for nothing more than a little time."]
 SHORT = ["So it was.", "He agreed.", "Nadie lo sab\u00eda.", "Yes."]
 NAME = ["Home", "About us.", "The town paper", "Contact", "Older posts", "Ten bridges you must see!", "Sport", "Log in", "News.", "and,", "Weather: rain."]
-TITLE = ["The bridge is repaired", "Visitors in the valley", "A letter from the coast", "What the river took"]
+TITLE = ["The bridge is repaired", "Aftermath", "Visitors in the valley", "What now?", "A letter from the coast", "Die Br\u00fccke", "What the river took"]
 
 #: Articles: a line that starts with + is main text, one with - is not. Each line is a block's HTML, or tags alone.
 ARTICLES = [
@@ -275,6 +299,8 @@ SITES = [
     ([*[f'-<li><a href="/{k}">{{N}}</a></li>' for k in range(8)], "-<div>{N}</div>"], "<div>", "</div>", [*[f'-<li><a href="/{k}">{{T}}</a></li>' for k in range(8)], '-<p>{N} &middot; <a href="/i">{N}</a></p>']),
     ([*[f'-<td><a href="/{k}">{{N}}</a></td>' for k in range(6)]], "<center>", "</center>", ['-<p><a href="/b">{N}</a></p>', *[f'-<td><a href="/{k}">{{N}} {{N}}</a></td>' for k in range(6)]]),
     (['-<dl><dt><a href="/d">{T}</a></dt>', *[f'-<dd><a href="/{k}">{{N}}</a> {{N}}</dd>' for k in range(5)], "+</dl>"], "<div><section>", "</section></div>", [*[f'-<p><a href="/{k}">{{T}}</a>, <a href="/q{k}">{{N}}</a></p>' for k in range(6)], "-<div>{N}</div>"]),
+    (['-<div class="cookie-consent-banner">{M} {L}</div>'], "<div>", "</div>", ["-<h3>{N}</h3>", '-<ul><li><a href="/1">{T}</a></li>', '-<li><a href="/2">{T}</a></li></ul>', '-<div class="wp-block-latest-comments"><p>{L}</p>', "-<p>{L}</p>", "-<p>{S}</p>", "-<p>{L} {L}</p>", "-<p>{M}</p></div>"]),
+    (['-<div class="top-ad-slot">{L}</div>', "-<h4>{N}</h4>", '-<p><a href="/1">{N}</a> <a href="/2">{N}</a></p>'], '<div class="page-sidebar-wrap"><main>', "</main></div>", ["-<h2>{N}</h2>", '-<li><a href="/1">{T}</a></li>', '-<li><a href="/2">{N}</a></li>', '-<div class="gdpr-notice-box"><p>{L}</p>', "-<p>{L}</p></div>"]),
     (['-<div><a href="/l">{N}</a></div>', *[f'-<li><a href="/{k}">{{N}}</a></li>' for k in range(5)]], "<div>", "</div>", ['-<div><a href="/m">{N}</a> {N} <a href="/n">{N}</a></div>', *[f'-<li><a href="/{k}">{{T}}</a></li>' for k in range(7)]]),
 ]
 

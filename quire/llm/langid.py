@@ -15,9 +15,10 @@ learned from hand on the buckets that they hold, not their texts.
 The margins of a text sum to about 2 - k for k languages whatever it says, so the best of
 them never falls under a floor and cannot tell that a text is in none of the languages. What
 can fall is the share of its three-letter n-grams, repeats counted, that the landmarks of
-the best language hold; under LEAST_KNOWN the text is ``und``.
+the best language hold. Who wants to reject such texts asks for a least share, as the corpus pipeline does
+(LEAST_KNOWN); without one every text with a letter has a language.
 
-Defined results. Null texts, texts without a letter and texts in none of the languages: ``und``, score 0. Rows whose label,
+Defined results. Null texts, texts without a letter and texts under an asked-for share: ``und``, score 0. Rows whose label,
 text or id is null, or whose text has no letter, teach nothing. With no labelled row at all every text is ``und``. Equal
 scores: the language first in alphabetical order. Repeated rows are each scored, and teach once. An empty
 table gives no rows. All asked-for columns are kept; the result is one struct column whose
@@ -166,7 +167,7 @@ class Model:
         found = seen[0] if len(seen) == 1 else distinct(np.concatenate(seen))
         return self.presence(found), known / max(1, total)
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+    def predict(self, texts: list[str | None], least_known: float = 0.0) -> list[tuple[str, float]]:
         out = [("und", 0.0)] * len(texts)
         use = [i for i, t in enumerate(texts) if self.langs and t and any(map(str.isalpha, t))]
         for k in range(0, len(use), BATCH):
@@ -176,7 +177,7 @@ class Model:
             best = margin.argmax(1)
             score = np.clip((margin[np.arange(len(rows)), best] + 1) / 2, 0, 1)
             for i, (_, known), b, s in zip(rows, found, best.tolist(), score.tolist(), strict=True):
-                if known[b] >= LEAST_KNOWN:
+                if known[b] >= least_known:
                     out[i] = (self.langs[b], s)
         return out
 
@@ -210,8 +211,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return Model(found.column("label").to_pylist(), grams)
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, name: str = "language") -> tuple[DataFrame, str]:
-    """The documents (columns keep, or all) with a struct of lang and score from the whole text, and the struct's name."""
+def identify(
+    docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, name: str = "language", least_known: float = 0.0
+) -> tuple[DataFrame, str]:
+    """The documents (columns keep, or all) with a struct of lang and score from the whole text, and the struct's name.
+
+    least_known: the share of known three-letter n-grams under which a text is in none of the languages.
+    """
     name = fresh(docs.columns, name)
     kept = docs.columns if keep is None else keep
     base = docs.select(*dict.fromkeys([*kept, text_col]))
@@ -220,7 +226,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
 
     def run(batches):
         for batch in batches:
-            found = [{"lang": a, "score": b} for a, b in shared().predict(batch.column(text_col).to_pylist())]
+            found = [{"lang": a, "score": b} for a, b in shared().predict(batch.column(text_col).to_pylist(), least_known)]
             columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(found, kind)], names=[*kept, name])
 

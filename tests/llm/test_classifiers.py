@@ -68,6 +68,14 @@ def test_language_edges(spark):
     assert langid.identify(docs.limit(0), none)[0].count() == 0
 
 
+def test_every_text_with_a_letter_has_a_language_unless_a_share_is_asked_for():
+    labels = [x for x in ("en", "fr") for _ in range(6)]
+    model = langid.Model(labels, [langid.buckets(t) for t in ["the dog and the house"] * 6 + ["le chien et la maison"] * 6])
+    odd = ["Re.", "x", "qzx wvk jjq", "чужой язык", "1 a"]
+    assert all(lang in ("en", "fr") for lang, _ in model.predict(odd))
+    assert [lang for lang, _ in model.predict([*odd, "the dog", "12 !?", None], langid.LEAST_KNOWN)] == ["und"] * 5 + ["en", "und", "und"]
+
+
 def test_many_languages_and_scripts(spark):
     """No bound on the number of labels, and letters of any script are told apart."""
     rng = random.Random(8)

@@ -22,7 +22,7 @@ def test_sites_not_learned_from():
     for part in range(4):
         tree = H.train([p for k, site in enumerate(sites) if k % 4 != part for p in site])
         rows = [H.rows_of_page(p) for k, site in enumerate(sites) if k % 4 == part for p in site]
-        assert len(rows) >= 10 and np.concatenate([tree.predict(x) == y for x, y in rows]).mean() > 0.93
+        assert len(rows) >= 10 and np.concatenate([tree.predict(x) == y for x, y in rows]).mean() > 0.95
 
 
 def test_the_tree_asks_for_words_and_links_first():
@@ -79,3 +79,87 @@ def test_query(spark):
     rows = H.op2_html(spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == spark.read.parquet("/root/testdata/sf0.001/pages.parquet").count()
     assert all(r.n_chars == len(r.text) > 0 for r in rows)
+
+
+PROSE = "<p>Ferries crossed the strait every hour that summer, carrying crates of plums and people who had nowhere to be until autumn.</p>"
+#: Pages that share neither sites nor article shapes nor sentences with the labelled table; + main text, - not.
+UNSEEN = [
+    ['-<div class="wpSiteTopBar"><a href="/">Harbour Post</a> <a href="/d">Deals</a></div>', "+<article><h1>Plums</h1>", f"+{PROSE}", '+<figure><figcaption>A crate on the quay.</figcaption></figure>', "+<h2>Who came</h2>",
+     "+<p>Mostly painters, said the ferryman; some of them stayed for years.</p>", "+<ol><li>Anna, who drew boats</li>", "+<li>Tom, who did not</li></ol></article>",
+     '-<div class="latest-comments-list"><p>I was there in June and it rained the whole week.</p>', f"-{PROSE}", f"-{PROSE}", "-<p>Same here!</p></div>", "-<footer>Harbour Post, Quay 4. All rights reserved.</footer>"],
+    ['-<div id="gdprCookieNotice"><p>We keep small files on your device so that the site works as you expect it to.</p></div>', '-<div class="mainMenu"><a href="/a">Start</a> <a href="/b">Maps</a> <a href="/c">Shop</a></div>',
+     "+<main><h1>Un été sur le détroit</h1>", "+<p>Chaque heure un bac quittait le port, chargé de prunes, de vélos et de gens qui n'avaient rien à faire avant l'automne.</p>", "+<pre>08:00 bac\n09:00 bac</pre>", "+<p>Le soir, on dansait.</p></main>",
+     '-<aside><p>Abonnez-vous pour lire la suite de cette histoire chaque samedi matin.</p></aside>'],
+    ['-<nav><a href="/">Top</a></nav>', f'+<section><div class="article-body"><p>Why plums? Because nothing else grows on the island, and nobody has tried.</p>', f"+{PROSE}", '-<div class="top-ad-box">Fly to the island from nine pounds a seat, taxes not included.</div>',
+     f"+{PROSE}", "+<blockquote>We tried once, she said.</blockquote></div></section>", "-<h3>Elsewhere</h3>", '-<ul><li><a href="/1">Ten harbours to see</a></li>', '-<li><a href="/2">Trains</a></li></ul>', '-<div class="sidebar"><p>Every Tuesday the editors choose a picture that was sent in by a reader of the paper.</p>', f"-{PROSE}", f"-{PROSE}", f"-{PROSE}</div>"],
+    ["+<div><h1>Fahrplan</h1>", "+<p>Im Sommer fährt das Schiff stündlich, im Winter nur, wenn jemand am Steg steht und winkt.</p>", "+<p>Hunde zahlen nichts, Fahrräder die Hälfte, und wer den Fährmann kennt, zahlt später.</p></div>", '-<div class="page-footer"><a href="/i">Impressum</a> <a href="/d">Datenschutz</a></div>'],
+]
+
+
+def test_pages_that_share_nothing_with_the_learned_ones():
+    rows = [H.rows_of_page(p) for p in UNSEEN]
+    wrong = [(b["text"][:40], bool(y)) for p, (x, m) in zip(UNSEEN, rows, strict=True) for b, k, y in zip(H.blocks_of("".join(line[1:] for line in p)), TREE.predict(x), m, strict=True) if k != y]
+    n = sum(len(y) for _, y in rows)
+    assert n >= 35 and len(wrong) < 0.05 * n, wrong
+
+
+@pytest.mark.parametrize("name", ["comments", "sidebar", "cookie-consent-banner", "gdpr-cookie-notice", "wp-block-latest-comments", "gdprCookieNotice"])
+def test_named_regions_go_however_large_they_are(name):
+    for n in (1, 6, 40):
+        page = f'<article><h1>Plums</h1>{PROSE}</article><div class="{name}">{PROSE * n}</div>'
+        assert text(page) == "Plums\n" + PROSE[3:-4], n
+    assert text(f'<div class="{name}"><main><h1>Plums</h1>{PROSE}</main></div>') == "Plums\n" + PROSE[3:-4]
+
+
+def test_advert_inside_an_article_and_links_after_it():
+    page = f'<article><h1>Plums</h1>{PROSE}<div class="ad-slot-top">Buy one crate, get another one for free today.</div>{PROSE}</article><h3>Links</h3><ul><li><a href="/a">One</a></li><li><a href="/b">Two</a></li></ul>'
+    assert text(page) == "\n".join(["Plums", PROSE[3:-4], PROSE[3:-4]])
+
+
+class SlowBlocks(H.Blocks):
+    """Copies the open regions for every block and looks at all of them."""
+
+    def flush(self):
+        n = len(self.blocks)
+        super().flush()
+        for b in self.blocks[n:]:
+            b["around"] = list(self.open)
+
+
+def slow_blocks(page):
+    parser = SlowBlocks()
+    parser.feed(page)
+    parser.close()
+    parser.flush()
+    for b in parser.blocks:
+        b.pop("region")
+        around = b.pop("around")
+        hints = [(r.by_tag, 0 if r.by_name < 0 and r.wraps else r.by_name) for r in around]
+        sides = [-1 if -1 in h else max(h) for h in hints]
+        b["boiler"] = 2 * any(t < 0 for t, _ in hints) or int(any(n < 0 for _, n in hints))
+        b["content"], b["nearest"] = int(any(x > 0 for x in sides)), next((x for x in reversed(sides) if x), 0)
+        b["heading"], b["listed"] = int(any(r.tag in H.HEADINGS for r in around)), int(any(r.tag == "li" for r in around))
+    return parser.blocks
+
+
+def test_blocks_equal_a_slow_reader():
+    rng = np.random.default_rng(8)
+    tags = ['<div class="comments">', '<div class="post-body">', "<main>", "<article>", "<h1>", "<p>", "<li>", "<ul>", "<aside>", "<b>", '<a href="x">', '<span class="ad">', "<div hidden>", "<table><tr><td>", "text ", "more. ",
+            "</div>", "</main>", "</article>", "</h1>", "</p>", "</li>", "</ul>", "</aside>", "</b>", "</a>", "</span>", "</table>", "<br>", "<!-- c -->", "<script>x</script>", "&amp;"]
+    for _ in range(300):
+        page = "".join(rng.choice(tags, rng.integers(0, 60)))
+        assert H.blocks_of(page) == slow_blocks(page), page
+    for p in [*H.labelled_pages(), *UNSEEN]:
+        page = "".join(line[1:] for line in p)
+        assert H.blocks_of(page) == slow_blocks(page)
+
+
+def test_deep_nesting_is_read_in_proportion():
+    import time
+
+    took = []
+    for n in (10_000, 40_000):
+        start = time.process_time()
+        assert len(H.blocks_of("<div>x" * n + "</p>" * n)) == n
+        took.append(time.process_time() - start)
+    assert took[0] < 2 and took[1] < 12 * took[0]
