@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +38,36 @@ def estimated_words(text: Column, duration: Column) -> Column:
     return F.when(duration > 0, found).otherwise(F.array().cast(SPAN))
 
 
+def word_times(df: DataFrame, text_col: str, duration_col: str, *keep: str) -> DataFrame:
+    """Columns keep of df with a row for each word of a text: k, word, cs, ce, start, end, as estimated_words() has them; none if the duration is not above 0.
+
+    The sums run along a text in Arrow batches; times are worked out of them on the JVM.
+    """
+    base = df.filter(F.col(duration_col) > 0).select(*dict.fromkeys([*keep, text_col, duration_col]))
+    kept = list(dict.fromkeys([*keep, duration_col]))
+    token = regex.compile(TOKEN)
+
+    def run(batches):
+        for batch in batches:
+            told = [[(m[0], *m.span()) for m in token.finditer(t or "")] for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+            counts = np.array([len(w) for w in told])
+            rows = np.repeat(np.arange(len(told)), counts)
+            word, cs, ce = zip(*(x for w in told for x in w), strict=True) if len(rows) else ((), (), ())
+            cs, ce = np.array(cs, np.int64), np.array(ce, np.int64)
+            ends, starts = np.cumsum(counts), np.cumsum(counts) - counts
+            sums = np.concatenate([[0], np.cumsum(ce - cs + 1)])
+            columns = [batch.column(batch.schema.get_field_index(c)).take(pa.array(rows)) for c in kept]
+            first = starts[rows] if len(rows) else rows
+            made = (np.arange(len(rows)) - first, cs, ce, sums[:-1] - sums[first], sums[1:] - sums[first], sums[ends[rows]] - sums[first])
+            arrays = [pa.array(x.astype(np.int32)) for x in made]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(word, pa.string()), *arrays], names=[*kept, "word", "k", "cs", "ce", "_before", "_after", "_total"])
+
+    fields = [base.schema[c] for c in kept] + [T.StructField("word", T.StringType())] + [T.StructField(c, T.IntegerType()) for c in ("k", "cs", "ce", "_before", "_after", "_total")]
+    found = base.mapInArrow(run, T.StructType(fields))
+    at = lambda c: F.round(F.col(duration_col) * F.col(c) / F.col("_total"), 3)
+    return found.select(*keep, "k", "word", "cs", "ce", at("_before").alias("start"), at("_after").alias("end"))
+
+
 # Words of spoken numbers, and words that may stand inside or after one; a number as it is written.
 CARDINALS = (
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "

@@ -7,10 +7,11 @@ a key with very many events does not gather in memory.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import normal_title
+from quire.plans.staging import staged
 
 
 def live_events(events: DataFrame, keys: list[str]) -> DataFrame:
@@ -60,9 +61,27 @@ def documents_listed(docs: DataFrame, marks: DataFrame, media: DataFrame) -> Dat
     return d.select(*docs.columns, F.col("_m").isNotNull().alias("bookmarked"), "thumb_ord", progress.alias("progress"))
 
 
+def newest_first(newest: str = "updated_at", key: str = "doc_id") -> list[Column]:
+    return [F.desc_nulls_last(newest), F.col(key)]
+
+
 def in_order(rows: DataFrame, newest: str = "updated_at", key: str = "doc_id") -> DataFrame:
     """Newest first; equal times by key. Documents go by updated_at, folders by created_at."""
-    return rows.orderBy(F.desc_nulls_last(newest), key)
+    return rows.orderBy(*newest_first(newest, key))
+
+
+def placed(rows: DataFrame, *order: Column) -> DataFrame:
+    """rows with place, from 1, in an order of the whole table: sorted in ranges, numbered within them, the ranges before added.
+
+    The sorted rows are written once, so that their numbers and the sums of the ranges agree.
+    """
+    held = staged(rows.sort(*order).withColumn("_at", F.monotonically_increasing_id()), "placed")
+    part, before, total = F.shiftright("_at", 33).cast("int"), [], 0
+    for r in held.groupBy(part.alias("part")).count().orderBy("part").collect():  # as many as the sort had tasks
+        before += [total] * (r.part + 1 - len(before))
+        total += r["count"]
+    start = F.element_at(F.array(*[F.lit(n).cast("long") for n in before or [0]]), part + 1)
+    return held.withColumn("place", (start + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).cast("int")).drop("_at")
 
 
 def created(docs: DataFrame, chunks: DataFrame) -> DataFrame:

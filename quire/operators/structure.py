@@ -1,8 +1,8 @@
 """Documents as tables: paragraphs, chapters, chunks, page furniture.
 
 A document is cut into paragraphs inside its own row and then exploded, so from there on
-every step works on rows of bounded length and nothing gathers a whole document again.
-Window and count columns are partitioned by document.
+steps work on rows of paragraphs or sentences. Windows and counts are partitioned by document: its rows meet in
+one task, which passes them as a stream.
 """
 
 from __future__ import annotations
@@ -10,17 +10,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions import reading as R
 from quire.functions import text as X
 
 
 def paragraph_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, para, text) of cleaned paragraphs, numbered from 0; documents without any give no row."""
-    return docs.select(F.col(id_col).alias("id"), F.posexplode(X.clean_paragraphs(F.col(text_col))).alias("para", "text"))
+    return R.exploded(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")), "_text", R.paragraphs, "para", "id")
 
 
 def sentence_table(docs: DataFrame, *keep: str, text_col: str = "text") -> DataFrame:
     """(columns keep, idx, text): the chunks of whole documents, numbered from 0; nothing is shuffled."""
-    return docs.select(*keep, F.posexplode(X.units(F.col(text_col))).alias("idx", "text"))
+    return R.exploded(docs, text_col, R.units, "idx", *keep)
+
+
+def those(docs: DataFrame, of: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The documents that rows of another table name, so that no others are cut into sentences."""
+    return docs.join(of.select(key).distinct(), key, "left_semi")
 
 
 def heading_levels(paras: DataFrame) -> DataFrame:
@@ -61,7 +67,7 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
 
 def chunk_table(paras: DataFrame) -> DataFrame:
     """(id, idx, para, level, text): the units in which documents are read."""
-    units = paras.select("id", "para", "level", F.posexplode(X.chunks(F.col("text"))).alias("pos", "text"))
+    units = R.exploded(paras, "text", R.chunks, "pos", "id", "para", "level")
     return numbered(units, "para", "pos").select("id", "idx", "para", "level", "text")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
@@ -22,8 +21,8 @@ _E = """
     b AS (SELECT doc_id, idx, arg_min(created_at, seq) AS created_at, arg_max(note, seq) AS note FROM liv GROUP BY ALL)"""
 
 
-def sentences(spark, sf_dir):
-    return piece_table(spark, sf_dir).select("doc_id", "idx", (F.floor(F.col("idx") / 12) + 1).cast("int").alias("page"), "text")
+def sentences(spark, sf_dir, of=None):
+    return piece_table(spark, sf_dir, of).select("doc_id", "idx", (F.floor(F.col("idx") / 12) + 1).cast("int").alias("page"), "text")
 
 
 def events(spark, sf_dir):
@@ -41,7 +40,8 @@ def bookmarks(spark, sf_dir):
 
 @query("bookmarks_with_snippet", f"WITH {_S}, {_E} SELECT b.*, s.text AS snippet, coalesce(page, 1) AS page FROM b LEFT JOIN s ON s.doc_id = b.doc_id AND s.idx = b.idx")
 def bookmarks_with_snippet(spark, sf_dir):
-    return L.with_sentence(bookmarks(spark, sf_dir), sentences(spark, sf_dir))
+    marks = bookmarks(spark, sf_dir)
+    return L.with_sentence(marks, sentences(spark, sf_dir, marks))
 
 
 @query("highlights", f"""
@@ -54,7 +54,7 @@ def bookmarks_with_snippet(spark, sf_dir):
 def highlights(spark, sf_dir):
     i = F.col("seq")
     e = events(spark, sf_dir).withColumns({"idx": (i % 3).cast("int"), "cs": (i % 4 * 10).cast("int"), "ce": (i % 4 * 10 + 15).cast("int")})
-    return L.highlights(e, sentences(spark, sf_dir))
+    return L.highlights(e, sentences(spark, sf_dir, e))
 
 
 _D = "d AS (SELECT doc_id, CAST(doc_id % 5 AS INTEGER) AS current_idx, n_chars AS num_sentences, CASE WHEN doc_id % 4 > 0 THEN doc_id % 4 END AS folder_id, (doc_id * 7919) % 10007 AS updated_at, CASE WHEN doc_id % 2 = 0 THEN 'book' ELSE 'text' END AS kind, 'pg:' || doc_id * 2 AS source_url FROM documents)"
@@ -84,8 +84,7 @@ def list_documents(spark, sf_dir):
 @query("library_order", f"WITH {_D} SELECT doc_id, updated_at, CAST(row_number() OVER (ORDER BY updated_at DESC, doc_id) AS INTEGER) AS place FROM d")
 def library_order(spark, sf_dir):
     """The order itself, as numbers: one list of documents, newest first."""
-    rows = L.in_order(docs(spark, sf_dir)).select("doc_id", "updated_at")
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("updated_at"), "doc_id")))
+    return L.placed(docs(spark, sf_dir).select("doc_id", "updated_at"), *L.newest_first())
 
 
 @query("created_documents", f"""
@@ -147,7 +146,7 @@ def page_counts(spark, sf_dir):
 @query("page_of_sentences", f"WITH {_S} SELECT doc_id, idx, text FROM s WHERE doc_id = 4 AND page = 1")
 def page_of_sentences(spark, sf_dir):
     """One page of one document; the page is the feature."""
-    return L.page_sentences(sentences(spark, sf_dir), 4, 1).select("doc_id", "idx", "text")
+    return L.page_sentences(sentences(spark, sf_dir, spark.range(4, 5).toDF("doc_id")), 4, 1).select("doc_id", "idx", "text")
 
 
 @query("highlights_with_page", f"""
@@ -157,8 +156,8 @@ def page_of_sentences(spark, sf_dir):
 def highlights_with_page(spark, sf_dir):
     i = F.col("seq")
     e = events(spark, sf_dir).withColumns({"kind": F.lit("put"), "idx": (i % 3).cast("int"), "cs": (i % 4 * 10).cast("int"), "ce": (i % 4 * 10 + 15).cast("int")})
-    marks = L.highlights(e, sentences(spark, sf_dir))
-    return L.with_sentence(marks, sentences(spark, sf_dir)).select("doc_id", "idx", "cs", "ce", "color", "page")
+    cut = sentences(spark, sf_dir, e)
+    return L.with_sentence(L.highlights(e, cut), cut).select("doc_id", "idx", "cs", "ce", "color", "page")
 
 
 @query("folder_counts", f"WITH {_D}, f AS (SELECT unnest(range(1, 7)) AS folder_id) SELECT folder_id, (SELECT count(*) FROM d WHERE d.folder_id = f.folder_id) AS count FROM f")
@@ -209,7 +208,7 @@ def books_to_add(spark, sf_dir):
 @query("sentence_window", f"WITH {_S} SELECT doc_id, idx, page, text FROM s WHERE doc_id = 3 AND idx >= 2 ORDER BY idx LIMIT 10")
 def sentence_window(spark, sf_dir):
     """A window of one document; the limit is the window."""
-    return L.sentence_window(sentences(spark, sf_dir), 3, 2, 10)
+    return L.sentence_window(sentences(spark, sf_dir, spark.range(3, 4).toDF("doc_id")), 3, 2, 10)
 
 
 @query("latest_settings", "SELECT user_id, event_type, arg_max(value, event_id) AS value, arg_max(props, event_id) AS props FROM events GROUP BY ALL")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as X
 from quire.operators import state as S
-from quire.operators.align import estimated_words, has_speech, speakable
+from quire.operators.align import has_speech, speakable, word_times
 from quire.plans.tables import table
 from quire.queries import query
 
@@ -185,8 +185,8 @@ def speakable_texts(spark, sf_dir):
     SELECT conv_id, turn, CAST(k AS INTEGER) AS k, word, round(d * (done - length(word) - 1) / (chars + n), 3) AS start, round(d * done / (chars + n), 3) AS "end" FROM c""")
 def word_estimate(spark, sf_dir):
     s = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
-    found = s.select("conv_id", "turn", "text", F.posexplode(estimated_words(F.col("text"), F.length("text") / 15.0)).alias("k", "w"))
-    return found.select("conv_id", "turn", "k", F.substring("text", F.col("w.cs") + 1, F.col("w.ce") - F.col("w.cs")).alias("word"), F.col("w.start").alias("start"), F.col("w.end").alias("end"))
+    found = word_times(s.withColumn("seconds", F.length("text") / 15.0), "text", "seconds", "conv_id", "turn")
+    return found.select("conv_id", "turn", "k", "word", "start", "end")
 
 
 @query("cache_keys", "SELECT conv_id, turn, sha1('af_heart|1.00|' || coalesce(text, '')) AS key FROM conversations")

@@ -67,9 +67,10 @@ UNITS_SQL = rf"""
 PIECES_SQL = f"{PARAGRAPHS_SQL},{UNITS_SQL}"
 
 
-def piece_table(spark, sf_dir):
-    """(doc_id, lang, idx, text): the sentences of whole texts, as they are read."""
-    return S.sentence_table(table(spark, sf_dir, "documents"), "doc_id", "lang")
+def piece_table(spark, sf_dir, of=None):
+    """(doc_id, lang, idx, text): the sentences of whole texts, as they are read; of: the documents (doc_id) that are asked for."""
+    docs = table(spark, sf_dir, "documents")
+    return S.sentence_table(docs if of is None else S.those(docs, of), "doc_id", "lang")
 
 
 @query("sentence_stats", f"""

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.functions import reading as R
 from quire.functions import text as X
 
 SHOWN = frozenset("h1 h2 h3 h4 h5 h6 p".split())
@@ -103,8 +104,7 @@ def article_blocks(docs: DataFrame, id_col: str = "id", markdown_col: str = "mar
 
 def article_chunks(blocks: DataFrame) -> DataFrame:
     """(id, idx, para, level, text): headings whole, paragraphs cut to units of reading."""
-    units = F.when(F.col("level") > 0, F.array("text")).otherwise(X.chunks(F.col("text")))
-    each = blocks.select("id", "para", "level", F.posexplode(units).alias("pos", "text"))
+    each = R.exploded(blocks.withColumn("_whole", F.col("level") > 0), "text", R.chunks, "pos", "id", "para", "level", whole="_whole")
     return each.withColumn("idx", F.row_number().over(Window.partitionBy("id").orderBy("para", "pos")) - 1).select("id", "idx", "para", "level", "text")
 
 

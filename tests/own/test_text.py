@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quire.functions import kernels as K
+from quire.functions import reading as R
 from quire.functions import text as X
 from quire.operators import layout
 
@@ -64,6 +65,31 @@ def test_chunks_equal_the_slow_version(spark):
     assert got == [slow_chunks(t) for t in flat]
 
 
+def test_kernels_equal_the_column_functions(spark):
+    """Units of whole texts, by folds on the JVM and by kernels in Arrow batches."""
+    rng = random.Random(6)
+    bits = ["Mr.", "A.", "he said", "“No.", "Yes!”", '"Why?', 'So."', "etc.", "(i.e.", "e.g.)", "x" * 40, "y, " * 60, "z" * 800, ". ", "! ", "? A", "é.", "É", "\u2003", "\xa0", "\u00a0 ", "-\n", "\n", "\n\n", "\r\n", "\r", "\t", " \n \n", "\x85", "\u3000", "1.", "‐\nb", "ß.", "\u0301.", "…", ";", ": "]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randrange(0, 60))) for _ in range(400)]
+    texts += [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    both = frame.select("k", X.clean_paragraphs(F.col("t")).alias("p"), X.units(F.col("t")).alias("u")).collect()
+    for r in both:
+        assert R.paragraphs(texts[r.k]) == list(r.p), texts[r.k]
+        assert R.units(texts[r.k]) == list(r.u), texts[r.k]
+
+
+def test_exploded_texts(spark, monkeypatch):
+    monkeypatch.setattr(R, "ROWS", 3)
+    rows = [(k, t, k % 2 == 0) for k, t in enumerate(["a b", "", None, "c d e f g", "h i", "j"] * 3)]
+    frame = spark.createDataFrame(rows, "k int, t string, w boolean").coalesce(1)
+    split = lambda t: (t or "").split()
+    got = [tuple(r) for r in R.exploded(frame, "t", split, "n", "k").collect()]
+    assert got == [(k, n, x) for k, t, _ in rows for n, x in enumerate(split(t))]
+    got = [tuple(r) for r in R.exploded(frame, "t", split, "n", "k", "t", to="x", whole="w").collect()]
+    assert got == [(k, t, n, x) for k, t, w in rows for n, x in enumerate([t] if w else split(t))]
+    assert R.exploded(frame.limit(0), "t", split, "n", "k").count() == 0
+
+
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
 
