@@ -7,6 +7,7 @@ which pieces join the one before, by a running state, and the marked runs are pu
 
 from __future__ import annotations
 
+import re
 from itertools import accumulate, chain, groupby
 from operator import itemgetter
 
@@ -21,11 +22,13 @@ from quire.functions.text import ABBREVIATIONS, MAX_CHARS, MIN_CHARS
 #: White space of Unicode; words of the rules are letters, marks, digits and the underscore.
 W = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 CLOSING, CUT = "\"'”’)]", "\x01"
-BLANK_LINES, HYPHEN = regex.compile(r"\n[ \t]*\n[ \t\n]*"), regex.compile(r"([\p{L}\p{M}\p{N}_])[-‐]\n([\p{L}\p{M}\p{N}_])")
-LINE_END, SPACES = regex.compile(r"[ \t]*\n[ \t]*"), regex.compile(r"[ \t\u00a0]{2,}")
-ENDS = regex.compile(rf"([.!?])([\"'”’)\]]?)[{W}]+([\"'“‘(\[A-Z0-9])")
-LAST_WORD, LETTER = regex.compile(r"[\p{L}\p{M}\p{N}_.]+\.$"), regex.compile(r"\p{L}")
-PART = regex.compile(rf"(?s)[{W}]*+(.{{1,{MAX_CHARS}}}\Z|.{{{MAX_CHARS * 2 // 5},{MAX_CHARS - 2}}}[;:,](?= )|.{{1,{MAX_CHARS - 1}}} |.{{{MAX_CHARS}}})")
+BLANK_LINES, HYPHEN = re.compile(r"\n[ \t]*\n[ \t\n]*"), regex.compile(r"([\p{L}\p{M}\p{N}_])[-‐]\n([\p{L}\p{M}\p{N}_])")
+LINE_END, SPACES = re.compile(r"[ \t]*\n[ \t]*"), re.compile(r"[ \t\u00a0]{2,}")
+ENDS = re.compile(rf"([.!?])([\"'”’)\]]?)[{W}]+([\"'“‘(\[A-Z0-9])")
+LAST_WORD = regex.compile(r"[\p{L}\p{M}\p{N}_.]+\.$")
+#: Characters at a piece's end among which its last word is looked for first.
+TAIL = 10
+PART = re.compile(rf"(?s)[{W}]*+(.{{1,{MAX_CHARS}}}\Z|.{{{MAX_CHARS * 2 // 5},{MAX_CHARS - 2}}}[;:,](?= )|.{{1,{MAX_CHARS - 1}}} |.{{{MAX_CHARS}}})")
 SHORT_NAMES = frozenset(ABBREVIATIONS)
 #: Rows of output in a batch.
 ROWS = 1 << 15
@@ -67,9 +70,13 @@ def put_together(parts: list[str], joins) -> list[str]:
 
 def is_short_name(piece: str) -> bool:
     """Whether a piece ends in a known abbreviation or a single letter and a full stop."""
-    found = LAST_WORD.search(piece, max(0, len(piece) - 64)) if piece[-1:] == "." else None
+    if piece[-1:] != ".":
+        return False
+    found = LAST_WORD.search(piece, max(0, len(piece) - TAIL))
+    if found and found.start() == len(piece) - TAIL:  # a long word, or many full stops
+        found = LAST_WORD.search(piece)
     word = found[0].lower().strip(".") if found else ""
-    return word in SHORT_NAMES or (len(word) == 1 and LETTER.match(word) is not None)
+    return word in SHORT_NAMES or (len(word) == 1 and word.isalpha())
 
 
 def still_open(curly: int, any_curly: bool, straight: int) -> bool:
