@@ -14,3 +14,12 @@ def table_or_none(spark: SparkSession, sf_dir: str, name: str, schema: str) -> D
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
     there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
     return table(spark, sf_dir, name) if there else spark.createDataFrame([], schema)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan dealt anew where it has fewer tasks than the cluster has cores, as a file of one row group has one.
+
+    For rules that cost far more than a shuffle of their input; a table of many files or row groups stays as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quire.functions import kernels as K
 from quire.operators import align, layout
 from quire.operators import structure as S
-from quire.plans.tables import table
+from quire.plans.tables import spread, table
 from quire.queries import query
 from quire.queries.structure import PARAGRAPHS_SQL, UNITS_SQL, _trim
 from quire.sources import pages as P
@@ -57,7 +57,7 @@ _BLOCKS = rf"""
 @query("article_blocks", f"WITH {_BLOCKS} SELECT doc_id AS id, CAST(para AS INTEGER) AS para, level, text FROM kept")
 def article_blocks(spark, sf_dir):
     """Headings and paragraphs of every page."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "html"))
     return P.article_blocks(P.with_markdown(pages), "page_id")
 
 

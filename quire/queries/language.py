@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import language as L
 from quire.operators import structure as S
-from quire.plans.tables import table
+from quire.plans.tables import spread, table
 from quire.queries import query
 from quire.queries.structure import PIECES_SQL, piece_table
 
@@ -26,7 +26,7 @@ _SCORES = rf"""
 
 @query("lang_scores", f"WITH {_SCORES} SELECT doc_id, lang, CAST(k AS INTEGER) AS distinct_words, round(s, 6) AS score FROM score")
 def lang_scores(spark, sf_dir):
-    d = L.scored(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.inline("_ranked"))
+    d = L.scored(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", F.inline("_ranked"))
     return d.select("doc_id", "lang", F.col("distinct").alias("distinct_words"), F.round(-F.col("minus"), 6).alias("score"))
 
 
@@ -44,7 +44,7 @@ def lang_scores(spark, sf_dir):
       WHEN total >= 25 AND r.s >= 0.045 AND k >= 8 AND (next = 0 OR r.s >= next * 1.30) THEN lang END AS detected
     FROM s LEFT JOIN r ON r.doc_id = s.doc_id AND r.n = 1""")
 def lang_detect(spark, sf_dir):
-    return L.detect(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "detected")
+    return L.detect(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "detected")
 
 
 @query("lang_sample", f"""

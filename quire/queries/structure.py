@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as X
 from quire.operators import structure as S
-from quire.plans.tables import table
+from quire.plans.tables import spread, table
 from quire.queries import query
 
 _W = r"[\s\x0B\x85\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -69,8 +69,8 @@ PIECES_SQL = f"{PARAGRAPHS_SQL},{UNITS_SQL}"
 
 def piece_table(spark, sf_dir, of=None):
     """(doc_id, lang, idx, text): the sentences of whole texts, as they are read; of: the documents (doc_id) that are asked for."""
-    docs = table(spark, sf_dir, "documents")
-    return S.sentence_table(docs if of is None else S.those(docs, of), "doc_id", "lang")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return S.sentence_table(spread(docs) if of is None else S.those(docs, of), "doc_id", "lang")
 
 
 @query("sentence_stats", f"""
@@ -97,7 +97,7 @@ def page_sentences(spark, sf_dir):
 
 @query("paragraph_split", f"WITH {PARAGRAPHS_SQL} SELECT doc_id AS id, CAST(para AS INTEGER) AS para, text FROM full_paras")
 def paragraph_split(spark, sf_dir):
-    return S.paragraph_table(table(spark, sf_dir, "documents"))
+    return S.paragraph_table(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 #: Headings by their form, then by how many of each form a document has; \b and (?i) agree in both engines.
@@ -132,7 +132,7 @@ CHUNKS_SQL = f"{PIECES_SQL}, {HEADINGS_SQL}, chunks AS (SELECT doc_id AS id, CAS
 @query("document_chunks", f"WITH {CHUNKS_SQL} SELECT * FROM chunks")
 def document_chunks(spark, sf_dir):
     """The full chunk pipeline."""
-    paras = S.heading_levels(S.paragraph_table(table(spark, sf_dir, "documents")))
+    paras = S.heading_levels(S.paragraph_table(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))))
     return S.chunk_table(paras)
 
 
