@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions.text import bound, folded
+from quire.plans.staging import staged
 
 TOKEN = r"[\p{L}\p{N}_][\p{L}\p{N}_'’-]*"
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.DoubleType()), T.StructField("end", T.DoubleType()), T.StructField("cs", T.IntegerType()), T.StructField("ce", T.IntegerType())]))
@@ -231,17 +232,79 @@ def line_boxes(words: DataFrame, most: int = 24) -> DataFrame:
     return box.withColumn("_n", n).filter(F.col("_n") <= most).drop("_n", "block", "line")
 
 
+#: Cells of a page's grid along a side, at most.
+SIDE = 1 << 10
+
+
+def gridded(boxes: DataFrame, slack: float) -> DataFrame:
+    """(id, page, left, top, width, height, side): a grid for each page, of about as many cells as it has boxes."""
+    stats = boxes.groupBy("id", "page").agg(
+        F.min("x0").alias("left"), F.min("y0").alias("top"), F.max("x1").alias("right"), F.max("y1").alias("bottom"), F.least(F.lit(SIDE), F.greatest(F.lit(1), F.ceil(F.sqrt(F.count("*"))))).cast("int").alias("side")
+    )
+    size = lambda a, b: F.greatest((F.col(b) - F.col(a) + 2 * slack) / F.col("side"), F.lit(1e-9))
+    return stats.select("id", "page", (F.col("left") - slack).alias("left"), (F.col("top") - slack).alias("top"), size("left", "right").alias("width"), size("top", "bottom").alias("height"), "side")
+
+
+def cell(x: Column, start: str, size: str) -> Column:
+    """The cell of a place along one side of a grid; places beyond the grid are in its outer cells."""
+    return F.least(F.col("side") - 1, F.greatest(F.lit(0), F.floor((x - F.col(start)) / F.col(size)))).cast("int")
+
+
+def candidates(points: DataFrame, boxes: DataFrame, slack: float) -> DataFrame:
+    """Points with the boxes that meet their cell; both have the columns of their page's grid."""
+    along = lambda lo, hi, start, size: F.explode(F.sequence(cell(F.col(lo) - slack, start, size), cell(F.col(hi) + slack, start, size)))
+    spread = boxes.select("id", "page", "ord", "idx", "x0", "y0", "x1", "y1", "top", "height", "side", along("x0", "x1", "left", "width").alias("cx"))
+    spread = spread.select("id", "page", "ord", "idx", "x0", "y0", "x1", "y1", "cx", along("y0", "y1", "top", "height").alias("cy"))
+    at = points.select("id", "page", "point", "x", "y", cell(F.col("x"), "left", "width").alias("cx"), cell(F.col("y"), "top", "height").alias("cy"))
+    return at.join(spread, ["id", "page", "cx", "cy"])
+
+
+def neighbours(points: DataFrame, middles: DataFrame, level: int) -> DataFrame:
+    """Points with the middles of boxes in the nine cells around them, of a grid whose cells are 2 ** level as large, and reach: how far they surely see."""
+    coarse = lambda c, start, size: F.shiftright(cell(c, start, size), level)
+    near = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
+    at = points.withColumns({"px": coarse(F.col("x"), "left", "width"), "py": coarse(F.col("y"), "top", "height")})
+    last = F.shiftright(F.col("side") - 1, level)
+    far = F.lit(float("inf"))
+
+    def reach(p: str, x: str, start: str, size: str) -> Column:
+        step = F.col(size) * (1 << level)
+        low = F.when(F.col(p) - 1 > 0, F.col(x) - F.col(start) - (F.col(p) - 1) * step).otherwise(far)
+        high = F.when(F.col(p) + 1 < last, F.col(start) + (F.col(p) + 2) * step - F.col(x)).otherwise(far)
+        return F.least(low, high)
+
+    at = at.withColumn("reach", F.least(reach("px", "x", "left", "width"), reach("py", "y", "top", "height")))
+    at = at.select("id", "page", "point", "x", "y", "reach", "py", near("px").alias("cx")).select("id", "page", "point", "x", "y", "reach", "cx", near("py").alias("cy"))
+    there = middles.select("id", "page", "ord", "idx", "mx", "my", coarse(F.col("mx"), "left", "width").alias("cx"), coarse(F.col("my"), "top", "height").alias("cy"))
+    return at.join(there, ["id", "page", "cx", "cy"])
+
+
 def hit(points: DataFrame, boxes: DataFrame, slack: float = 2.0) -> DataFrame:
-    """(id, point, idx): the first box (by ord) of a page that holds the point, else the one with the nearest middle.
+    """(id, point, idx): the first box (by ord) of a page that holds the point, else the one with the nearest middle (equal ones by ord).
 
-    points (id, page, point, x, y); boxes (id, page, ord, idx, x0, y0, x1, y1). Both sides are
-    dealt by page, so a point meets its own page's boxes alone.
+    points (id, page, point, x, y), a point being named once; boxes (id, page, ord, idx, x0, y0, x1, y1). Each page has a grid of about as many
+    cells as boxes; a box is in all cells that it meets, so a point meets the boxes of its own cell. Points in no box look for middles
+    in the cells around them, of a grid twice as coarse each round, until one is nearer than
+    what they have not seen; a page's boxes never all meet its points.
     """
-    j = points.join(boxes, ["id", "page"])
+    grid = staged(gridded(boxes, slack), "hit-grid")
+    placed, there = staged(points.join(grid, ["id", "page"]), "hit-points"), staged(boxes.join(grid, ["id", "page"]), "hit-boxes")
     inside = (F.col("x") >= F.col("x0") - slack) & (F.col("x") <= F.col("x1") + slack) & (F.col("y") >= F.col("y0") - slack) & (F.col("y") <= F.col("y1") + slack)
-    far = F.pow(F.col("x") - (F.col("x0") + F.col("x1")) / 2, F.lit(2)) + F.pow(F.col("y") - (F.col("y0") + F.col("y1")) / 2, F.lit(2))
-    order = F.struct((~inside).alias("miss"), F.when(inside, 0.0).otherwise(far).alias("far"), F.col("ord"))
-    return j.groupBy("id", "point").agg(F.min_by("idx", order).alias("idx"))
+    found = staged(candidates(placed, there, slack).filter(inside).groupBy("id", "point").agg(F.min_by("idx", "ord").alias("idx")), "hit-inside")
+    rest = staged(placed.join(found, ["id", "point"], "left_anti"), "hit-rest")
+    middles = there.withColumns({"mx": (F.col("x0") + F.col("x1")) / 2, "my": (F.col("y0") + F.col("y1")) / 2})
+    level = 0
+    while not rest.isEmpty():
+        square = F.pow(F.col("x") - F.col("mx"), F.lit(2)) + F.pow(F.col("y") - F.col("my"), F.lit(2))
+        best = neighbours(rest, middles, level).withColumn("far", square).groupBy("id", "point").agg(
+            F.min_by(F.struct("idx", "far"), F.struct("far", "ord")).alias("b"), F.first("reach").alias("reach")
+        )
+        sure = staged(best.filter(F.col("b.far") < F.pow("reach", F.lit(2))).select("id", "point", "b.idx"), "hit-near")
+        found = found.unionByName(sure)
+        rest, level = staged(rest.join(sure, ["id", "point"], "left_anti"), "hit-rest"), level + 1
+        if 1 << (level - 1) > SIDE:
+            raise ValueError("points without a place")
+    return found
 
 
 def generated_cover(pixels: DataFrame, height: int = 150) -> DataFrame:
