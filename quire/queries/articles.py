@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quire.functions import addresses as A
 from quire.functions import kernels as K
 from quire.operators import align, layout
 from quire.operators import structure as S
@@ -69,6 +70,36 @@ def article_chunks(spark, sf_dir):
     return P.article_chunks(article_blocks(spark, sf_dir))
 
 
+def _v4(networks) -> str:
+    """Rows (first, after) of networks of version 4, as numbers."""
+    return ", ".join(f"({a - A.MAPPED}, {b - A.MAPPED})" for n in networks if ":" not in n for a, b in A.spans(n))
+
+
+#: Every event names an address: one near a border of a range, in one of four spellings, or a name.
+@query("public_hosts", f"""
+    WITH closed(a, b) AS (VALUES {_v4(A.CLOSED)}), open(a, b) AS (VALUES {_v4(A.OPEN)}),
+    ends AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS k FROM (SELECT a AS x FROM closed UNION SELECT b FROM closed UNION SELECT a FROM open UNION SELECT b FROM open)),
+    e AS (SELECT event_id, user_id, event_id % 5 AS form, event_id // 5 AS i FROM events),
+    n AS (SELECT e.*, (CASE WHEN i % 3 = 0 THEN (i * 2654435761) % 4294967296 ELSE greatest(0, least(4294967295, x + user_id % 3 - 1)) END) AS v FROM e JOIN ends ON k = i % (SELECT count(*) FROM ends)),
+    t AS (SELECT *, (v >> 24) || '.' || ((v >> 16) & 255) || '.' || ((v >> 8) & 255) || '.' || (v & 255) AS quad,
+      EXISTS (SELECT 1 FROM closed WHERE v >= a AND v < b) AND NOT EXISTS (SELECT 1 FROM open WHERE v >= a AND v < b) AS shut FROM n)
+    SELECT event_id, CASE form WHEN 0 THEN quad WHEN 1 THEN '::ffff:' || quad WHEN 2 THEN CAST(v AS VARCHAR) WHEN 3 THEN 'h' || quad || '.example' ELSE '::FFFF:' || printf('%x:%x', v >> 16, v & 65535) END AS host,
+      CASE form WHEN 2 THEN false WHEN 3 THEN NULL ELSE NOT shut END AS public FROM t""")
+def public_hosts(spark, sf_dir):
+    """Addresses near all borders of version 4, mapped ones, numbers in an old spelling, and names."""
+    ends = sorted({x - A.MAPPED for n in (*A.CLOSED, *A.OPEN) if ":" not in n for s in A.spans(n) for x in s})
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", (F.col("event_id") % 5).alias("form"), F.floor(F.col("event_id") / 5).alias("i"))
+    border = F.element_at(F.array(*[F.lit(x).cast("long") for x in ends]), (F.col("i") % len(ends)).cast("int") + 1)
+    near = F.greatest(F.lit(0), F.least(F.lit(4294967295), border + F.col("user_id") % 3 - 1))
+    e = e.withColumn("v", F.when(F.col("i") % 3 == 0, F.expr("i * 2654435761L % 4294967296L")).otherwise(near))
+    part = lambda k: F.shiftright("v", k).bitwiseAND(255).cast("string")
+    quad = F.concat_ws(".", part(24), part(16), part(8), part(0))
+    low = F.concat(F.lower(F.hex(F.shiftright("v", 16))), F.lit(":"), F.lower(F.hex(F.col("v").bitwiseAND(65535))))
+    host = F.when(F.col("form") == 0, quad).when(F.col("form") == 1, F.concat(F.lit("::ffff:"), quad)).when(F.col("form") == 2, F.col("v").cast("string"))
+    host = host.when(F.col("form") == 3, F.concat(F.lit("h"), quad, F.lit(".example"))).otherwise(F.concat(F.lit("::FFFF:"), low))
+    return e.select("event_id", host.alias("host")).select("event_id", "host", A.public_host(F.col("host")).alias("public"))
+
+
 @query("article_images", r"""
     SELECT page_id AS id, 0 AS ord, 1 AS para, url || '/x.png' AS src_url, 'a' AS alt, 1 AS anchor_idx FROM pages WHERE regexp_matches(url, '^https?://[^\s)]*$')
     UNION ALL SELECT page_id, 1, 2, 'https://h.example/z.jpg', '', 1 FROM pages WHERE regexp_matches(url, '^https?://[^\s)]*$')""")
