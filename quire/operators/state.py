@@ -239,9 +239,10 @@ def entry(payload: Column, provider: Column, word: Column, lang: Column, most: i
 def defined(words: DataFrame, entries: DataFrame) -> DataFrame:
     """(word, found, form_of, senses): the first spelling of each word that has an entry; of a mere inflection the base word's entry, one hop on.
 
-    entries (word, senses: array of texts) are answers and cached ones that may still be used. An inflection whose base has none stays itself.
+    entries (word, senses: array of texts) are answers and cached ones that may still be used, in one language; of several of a word
+    the least counts. An inflection whose base has none stays itself. lookup.define() asks and writes back.
     """
-    known = entries.select("word", "senses").dropDuplicates(["word"])
+    known = entries.groupBy("word").agg(F.min("senses").alias("senses"))
     first = first_found(words, known.withColumnRenamed("senses", "payload")).withColumn("base", base_word(F.col("payload")))
     hop = first_found(first.filter("base is not null and base <> spelling").select(F.col("base").alias("word")), known.withColumnRenamed("senses", "payload"))
     hop = hop.filter("spelling is not null").select(F.col("word").alias("base"), F.col("spelling").alias("_to"), F.col("payload").alias("_senses"))
