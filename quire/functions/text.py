@@ -76,12 +76,6 @@ def count_of(text: Column, what: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(what)))
 
 
-def quote_open(text: Column) -> Column:
-    """Whether a double quotation is still open at the end: curly marks by balance, straight ones by parity."""
-    opened, closed = count_of(text, "“"), count_of(text, "”")
-    return F.when(opened != closed, opened > closed).when((opened > 0) | (closed > 0), False).otherwise(count_of(text, '"') % 2 == 1)
-
-
 def bound(value: Column, use) -> Column:
     """use(value), with value worked out once though use may name it often."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -10,10 +10,11 @@ from __future__ import annotations
 import re
 import unicodedata
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
+from quire.sources import sinks
 
 # Shelves of the front page in display order, and labels of languages.
 SHELVES = [
@@ -24,6 +25,18 @@ LABELS = {"en": "English", "fr": "French", "es": "Spanish", "it": "Italian", "pt
 LEAST_ON_SHELF, POOL, TERMS = 4, 400, 8
 
 
+BOOKS = (
+    "gid long, title string, authors string, authors_full string, language string, downloads long, subjects string, shelves string, genres string, description string, "
+    "text_bytes long, has_cover boolean, has_text boolean, curated boolean, excluded string"
+)
+
+
+def stored(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
+    """The published catalog (a store of quire.sources.sinks), and whether there is one; an absent catalog has no books and is no error."""
+    found = sinks.published(spark, path)
+    return (spark.createDataFrame([], BOOKS), False) if found is None else (found, True)
+
+
 def genre_list(genres: Column) -> Column:
     return F.filter(F.split(F.coalesce(genres, F.lit("")), ", "), lambda g: g != "")
 

@@ -175,11 +175,6 @@ def not_yet_added(books: DataFrame, docs: DataFrame) -> DataFrame:
     return books.join(have, F.concat(F.lit("pg:"), books.gid.cast("string")) == have.source_url, "left_anti")
 
 
-def voice_scope(voice_speaks: DataFrame) -> DataFrame:
-    """scope of a pick: for the language if the voice speaks it, else for the document."""
-    return voice_speaks.withColumn("scope", F.when(F.col("speaks"), "language").otherwise("document"))
-
-
 def latest(events: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """The last event's columns for each key."""
     return events.groupBy(*keys).agg(F.max_by(F.struct(*columns), "seq").alias("_r")).select(*keys, "_r.*")

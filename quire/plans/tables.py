@@ -9,13 +9,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def table_or_none(spark: SparkSession, sf_dir: str, name: str, schema: str) -> DataFrame:
-    """A table of a data folder, or an empty one of this schema where it is missing: an absent catalog has no rows and is no error."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
-    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    return table(spark, sf_dir, name) if there else spark.createDataFrame([], schema)
-
-
 def spread(scan: DataFrame) -> DataFrame:
     """A scan dealt anew where it has fewer tasks than the cluster has cores, as a file of one row group has one.
 

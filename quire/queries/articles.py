@@ -8,6 +8,7 @@ from quire.functions import addresses as A
 from quire.functions import kernels as K
 from quire.operators import align, layout
 from quire.operators import structure as S
+from quire.plans.staging import staged
 from quire.plans.tables import spread, table
 from quire.queries import query
 from quire.queries.structure import PARAGRAPHS_SQL, UNITS_SQL, _trim
@@ -115,13 +116,35 @@ def web_addresses(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", K.web_address(F.col("url")).alias("address"))
 
 
-@query("printed_lists", f"WITH {PARAGRAPHS_SQL} SELECT doc_id AS id, count(*) + 2 AS n_paragraphs, 0 AS start FROM full_paras GROUP BY doc_id")
+_PROSE = "It was a long time ago, and nobody knew. " * 4
+#: What is put before a document, by its number: a list's lines (taken away) and others (with +, left), and at which of the others the body begins.
+_FRONTS = [
+    (["CONTENTS", "Chapter I. 1", "Chapter II. 20", "+Chapter III. 31"], 0),  # the last entry before prose is a heading
+    (["Contents Chapter I. 1 Chapter II. 20 Chapter III. 31"], 0),  # a list in one line
+    (["+A foreword", "CONTENTS", "I. One . . . . 3", "II. Two . . . . 9", "III. Three . . . . 12", "+Some words before"], 1),
+    (["+CONTENTS", "+Chapter I. 1"], 0),  # too short to be a list
+    (["CONTENTS", "Chapter I. The start 1", "Chapter II. The end 20", "Chapter III. After 31", "+Chapter I. The start"], 0),  # an echo opens the body
+    (["LIST OF ILLUSTRATIONS", "A mill", "The sea", "A boat", "The old town", "Frontispiece", "+One", "+Two", "+Three"], 0),  # captions, none before prose
+    (["CONTENTS", "The mill 7", "An odd line", "The sea 21", "The boat 55", "CONTENTS", "The town 63", "+Not of it"], 0),  # a stray and a second title within
+    (["CONTENTS", "Chapter I. 1", "Chapter II. 20", "Chapter III. 31", "+A verse", "+Another verse", "+And a third", "ILLUSTRATIONS", "Plate 1 . . . . 4", "Plate 2 . . . . 9", "Plate 3 . . . . 12", "+Here it begins"], 3),
+]
+_LEFT = ", ".join(f"({k}, {n}, '{line[1:]}', {start})" for k, (lines, start) in enumerate(_FRONTS) for n, line in enumerate([*lines, f"+{_PROSE}", f"+{_PROSE}"]) if line[0] == "+")
+
+
+@query("printed_lists", f"""
+    WITH {PARAGRAPHS_SQL}, front(shape, n, text, start) AS (VALUES {_LEFT}),
+    ids AS (SELECT DISTINCT doc_id FROM full_paras),
+    every AS (
+      SELECT doc_id, n, text FROM ids JOIN front ON doc_id % {len(_FRONTS)} = shape UNION ALL SELECT doc_id, 100 + para, text FROM full_paras)
+    SELECT doc_id AS id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INTEGER) AS para, text, start
+    FROM every JOIN (SELECT DISTINCT shape, start FROM front) s ON doc_id % {len(_FRONTS)} = s.shape""")
 def printed_lists(spark, sf_dir):
-    """Every document with a printed list put before it, and the paragraphs that are left: its own, the prose before them, and the list's last entry as its heading."""
-    paras = S.paragraph_table(table(spark, sf_dir, "documents"))
-    front = paras.select("id").distinct().select("id", F.posexplode(F.array(*[F.lit(x) for x in ("CONTENTS", "Chapter I. 1", "Chapter II. 20", "Chapter III. 31", "It was a long time ago. " * 6)])).alias("para", "text"))
-    both = front.unionByName(paras.withColumn("para", F.col("para") + 5))
-    return layout.strip_printed_lists(both).groupBy("id").agg(F.count("*").alias("n_paragraphs"), F.max("start").alias("start"))
+    """Every document with one of several printed lists put before it, and what is left of both."""
+    paras = staged(S.paragraph_table(table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL")), "paragraphs")
+    lines = F.array(*[F.array(*[F.lit(x.removeprefix("+")) for x in [*ls, _PROSE, _PROSE]]) for ls, _ in _FRONTS])
+    front = paras.select("id").distinct().select("id", F.posexplode(F.get(lines, (F.col("id") % len(_FRONTS)).cast("int"))).alias("para", "text"))
+    both = front.unionByName(paras.withColumn("para", F.col("para") + 100))
+    return layout.strip_printed_lists(both)
 
 
 #: Page by page, each seen as the one before left it.

@@ -1,7 +1,10 @@
 import json
 
+from pyspark.sql import functions as F
+
 from quire.operators import lookup as L
-from quire.sources import sinks
+from quire.operators import state
+from quire.sources import pages, sinks
 
 DAY = 86_400.0
 
@@ -66,3 +69,22 @@ def test_empty_requests(spark, tmp_path):
     ask, asked = teller(spark)
     assert L.define(spark.createDataFrame([], "word string, lang string"), f"{tmp_path}/c", ask, 0.0).count() == 0 and asked == []
     assert L.cached(spark, f"{tmp_path}/c").count() == 0
+
+
+def test_translations_of_a_page_of_their_own_come_first(spark):
+    rows = spark.createDataFrame([(1, ["a"], ["b"]), (2, [], ["b"]), (3, None, ["b"]), (4, None, None)], "k int, sub array<string>, page array<string>")
+    assert [r[0] for r in rows.orderBy("k").select(state.preferred(F.col("sub"), F.col("page"))).collect()] == [["a"], ["b"], ["b"], []]
+
+
+def test_character_set_of_a_page(spark):
+    rows = [(1, "text/html; Charset='ISO-8859-1'", b""), (2, "text/html", b'<META http-equiv=x content="text/html; charset=windows-1252">'), (3, None, b"<p>"), (4, "text/html", None), (5, None, b" " * 5000 + b"<meta charset=x>")]
+    got = spark.createDataFrame([(k, t, h and bytearray(h)) for k, t, h in rows], "k int, t string, h binary").orderBy("k").select(pages.charset(F.col("t"), F.col("h")))
+    assert [r[0] for r in got.collect()] == ["iso-8859-1", "windows-1252", "utf-8", "utf-8", "utf-8"]
+
+
+def test_sounds_are_cached_by_key(spark, tmp_path):
+    kind = "key string, audio binary, duration double, text string, words array<string>, spans array<int>, aligned_by string"
+    put = lambda *rows: sinks.sounds(spark.createDataFrame(rows, kind), f"{tmp_path}/s", 4)
+    put(("a", bytearray(b"1"), 1.0, "t", ["t"], [0], "v1"), ("b", bytearray(b"2"), 2.0, "u", [], [], "v1"))
+    put(("a", bytearray(b"3"), 3.0, "t", None, None, "v2"))
+    assert sorted((r.key, bytes(r.audio), r.aligned_by) for r in sinks.published(spark, f"{tmp_path}/s").collect()) == [("a", b"3", "v2"), ("b", b"2", "v1")]

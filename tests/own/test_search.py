@@ -83,3 +83,14 @@ def test_only_folders_and_blocks_of_the_terms_are_read(spark, tmp_path, small):
     got = same(path, books, "sea", spark)
     able = bounds.filter(F.col("bound") <= got[-1][1] + 1e-8).count()
     assert len(got) == 400 and able < 60
+
+
+def test_absent_catalog_is_empty(spark, tmp_path):
+    books, there = C.stored(spark, f"{tmp_path}/none")
+    assert not there and C.book(books, 1).count() == 0 and C.genre_counts(books).count() == 0 and C.shelves(books).count() == 0
+    for q in ("", "war"):
+        page, total = C.search(books, q)
+        assert page.count() == 0 and total.first().total == 0
+    sinks.publish(spark.createDataFrame([(1, "War", "A", "A", "en", 5, "S", "", "Poetry", "d", 1000, True, True, True, None)], C.BOOKS), f"{tmp_path}/c")
+    books, there = C.stored(spark, f"{tmp_path}/c")
+    assert there and C.search(books, "war")[1].first().total == 1 and C.book(books, 1).count() == 1
