@@ -320,7 +320,7 @@ def generated_cover(pixels: DataFrame, height: int = 150) -> DataFrame:
     c = counts.withColumns({"before": F.coalesce(F.sum("n").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "all": F.sum("n").over(Window.partitionBy("gid"))})
     few = c.groupBy("gid").agg(F.count(F.when(F.col("before") < 0.85 * F.col("all"), 1)).alias("buckets"))
     top = F.col("y") < height // 5
-    white = p.groupBy("gid").agg((F.count(F.when(top & (F.least("r", "g", "b") >= 240), 1)) / F.count(F.when(top, 1))).alias("white"))
+    white = p.groupBy("gid").agg((F.count(F.when(top & (F.least("r", "g", "b") > 235), 1)) / F.count(F.when(top, 1))).alias("white"))
     return few.join(white, "gid").withColumn("generated", (F.col("white") >= 0.35) & (F.col("buckets") <= 14))
 
 

@@ -216,7 +216,7 @@ def line_boxes(spark, sf_dir):
     c AS (SELECT gid, r // 16 AS b, count(*) AS n FROM p GROUP BY ALL),
     s AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY gid ORDER BY n DESC, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER (PARTITION BY gid) AS total FROM c),
     f AS (SELECT gid, count(*) FILTER (WHERE before < 0.85 * total) AS buckets FROM s GROUP BY gid),
-    w AS (SELECT gid, count(*) FILTER (WHERE y < 30 AND r >= 240) / nullif(count(*) FILTER (WHERE y < 30), 0) AS white FROM p GROUP BY gid)
+    w AS (SELECT gid, count(*) FILTER (WHERE y < 30 AND r > 235) / nullif(count(*) FILTER (WHERE y < 30), 0) AS white FROM p GROUP BY gid)
     SELECT gid, buckets, round(white, 9) AS white, white >= 0.35 AND buckets <= 14 AS generated FROM f JOIN w USING (gid)""")
 def generated_covers(spark, sf_dir):
     i, u = F.col("event_id"), F.col("user_id")
