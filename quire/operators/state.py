@@ -277,3 +277,8 @@ def translatable(word: Column, src: Column, dst: Column) -> Column:
     a, b = F.substring(F.lower(F.coalesce(src, F.lit("en"))), 1, 2), F.substring(F.lower(dst), 1, 2)
     base = X.normal_word(word)
     return F.when((a != b) & b.rlike("^[a-z]{2}$") & (F.length(base) > 0) & (F.length(base) <= 64), base)
+
+
+def sound_key(text: Column, voice: Column) -> Column:
+    """The key of a cached sound. Fixed value: the speed that once was a part of keys stays in them."""
+    return F.sha1(F.concat_ws("|", voice, F.lit("1.00"), F.coalesce(text, F.lit(""))))

@@ -111,6 +111,17 @@ def article_images(spark, sf_dir):
     return P.anchored(P.images(marked), P.article_chunks(P.article_blocks(marked)))
 
 
+@query("page_charsets", r"""
+    WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'text/html; charset="Latin-1"' WHEN 1 THEN 'text/html' WHEN 2 THEN NULL ELSE 'x; Charset=utf-16' END AS t,
+      CASE WHEN page_id % 3 = 0 THEN '<meta name="x" charset=''KOI8-R''>' ELSE '' END || coalesce(html, '') AS h FROM pages)
+    SELECT page_id, coalesce(nullif(lower(regexp_extract(coalesce(t, ''), '(?i)charset=["'']?([\w.:-]+)', 1)), ''), nullif(lower(regexp_extract(left(h, 4096), '(?i)<meta[^>]+charset=["'']?([\w.:-]+)', 1)), ''), 'utf-8') AS charset FROM p""")
+def page_charsets(spark, sf_dir):
+    i = F.col("page_id")
+    said = F.when(i % 4 == 0, 'text/html; charset="Latin-1"').when(i % 4 == 1, "text/html").when(i % 4 == 3, "x; Charset=utf-16")
+    head = F.concat(F.when(i % 3 == 0, "<meta name=\"x\" charset='KOI8-R'>").otherwise(""), F.coalesce("html", F.lit(""))).cast("binary")
+    return table(spark, sf_dir, "pages").select("page_id", P.charset(said, head).alias("charset"))
+
+
 @query("web_addresses", r"SELECT page_id, CASE WHEN regexp_matches(url, '^https?://[^/?#\s]*\.[^/?#\s]*') THEN url END AS address FROM pages")
 def web_addresses(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", K.web_address(F.col("url")).alias("address"))

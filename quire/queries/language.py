@@ -78,3 +78,14 @@ def voice_resolve(spark, sf_dir):
 def voice_scopes(spark, sf_dir):
     voice = F.get(F.array(*[F.lit(v) for v in ("af_x", "ef_y", "ff_z", "xx")]), (F.col("doc_id") % 4).cast("int"))
     return table(spark, sf_dir, "documents").select("doc_id", L.pick_scope(voice, F.col("lang")).alias("scope"))
+
+
+@query("listed_voices", """
+    SELECT event_id, array_to_string(list_sort(list_distinct([event_type, 'v' || event_id % 7, 'af_x'])), ',') AS voices FROM events""")
+def listed_voices(spark, sf_dir):
+    """Answers of voice servers in three forms, made of events; repeats and empty names in them."""
+    i, kind = F.col("event_id"), F.col("event_type")
+    names = F.array(kind, F.concat(F.lit("v"), (i % 7).cast("string")), F.lit("af_x"), F.lit(""), kind)
+    objects = F.to_json(F.transform(names, lambda n: F.struct(n.alias("id"), F.lit("x").alias("label"))))
+    payload = F.when(i % 3 == 0, F.to_json(names)).when(i % 3 == 1, F.concat(F.lit('{"voices": '), F.to_json(names), F.lit("}"))).otherwise(F.concat(F.lit('{"data": '), objects, F.lit("}")))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(L.voices_listed(payload), ",").alias("voices"))

@@ -189,9 +189,19 @@ def word_estimate(spark, sf_dir):
     return found.select("conv_id", "turn", "k", "word", "start", "end")
 
 
-@query("cache_keys", "SELECT conv_id, turn, sha1('af_heart|1.00|' || coalesce(text, '')) AS key FROM conversations")
+@query("cache_keys", "SELECT conv_id, turn, sha1(CASE WHEN role = 'user' THEN 'af_heart' ELSE 'ef_dora' END || '|1.00|' || coalesce(text, '')) AS key FROM conversations")
 def cache_keys(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha1(F.concat(F.lit("af_heart|1.00|"), F.coalesce("text", F.lit("")))).alias("key"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", S.sound_key(F.col("text"), F.when(F.col("role") == "user", "af_heart").otherwise("ef_dora")).alias("key"))
+
+
+@query("senses_on_top", """
+    WITH s AS (SELECT user_id AS word, event_type AS pos, event_id AS place, props AS text, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events),
+    f AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY place) AS k FROM s WHERE n = 1)
+    SELECT word, pos, place, text FROM f WHERE k <= 4""")
+def senses_on_top(spark, sf_dir):
+    """Users stand in for words, types of events for parts of speech."""
+    e = table(spark, sf_dir, "events")
+    return S.top_senses(e.select(F.col("user_id").alias("word"), F.col("event_type").alias("pos"), F.col("event_id").alias("place"), F.col("props").alias("text")))
 
 
 @query("normal_words", r"SELECT conv_id, turn, lower(regexp_replace(replace(coalesce(text, ''), chr(173), ''), '^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$', '', 'g')) AS word FROM conversations")

@@ -8,6 +8,7 @@ from quire.functions import text as X
 from quire.operators import structure as S
 from quire.plans.tables import spread, table
 from quire.queries import query
+from quire.sources.files import stripped_book
 
 _W = r"[\s\x0B\x85\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _ABBREVIATIONS = ", ".join(f"'{w}'" for w in X.ABBREVIATIONS)
@@ -223,3 +224,14 @@ def rechunked_documents(spark, sf_dir):
     new = piece_table(spark, sf_dir).select(F.col("doc_id").alias("id"), F.floor(F.col("idx") / 2).cast("int").alias("k"), "idx", "text")
     old = new.groupBy("id", "k").agg(F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("t")).select("id", F.col("k").alias("idx"), F.array_join(F.col("t.text"), " ").alias("text"))
     return S.rechunked(old, table(spark, sf_dir, "documents"), old.filter("idx = id % 7").select("id", "idx"))[1]
+
+
+@query("book_bodies", rf"""
+    SELECT doc_id, {_trim("coalesce(text, '')")} AS body FROM documents""")
+def book_bodies(spark, sf_dir):
+    """Every document between a publisher's marks, of two forms, with credits and a picture's note within; what is left is the document."""
+    i, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    edges = {"start": [r"\*{3} START OF", r"\*BEGIN\*"], "end": [r"\*{3} END OF", "End of the text"]}
+    before = F.when(i % 2 == 0, "A title\n*** START OF THE BOOK ***\n").otherwise("*BEGIN* here\n")
+    raw = F.concat(before, F.lit("\nProduced by A\nand B\n\n[Illustration: a mill]"), text, F.when(i % 3 == 0, "\n*** END OF THE BOOK\nLicense").otherwise("\nEnd of the text, a book\nLicense"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", stripped_book(raw, edges).alias("body"))
