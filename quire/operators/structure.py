@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import reading as R
 from quire.functions import text as X
+from quire.plans.staging import staged
 
 
 def paragraph_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -25,8 +26,11 @@ def sentence_table(docs: DataFrame, *keep: str, text_col: str = "text") -> DataF
 
 
 def those(docs: DataFrame, of: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The documents that rows of another table name, so that no others are cut into sentences."""
-    return docs.join(of.select(key).distinct(), key, "left_semi")
+    """The documents that rows of another table name, so that no others are cut into sentences.
+
+    The ids are written first: of a table of known size Spark sends few ids to the texts, and shuffles texts only where they are many.
+    """
+    return docs.join(staged(of.select(key).distinct(), "asked-for"), key, "left_semi")
 
 
 def heading_levels(paras: DataFrame) -> DataFrame:
