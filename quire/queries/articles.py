@@ -258,6 +258,51 @@ def spoken_words(spark, sf_dir):
     return found.select("conv_id", "turn", "k", F.round("s.start", 6).alias("start"), F.round("s.end", 6).alias("end"), "s.cs", "s.ce")
 
 
+_N = "(event_id % 9999 + 1)"
+_COUNT = f"(CASE WHEN {_N} >= 1000 THEN 2 ELSE 0 END + CASE WHEN {_N} % 1000 >= 100 THEN 2 ELSE 0 END + CASE WHEN {_N} % 100 = 0 THEN 0 WHEN {_N} % 100 < 20 OR {_N} % 10 = 0 THEN 1 ELSE 2 END)"
+_SUFFIX = f"CASE WHEN {_N} % 100 BETWEEN 11 AND 13 THEN 'th' WHEN {_N} % 10 = 1 THEN 'st' WHEN {_N} % 10 = 2 THEN 'nd' WHEN {_N} % 10 = 3 THEN 'rd' ELSE 'th' END"
+_TIMES = "list_transform(range({}), lambda x: {})"
+
+
+#: What each spoken word stands for in the text, by what kind of sentence an event says.
+@query("spoken_numbers", f"""
+    WITH e AS (
+      SELECT event_id, CASE event_id % 5
+        WHEN 0 THEN ['Pay'] || {_TIMES.format(f"{_COUNT} + 1", f"'$' || {_N}")} || ['to', event_type]
+        WHEN 1 THEN ['The'] || {_TIMES.format(_COUNT, f"{_N} || {_SUFFIX}")} || [event_type, 'then']
+        WHEN 2 THEN ['About'] || {_TIMES.format(_COUNT, f'CAST({_N} AS VARCHAR)')} || ['percent', 'of', event_type]
+        WHEN 3 THEN ['Room'] || {_TIMES.format(_COUNT, f'CAST({_N} AS VARCHAR)')} || [event_type]
+        ELSE ['He', 'said', event_type || ' hm', 'today'] END AS w FROM events)
+    SELECT event_id, CAST(generate_subscripts(w, 1) - 1 AS INTEGER) AS k, unnest(w) AS said FROM e""")
+def spoken_numbers(spark, sf_dir):
+    """Sentences with amounts of money, ordinals, shares and plain numbers said in words, and some in which a word is said that nobody wrote."""
+    i, kind = F.col("event_id"), F.col("event_type")
+    n, number = (i % 9999 + 1).cast("int"), (i % 9999 + 1).cast("string")
+    ones, tens = (F.array(*[F.lit(w) for w in ws]) for ws in (["", *align.CARDINALS[1:20]], ["", "", *align.CARDINALS[20:28]]))
+    none, pick = F.array().cast("array<string>"), lambda words, k: F.get(words, F.floor(k).cast("int"))
+    rest = F.when(n % 100 == 0, none).when(n % 100 < 20, F.array(pick(ones, n % 100))).when(n % 10 == 0, F.array(pick(tens, n % 100 / 10))).otherwise(F.array(pick(tens, n % 100 / 10), pick(ones, n % 10)))
+    words = F.concat(
+        F.when(n >= 1000, F.array(pick(ones, n / 1000), F.lit("thousand"))).otherwise(none), F.when(n % 1000 >= 100, F.array(pick(ones, n % 1000 / 100), F.lit("hundred"))).otherwise(none), rest
+    )
+    last = F.element_at(words, -1)
+    ordinal = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in align.IRREGULAR.items() for x in kv]), last), F.when(last.endswith("ty"), F.regexp_replace(last, "y$", "ieth")).otherwise(F.concat(last, F.lit("th"))))
+    ordinals = F.concat(F.slice(words, F.lit(1), F.size(words) - 1), F.array(ordinal))
+    suffix = F.when((n % 100).between(11, 13), "th").when(n % 10 == 1, "st").when(n % 10 == 2, "nd").when(n % 10 == 3, "rd").otherwise("th")
+    lit = lambda *ws: F.array(*[F.lit(w) if isinstance(w, str) else w for w in ws])
+    forms = [
+        (F.concat(F.lit("Pay $"), number, F.lit(" to "), kind, F.lit(".")), F.concat(lit("pay"), words, lit("dollars", "to", kind))),
+        (F.concat(F.lit("The "), number, suffix, F.lit(" "), kind, F.lit(", then.")), F.concat(lit("the"), ordinals, lit(kind, "then"))),
+        (F.concat(F.lit("About "), number, F.lit(" percent of "), kind), F.concat(lit("about"), words, lit("percent", "of", kind))),
+        (F.concat(F.lit("Room "), number, F.lit(": “"), kind, F.lit("”")), F.concat(lit("room"), words, lit(kind))),
+        (F.concat(F.lit("He said "), kind, F.lit(" hm today")), lit("he", "said", "zzz", "today")),
+    ]
+    case = lambda j: F.coalesce(*[F.when(i % 5 == k, f[j]) for k, f in enumerate(forms)])
+    t = table(spark, sf_dir, "events").select("event_id", case(0).alias("text"), case(1).alias("said"))
+    timed = t.withColumn("words", F.transform("said", lambda w, k: F.struct(w.alias("word"), (k * 0.3).alias("start"), (k * 0.3 + 0.25).alias("end"))))
+    found = align.aligned(timed.select("event_id", "text", "words")).select("event_id", "text", F.posexplode("spans").alias("k", "s"))
+    return found.select("event_id", "k", F.substring("text", F.col("s.cs") + 1, F.col("s.ce") - F.col("s.cs")).alias("said"))
+
+
 @query("translation_terms", """
     SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 1 THEN 'mot' || event_id % 7 || '|Mo' ELSE 'page' END AS terms FROM events""")
 def translation_terms(spark, sf_dir):
