@@ -8,7 +8,6 @@ from quire.functions import addresses as A
 from quire.functions import kernels as K
 from quire.operators import align, layout
 from quire.operators import structure as S
-from quire.plans.staging import staged
 from quire.plans.tables import spread, table
 from quire.queries import query
 from quire.queries.structure import PARAGRAPHS_SQL, UNITS_SQL, _trim
@@ -144,16 +143,17 @@ _LEFT = ", ".join(f"({k}, {n}, '{line[1:]}', {start})" for k, (lines, start) in
 
 @query("printed_lists", f"""
     WITH {PARAGRAPHS_SQL}, front(shape, n, text, start) AS (VALUES {_LEFT}),
-    ids AS (SELECT DISTINCT doc_id FROM full_paras),
+    ids AS (SELECT DISTINCT doc_id FROM documents),
     every AS (
       SELECT doc_id, n, text FROM ids JOIN front ON doc_id % {len(_FRONTS)} = shape UNION ALL SELECT doc_id, 100 + para, text FROM full_paras)
     SELECT doc_id AS id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INTEGER) AS para, text, start
     FROM every JOIN (SELECT DISTINCT shape, start FROM front) s ON doc_id % {len(_FRONTS)} = s.shape""")
 def printed_lists(spark, sf_dir):
     """Every document with one of several printed lists put before it, and what is left of both."""
-    paras = staged(S.paragraph_table(table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL")), "paragraphs")
+    docs = table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL").select("doc_id", "text")
+    paras = S.paragraph_table(docs)
     lines = F.array(*[F.array(*[F.lit(x.removeprefix("+")) for x in [*ls, _PROSE, _PROSE]]) for ls, _ in _FRONTS])
-    front = paras.select("id").distinct().select("id", F.posexplode(F.get(lines, (F.col("id") % len(_FRONTS)).cast("int"))).alias("para", "text"))
+    front = docs.select(F.col("doc_id").alias("id")).distinct().select("id", F.posexplode(F.get(lines, (F.col("id") % len(_FRONTS)).cast("int"))).alias("para", "text"))
     both = front.unionByName(paras.withColumn("para", F.col("para") + 100))
     return layout.strip_printed_lists(both)
 
