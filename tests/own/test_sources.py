@@ -95,6 +95,12 @@ def test_references_cut_off():
     assert pages.markdown_of("<body><h1>a&amp;&amp;&amp</h1><p>b &lt c &#65; &#65 &nosuch; &ampx; &amp;lt; d</p></body>") == "# a&&&amp\n\nb &lt c A &#65 &nosuch; &ampx; &lt; d"
 
 
+def test_chunks_of_references_cut_off(spark):
+    p = spark.createDataFrame([(1, "<body><article><h1>Les&amp;&amp</h1><p>One&amp.</p></article></body>")], "page_id int, html string")
+    got = pages.article_chunks(pages.article_blocks(pages.with_markdown(p), "page_id")).orderBy("idx")
+    assert [(r.idx, r.level, r.text) for r in got.collect()] == [(0, 1, "Les&&amp"), (1, 0, "One&amp.")]
+
+
 def test_texts_and_titles(spark, tmp_path):
     (tmp_path / "my_book.txt").write_bytes(b"\xef\xbb\xbfHello")
     r = files.texts(spark, f"{tmp_path}/*.txt").select("text", files.file_title(F.col("path")).alias("t"), files.kind(F.col("path")).alias("k"), files.pasted_title(F.lit("\n " + "x" * 90), F.lit(" ")).alias("p")).first()
