@@ -193,10 +193,8 @@ def stitched_pages(spark, sf_dir):
 def sentence_boxes(spark, sf_dir):
     """Boxes of the words of every turn, its page being the turn's own words one under another."""
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").cast("int").alias("page"), F.lit(0).alias("idx"), F.coalesce("text", F.lit("")).alias("text"))
-    words = turns.select("id", "page", F.posexplode(F.split("text", r"\s+")).alias("ord", "word"))
-    y = F.col("ord") * 12.0
-    words = words.select("id", "page", "ord", F.lit(10.0).alias("x0"), y.alias("y0"), F.lit(90.0).alias("x1"), (y + 10).alias("y1"), "word")
-    return layout.word_boxes(turns, words)
+    at = lambda w, k: F.struct(F.lit(10.0).alias("x0"), (k * 12.0).alias("y0"), F.lit(90.0).alias("x1"), (k * 12.0 + 10).alias("y1"), w.alias("word"))
+    return layout.word_boxes(turns, turns.select("id", "page", F.transform(F.split("text", r"\s+"), at).alias("words")))
 
 
 @query("page_hits", """

@@ -207,3 +207,39 @@ def test_located_words():
     assert [p for *_, at in layout.located("the dog ran home", twice) for p in at] == [3, 4, 5, 6]
     far = "one two x x x x x three four".split()
     assert len(layout.located("one two three four", far)) == 4 and layout.located("one z", ["one"]) == []
+
+
+def test_located_whole_sentences(monkeypatch):
+    """A sentence that stands on its page is placed as the longest chain would place it, without any cells."""
+    import random
+
+    from quire.operators import layout
+
+    r = random.Random(7)
+    cases = []
+    for _ in range(2000):
+        page = ["".join(r.choice("ab-") for _ in range(r.randint(1, 3))) for _ in range(r.randint(1, 12))]
+        at = r.randrange(len(page))
+        cases.append((" ".join(page[at : at + r.randint(1, 8)]), page))
+    got = [layout.located(*c) for c in cases]
+    with monkeypatch.context() as m:
+        m.setattr(layout, "whole", lambda tokens, page: None)
+        assert got == [layout.located(*c) for c in cases]
+    long = [f"w{k % 50}" for k in range(20_000)]
+    monkeypatch.setattr(layout, "cells_of", None)
+    assert [at for *_, at in layout.located(" ".join(long), long)] == [[k] for k in range(len(long))]
+
+
+def test_word_boxes_by_pages(spark):
+    """Sentences meet the words of their page, null keys too; a word that a page breaks has the box of its parts, marks between aside."""
+    from quire.operators import layout
+
+    said = spark.createDataFrame([(1, 1, 0, "One infor-mal word"), (1, 1, 1, "and more"), (None, 1, 0, "One two"), (2, 1, 0, "no page")], "id int, page int, idx int, text string")
+    words = [(1, 1, k, 10.0 * k, 5.0, 10.0 * k + 9, 9.0 + k, w) for k, w in enumerate(["One", "infor", "--", "mal", "word", "and", "more"])]
+    words += [(None, 1, k, 1.0, 1.0, 2.0, 2.0, w) for k, w in ((1, "two"), (0, "One"))]
+    page = spark.createDataFrame(words, "id int, page int, ord int, x0 double, y0 double, x1 double, y1 double, word string")
+    got = sorted((tuple(r) for r in layout.word_boxes(said, layout.paged(page)).collect()), key=str)
+    assert got == [
+        (1, 1, 0, 0, 3, 0.0, 5.0, 9.0, 9.0), (1, 1, 0, 14, 18, 40.0, 5.0, 49.0, 13.0), (1, 1, 0, 4, 13, 10.0, 5.0, 39.0, 12.0),
+        (1, 1, 1, 0, 3, 50.0, 5.0, 59.0, 14.0), (1, 1, 1, 4, 8, 60.0, 5.0, 69.0, 15.0), (None, 1, 0, 0, 3, 1.0, 1.0, 2.0, 2.0), (None, 1, 0, 4, 7, 1.0, 1.0, 2.0, 2.0),
+    ]
