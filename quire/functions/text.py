@@ -214,19 +214,22 @@ def inline_markdown(text: Column) -> Column:
 def unescaped(text: Column) -> Column:
     """Character references undone: decimal, hexadecimal and by name; unknown ones stay."""
     mark = r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][0-9A-Za-z]{1,10});"
-    parts = F.split(text, rf"(?={mark})|(?<={mark})")
     names = F.create_map(*[F.lit(x) for name, code in sorted({**name2codepoint, "apos": 39}.items()) for x in (name, chr(code))])
 
+    def by_number(p: Column) -> Column:
+        base = F.when(p.rlike("^&#[xX]"), 16).otherwise(10)
+        read = F.when(base == 16, F.conv(F.regexp_extract(p, "^&#[xX](.*);$", 1), 16, 10)).otherwise(F.regexp_extract(p, "^&#(.*);$", 1)).try_cast("long")
+        valid = lambda n: (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
+        return bound(read, lambda n: F.when(valid(n), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")))
+
     def char(p: Column) -> Column:
-        number = F.coalesce(
-            F.regexp_extract(p, r"^&#(\d{1,7});$", 1).try_cast("long"),
-            F.conv(F.nullif(F.regexp_extract(p, "^&#[xX]([0-9a-fA-F]{1,6});$", 1), F.lit("")), 16, 10).try_cast("long"),
-        )
-        valid = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
-        by_number = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
-        return F.coalesce(by_number, F.try_element_at(names, F.regexp_extract(p, r"^&(\w+);$", 1)), p)
-
-    return F.when(text.contains("&"), F.array_join(F.transform(parts, lambda p: F.when(p.startswith("&"), char(p)).otherwise(p)), "")).otherwise(text)
+        return F.coalesce(F.when(p.startswith("&#"), by_number(p)).otherwise(F.try_element_at(names, F.substring(p, F.lit(2), F.length(p) - 2))), p)
+
+    def undone(t: Column) -> Column:
+        parts = F.regexp_extract_all(t, F.lit(rf"{mark}|[^&]+|&"), F.lit(0))
+        return F.array_join(F.transform(parts, lambda p: F.when(p.startswith("&") & (F.length(p) > 1), char(p)).otherwise(p)), "")
+
+    return bound(text, lambda t: F.when(t.contains("&"), undone(t)).otherwise(t))
 
 
 def normal_word(word: Column) -> Column:

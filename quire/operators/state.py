@@ -188,9 +188,8 @@ def base_word(senses: Column) -> Column:
 
 def clean_sense(text: Column) -> Column:
     """A definition without tags, character references and runs of white space; an editor's placeholder is empty."""
-    bare = F.regexp_replace(text, r"<[^>]+>", "")
-    flat = X.flat(X.unescaped(bare))
-    return F.when(flat.rlike(r"(?i)\{\{|rfdef|needs a definition|This term needs"), "").otherwise(flat)
+    told = X.flat(X.unescaped(F.regexp_replace(text, r"<[^>]+>", "")))
+    return X.bound(told, lambda t: F.when(t.rlike(r"(?i)\{\{|rfdef|needs a definition|This term needs"), "").otherwise(t))
 
 
 SENSES = "array<struct<pos:string,definition:string,example:string>>"
@@ -211,29 +210,35 @@ def entry(payload: Column, provider: Column, word: Column, lang: Column, most: i
         return F.get(F.filter(clean, lambda d: d.definition != ""), F.lit(0))
 
     blocks = "array<struct<partOfSpeech:string,definitions:array<struct<definition:string,examples:array<string>,example:string>>>>"
-    sections = F.from_json(payload, f"map<string,{blocks}>")
-    own = F.when(F.size(F.try_element_at(sections, lang)) > 0, F.try_element_at(sections, lang))
-    english = F.when(F.size(F.try_element_at(sections, F.lit("en"))) > 0, F.try_element_at(sections, F.lit("en")))
-    section = F.coalesce(own, english, F.get(F.map_values(sections), F.lit(0)))
     shown = lambda b: F.transform(b.definitions, lambda d: F.struct(d.definition.alias("definition"), F.coalesce(F.get(d.examples, F.lit(0)), d.example).alias("example")))
     by_block = lambda listed, low: F.filter(F.transform(listed, lambda b: first_of(F.lower(b.partOfSpeech) if low else b.partOfSpeech, shown(b))), lambda d: d.isNotNull())
-
-    pairs = F.get(F.from_json(payload, "array<struct<word:string,defs:array<string>>>"), F.lit(0))
-    part = lambda d: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in PARTS.items() for x in kv]), F.substring_index(d, "\t", 1)), F.substring_index(d, "\t", 1))
-    told = F.filter(F.transform(pairs.defs, lambda d: F.struct(part(d).alias("pos"), clean_sense(F.regexp_extract(d, r"(?s)\t(.*)$", 1)).alias("definition"), F.lit(None).cast("string").alias("example"))), lambda d: d.definition != "")
-    once = F.filter(told, lambda d, i: ~F.exists(F.slice(told, F.lit(1), i), lambda e: e.pos == d.pos))
-
-    book = F.get(F.from_json(payload, f"array<struct<word:string,phonetic:string,phonetics:array<struct<text:string>>,meanings:{blocks}>>"), F.lit(0))
-    sounds = F.filter(F.transform(book.phonetics, lambda p: F.trim(p.text)), lambda t: t != "")
-    phonetic = F.coalesce(F.nullif(F.trim(book.phonetic), F.lit("")), F.get(sounds, F.lit(0)))
+    answer = lambda phonetic, senses: F.struct(phonetic.alias("phonetic"), F.slice(senses, 1, most).alias("senses"))
+    silent = F.lit(None).cast("string")
+    # Each provider's branch reads the payload once: what is read is bound, and so is what a lambda names often.
+
+    def wiktionary(sections: Column) -> Column:
+        of = lambda key: X.bound(F.try_element_at(sections, key), lambda s: F.when(F.size(s) > 0, s))
+        return answer(silent, by_block(F.coalesce(of(lang), of(F.lit("en")), F.get(F.map_values(sections), F.lit(0))), True))
+
+    def datamuse(pairs: Column) -> Column:
+        short = lambda d: F.substring_index(d, "\t", 1)
+        part = lambda d: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in PARTS.items() for x in kv]), short(d)), short(d))
+        told = F.filter(F.transform(pairs.defs, lambda d: F.struct(part(d).alias("pos"), clean_sense(F.regexp_extract(d, r"(?s)\t(.*)$", 1)).alias("definition"), silent.alias("example"))), lambda d: d.definition != "")
+        once = X.bound(told, lambda t: F.filter(t, lambda d, i: ~F.exists(F.slice(t, F.lit(1), i), lambda e: e.pos == d.pos)))
+        return F.when(F.lower(pairs.word) == word, answer(silent, once))
+
+    def dictionaryapi(book: Column) -> Column:
+        sounds = F.filter(F.transform(book.phonetics, lambda p: F.trim(p.text)), lambda t: t != "")
+        return answer(F.coalesce(F.nullif(F.trim(book.phonetic), F.lit("")), F.get(sounds, F.lit(0))), by_block(book.meanings, False))
+
+    first = lambda kind: F.get(F.from_json(payload, f"array<struct<{kind}>>"), F.lit(0))
     english_only = lang == "en"
-    senses = (
-        F.when(provider == "wiktionary", by_block(section, True))
-        .when((provider == "datamuse") & english_only & (F.lower(pairs.word) == word), once)
-        .when((provider == "dictionaryapi") & english_only, by_block(book.meanings, False))
+    found = (
+        F.when(provider == "wiktionary", X.bound(F.from_json(payload, f"map<string,{blocks}>"), wiktionary))
+        .when((provider == "datamuse") & english_only, X.bound(first("word:string,defs:array<string>"), datamuse))
+        .when((provider == "dictionaryapi") & english_only, X.bound(first(f"word:string,phonetic:string,phonetics:array<struct<text:string>>,meanings:{blocks}"), dictionaryapi))
     )
-    senses = F.slice(senses, 1, most)
-    return F.when(F.size(senses) > 0, F.struct(F.when(provider == "dictionaryapi", phonetic).alias("phonetic"), senses.cast(SENSES).alias("senses")))
+    return X.bound(found, lambda e: F.when(F.size(e.senses) > 0, F.struct(e.phonetic.alias("phonetic"), e.senses.cast(SENSES).alias("senses"))))
 
 
 def defined(words: DataFrame, entries: DataFrame) -> DataFrame:

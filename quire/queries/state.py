@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as X
 from quire.operators import state as S
 from quire.operators.align import has_speech, speakable, word_times
-from quire.plans.tables import table
+from quire.plans.tables import spread, table
 from quire.queries import query
 
 
@@ -121,7 +121,7 @@ def provider_entries(spark, sf_dir):
     provider = F.get(F.array(*[F.lit(x) for x in ("wiktionary", "datamuse", "dictionaryapi", "none")]), (i % 4).cast("int"))
     payload = F.when(i % 4 == 0, wiki).when(i % 4 == 1, muse).otherwise(api)
     lang = F.when((i % 4 == 2) & (i % 8 != 2), "fr").otherwise("en")
-    found = table(spark, sf_dir, "events").select("event_id", S.entry(payload, provider, F.lit("w"), lang).alias("e"))
+    found = spread(table(spark, sf_dir, "events")).select("event_id", S.entry(payload, provider, F.lit("w"), lang).alias("e"))
     told = F.array_join(F.transform("e.senses", lambda s: F.concat(s.pos, F.lit("|"), s.definition)), ";")
     return found.select("event_id", told.alias("senses"), F.col("e.phonetic").alias("phonetic"))
 

@@ -191,3 +191,17 @@ def test_tail_is_estimated(spark):
     d = spark.createDataFrame([("one two three", [(0.0, 0.4, 0, 3)], 3.4), ("one two", [(0.0, 0.4, 0, 3)], 1.0)], "t string, s array<struct<start:double,end:double,cs:int,ce:int>>, d double")
     got = [[(w.start, w.end, w.cs, w.ce) for w in r.w] for r in d.select(align.with_tail(F.col("t"), F.col("s"), F.col("d")).alias("w")).collect()]
     assert got == [[(0.0, 0.4, 0, 3), (0.4, 1.6, 4, 7), (1.6, 3.4, 8, 13)], [(0.0, 0.4, 0, 3)]]
+
+
+def test_answers_are_read_once(spark):
+    """Each of the three forms of an answer is parsed in one place of the plan, and references in all spellings are undone."""
+    api = '[{"word": "w", "phonetics": [{"text": ""}, {"text": "/p/"}], "meanings": [{"partOfSpeech": "noun", "definitions": [{"definition": " "}, {"definition": "a &#65;&#x42;&amp;&lt &nosuch; &#0; & b", "example": "x &eacute;"}]}]}]'
+    muse = '[{"word": "W", "defs": ["n\\tone", "n\\tagain", "v\\t", "v\\ttwo"]}]'
+    wiki = '{"fr": [{"partOfSpeech": "Nom", "definitions": [{"definition": "mot", "examples": ["un"]}]}], "en": []}'
+    d = spark.createDataFrame([(1, "dictionaryapi", api, "en"), (2, "datamuse", muse, "en"), (3, "wiktionary", wiki, "de"), (4, "dictionaryapi", api, "fr"), (5, "datamuse", "[", "en"), (6, None, api, "en")], "k int, p string, a string, l string")
+    found = d.select("k", state.entry(F.col("a"), F.col("p"), F.lit("w"), F.col("l")).alias("e"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 3
+    got = {r.k: r.e and (r.e.phonetic, [tuple(s) for s in r.e.senses]) for r in found.collect()}
+    assert got == {
+        1: ("/p/", [("noun", "a AB&&lt &nosuch; &#0; & b", "x é")]), 2: (None, [("noun", "one", None), ("verb", "two", None)]), 3: (None, [("nom", "mot", "un")]), 4: None, 5: None, 6: None,
+    }
