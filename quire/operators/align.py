@@ -99,6 +99,10 @@ def is_number(word: str) -> bool:
     return bool(parts) and NUMBERS.issuperset(parts)
 
 
+def is_word(char: str) -> bool:
+    return char.isalnum() or char == "_"
+
+
 class Place:
     """Where a text was heard last, and the written number that a run of spoken number words is heard for."""
 
@@ -107,10 +111,13 @@ class Place:
 
     def literal(self, word: str) -> tuple[int, int] | None:
         """The word itself, whole, within reach."""
-        stop = self.at + REACH + len(word)
-        for m in re.compile(rf"(?<!\w){re.escape(word)}(?!\w)").finditer(self.low, self.at, stop + 1):
-            if m.end() <= stop:
-                return m.span()
+        stop, low = self.at + REACH + len(word), self.low
+        at = low.find(word, self.at, stop)
+        while at >= 0:
+            end = at + len(word)
+            if not (at and is_word(low[at - 1]) or end < len(low) and is_word(low[end])):
+                return at, end
+            at = low.find(word, at + 1, stop)
         return None
 
     def written(self, at: int) -> tuple[int, int] | None:
@@ -193,17 +200,36 @@ def _filled(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 ALIGNED_BY = 2
 
 
+#: Words that are heard before their spans leave a task.
+AT_ONCE = 1 << 14
+
+
 def aligned(rows: DataFrame) -> DataFrame:
-    """rows (text, words: array of (word, start, end)) with spans; a small kernel a row, in Arrow batches."""
-    kind = pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64()), ("cs", pa.int32()), ("ce", pa.int32())]))
+    """rows (text, words: array of (word, start, end)) with spans; a small kernel a row, in Arrow batches.
+
+    Of a batch only rows of about AT_ONCE words are held as Python values at a time.
+    """
+    names = ("start", "end", "cs", "ce")
+    kinds = (pa.float64(), pa.float64(), pa.int32(), pa.int32())
+
+    def heard_in(batch: pa.RecordBatch) -> pa.RecordBatch:
+        columns, counts = ([], [], [], []), [0]
+        for text, words in zip(batch.column("text").to_pylist(), batch.column("words"), strict=True):
+            spans = heard(text or "", [(w["word"] or "", w["start"], w["end"]) for w in words.as_py() or [] if w])
+            for column, values in zip(columns, zip(*spans, strict=True), strict=False):
+                column.extend(values)
+            counts.append(len(spans))
+        made = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        spans = pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), made)
+        return pa.RecordBatch.from_arrays([*batch.columns, spans], names=[*batch.schema.names, "spans"])
 
     def run(batches):
         for batch in batches:
-            out = []
-            for text, words in zip(batch.column("text").to_pylist(), batch.column("words").to_pylist(), strict=True):
-                spans = heard(text or "", [(w["word"] or "", w["start"], w["end"]) for w in words or [] if w])
-                out.append([{"start": s, "end": e, "cs": a, "ce": b} for s, e, a, b in spans])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], names=[*batch.schema.names, "spans"])
+            ends, first = np.asarray(batch.column("words").offsets), 0
+            while first < len(batch):
+                past = max(first + 1, int(np.searchsorted(ends, ends[first] + AT_ONCE, "right")) - 1)
+                yield heard_in(batch.slice(first, past - first))
+                first = past
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("spans", SPAN)]))
 

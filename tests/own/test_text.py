@@ -243,3 +243,26 @@ def test_word_boxes_by_pages(spark):
         (1, 1, 0, 0, 3, 0.0, 5.0, 9.0, 9.0), (1, 1, 0, 14, 18, 40.0, 5.0, 49.0, 13.0), (1, 1, 0, 4, 13, 10.0, 5.0, 39.0, 12.0),
         (1, 1, 1, 0, 3, 50.0, 5.0, 59.0, 14.0), (1, 1, 1, 4, 8, 60.0, 5.0, 69.0, 15.0), (None, 1, 0, 0, 3, 1.0, 1.0, 2.0, 2.0), (None, 1, 0, 4, 7, 1.0, 1.0, 2.0, 2.0),
     ]
+
+
+def test_words_are_heard_in_small_parts(monkeypatch):
+    """A batch of many rows gives its spans part by part, whole and in order, empty rows and long ones too."""
+    import pyarrow as pa
+
+    from quire.operators import align
+
+    class Rows:
+        schema = type("Schema", (), {"fields": []})()
+
+        def mapInArrow(self, run, _):
+            return run
+
+    monkeypatch.setattr(align, "AT_ONCE", 64)
+    texts = [*[f"word{k} and “more” of {k}" for k in range(100)], "", None, "long " * 200]
+    kind = pa.list_(pa.struct([("word", pa.string()), ("start", pa.float64()), ("end", pa.float64())]))
+    said = [[{"word": w, "start": k * 0.5, "end": k + 0.5} for k, w in enumerate((t or "").split())] for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([*said[:-3], None, [], said[-1]], kind)], names=["text", "words"])
+    got = list(align.aligned(Rows())([batch]))
+    assert len(got) > 5 and [t for b in got for t in b.column("text").to_pylist()] == texts
+    want = [align.heard(t or "", [(w["word"], w["start"], w["end"]) for w in ws]) for t, ws in zip(texts, said, strict=True)]
+    assert [[tuple(s.values()) for s in row] for b in got for row in b.column("spans").to_pylist()] == want
