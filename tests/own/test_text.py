@@ -266,3 +266,23 @@ def test_words_are_heard_in_small_parts(monkeypatch):
     assert len(got) > 5 and [t for b in got for t in b.column("text").to_pylist()] == texts
     want = [align.heard(t or "", [(w["word"], w["start"], w["end"]) for w in ws]) for t, ws in zip(texts, said, strict=True)]
     assert [[tuple(s.values()) for s in row] for b in got for row in b.column("spans").to_pylist()] == want
+
+
+def test_long_texts_leave_in_parts(monkeypatch):
+    """A batch's texts leave a kernel when they have so many characters, whatever their number."""
+    import pyarrow as pa
+
+    class Docs:
+        schema = {"id": None}
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    monkeypatch.setattr(R.T, "StructType", lambda fields: fields)
+    batch = pa.RecordBatch.from_pydict({"id": list(range(9)), "text": ["a" * 600_000 + "\n\nb"] * 8 + [None]})
+    got = list(R.exploded(Docs(), "text", R.paragraphs, "para", "id")([batch]))
+    assert [r for b in got for r in zip(b["id"].to_pylist(), b["para"].to_pylist(), strict=True)] == [(k, p) for k in range(8) for p in (0, 1)]
+    assert len(got) >= 4 and max(sum(map(len, b["text"].to_pylist())) for b in got) < 2 * R.CHARS
