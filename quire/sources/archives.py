@@ -26,6 +26,7 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -306,7 +307,7 @@ def write_zips(entries: DataFrame, path: str) -> int:
     A task writes beside its zip and renames it at the end, so one that runs again leaves one zip of the same name.
     """
 
-    def run(frames):
+    def run(batches):
         from pyspark import TaskContext
 
         context = TaskContext.get()
@@ -315,11 +316,11 @@ def write_zips(entries: DataFrame, path: str) -> int:
         target, n = f"{at}/part-{context.partitionId():05d}.zip", 0
         beside = f"{at}/.{context.taskAttemptId()}"
         with fs.open_output_stream(beside) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
-            for frame in frames:
-                for name, content in zip(frame.name, frame.content, strict=True):
-                    z.writestr(name, bytes(content or b""))
+            for batch in batches:
+                for name, content in zip(*batch.columns, strict=True):  # a member at a time becomes a Python value
+                    z.writestr(name.as_py(), content.as_py() or b"")
                     n += 1
         fs.move(beside, target) if n else fs.delete_file(beside)
-        yield pd.DataFrame({"n": [n]})
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
-    return entries.select("name", "content").mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return entries.select("name", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
