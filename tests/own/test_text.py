@@ -286,3 +286,17 @@ def test_long_texts_leave_in_parts(monkeypatch):
     got = list(R.exploded(Docs(), "text", R.paragraphs, "para", "id")([batch]))
     assert [r for b in got for r in zip(b["id"].to_pylist(), b["para"].to_pylist(), strict=True)] == [(k, p) for k in range(8) for p in (0, 1)]
     assert len(got) >= 4 and max(sum(map(len, b["text"].to_pylist())) for b in got) < 2 * R.CHARS
+
+
+def test_only_documents_with_openers_are_marked(spark, monkeypatch):
+    """Lines are marked only where one of the first opens a list; the others pass as they are."""
+    seen, marked = [], layout.marked
+    monkeypatch.setattr(layout, "marked", lambda d: seen.append(d) or marked(d))
+    lines = ["CONTENTS", "Chapter I. 1", "Chapter II. 20", "Chapter III. 31", "A verse"]
+    prose = "It was a long time ago, and nobody knew where he was, or why he had gone there, or when he would be home again. " * 2
+    rows = [(1, k, t) for k, t in enumerate([*lines, prose, prose])] + [(2, k, prose) for k in range(3)]
+    rows += [(3, k, prose) for k in range(layout.LOOK)] + [(3, layout.LOOK + k, t) for k, t in enumerate(lines)]
+    got = layout.strip_printed_lists(spark.createDataFrame(rows, "id int, para int, text string"))
+    assert [r.id for r in seen[0].select("id").distinct().collect()] == [1]
+    kept = got.groupBy("id").count().collect()
+    assert {r.id: r["count"] for r in kept} == {1: 3, 2: 3, 3: layout.LOOK + 5}
