@@ -67,8 +67,8 @@ def pieces(paragraph: Column) -> Column:
 
 
 def abbreviated(piece: Column) -> Column:
-    """Whether a piece ends in a known abbreviation or a single letter and a full stop."""
-    word = F.regexp_replace(F.lower(F.regexp_extract(piece, r"(?U)(\b[\w.]+)\.$", 1)), r"\.+$", "")
+    """Whether a piece ends in a known abbreviation or a single letter and a full stop; İ, of two characters in lower case on the JVM, is one."""
+    word = F.regexp_replace(F.lower(F.translate(F.regexp_extract(piece, r"(?U)(\b[\w.]+)\.$", 1), "İ", "i")), r"\.+$", "")
     return word.isin(ABBREVIATIONS) | word.rlike(r"^\p{L}$")
 
 

@@ -4,8 +4,10 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from quire import registry
 from quire.operators import ingest
 from quire.sources import files, pages, sinks
+from tests.compare import both
 
 NS = "http://example.org/terms/"
 
@@ -101,6 +103,21 @@ def test_chunks_of_references_cut_off(spark):
     assert [(r.idx, r.level, r.text) for r in got.collect()] == [(0, 1, "Les&&amp"), (1, 0, "One&amp.")]
 
 
+def test_chunks_of_odd_pages_equal_their_sql(spark, tmp_path):
+    """Initials of two characters in lower case, cut-off references, Markdown marks, quotations and long texts, in the form of the tables' pages."""
+    said = ["Here spoke İ. Smith of it. Then all of them left the room.", "Of A. B. Smith vs. them. “He left. Now” it is.", "### cut&amp;&amp", "*** x ** y. __z__ `a. B` &lt &quo", "word, " * 90, "Ω" * 361, "Same text. " * 30, "Same text. " * 30]
+    html = [f"<html><body><article><h1>{t[:20]}</h1><p>{t}</p><p><b>{u}<br><p>{u} {t}</p></article><footer>&copy; x &middot; y</footer>" for t in said for u in said] + ["", None]
+    spark.createDataFrame(list(enumerate(html)), "page_id long, html string").coalesce(1).toPandas().to_parquet(f"{tmp_path}/pages.parquet")
+    got, want = both(registry.QUERIES["article_chunks"], registry.ORACLES["article_chunks"], spark, str(tmp_path))
+    assert len(got) > 300 and got == want
+
+
+def test_rules_of_blocks_run_once(spark):
+    """Three passes for emphasis in a heading or a paragraph; a filter on the text must not repeat them."""
+    plan = pages.article_blocks(spark.range(1).selectExpr("id", "string(id) as markdown"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(.+?)") == 6
+
+
 def test_texts_and_titles(spark, tmp_path):
     (tmp_path / "my_book.txt").write_bytes(b"\xef\xbb\xbfHello")
     r = files.texts(spark, f"{tmp_path}/*.txt").select("text", files.file_title(F.col("path")).alias("t"), files.kind(F.col("path")).alias("k"), files.pasted_title(F.lit("\n " + "x" * 90), F.lit(" ")).alias("p")).first()

@@ -78,6 +78,13 @@ def test_kernels_equal_the_column_functions(spark):
         assert R.units(texts[r.k]) == list(r.u), texts[r.k]
 
 
+def test_initials_of_two_characters_in_lower_case(spark):
+    """İ with a full stop is an initial, in the kernel and in the column functions."""
+    t = "Here spoke İ. Smith of it. Then all of them left the room."
+    want = ["Here spoke İ. Smith of it.", "Then all of them left the room."]
+    assert R.sentences(t) == want and one(spark, X.sentences(F.lit(t))) == want
+
+
 def test_exploded_texts(spark, monkeypatch):
     monkeypatch.setattr(R, "ROWS", 3)
     rows = [(k, t, k % 2 == 0) for k, t in enumerate(["a b", "", None, "c d e f g", "h i", "j"] * 3)]
